@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import chat_digest
 from .common import table
+from .decontaminate import decontamination_digest
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -39,3 +40,8 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(chars)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id"""
+
+
+@query
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
