@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import chat_digest
 from .common import table
+from .toxicity import toxicity
 from .decontaminate import decontamination_digest
 
 QUERIES: dict = {}
@@ -45,3 +46,8 @@ FROM e GROUP BY conv_id"""
 @query
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
