@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import chat_digest
 from .common import table
+from .quality import quality
 from .toxicity import toxicity
 from .decontaminate import decontamination_digest
 
@@ -51,3 +52,8 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
