@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import chat_digest
 from .common import table
 from .quality import quality
+from .secrets import secret_digest
 from .toxicity import toxicity
 from .decontaminate import decontamination_digest
 
@@ -57,3 +58,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(table(spark, sf_dir, "documents"))
