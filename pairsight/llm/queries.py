@@ -8,6 +8,7 @@ from .chat import chat_digest
 from .common import table
 from .quality import quality
 from .secrets import secret_digest
+from .simhash import simhash_digest
 from .toxicity import toxicity
 from .decontaminate import decontamination_digest
 
@@ -63,3 +64,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_digest(table(spark, sf_dir, "documents"))
