@@ -33,3 +33,8 @@ def lower_ascii(text: Column) -> Column:
 def held_out(doc_id: Column) -> Column:
     """True for the fold from which no label may be learnt."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)

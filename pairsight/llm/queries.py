@@ -9,6 +9,7 @@ from .common import table
 from .quality import quality
 from .secrets import secret_digest
 from .simhash import simhash_digest
+from .imatch import imatch_digest
 from .toxicity import toxicity
 from .decontaminate import decontamination_digest
 
@@ -69,3 +70,8 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch_digest(table(spark, sf_dir, "documents"))
