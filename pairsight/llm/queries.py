@@ -10,6 +10,7 @@ from .quality import quality
 from .secrets import secret_digest
 from .simhash import simhash_digest
 from .imatch import imatch_digest
+from .substrings import substring_digest
 from .toxicity import toxicity
 from .decontaminate import decontamination_digest
 
@@ -75,3 +76,8 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch_digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_digest(table(spark, sf_dir, "documents"))
