@@ -11,6 +11,7 @@ from .secrets import secret_digest
 from .simhash import simhash_digest
 from .imatch import imatch_digest
 from .substrings import substring_digest
+from .pieces import piece_digest
 from .toxicity import toxicity
 from .decontaminate import decontamination_digest
 
@@ -81,3 +82,8 @@ def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digest(table(spark, sf_dir, "documents"))
