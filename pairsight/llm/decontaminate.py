@@ -53,11 +53,14 @@ def _grams(hashes: Column, window: int, k: int, short: list[int] | None) -> Colu
     def keyed(packed: Column, n: int, length: int) -> Column:
         return F.transform(packed, lambda p: F.struct(p.bitwiseAND(F.lit(~low)).bitwiseOR(F.lit(n).cast("long")).alias("key"), p.bitwiseAND(F.lit(low)).cast("int").alias("pos"), F.lit(length).alias("k"), F.lit(n).alias("need")))
 
+    def every(n: int) -> Column:
+        return F.transform(_positions(size - n), lambda i: _packed(hashes, i, n))
+
     none = F.array().cast("array<struct<key:bigint,pos:int,k:int,need:int>>")
     parts = [F.when(size >= window, keyed(winnow(hashes, window, k), window, k)).otherwise(none)]
     for n in range(1, window) if short is None else short:
         whole = size == n if short is None else size >= n
-        parts.append(F.when(whole, keyed(F.transform(_positions(size - n), lambda i, n=n: _packed(hashes, i, n)), n, n)).otherwise(none))
+        parts.append(F.when(whole, keyed(every(n), n, n)).otherwise(none))
     return F.concat(*parts)
 
 

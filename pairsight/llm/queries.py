@@ -12,6 +12,7 @@ from .simhash import simhash_digest
 from .imatch import imatch_digest
 from .substrings import substring_digest
 from .pieces import piece_digest
+from .licenses import TEMPLATES, default_templates, scan_licenses
 from .toxicity import toxicity
 from .decontaminate import decontamination_digest
 
@@ -87,3 +88,24 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"), default_templates(spark))
+
+
+_NOTICES = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in TEMPLATES)
+
+ORACLE_SQL["op4_licenses"] = f"""
+WITH notice AS (SELECT row_number() OVER () AS t, * FROM (VALUES {_NOTICES}) AS v(license, template)),
+nw AS (SELECT t, license, regexp_extract_all(translate(template, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w FROM notice),
+ns AS (SELECT DISTINCT t, license, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM nw)),
+size AS (SELECT t, license, count(*) AS m, (2 ** ceil(log2(count(*))))::BIGINT AS c FROM ns GROUP BY t, license),
+dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w FROM documents),
+ds AS (SELECT doc_id, i - 1 AS i, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM dw)),
+hit AS (SELECT ds.doc_id, ds.s, ns.t, ns.license, m, c, unnest([i // c, i // c - 1]) AS k FROM ds JOIN ns ON ds.s = ns.s JOIN size ON ns.t = size.t),
+win AS (SELECT doc_id, license, t, c, k * c AS pos, count(DISTINCT s) / m AS share FROM hit WHERE k >= 0 GROUP BY doc_id, license, t, c, k, m),
+ok AS (SELECT doc_id, license, c, pos, max(share) AS share FROM win WHERE share >= 0.8 GROUP BY doc_id, license, c, pos)
+SELECT doc_id, license, max(share) AS containment, min(pos) FILTER (share = best) AS first_word, count(*) AS n_windows
+FROM (SELECT *, max(share) OVER (PARTITION BY doc_id, license) AS best FROM ok) GROUP BY doc_id, license"""
