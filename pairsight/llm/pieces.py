@@ -11,25 +11,28 @@ Texts take the ids of their segments from a bounded table of the most frequent o
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import shared_folder
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Segments whose ids every task holds in memory, at most: those that occur most often.
-TABLE_ROWS = 1 << 18
+TABLE_ROWS = 1 << 17
 #: Longer segments, which are no words, are folded by a task instead of as rows; with the same result.
 LONG = 96
-#: Different segments that a task counts before it hands the counts on.
-COUNTED = 400_000
+#: Different words that a task counts before it hands the counts on, and whose ids it remembers.
+COUNTED = 150_000
 
 
 @dataclass
@@ -45,10 +48,13 @@ class Vocabulary:
     chars: dict[str, int]
     joined: np.ndarray
 
+    def words(self, text: str | None) -> list[str]:
+        """A text in parts that are cut by themselves: words with the spaces before them, where no piece goes on over a space."""
+        s = self.prepared(text)
+        return re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", s) if self.by_word else [s] if s else []
+
     def cuts(self, s: str) -> list[str]:
-        """The segments of a text whose spaces are SPACE already."""
-        if not s:
-            return []
+        """The segments of a word. They don't depend on what stands around it."""
         points = np.frombuffer(s.encode("utf-32-le", errors="surrogatepass"), np.uint32)
         places = self.place[np.minimum(points, len(self.place) - 1)]
         ends = np.flatnonzero(~self.joined[places[:-1], places[1:]]) + 1
@@ -60,6 +66,8 @@ class Vocabulary:
         self.place = np.zeros(top + 2, np.int32)
         for c, k in self.chars.items():
             self.place[ord(c)] = k
+        space = self.chars.get(SPACE, 0)
+        self.by_word = int(self.joined[:, space].sum()) == int(self.joined[space, space])
 
     def prepared(self, text: str | None) -> str:
         text = text or ""
@@ -114,21 +122,29 @@ def count_segments(docs: DataFrame, vocabulary: Vocabulary, text: str = "text")
 
     def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = Vocabulary(**fields.value)
-        seen: Counter = Counter()
+
+        def hand_on(words: Counter) -> pd.DataFrame:
+            seen: Counter = Counter()
+            for w, n in words.items():
+                for s in v.cuts(w):
+                    seen[s] += n
+            return pd.DataFrame({"segment": list(seen), "n": list(seen.values())})
+
+        words: Counter = Counter()
         for pdf in it:
             for t in pdf.iloc[:, 0]:
-                seen.update(v.cuts(v.prepared(t)))
-                if len(seen) >= COUNTED:
-                    yield pd.DataFrame({"segment": list(seen), "n": list(seen.values())})
-                    seen = Counter()
-        if seen:
-            yield pd.DataFrame({"segment": list(seen), "n": list(seen.values())})
+                words.update(v.words(t))
+                if len(words) >= COUNTED:
+                    yield hand_on(words)
+                    words = Counter()
+        if words:
+            yield hand_on(words)
 
     return docs.select(text).mapInPandas(count, "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
 
 
 def _fields(spark: SparkSession, v: Vocabulary):
-    return spark.sparkContext.broadcast({k: x for k, x in vars(v).items() if k != "place"})
+    return spark.sparkContext.broadcast({k: x for k, x in vars(v).items() if k not in ("place", "by_word")})
 
 
 def encode_segments(segments: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -136,8 +152,9 @@ def encode_segments(segments: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     spark = segments.sparkSession
     table = spark.createDataFrame(pd.DataFrame([(p, i, s) for p, (i, s) in vocabulary.pieces.items()], columns=["piece", "id", "score"]), "piece string, id int, score double")
     size = F.length("segment")
-    starts = segments.where(size <= LONG).select("segment", "n", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
-    parts = starts.select("segment", "n", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), size - F.col("start")))).alias("chars"))
+    # what is too long for the lattice goes along as one character, so the segments are counted and grouped once
+    starts = segments.select("segment", "n", F.explode(F.sequence(F.lit(0), F.when(size <= LONG, size - 1).otherwise(0))).alias("start"))
+    parts = starts.select("segment", "n", "start", F.explode(F.sequence(F.lit(1), F.when(size <= LONG, F.least(F.lit(vocabulary.longest), size - F.col("start"))).otherwise(1))).alias("chars"))
     parts = parts.select("segment", "n", "start", "chars", F.substring("segment", F.col("start") + 1, F.col("chars")).alias("piece"))
     edges = parts.join(F.broadcast(table), "piece", "left").where("id IS NOT NULL OR chars = 1")
     edge = F.struct((F.col("start") + F.col("chars")).alias("end"), "start", F.coalesce("score", F.lit(vocabulary.unknown)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
@@ -168,9 +185,9 @@ def encode_segments(segments: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     @F.pandas_udf("array<int>")
     def fold(s: pd.Series) -> pd.Series:
         v = Vocabulary(**fields.value)
-        return s.map(v.fold)
+        return s.map(lambda t: None if t is None else v.fold(t))
 
-    return short.unionByName(segments.where(size > LONG).select("segment", "n", fold("segment").alias("ids")))
+    return short.withColumn("ids", F.when(size <= LONG, F.col("ids")).otherwise(fold(F.when(size > LONG, F.col("segment")))))
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name: str = "ids") -> DataFrame:
@@ -179,17 +196,36 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name: st
     Ids are those that maximise the sum of the model's scores, the longer last piece where sums are equal.
     """
     spark = docs.sparkSession
-    coded = cut(encode_segments(count_segments(docs, vocabulary, text), vocabulary))
-    top = coded.orderBy(F.desc("n"), "segment").limit(TABLE_ROWS).select("segment", "ids").toPandas()
-    known = {s: np.asarray(i, np.int32).tobytes() for s, i in zip(top["segment"], top["ids"], strict=True)}
-    del top
-    fields, held = _fields(spark, vocabulary), spark.sparkContext.broadcast(known)
+    folder = f"{shared_folder(spark)}/segments-{uuid.uuid4().hex}"
+    encode_segments(count_segments(docs, vocabulary, text), vocabulary).write.parquet(folder)
+    coded = spark.read.parquet(folder)
+    top = coded.orderBy(F.desc("n"), "segment").limit(TABLE_ROWS).select("segment", "ids").toArrow().combine_chunks()
+    ids = pa.concat_arrays(top["ids"].chunks) if top.num_rows else pa.array([], pa.list_(pa.int32()))
+    flat, ends = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))
+    fields, held = _fields(spark, vocabulary), spark.sparkContext.broadcast({"segments": top["segment"].to_pylist(), "ids": flat.tobytes(), "ends": ends.tolist(), "made": {}})
     rows = docs.withColumn("_row", F.monotonically_increasing_id())
 
+    def known() -> dict[str, bytes]:
+        h = held.value
+        if not h["made"] and h["segments"]:
+            at = [0, *(4 * e for e in h["ends"])]
+            h["made"].update(zip(h["segments"], [h["ids"][a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
+        return h["made"]
+
     def missing(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v, have = Vocabulary(**fields.value), held.value
+        v, have = Vocabulary(**fields.value), known()
+        seen: dict[str, list[str]] = {}
         for pdf in it:
-            out = [(r, s) for r, t in zip(pdf["_row"].tolist(), pdf["t"], strict=True) for s in {s for s in v.cuts(v.prepared(t)) if s not in have}]
+            out = []
+            for r, t in zip(pdf["_row"].tolist(), pdf["t"], strict=True):
+                rare = set()
+                for w in set(v.words(t)):
+                    if w not in seen:
+                        seen[w] = [s for s in v.cuts(w) if s not in have]
+                    rare.update(seen[w])
+                out += [(r, s) for s in rare]
+                if len(seen) > COUNTED:
+                    seen = {}
             yield pd.DataFrame(out, columns=["_row", "segment"])
 
     rare = rows.select("_row", F.col(text).alias("t")).mapInPandas(missing, "_row long, segment string").join(coded.select("segment", "ids"), "segment")
@@ -197,11 +233,19 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name: st
 
     @F.pandas_udf("array<int>")
     def assemble(texts: pd.Series, rares: pd.Series) -> pd.Series:
-        v, have = Vocabulary(**fields.value), held.value
-        out = []
+        v, have = Vocabulary(**fields.value), known()
+        out, words = [], {}
         for t, more in zip(texts, rares, strict=True):
             own = {r["segment"]: np.asarray(r["ids"], np.int32).tobytes() for r in more} if more is not None else {}
-            out.append(np.frombuffer(b"".join([have[s] if s in have else own[s] for s in v.cuts(v.prepared(t))]), np.int32))
+            parts = []
+            for w in v.words(t):
+                x = words.get(w)
+                if x is None:
+                    x = words[w] = b"".join([have[s] if s in have else own[s] for s in v.cuts(w)])
+                parts.append(x)
+            out.append(np.frombuffer(b"".join(parts), np.int32))
+            if len(words) > COUNTED:
+                words = {}
         return pd.Series(out)
 
     return rows.join(rare, "_row", "left").withColumn(name, assemble(F.col(text), F.col("_rare"))).drop("_row", "_rare")
