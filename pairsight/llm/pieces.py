@@ -33,6 +33,8 @@ TABLE_ROWS = 1 << 17
 LONG = 96
 #: Different words that a task counts before it hands the counts on, and whose ids it remembers.
 COUNTED = 150_000
+#: Texts that a task takes at a time.
+DOCS = 500
 
 
 @dataclass
@@ -53,13 +55,21 @@ class Vocabulary:
         s = self.prepared(text)
         return re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", s) if self.by_word else [s] if s else []
 
-    def cuts(self, s: str) -> list[str]:
-        """The segments of a word. They don't depend on what stands around it."""
+    def cuts(self, words: list[str]) -> list[list[str]]:
+        """The segments of each word. They don't depend on what stands around it, so all words are looked at end to end."""
+        if not words:
+            return []
+        s = "".join(words)
         points = np.frombuffer(s.encode("utf-32-le", errors="surrogatepass"), np.uint32)
         places = self.place[np.minimum(points, len(self.place) - 1)]
-        ends = np.flatnonzero(~self.joined[places[:-1], places[1:]]) + 1
-        ends = ends.tolist()
-        return [s[a:b] for a, b in zip([0, *ends], [*ends, len(s)], strict=True)]
+        apart = ~self.joined[places[:-1], places[1:]]
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        apart[ends[:-1] - 1] = True
+        at = np.append(np.flatnonzero(apart) + 1, len(s))
+        cut = at.tolist()
+        parts = [s[a:b] for a, b in zip([0, *cut], cut, strict=False)]
+        last = (np.searchsorted(at, ends) + 1).tolist()
+        return [parts[a:b] for a, b in zip([0, *last], last, strict=False)]
 
     def __post_init__(self) -> None:
         top = max(map(ord, self.chars), default=0)
@@ -125,14 +135,14 @@ def count_segments(docs: DataFrame, vocabulary: Vocabulary, text: str = "text")
 
         def hand_on(words: Counter) -> pd.DataFrame:
             seen: Counter = Counter()
-            for w, n in words.items():
-                for s in v.cuts(w):
+            for segments, n in zip(v.cuts(list(words)), words.values(), strict=True):
+                for s in segments:
                     seen[s] += n
             return pd.DataFrame({"segment": list(seen), "n": list(seen.values())})
 
         words: Counter = Counter()
         for pdf in it:
-            for t in pdf.iloc[:, 0]:
+            for t in pdf.pop(pdf.columns[0]):
                 words.update(v.words(t))
                 if len(words) >= COUNTED:
                     yield hand_on(words)
@@ -216,17 +226,16 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name: st
         v, have = Vocabulary(**fields.value), known()
         seen: dict[str, list[str]] = {}
         for pdf in it:
-            out = []
-            for r, t in zip(pdf["_row"].tolist(), pdf["t"], strict=True):
-                rare = set()
-                for w in set(v.words(t)):
-                    if w not in seen:
-                        seen[w] = [s for s in v.cuts(w) if s not in have]
-                    rare.update(seen[w])
-                out += [(r, s) for s in rare]
+            for at in range(0, len(pdf), DOCS):
+                part, out = pdf.iloc[at : at + DOCS], []
+                words = [{*v.words(t)} for t in part["t"]]
+                new = [w for w in set().union(*words) if w not in seen]
+                seen.update((w, [s for s in segments if s not in have]) for w, segments in zip(new, v.cuts(new), strict=True))
+                for r, own in zip(part["_row"].tolist(), words, strict=True):
+                    out += [(r, s) for s in {s for w in own for s in seen[w]}]
+                yield pd.DataFrame(out, columns=["_row", "segment"])
                 if len(seen) > COUNTED:
                     seen = {}
-            yield pd.DataFrame(out, columns=["_row", "segment"])
 
     rare = rows.select("_row", F.col(text).alias("t")).mapInPandas(missing, "_row long, segment string").join(coded.select("segment", "ids"), "segment")
     rare = rare.groupBy("_row").agg(F.collect_list(F.struct("segment", "ids")).alias("_rare"))
@@ -234,18 +243,17 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name: st
     @F.pandas_udf("array<int>")
     def assemble(texts: pd.Series, rares: pd.Series) -> pd.Series:
         v, have = Vocabulary(**fields.value), known()
-        out, words = [], {}
-        for t, more in zip(texts, rares, strict=True):
-            own = {r["segment"]: np.asarray(r["ids"], np.int32).tobytes() for r in more} if more is not None else {}
-            parts = []
-            for w in v.words(t):
-                x = words.get(w)
-                if x is None:
-                    x = words[w] = b"".join([have[s] if s in have else own[s] for s in v.cuts(w)])
-                parts.append(x)
-            out.append(np.frombuffer(b"".join(parts), np.int32))
-            if len(words) > COUNTED:
-                words = {}
+        out, seen = [], {}
+        for at in range(0, len(texts), DOCS):
+            words = [v.words(t) for t in texts.iloc[at : at + DOCS]]
+            new = [w for w in set().union(*words) if w not in seen]
+            seen.update(zip(new, v.cuts(new), strict=True))
+            for own, more in zip(words, rares.iloc[at : at + DOCS], strict=True):
+                rare = {r["segment"]: np.asarray(r["ids"], np.int32).tobytes() for r in more} if more is not None else {}
+                made = {w: b"".join([have[s] if s in have else rare[s] for s in seen[w]]) for w in {*own}}
+                out.append(np.frombuffer(b"".join([made[w] for w in own]), np.int32))
+            if len(seen) > COUNTED:
+                seen = {}
         return pd.Series(out)
 
     return rows.join(rare, "_row", "left").withColumn(name, assemble(F.col(text), F.col("_rare"))).drop("_row", "_rare")
