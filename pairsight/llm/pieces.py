@@ -28,7 +28,7 @@ from .common import shared_folder
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Segments whose ids every task holds in memory, at most: those that occur most often.
-TABLE_ROWS = 1 << 17
+TABLE_ROWS = 1 << 18
 #: Longer segments, which are no words, are folded by a task instead of as rows; with the same result.
 LONG = 96
 #: Different words that a task counts before it hands the counts on, and whose ids it remembers.
@@ -213,7 +213,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name: st
     ids = pa.concat_arrays(top["ids"].chunks) if top.num_rows else pa.array([], pa.list_(pa.int32()))
     flat, ends = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))
     fields, held = _fields(spark, vocabulary), spark.sparkContext.broadcast({"segments": top["segment"].to_pylist(), "ids": flat.tobytes(), "ends": ends.tolist(), "made": {}})
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    # equal texts lack the same segments; a row number would not be the same each time that docs are computed
+    rows = docs.withColumn("_row", F.substring(F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)), 1, 16))
 
     def known() -> dict[str, bytes]:
         h = held.value
@@ -224,36 +225,43 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name: st
 
     def missing(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v, have = Vocabulary(**fields.value), known()
-        seen: dict[str, list[str]] = {}
+        seen: set[str] = set()
+        lacks: dict[str, list[str]] = {}
         for pdf in it:
             for at in range(0, len(pdf), DOCS):
                 part, out = pdf.iloc[at : at + DOCS], []
                 words = [{*v.words(t)} for t in part["t"]]
-                new = [w for w in set().union(*words) if w not in seen]
-                seen.update((w, [s for s in segments if s not in have]) for w, segments in zip(new, v.cuts(new), strict=True))
+                new = [*set().union(*words).difference(seen)]
+                seen.update(new)
+                lacks.update((w, rare) for w, segments in zip(new, v.cuts(new), strict=True) if (rare := [s for s in segments if s not in have]))
                 for r, own in zip(part["_row"].tolist(), words, strict=True):
-                    out += [(r, s) for s in {s for w in own for s in seen[w]}]
+                    out += [(r, s) for s in {s for w in own if w in lacks for s in lacks[w]}]
                 yield pd.DataFrame(out, columns=["_row", "segment"])
                 if len(seen) > COUNTED:
-                    seen = {}
+                    seen, lacks = set(), {}
 
-    rare = rows.select("_row", F.col(text).alias("t")).mapInPandas(missing, "_row long, segment string").join(coded.select("segment", "ids"), "segment")
-    rare = rare.groupBy("_row").agg(F.collect_list(F.struct("segment", "ids")).alias("_rare"))
+    rare = rows.select("_row", F.col(text).alias("t")).mapInPandas(missing, "_row binary, segment string").distinct().join(coded.select("segment", "ids"), "segment")
+    # segment, ids, segment, ids: strings take a task far less memory than rows
+    rare = rare.groupBy("_row").agg(F.flatten(F.collect_list(F.array("segment", F.array_join("ids", ",")))).alias("_rare"))
 
     @F.pandas_udf("array<int>")
     def assemble(texts: pd.Series, rares: pd.Series) -> pd.Series:
         v, have = Vocabulary(**fields.value), known()
-        out, seen = [], {}
+        out, made, lacks = [], {}, {}
         for at in range(0, len(texts), DOCS):
             words = [v.words(t) for t in texts.iloc[at : at + DOCS]]
-            new = [w for w in set().union(*words) if w not in seen]
-            seen.update(zip(new, v.cuts(new), strict=True))
+            new = [w for w in set().union(*words) if w not in made and w not in lacks]
+            for w, segments in zip(new, v.cuts(new), strict=True):
+                if all(s in have for s in segments):
+                    made[w] = b"".join([have[s] for s in segments])
+                else:
+                    lacks[w] = segments
             for own, more in zip(words, rares.iloc[at : at + DOCS], strict=True):
-                rare = {r["segment"]: np.asarray(r["ids"], np.int32).tobytes() for r in more} if more is not None else {}
-                made = {w: b"".join([have[s] if s in have else rare[s] for s in seen[w]]) for w in {*own}}
-                out.append(np.frombuffer(b"".join([made[w] for w in own]), np.int32))
-            if len(seen) > COUNTED:
-                seen = {}
+                rare = {s: np.array(i.split(","), np.int32).tobytes() for s, i in zip(more[::2], more[1::2], strict=True)} if more is not None else {}
+                mine = {w: b"".join([have[s] if s in have else rare[s] for s in lacks[w]]) for w in {*own} if w in lacks} if rare else {}
+                out.append(np.frombuffer(b"".join([made[w] if w in made else mine[w] for w in own]), np.int32))
+            if len(made) + len(lacks) > COUNTED:
+                made, lacks = {}, {}
         return pd.Series(out)
 
     return rows.join(rare, "_row", "left").withColumn(name, assemble(F.col(text), F.col("_rare"))).drop("_row", "_rare")
