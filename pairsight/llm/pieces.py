@@ -22,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from .common import shared_folder
 
@@ -34,7 +35,7 @@ LONG = 96
 #: Different words that a task counts before it hands the counts on, and whose ids it remembers.
 COUNTED = 150_000
 #: Texts that a task takes at a time.
-DOCS = 500
+DOCS = 400
 
 
 @dataclass
@@ -130,27 +131,33 @@ def count_segments(docs: DataFrame, vocabulary: Vocabulary, text: str = "text")
     """segment and n, how often it occurs, for all different segments of the texts. Null texts have none."""
     fields = _fields(docs.sparkSession, vocabulary)
 
-    def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary(**fields.value)
 
-        def hand_on(words: Counter) -> pd.DataFrame:
+        def hand_on(words: Counter) -> pa.RecordBatch:
             seen: Counter = Counter()
             for segments, n in zip(v.cuts(list(words)), words.values(), strict=True):
                 for s in segments:
                     seen[s] += n
-            return pd.DataFrame({"segment": list(seen), "n": list(seen.values())})
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["segment", "n"])
 
         words: Counter = Counter()
-        for pdf in it:
-            for t in pdf.pop(pdf.columns[0]):
+        for part in _slices(it):
+            for t in part.column(0).to_pylist():
                 words.update(v.words(t))
-                if len(words) >= COUNTED:
-                    yield hand_on(words)
-                    words = Counter()
+            if len(words) >= COUNTED:
+                yield hand_on(words)
+                words = Counter()
         if words:
             yield hand_on(words)
 
-    return docs.select(text).mapInPandas(count, "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
+    return docs.select(text).mapInArrow(count, "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
+
+
+def _slices(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        for at in range(0, batch.num_rows, DOCS):
+            yield batch.slice(at, DOCS)
 
 
 def _fields(spark: SparkSession, v: Vocabulary):
@@ -223,48 +230,52 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name: st
             h["made"].update(zip(h["segments"], [h["ids"][a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
         return h["made"]
 
-    def missing(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def missing(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, have = Vocabulary(**fields.value), known()
         seen: set[str] = set()
         lacks: dict[str, list[str]] = {}
-        for pdf in it:
-            for at in range(0, len(pdf), DOCS):
-                part, out = pdf.iloc[at : at + DOCS], []
-                words = [{*v.words(t)} for t in part["t"]]
-                new = [*set().union(*words).difference(seen)]
-                seen.update(new)
-                lacks.update((w, rare) for w, segments in zip(new, v.cuts(new), strict=True) if (rare := [s for s in segments if s not in have]))
-                for r, own in zip(part["_row"].tolist(), words, strict=True):
-                    out += [(r, s) for s in {s for w in own if w in lacks for s in lacks[w]}]
-                yield pd.DataFrame(out, columns=["_row", "segment"])
-                if len(seen) > COUNTED:
-                    seen, lacks = set(), {}
-
-    rare = rows.select("_row", F.col(text).alias("t")).mapInPandas(missing, "_row binary, segment string").distinct().join(coded.select("segment", "ids"), "segment")
+        for part in _slices(it):
+            words = [{*v.words(t)} for t in part.column("t").to_pylist()]
+            new = [*set().union(*words).difference(seen)]
+            seen.update(new)
+            lacks.update((w, rare) for w, segments in zip(new, v.cuts(new), strict=True) if (rare := [s for s in segments if s not in have]))
+            found = [[*{s for w in own if w in lacks for s in lacks[w]}] for own in words]
+            row = part.column("_row").take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found])))
+            yield pa.RecordBatch.from_arrays([row, pa.array([s for x in found for s in x], pa.string())], names=["_row", "segment"])
+            if len(seen) > COUNTED:
+                seen, lacks = set(), {}
+
+    rare = rows.select("_row", F.col(text).alias("t")).mapInArrow(missing, "_row binary, segment string").distinct().join(coded.select("segment", "ids"), "segment")
     # segment, ids, segment, ids: strings take a task far less memory than rows
     rare = rare.groupBy("_row").agg(F.flatten(F.collect_list(F.array("segment", F.array_join("ids", ",")))).alias("_rare"))
 
-    @F.pandas_udf("array<int>")
-    def assemble(texts: pd.Series, rares: pd.Series) -> pd.Series:
+    names = docs.columns
+
+    def assemble(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, have = Vocabulary(**fields.value), known()
-        out, made, lacks = [], {}, {}
-        for at in range(0, len(texts), DOCS):
-            words = [v.words(t) for t in texts.iloc[at : at + DOCS]]
+        made: dict[str, bytes] = {}
+        lacks: dict[str, list[str]] = {}
+        for part in _slices(it):
+            words = [v.words(t) for t in part.column(text).to_pylist()]
             new = [w for w in set().union(*words) if w not in made and w not in lacks]
             for w, segments in zip(new, v.cuts(new), strict=True):
                 if all(s in have for s in segments):
                     made[w] = b"".join([have[s] for s in segments])
                 else:
                     lacks[w] = segments
-            for own, more in zip(words, rares.iloc[at : at + DOCS], strict=True):
+            out = []
+            for own, more in zip(words, part.column("_rare").to_pylist(), strict=True):
                 rare = {s: np.array(i.split(","), np.int32).tobytes() for s, i in zip(more[::2], more[1::2], strict=True)} if more is not None else {}
                 mine = {w: b"".join([have[s] if s in have else rare[s] for s in lacks[w]]) for w in {*own} if w in lacks} if rare else {}
-                out.append(np.frombuffer(b"".join([made[w] if w in made else mine[w] for w in own]), np.int32))
+                out.append(b"".join([made[w] if w in made else mine[w] for w in own]))
+            ends = np.cumsum([0, *(len(x) // 4 for x in out)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out), np.int32)))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), ids], names=[*names, name])
             if len(made) + len(lacks) > COUNTED:
                 made, lacks = {}, {}
-        return pd.Series(out)
 
-    return rows.join(rare, "_row", "left").withColumn(name, assemble(F.col(text), F.col("_rare"))).drop("_row", "_rare")
+    schema = StructType([*docs.schema.fields, StructField(name, ArrayType(IntegerType()))])
+    return rows.join(rare, "_row", "left").select(*names, "_rare").mapInArrow(assemble, schema)
 
 
 def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", name: str = "decoded") -> DataFrame:
