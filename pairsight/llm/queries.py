@@ -109,3 +109,20 @@ win AS (SELECT doc_id, license, t, c, k * c AS pos, count(DISTINCT s) / m AS sha
 ok AS (SELECT doc_id, license, c, pos, max(share) AS share FROM win WHERE share >= 0.8 GROUP BY doc_id, license, c, pos)
 SELECT doc_id, license, max(share) AS containment, min(pos) FILTER (share = best) AS first_word, count(*) AS n_windows
 FROM (SELECT *, max(share) OVER (PARTITION BY doc_id, license) AS best FROM ok) GROUP BY doc_id, license"""
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w"
+
+ORACLE_SQL["op2_decontaminate"] = f"""
+WITH dw AS (SELECT doc_id, {_WORDS} FROM documents),
+bw AS (SELECT item_id, w, least(13, len(w)) AS n FROM (SELECT item_id, {_WORDS} FROM benchmark) WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i+n-1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM bw)),
+lens AS (SELECT DISTINCT n FROM win),
+dg AS (SELECT doc_id, n, i, array_to_string(w[i:i+n-1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw JOIN lens ON len(w) >= n)),
+hit AS (SELECT doc_id, i, n, item_id FROM dg JOIN win USING (n, g)),
+words AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
