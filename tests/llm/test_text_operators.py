@@ -119,6 +119,21 @@ def test_toxicity_on_held_out_rows(spark, docs, empty):
     assert toxicity.toxicity(empty, labels).count() == 0
 
 
+def test_toxicity_tells_all_words_apart(spark):
+    texts, labels = labelled(spark, lambda i: "nasty")
+    low = lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << 20) - 1))
+    twin = spark.range(20_000_000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("w")).where(low(F.col("w")) == low(F.lit("nasty"))).first().w
+    cases = [(0, f"alpha {twin} beta"), (1, "alpha unseen beta"), (2, "alpha nasty beta"), (3, None), (4, f"alpha {twin} beta"), (5, "alpha beta")]
+    new = spark.createDataFrame(cases, "doc_id long, text string")
+    scores = []
+    for most in (1 << 20, 3, 0):
+        model = toxicity.train_toxicity(texts, labels, most=most)
+        assert (model.rest is None) == (most > 3) and len(model.words) <= most
+        scores.append([r.score for r in toxicity.score_toxicity(new, model).orderBy("doc_id").collect()])
+    assert scores[0] == pytest.approx(scores[1], abs=1e-12) and scores[0] == pytest.approx(scores[2], abs=1e-12)
+    assert scores[0][0] == scores[0][1] == scores[0][4] < 0.5 < scores[0][2]
+
+
 def test_quality_on_held_out_rows(spark, docs, empty):
     texts, labels = labelled(spark, lambda i: "BUY!! NOW!! " * 20)
     assert accuracy(quality.quality(texts, labels), labels, "quality") > 0.97
