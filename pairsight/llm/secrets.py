@@ -1,13 +1,19 @@
 """Secret scans: base patterns, and strings that zstandard can't compress where a secret is likely.
 
-A candidate is a long run of key characters within reach of a word such as ``secret`` or ``auth``. Its novelty is
-what it adds to the compressed size of the text around it, with a dictionary of common identifiers as a primer: a
-word or an identifier is mostly found in dictionary or context, a random string costs nearly its own entropy.
+A candidate is a run of key characters, of any length from 16 on, in a sensitive place: a word such as ``secret`` or
+``auth`` is within reach before or after it, it lies in a private PEM block, or it adjoins a candidate in such a
+place, as the lines of a key do. Its novelty is what it adds to the compressed size of the text around it, with a
+dictionary of common identifiers as a primer: a word or an identifier is mostly found in dictionary or context, a
+random string costs nearly its own entropy. A long run is measured in blocks that cover it. A run of letters of one
+case can't cost much more than a new word does there, so what its pairs of letters cost against dictionary and
+surroundings decides as well.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,17 +27,28 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_VALUE = 12
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,200}(?![A-Za-z0-9+/_=-])")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
 SENSITIVE = re.compile(r"secret|token|passw|pwd|credential|private|auth|bearer|signature|api.?key|access.?key|session", re.ASCII | re.IGNORECASE)
 SENSITIVE_WORDS = ("secret", "token", "passw", "pwd", "credential", "private", "auth", "bearer", "signature", "api", "access", "session")
-#: Characters before a candidate in which a sensitive word makes its context sensitive.
+#: Characters before and after a candidate in which a sensitive word makes its context sensitive.
 REACH = 60
+#: What may stand between candidates that adjoin each other: quotes, joints and one line end.
+_JOINT = r"""(?:[\x20\t"',;>#|*.+\\]|\\[nr]){0,80}"""
+ADJOINING = re.compile(rf"{_JOINT}(?:\r?\n)?{_JOINT}")
+PEM = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY[A-Z ]{0,20}-----")
+#: The short last line of a key.
+TAIL = re.compile(rf"""{_JOINT}(?:\r?\n|\\n){_JOINT}([A-Za-z0-9+/_=-]{{1,15}})(?:(?<==)(?=["',;\x20\t]*(?:[\r\n]|\Z))|(?=["',;\s+\\nr]{{0,16}}-----END))""")
+#: Characters of the blocks in which a longer run is measured, at most.
+BLOCK = 200
 #: Characters on either side of a candidate that it is compressed against.
 AROUND = 800
 #: Marginal bytes per character from which a candidate is novel. Identifiers stay well below; so do words that share syllables with the text around them.
 NOVELTY = 0.8
-#: A word, capitalised or not, is no key, however new it is.
-PLAIN_WORD = re.compile(r"[A-Z]?[a-z+/_=-]+|[A-Z+/_=-]+")
+#: The same for a candidate amid others of its kind, which pay for its alphabet: of 10,000 random base64 lines amid such lines the least had 0.672.
+AMID = 0.65
+#: Runs with the letters of one case only, the first may be a capital. Random ones cost less: bytes per character, and bits per letter from pairs of letters.
+ONE_CASE = re.compile(r"[A-Z]?[a-z+/_=-]+|[A-Z+/_=-]+")
+ONE_CASE_NOVELTY, ONE_CASE_BITS = 0.6, 4.8
 #: Identifiers and words common around secrets in code and configuration.
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key secret_key client_id client_secret private_key public_key "
@@ -58,6 +75,59 @@ def novelty(around: str, candidate: str) -> float:
     return (len(size(around + candidate.encode())) - len(size(around))) / len(candidate)
 
 
+def letter_bits(around: str, candidate: str) -> float:
+    """Bits per letter that a candidate's pairs of letters cost, after those of the identifiers and the text around it."""
+    plain = lambda t: re.sub("[^a-z]+", " ", t.lower())
+    known, own = plain(f"{IDENTIFIERS} {around}"), f" {plain(candidate).strip()} "
+    pairs, firsts = Counter(zip(known, known[1:], strict=False)), Counter(known)
+    cost = sum(-math.log2((pairs[a, b] + 0.5) / (firsts[a] + 13.5)) for a, b in zip(own, own[1:], strict=False) if b != " ")
+    return cost / max(1, sum(c != " " for c in own))
+
+
+def is_novel(text: str, start: int, end: int, least: float) -> bool:
+    """Whether some block of a run is novel; blocks are of about the same length and cover the run."""
+    n = -(-(end - start) // BLOCK)
+    cuts = [start + (end - start) * i // n for i in range(n + 1)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        around, block = text[b : b + AROUND] + text[max(0, a - AROUND) : a], text[a:b]
+        if ONE_CASE.fullmatch(block):
+            if novelty(around, block) >= ONE_CASE_NOVELTY and letter_bits(around, block) >= ONE_CASE_BITS:
+                return True
+        elif novelty(around, block) >= (least if n == 1 else AMID):
+            return True
+    return False
+
+
+def _private_blocks(text: str) -> list[tuple[int, int]]:
+    out, at = [], 0
+    while (m := PEM.search(text, at)) and (end := text.find("-----END", m.end())) >= 0:
+        out.append((m.end(), end))
+        at = end
+    return out
+
+
+def _candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, bool, bool]]:
+    """start, end, whether a base kind overlaps, and whether it adjoins others, of all candidates in sensitive places."""
+    blocks, at, block, runs = _private_blocks(text), 0, 0, []
+    for m in CANDIDATE.finditer(text):
+        start, end = m.span()
+        while at < len(base) and base[at][1] <= start:
+            at += 1
+        over = [k for s, e, k in base[at : at + 8] if s < end and e > start]
+        while block < len(blocks) and blocks[block][1] <= start:
+            block += 1
+        inside = block < len(blocks) and blocks[block][0] <= start
+        near = inside or "assign" in over or bool(SENSITIVE.search(text, max(0, start - REACH), start) or SENSITIVE.search(text, end, end + REACH))
+        joined = bool(runs) and ADJOINING.fullmatch(text, runs[-1][1], start) is not None
+        runs.append([start, end, bool(over), inside, near, joined])
+    for i in range(1, len(runs)):
+        runs[i][4] |= runs[i][5] and runs[i - 1][4]
+    for i in range(len(runs) - 1, 0, -1):
+        runs[i - 1][4] |= runs[i][5] and runs[i][4]
+    after = [*(r[5] for r in runs[1:]), False][: len(runs)]
+    return [(s, e, over, inside or joined or next_joined) for (s, e, over, inside, near, joined), next_joined in zip(runs, after, strict=True) if near]
+
+
 def find_secrets(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all secrets in a text, in code points, by start and then kind. Base kinds first: they are whole; novel ones are those that overlap none."""
     found = []
@@ -68,17 +138,12 @@ def find_secrets(text: str) -> list[tuple[int, int, str]]:
         found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text)]
     found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     if any(w in low for w in SENSITIVE_WORDS):
-        base = sorted(found)
-        at = 0
-        for m in CANDIDATE.finditer(text):
-            while at < len(base) and base[at][1] <= m.start():
-                at += 1
-            if at < len(base) and any(s < m.end() and e > m.start() for s, e, _ in base[at : at + 8]):
-                continue
-            if PLAIN_WORD.fullmatch(m[0]) or not SENSITIVE.search(text[max(0, m.start() - REACH) : m.start()]):
-                continue
-            if novelty(text[m.end() : m.end() + AROUND] + text[max(0, m.start() - AROUND) : m.start()], m[0]) >= NOVELTY:
-                found.append((m.start(), m.end(), "novel"))
+        for start, end, over, amid in _candidates(text, sorted(found)):
+            if over or is_novel(text, start, end, AMID if amid else NOVELTY):
+                if not over:
+                    found.append((start, end, "novel"))
+                if amid and (tail := TAIL.match(text, end)):
+                    found.append((*tail.span(1), "novel"))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
