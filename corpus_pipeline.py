@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairsight.llm.common import shared_folder, table
@@ -28,19 +28,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score_toxicity(docs.select(COLUMNS), model, name="_score").where(F.col("_score") < TOXIC).select(COLUMNS)
 
 
+def text_key() -> Column:
+    """What tells texts apart whatever their ids; null and empty texts are the same."""
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id; of rows that repeat it, one."""
+    """Of each group of near-duplicates the row with the smallest id, null ids last, and of equal ids one text; of rows that repeat both, one."""
     docs = docs.select(COLUMNS)
-    first = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["_first"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), text_key().alias("text"))
+    first = near_duplicates(docs.select(row.alias("doc_id"), "text")).where(F.col("doc_id") == F.col("component_id"))
+    first = first.select(F.col("doc_id.id").alias("_first"), F.col("doc_id.text").alias("_first_text")).distinct()
+    docs = docs.withColumn("_text_key", text_key())
+    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["_first"]) & (docs["_text_key"] == first["_first_text"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_text_key"]).select(COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark does not contaminate."""
-    docs = docs.select(COLUMNS)
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_gone"]), "left_anti")
+    """Documents that the benchmark does not contaminate. A text decides, whatever ids its rows have."""
+    docs = docs.select(COLUMNS).withColumn("_text_key", text_key())
+    found = decontaminate(docs.select("_text_key", "text"), table(spark, sf_dir, "benchmark"), doc_id="_text_key").where("contaminated").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(found, docs["_text_key"] == found["_gone"], "left_anti").select(COLUMNS)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,3 +55,19 @@ def test_stages_keep_what_brute_force_keeps(spark, folder):
 def test_run_gives_the_last_stage(spark, folder):
     path, _ = folder
     assert corpus_pipeline.run(spark, str(path)).count() == spark.read.parquet(f"{path}/tokens").count()
+
+
+def test_rows_and_not_ids_are_dropped(spark, tmp_path):
+    item = prose(77, 30)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    a, b, c, d, e = (prose(600 + i, 60) for i in range(5))
+    hit = prose(700, 20) + " " + item
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (8, c), (None, c), (9, e), (None, e), (None, hit), (9, hit), (3, None), (3, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = lambda df: sorted(((r.doc_id, r.text or "") for r in df.collect()), key=str)
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert out.columns == corpus_pipeline.COLUMNS
+    assert got(out) == sorted([(None, a), (None, b), (7, c), (7, d), (9, e), (9, hit), (3, "")], key=str)
+    out = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert out.columns == corpus_pipeline.COLUMNS
+    assert got(out) == sorted([(i, t or "") for i, t in rows if t != hit], key=str)
