@@ -1,18 +1,22 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Text is cut where no piece of the vocabulary can cross, so the best segmentation of a text is that of its segments end to
-end. All different segments of the corpus are looked at once: their substrings, no longer than the longest piece, are
+Text is cut where no piece of the vocabulary can cross, so the best segmentation of a text is that of its segments end
+to end. All different segments of the corpus are looked at once: their substrings, no longer than the longest piece, are
 exploded and joined to the piece table; the matches are the edges of a segment's lattice, grouped by segment; and a
 higher-order fold keeps the best score for each place and the edge that reached it, as the unigram algorithm does.
-A character without a piece of its own is an edge worth less than any piece, and is written as its bytes.
+A character without a piece of its own is an edge worth less than any piece, and is written as its bytes. A segment may
+have any length: its substrings are taken from stretches that overlap by a piece, and the fold grows in blocks.
 
-Texts take the ids of their segments from a bounded table of the most frequent ones; what isn't in it is joined.
+A segment is known by its 64-bit XXH64 together with its CRC-32. Texts take the ids of frequent segments from flat arrays of
+bounded size; what isn't in them is joined, by text rows that are compressed on their way through the shuffle.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,20 +26,24 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, AtomicType, BinaryType, IntegerType, StructField, StructType
 
 from .common import shared_folder
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Segments whose ids every task holds in memory, at most: those that occur most often.
-TABLE_ROWS = 1 << 18
-#: Longer segments, which are no words, are folded by a task instead of as rows; with the same result.
-LONG = 96
+TABLE_ROWS = 1 << 19
+#: Counts from which segments aren't told apart when those to hold are chosen.
+OFTEN = 1 << 16
+#: Characters of the stretches that a segment's substrings are taken from.
+STRETCH = 64
+#: Elements of the blocks in which a fold's result grows.
+FOLD_BLOCK = 128
 #: Different words that a task counts before it hands the counts on, and whose ids it remembers.
-COUNTED = 150_000
-#: Texts that a task takes at a time.
-DOCS = 400
+COUNTED = 250_000
+#: Texts, and bytes of them, that a task takes at a time.
+DOCS, DOC_BYTES = 400, 2_000_000
 
 
 @dataclass
@@ -51,60 +59,58 @@ class Vocabulary:
     chars: dict[str, int]
     joined: np.ndarray
 
+    def __post_init__(self) -> None:
+        self.cutter = Cutter(self.chars, self.joined, self.prefix)
+
+
+class Cutter:
+    """Cuts texts into words and words into segments, at places that no piece crosses."""
+
+    def __init__(self, chars: dict[str, int], joined: np.ndarray, prefix: bool) -> None:
+        self.joined, self.prefix = joined, prefix
+        self.place = np.zeros(max(map(ord, chars), default=0) + 2, np.int32)
+        for c, k in chars.items():
+            self.place[ord(c)] = k
+        space, line = chars.get(SPACE, 0), chars.get("\n", 0)
+        #: Pieces have spaces at their start only, and every text starts with one; line ends are apart from what is before them.
+        self.by_word = prefix and int(joined[:, space].sum()) == int(joined[space, space]) and not joined[:, line].any()
+
     def words(self, text: str | None) -> list[str]:
-        """A text in parts that are cut by themselves: words with the spaces before them, where no piece goes on over a space."""
-        s = self.prepared(text)
-        return re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", s) if self.by_word else [s] if s else []
+        """The words of a text as keys: a word that starts with a line end is its own key, any other starts with a space that its key leaves out."""
+        if not text:
+            return []
+        if not self.by_word:
+            return [self.prepared(text)]
+        if SPACE in text:
+            text = text.replace(SPACE, " ")
+        if "  " in text or text[0] == " ":
+            found = re.findall(f"{SPACE}+(?=\n)|{SPACE}*[^{SPACE}\n]+|\n[^{SPACE}\n]*|{SPACE}+", self.prepared(text))
+            return [w if w[0] == "\n" else w[1:] for w in found]
+        return text.replace("\n", " \n").split(" ")
+
+    def prepared(self, text: str) -> str:
+        return (SPACE if self.prefix and text else "") + text.replace(" ", SPACE)
 
-    def cuts(self, words: list[str]) -> list[list[str]]:
+    def segments(self, keys: list[str]) -> list[list[str]]:
         """The segments of each word. They don't depend on what stands around it, so all words are looked at end to end."""
+        words = [k if k[:1] == "\n" else SPACE + k for k in keys] if self.by_word else keys
         if not words:
             return []
         s = "".join(words)
         points = np.frombuffer(s.encode("utf-32-le", errors="surrogatepass"), np.uint32)
         places = self.place[np.minimum(points, len(self.place) - 1)]
-        apart = ~self.joined[places[:-1], places[1:]]
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-        apart[ends[:-1] - 1] = True
-        at = np.append(np.flatnonzero(apart) + 1, len(s))
-        cut = at.tolist()
-        parts = [s[a:b] for a, b in zip([0, *cut], cut, strict=False)]
-        last = (np.searchsorted(at, ends) + 1).tolist()
-        return [parts[a:b] for a, b in zip([0, *last], last, strict=False)]
-
-    def __post_init__(self) -> None:
-        top = max(map(ord, self.chars), default=0)
-        self.place = np.zeros(top + 2, np.int32)
-        for c, k in self.chars.items():
-            self.place[ord(c)] = k
-        space = self.chars.get(SPACE, 0)
-        self.by_word = int(self.joined[:, space].sum()) == int(self.joined[space, space])
-
-    def prepared(self, text: str | None) -> str:
-        text = text or ""
-        return (SPACE if self.prefix and text else "") + text.replace(" ", SPACE)
-
-    def fold(self, s: str) -> list[int]:
-        """The ids of one segment: best scores by place, the longer last piece where two are equal."""
-        best, back = [0.0], [(0, 0)]
-        for end in range(1, len(s) + 1):
-            top, edge = None, (end - 1, None)
-            for start in range(max(0, end - self.longest), end):
-                known = self.pieces.get(s[start:end])
-                if known is None and end - start > 1:
-                    continue
-                score = best[start] + (known[1] if known else self.unknown)
-                if top is None or score > top:
-                    top, edge = score, (start, known[0] if known else None)
-            best.append(top)
-            back.append(edge)
-        out: list[int] = []
-        end = len(s)
-        while end:
-            start, piece = back[end]
-            out += [piece] if piece is not None else [self.bytes[b] for b in reversed(s[start:end].encode(errors="surrogatepass"))]
-            end = start
-        return out[::-1]
+        apart = ~self.joined[places[:-1], places[1:]]
+        apart[ends[:-1] - 1] = False
+        inner = np.flatnonzero(apart) + 1
+        out = [[w] for w in words]
+        owner = np.searchsorted(ends, inner, "right")
+        first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(inner) else inner
+        for i, cuts in zip(owner[first].tolist(), np.split(inner, first[1:]) if len(inner) else [], strict=True):
+            w, start = words[i], int(ends[i]) - len(words[i])
+            at = [0, *(cuts - start).tolist(), len(w)]
+            out[i] = [w[a:b] for a, b in zip(at, at[1:], strict=False)]
+        return out
 
 
 def load_vocabulary(path: str = MODEL) -> Vocabulary:
@@ -127,169 +133,290 @@ def load_vocabulary(path: str = MODEL) -> Vocabulary:
     return Vocabulary(pieces, values, model.normalizer_spec.add_dummy_prefix, max(map(len, pieces)), min(s for _, s in pieces.values()) - 10, chars, joined)
 
 
+def _cutter(spark: SparkSession, v: Vocabulary):
+    return spark.sparkContext.broadcast((v.chars, v.joined, v.prefix))
+
+
+def _slices(it: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
+    """Batches cut to DOCS rows and about DOC_BYTES bytes of a column."""
+    for batch in it:
+        sizes = np.nan_to_num(pa.compute.binary_length(batch.column(name)).to_numpy(zero_copy_only=False).astype(np.float64))
+        share = np.cumsum(sizes / DOC_BYTES + 1 / DOCS).astype(np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def count_segments(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
-    """segment and n, how often it occurs, for all different segments of the texts. Null texts have none."""
-    fields = _fields(docs.sparkSession, vocabulary)
+    """key, whole and n, how often it occurs, for all different segments of the texts. Null and empty texts have none.
 
-    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(**fields.value)
+    A segment of up to STRETCH characters is its own key and whole is null; a longer one has a digest as its key.
+    """
+    shared = _cutter(docs.sparkSession, vocabulary)
 
-        def hand_on(words: Counter) -> pa.RecordBatch:
-            seen: Counter = Counter()
-            for segments, n in zip(v.cuts(list(words)), words.values(), strict=True):
-                for s in segments:
-                    seen[s] += n
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["segment", "n"])
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = Cutter(*shared.value)
+
+        def hand_on(words: Counter) -> Iterator[pa.RecordBatch]:
+            keys, seen = list(words), Counter()
+            for at in range(0, len(keys), 20_000):
+                part = keys[at : at + 20_000]
+                for k, segments in zip(part, cutter.segments(part), strict=True):
+                    n = words[k]
+                    for s in segments:
+                        seen[s] += n
+            names = sorted(seen)  # neighbours share their beginnings, which shuffles smaller
+            for at in range(0, len(names), 20_000):
+                part = names[at : at + 20_000]
+                keys = [s if len(s) <= STRETCH else f"{SPACE}{SPACE}\n{hashlib.sha256(s.encode(errors='surrogatepass')).hexdigest()}" for s in part]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([s if len(s) > STRETCH else None for s in part], pa.string()), pa.array([seen[s] for s in part], pa.int32())], names=["key", "whole", "n"])
 
         words: Counter = Counter()
-        for part in _slices(it):
+        for part in _slices(it, "text"):
             for t in part.column(0).to_pylist():
-                words.update(v.words(t))
+                words.update(cutter.words(t))
             if len(words) >= COUNTED:
-                yield hand_on(words)
+                yield from hand_on(words)
                 words = Counter()
         if words:
-            yield hand_on(words)
+            yield from hand_on(words)
 
-    return docs.select(text).mapInArrow(count, "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.col(text).alias("text")).mapInArrow(count, "key string, whole string, n int")
+    return rows.repartition("key").groupBy("key", "whole").agg(F.sum("n").alias("n"))
 
 
-def _slices(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in it:
-        for at in range(0, batch.num_rows, DOCS):
-            yield batch.slice(at, DOCS)
+#: An edge is one long: where it ends, LONG_CHARS less its length, so that longer ones come first, and its piece.
+END_BITS, LONG_CHARS, CHAR_BITS = 34, 256, 26
+#: Bits of a CRC-32 that are kept, so that it is a positive int.
+CRC_MASK = 0x7FFFFFFF
+#: Set in the piece of an edge that is an unknown character, below it its code point.
+UNKNOWN = 1 << 25
 
 
-def _fields(spark: SparkSession, v: Vocabulary):
-    return spark.sparkContext.broadcast({k: x for k, x in vars(v).items() if k not in ("place", "by_word")})
+def _shift(x: Column, bits: int) -> Column:
+    return F.call_function("shiftleft", x.cast("long"), F.lit(bits))
 
 
-def encode_segments(segments: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """segments, each once, with ids. By the lattice, or for what is longer than LONG by the same fold in a task."""
+def lattice(segments: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """key, n, segment and sorted edges of each segment. segments: as count_segments gives them."""
     spark = segments.sparkSession
+    if vocabulary.longest >= LONG_CHARS or max(i for i, _ in vocabulary.pieces.values()) >= UNKNOWN:
+        raise ValueError("pieces are too long or too many to pack an edge")
     table = spark.createDataFrame(pd.DataFrame([(p, i, s) for p, (i, s) in vocabulary.pieces.items()], columns=["piece", "id", "score"]), "piece string, id int, score double")
-    size = F.length("segment")
-    # what is too long for the lattice goes along as one character, so the segments are counted and grouped once
-    starts = segments.select("segment", "n", F.explode(F.sequence(F.lit(0), F.when(size <= LONG, size - 1).otherwise(0))).alias("start"))
-    parts = starts.select("segment", "n", "start", F.explode(F.sequence(F.lit(1), F.when(size <= LONG, F.least(F.lit(vocabulary.longest), size - F.col("start"))).otherwise(1))).alias("chars"))
-    parts = parts.select("segment", "n", "start", "chars", F.substring("segment", F.col("start") + 1, F.col("chars")).alias("piece"))
-    edges = parts.join(F.broadcast(table), "piece", "left").where("id IS NOT NULL OR chars = 1")
-    edge = F.struct((F.col("start") + F.col("chars")).alias("end"), "start", F.coalesce("score", F.lit(vocabulary.unknown)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
-    lattice = edges.groupBy("segment").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(edge)).alias("edges"))
+    keyed = segments.select("key", "n", F.coalesce("whole", "key").alias("segment")).where("segment <> ''")
+    stretch = F.transform(F.sequence(F.lit(0), F.length("segment") - 1, F.lit(STRETCH)), lambda k: F.struct(k.alias("at"), F.substring(F.col("segment"), k + 1, F.lit(STRETCH + vocabulary.longest - 1)).alias("part"), F.when(k == 0, F.col("segment")).alias("first")))
+    parts = keyed.select("key", "n", F.inline(stretch)).withColumn("chars_in", F.length("part"))
+    starts = parts.select("*", F.explode(F.sequence(F.lit(0), F.least(F.lit(STRETCH), F.col("chars_in")) - 1)).alias("in_part"))
+    subs = starts.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), F.col("chars_in") - F.col("in_part")))).alias("chars"))
+    start = F.col("at") + F.col("in_part")
+    subs = subs.select("key", "n", start.alias("start"), "chars", F.substring("part", F.col("in_part") + 1, F.col("chars")).alias("piece"), F.when((start == 0) & (F.col("chars") == 1), F.col("first")).alias("segment"))
+    edges = subs.join(F.broadcast(table), "piece", "left").where("id IS NOT NULL OR chars = 1")
+    known = F.coalesce("id", F.lit(UNKNOWN).bitwiseOR(F.ascii("piece"))).cast("long")
+    packed = _shift(F.col("start") + F.col("chars"), END_BITS).bitwiseOR(_shift(F.lit(LONG_CHARS) - F.col("chars"), CHAR_BITS)).bitwiseOR(known)
+    edge = F.struct(packed.alias("e"), F.coalesce("score", F.lit(vocabulary.unknown)).alias("score"))
+    return edges.groupBy("key").agg(F.max("n").alias("n"), F.max("segment").alias("segment"), F.sort_array(F.collect_list(edge)).alias("edges"))
+
+
+def _end(e: Column) -> Column:
+    return F.shiftright(e, END_BITS).cast("int")
+
+
+def _chars(e: Column) -> Column:
+    return F.lit(LONG_CHARS) - F.shiftright(e, CHAR_BITS).bitwiseAND(F.lit(LONG_CHARS - 1)).cast("int")
+
+
+def best_edges(edges: Column, longest: int) -> Column:
+    """The edge that reaches each place of a segment with the best sum of scores, the longer one where sums are equal."""
+
+    def step(acc: Column, x: Column) -> Column:
+        e = x["e"]
+        best, size = acc["best"], F.size(acc["best"])
+        same = _end(e) == acc["end"]
+        # scores up to the place before ``end`` are in ``best``; that of ``end`` itself is still ``top``
+        score = x["score"] + F.when(same, F.get(best, size - _chars(e))).when(_chars(e) == 1, acc["top"]).otherwise(F.get(best, size + 1 - _chars(e)))
+        full = F.size(acc["block"]) >= FOLD_BLOCK
+        ahead = F.struct(
+            F.concat(F.when(size >= 2 * longest, F.slice(best, size - longest + 1, F.lit(longest))).otherwise(best), F.array(acc["top"])).alias("best"),
+            F.when(full, F.concat(acc["blocks"], F.array(acc["block"]))).otherwise(acc["blocks"]).alias("blocks"),
+            F.when(full, F.array(acc["via"])).otherwise(F.concat(acc["block"], F.array(acc["via"]))).alias("block"),
+            score.alias("top"), e.alias("via"), _end(e).alias("end"),
+        )
+        better = F.struct(best.alias("best"), acc["blocks"].alias("blocks"), acc["block"].alias("block"), score.alias("top"), e.alias("via"), acc["end"].alias("end"))
+        return F.when(~same, ahead).when((acc["via"] == 0) | (score > acc["top"]), better).otherwise(acc)
+
+    first = F.expr("named_struct('best', array(0D), 'blocks', cast(array() AS array<array<bigint>>), 'block', cast(array() AS array<bigint>), 'top', 0D, 'via', 0L, 'end', 1)")
+    return F.aggregate(edges, first, step, lambda acc: F.concat(F.flatten(acc["blocks"]), acc["block"], F.array(acc["via"])))
+
+
+def path_ids(back: Column, codes: list[int]) -> Column:
+    """The ids along the best path, walked from its end; an unknown character is the ids of its UTF-8 bytes."""
+    code = F.array(*map(F.lit, codes))
+
+    def utf8(c: Column) -> Column:
+        more = lambda shift: F.shiftright(c, shift).bitwiseAND(F.lit(63)).bitwiseOR(F.lit(128))
+        head = lambda shift, mark: F.shiftright(c, shift).bitwiseOR(F.lit(mark))
+        return F.when(c < 0x80, F.array(c)).when(c < 0x800, F.array(more(0), head(6, 192))).when(c < 0x10000, F.array(more(0), more(6), head(12, 224))).otherwise(F.array(more(0), more(6), more(12), head(18, 240)))
 
     def step(acc: Column, e: Column) -> Column:
-        score = F.get(acc["best"], e["start"]) + e["score"]
-        via = F.struct(e["start"].alias("start"), e["id"].alias("id"))
-        keep = lambda a, x: F.concat(F.slice(a, F.lit(1), e["end"]), F.array(x))
-        better = (F.size(acc["best"]) == e["end"]) | (score > F.element_at(acc["best"], -1))
-        return F.when(better, F.struct(keep(acc["best"], score).alias("best"), keep(acc["back"], via).alias("back"))).otherwise(acc)
-
-    first = F.expr("named_struct('best', array(0D), 'back', array(named_struct('start', 0, 'id', -1)))")
-    back = F.aggregate("edges", first, step, lambda acc: acc["back"])
-    code = F.array(*map(F.lit, vocabulary.bytes))
-    byte = lambda x, i: F.conv(F.hex(F.substring(x, i, F.lit(1))), 16, 10).cast("int")
-    as_bytes = lambda c: F.transform(F.sequence(F.lit(1), F.octet_length(c)), lambda i: F.get(code, byte(F.encode(c, "UTF-8"), i)))
-    ids = lambda at, b: F.when(b["id"] >= 0, F.array(b["id"])).otherwise(as_bytes(F.substring(F.col("segment"), b["start"] + 1, at - b["start"])))
-    path = F.aggregate(
-        F.reverse(F.sequence(F.lit(1), F.size("back") - 1)),
-        F.struct((F.size("back") - 1).alias("at"), F.array().cast("array<int>").alias("ids")),
-        lambda acc, i: F.when(acc["at"] == i, F.struct(F.get(F.col("back"), i)["start"].alias("at"), F.concat(ids(i, F.get(F.col("back"), i)), acc["ids"]).alias("ids"))).otherwise(acc),
-        lambda acc: acc["ids"],
-    )
-    short = lattice.select("segment", "n", back.alias("back")).select("segment", "n", path.alias("ids"))
-    fields = _fields(spark, vocabulary)
-
-    @F.pandas_udf("array<int>")
-    def fold(s: pd.Series) -> pd.Series:
-        v = Vocabulary(**fields.value)
-        return s.map(lambda t: None if t is None else v.fold(t))
-
-    return short.withColumn("ids", F.when(size <= LONG, F.col("ids")).otherwise(fold(F.when(size > LONG, F.col("segment")))))
+        piece = e.bitwiseAND(F.lit((1 << CHAR_BITS) - 1)).cast("int")
+        ids = F.when(piece < UNKNOWN, F.array(piece)).otherwise(F.transform(utf8(piece.bitwiseAND(F.lit(UNKNOWN - 1))), lambda b: F.get(code, b)))
+        full = F.size(acc["block"]) >= FOLD_BLOCK
+        on = F.struct(
+            (acc["at"] - _chars(e)).alias("at"),
+            F.when(full, F.concat(acc["blocks"], F.array(acc["block"]))).otherwise(acc["blocks"]).alias("blocks"),
+            F.when(full, ids).otherwise(F.concat(acc["block"], ids)).alias("block"),
+        )
+        return F.when(_end(e) == acc["at"], on).otherwise(acc)
+
+    first = F.struct(F.size(back).alias("at"), F.array().cast("array<array<int>>").alias("blocks"), F.array().cast("array<int>").alias("block"))
+    return F.aggregate(F.reverse(back), first, step, lambda acc: F.reverse(F.concat(F.flatten(acc["blocks"]), acc["block"])))
+
+
+def encode_segments(segments: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """segment, id_a, id_b, n and ids of each segment. segments: as count_segments gives them."""
+    folded = lattice(segments, vocabulary).select("n", "segment", best_edges(F.col("edges"), vocabulary.longest).alias("back"))
+    crc = F.crc32(F.col("segment").cast("binary")).bitwiseAND(F.lit(CRC_MASK)).cast("int")
+    return folded.select("segment", F.xxhash64("segment").alias("id_a"), crc.alias("id_b"), "n", path_ids(F.col("back"), vocabulary.bytes).alias("ids"))
+
+
+class Held:
+    """The ids of the most frequent segments as flat arrays, and a bounded memory of words that are made of them."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, at: np.ndarray, ids: np.ndarray) -> None:
+        self.a, self.b, self.at, self.data = a, b, at, ids.tobytes()
+        #: key: its ids as bytes; or, for a word that lacks some, its segments as (id, ids or None).
+        self.made: dict[str, bytes] = {}
+        self.lacks: dict[str, list[tuple[int, int, bytes | None]]] = {}
+
+    def look_up(self, cutter: Cutter, keys: list[str]) -> None:
+        import xxhash
+
+        digest = xxhash.xxh64_intdigest
+        for start in range(0, len(keys), 20_000):
+            part = keys[start : start + 20_000]
+            segments = cutter.segments(part)
+            raw = [s.encode(errors="surrogatepass") for own in segments for s in own]
+            a = np.fromiter((digest(x, 42) for x in raw), np.uint64, len(raw)).view(np.int64)
+            b = (np.fromiter(map(zlib.crc32, raw), np.int64, len(raw)) & CRC_MASK).astype(np.int32)
+            i = np.minimum(np.searchsorted(self.a, a), max(len(self.a) - 1, 0))
+            found = (self.a[i] == a) & (self.b[i] == b) if len(self.a) else np.zeros(len(a), bool)
+            low, high = (self.at[i], self.at[i + 1]) if len(self.a) else (i, i)
+            coded = [self.data[4 * x : 4 * y] if f else None for f, x, y in zip(found.tolist(), low.tolist(), high.tolist(), strict=True)]
+            n, a, b = 0, a.tolist(), b.tolist()
+            for k, own in zip(part, segments, strict=True):
+                m = n + len(own)
+                mine = coded[n:m]
+                if None in mine:
+                    self.lacks[k] = list(zip(a[n:m], b[n:m], mine, strict=True))
+                else:
+                    self.made[k] = b"".join(mine) if len(mine) > 1 else mine[0]
+                n = m
+
+    def know(self, cutter: Cutter, words: list[list[str]]) -> None:
+        if len(self.made) + len(self.lacks) > COUNTED:
+            self.made.clear()
+            self.lacks.clear()
+        self.look_up(cutter, [w for w in set().union(*words) if w not in self.made and w not in self.lacks])
+
+
+def _hold(coded: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of the segments seen most, at most as many as ``most``: all that occur some number of times or more."""
+    often = coded.select(F.least("n", F.lit(OFTEN)).alias("n")).groupBy("n").agg(F.count("*").alias("segments")).collect()  # OFTEN rows at most
+    least, taken = OFTEN + 1, 0
+    for n, segments in sorted(((r["n"], r["segments"]) for r in often), reverse=True):
+        if taken + segments > most:
+            break
+        least, taken = n, taken + segments
+    top = coded.where(F.least("n", F.lit(OFTEN)) >= least).select("id_a", "id_b", "ids").toArrow()
+    order = np.argsort(top["id_a"].to_numpy())
+    top = top.take(order).combine_chunks()
+    ids = pa.concat_arrays(top["ids"].chunks) if top.num_rows else pa.array([], pa.list_(pa.int32()))
+    at = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))])
+    return top["id_a"].to_numpy().astype(np.int64), top["id_b"].to_numpy().astype(np.int32), at.astype(np.int64), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name: str = "ids") -> DataFrame:
     """docs and a column with the ids of each text. Null and empty texts have none; rows that repeat are encoded alike.
 
-    Ids are those that maximise the sum of the model's scores, the longer last piece where sums are equal.
+    Ids are those that maximise the sum of the model's scores, the longer last piece where sums are equal. Texts may have
+    any length and other columns any names but ``name``.
     """
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/segments-{uuid.uuid4().hex}"
-    encode_segments(count_segments(docs, vocabulary, text), vocabulary).write.parquet(folder)
+    encode_segments(count_segments(docs, vocabulary, text), vocabulary).select("id_a", "id_b", "n", "ids").write.parquet(folder)
     coded = spark.read.parquet(folder)
-    top = coded.orderBy(F.desc("n"), "segment").limit(TABLE_ROWS).select("segment", "ids").toArrow().combine_chunks()
-    ids = pa.concat_arrays(top["ids"].chunks) if top.num_rows else pa.array([], pa.list_(pa.int32()))
-    flat, ends = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))
-    fields, held = _fields(spark, vocabulary), spark.sparkContext.broadcast({"segments": top["segment"].to_pylist(), "ids": flat.tobytes(), "ends": ends.tolist(), "made": {}})
-    # equal texts lack the same segments; a row number would not be the same each time that docs are computed
-    rows = docs.withColumn("_row", F.substring(F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)), 1, 16))
-
-    def known() -> dict[str, bytes]:
-        h = held.value
-        if not h["made"] and h["segments"]:
-            at = [0, *(4 * e for e in h["ends"])]
-            h["made"].update(zip(h["segments"], [h["ids"][a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
-        return h["made"]
+    cutter_of, arrays = _cutter(spark, vocabulary), spark.sparkContext.broadcast(_hold(coded, TABLE_ROWS))
+    # a key from the row itself is the same each time that docs are computed, and copies of a text have different rows
+    atoms = [f"`{f.name}`" for f in docs.schema if isinstance(f.dataType, AtomicType)]
+    columns = [f"c{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index(text)
+    rows = docs.select(F.xxhash64(*atoms).alias("row"), *(F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, columns, strict=True)))
 
     def missing(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, have = Vocabulary(**fields.value), known()
-        seen: set[str] = set()
-        lacks: dict[str, list[str]] = {}
-        for part in _slices(it):
-            words = [{*v.words(t)} for t in part.column("t").to_pylist()]
-            new = [*set().union(*words).difference(seen)]
-            seen.update(new)
-            lacks.update((w, rare) for w, segments in zip(new, v.cuts(new), strict=True) if (rare := [s for s in segments if s not in have]))
-            found = [[*{s for w in own if w in lacks for s in lacks[w]}] for own in words]
-            row = part.column("_row").take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found])))
-            yield pa.RecordBatch.from_arrays([row, pa.array([s for x in found for s in x], pa.string())], names=["_row", "segment"])
-            if len(seen) > COUNTED:
-                seen, lacks = set(), {}
-
-    rare = rows.select("_row", F.col(text).alias("t")).mapInArrow(missing, "_row binary, segment string").distinct().join(coded.select("segment", "ids"), "segment")
-    # segment, ids, segment, ids: strings take a task far less memory than rows
-    rare = rare.groupBy("_row").agg(F.flatten(F.collect_list(F.array("segment", F.array_join("ids", ",")))).alias("_rare"))
-
-    names = docs.columns
+        cutter, held = Cutter(*cutter_of.value), Held(*arrays.value)
+        for part in _slices(it, "text"):
+            words = [cutter.words(t) for t in part.column("text").to_pylist()]
+            held.know(cutter, words)
+            lacks = held.lacks
+            found = [[*{(a, b) for w in {*own} if w in lacks for a, b, x in lacks[w] if x is None}] for own in words]
+            row = part.column("row").take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found])))
+            yield pa.RecordBatch.from_arrays([row, pa.array([a for x in found for a, _ in x], pa.int64()), pa.array([b for x in found for _, b in x], pa.int32())], names=["row", "id_a", "id_b"])
+
+    rare = rows.select("row", F.col(columns[at]).alias("text")).mapInArrow(missing, "row long, id_a long, id_b int").distinct().join(coded.select("id_a", "id_b", "ids"), ["id_a", "id_b"])
+    packed = F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i), 8, "0")), "")
+    rare = rare.groupBy("row").agg(F.collect_list(F.struct("id_a", F.unhex(packed).alias("ids"))).alias("rare"))
+    rare = rare.select("row", F.col("rare.id_a").alias("rare"), F.col("rare.ids").alias("rare_ids"))
+
+    def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        for batch in it:
+            z = zstandard.ZstdCompressor(level=3)
+            small = pa.array([None if t is None else z.compress(t.encode(errors="surrogatepass")) for t in batch.column(1 + at).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([small if i == 1 + at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    fields = [StructField(k, BinaryType() if i == at else f.dataType) for i, (k, f) in enumerate(zip(columns, docs.schema, strict=True))]
+    small = rows.mapInArrow(pack, StructType([rows.schema["row"], *fields]))
 
     def assemble(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, have = Vocabulary(**fields.value), known()
-        made: dict[str, bytes] = {}
-        lacks: dict[str, list[str]] = {}
-        for part in _slices(it):
-            words = [v.words(t) for t in part.column(text).to_pylist()]
-            new = [w for w in set().union(*words) if w not in made and w not in lacks]
-            for w, segments in zip(new, v.cuts(new), strict=True):
-                if all(s in have for s in segments):
-                    made[w] = b"".join([have[s] for s in segments])
-                else:
-                    lacks[w] = segments
-            out = []
-            for own, more in zip(words, part.column("_rare").to_pylist(), strict=True):
-                rare = {s: np.array(i.split(","), np.int32).tobytes() for s, i in zip(more[::2], more[1::2], strict=True)} if more is not None else {}
-                mine = {w: b"".join([have[s] if s in have else rare[s] for s in lacks[w]]) for w in {*own} if w in lacks} if rare else {}
-                out.append(b"".join([made[w] if w in made else mine[w] for w in own]))
+        import zstandard
+
+        cutter, held, z = Cutter(*cutter_of.value), Held(*arrays.value), zstandard.ZstdDecompressor()
+        for part in _slices(it, columns[at]):
+            texts = [None if t is None else z.decompress(t).decode(errors="surrogatepass") for t in part.column(columns[at]).to_pylist()]
+            words = [cutter.words(t) for t in texts]
+            held.know(cutter, words)
+            made, lacks, out = held.made, held.lacks, []
+            for own, a, ids in zip(words, part.column("rare").to_pylist(), part.column("rare_ids").to_pylist(), strict=True):
+                if a is None:
+                    out.append(b"".join([made[w] for w in own]))
+                    continue
+                rare = dict(zip(a, [np.frombuffer(x, ">i4").astype(np.int32).tobytes() for x in ids], strict=True))
+                mine = {w: b"".join([rare[i] if x is None else x for i, _, x in lacks[w]]) for w in {*own} if w in lacks}
+                out.append(b"".join([made.get(w) or mine[w] for w in own]))
             ends = np.cumsum([0, *(len(x) // 4 for x in out)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out), np.int32)))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), ids], names=[*names, name])
-            if len(made) + len(lacks) > COUNTED:
-                made, lacks = {}, {}
+            coded_ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out), np.int32)))
+            yield pa.RecordBatch.from_arrays([*(pa.array(texts, pa.string()) if i == at else part.column(k) for i, k in enumerate(columns)), coded_ids], names=[*columns, "ids"])
 
-    schema = StructType([*docs.schema.fields, StructField(name, ArrayType(IntegerType()))])
-    return rows.join(rare, "_row", "left").select(*names, "_rare").mapInArrow(assemble, schema)
+    schema = StructType([*(StructField(k, f.dataType) for k, f in zip(columns, docs.schema, strict=True)), StructField("ids", ArrayType(IntegerType()))])
+    return small.join(rare, "row", "left").select(*columns, "rare", "rare_ids").mapInArrow(assemble, schema).toDF(*docs.columns, name)
 
 
 def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", name: str = "decoded") -> DataFrame:
-    """docs and a column with the text of the ids: pieces end to end, bytes put together as UTF-8, SPACE as a space, the first one dropped. Unknown ids and null have no text."""
+    """docs and a column with the text of the ids: pieces end to end, bytes put together as UTF-8, SPACE as a space, the first one dropped. Unknown ids and null have no text. Rows that repeat are decoded alike."""
     spark = docs.sparkSession
     back = {i: p.replace(SPACE, " ").encode() for p, (i, _) in vocabulary.pieces.items()} | {i: bytes([b]) for b, i in enumerate(vocabulary.bytes)}
-    held = spark.sparkContext.broadcast((back, vocabulary.prefix))
+    table = [back.get(i, b"") for i in range(max(back) + 1)]
+    held = spark.sparkContext.broadcast((table, vocabulary.prefix))
 
     @F.pandas_udf("string")
     def text(rows: pd.Series) -> pd.Series:
         table, prefix = held.value
-        out = []
+        n, out = len(table), []
         for r in rows:
-            s = b"".join([table.get(i, b"") for i in r.tolist()]).decode(errors="replace") if r is not None else ""
+            known = [] if r is None else r.tolist() if len(r) and r.min() >= 0 and r.max() < n else [i for i in r.tolist() if 0 <= i < n]
+            s = b"".join([table[i] for i in known]).decode(errors="replace")
             out.append(s[1:] if prefix and s[:1] == " " else s)
         return pd.Series(out)
 

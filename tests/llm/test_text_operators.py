@@ -350,28 +350,78 @@ def best(v, s):
     return max((v.pieces[s[:k]][1] if s[:k] in v.pieces else v.unknown) + best(v, s[k:]) for k in range(1, len(s) + 1) if k == 1 or s[:k] in v.pieces)
 
 
+def plain_ids(v, s):
+    """The ids of the best segmentation of a whole text, place by place."""
+    best, back = [0.0], [(0, None)]
+    for end in range(1, len(s) + 1):
+        top, edge = None, None
+        for start in range(max(0, end - v.longest), end):
+            known = v.pieces.get(s[start:end])
+            if known or end - start == 1:
+                score = best[start] + (known[1] if known else v.unknown)
+                if top is None or score > top:
+                    top, edge = score, (start, known[0] if known else None)
+        best.append(top)
+        back.append(edge)
+    out, end = [], len(s)
+    while end:
+        start, piece = back[end]
+        out += [piece] if piece is not None else [v.bytes[b] for b in reversed(s[start:end].encode())]
+        end = start
+    return out[::-1]
+
+
+PIECE_TEXTS = ["x" * 400 + "  y", "tab\tand\x00nul▁", " lead and trail  ", "a ▁ b▁▁ c\n\n d \n  e\n", "\nfirst", "▁", " ", "=" * 3000 + "ab" * 200, "漢字かな交じり文" * 40, "a\u2028b\r\n\x85c"]
+
+
 def test_lattice_keeps_the_best_segmentation(spark):
     v = pieces.load_vocabulary()
-    words = ["▁hello", "unbelievab", "▁the", "xqzj", "ñandú", "▁▁▁", "éè", "😀a", "\n"]
-    coded = {r.segment: list(r.ids) for r in pieces.encode_segments(spark.createDataFrame([(w, 1) for w in words], "segment string, n long"), v).collect()}
+    words = ["▁hello", "unbelievab", "▁the", "xqzj", "ñandú", "▁▁▁", "éè", "😀a", "\n", "-" * 700, "▁" + "lowercase" * 30 + "é😀"]
+    docs = spark.createDataFrame([(w,) for w in words], "text string")
+    counted = {r.whole or r.key: r.n for r in pieces.count_segments(docs, v).collect()}
+    assert all(len(s) > pieces.STRETCH for s in counted if s == "-" * 700) and all(n > 0 for n in counted.values())
+    rows = spark.createDataFrame([(w if len(w) <= pieces.STRETCH else f"key{i}", None if len(w) <= pieces.STRETCH else w, 1) for i, w in enumerate(words)], "key string, whole string, n long")
+    coded = {r.segment: list(r.ids) for r in pieces.encode_segments(rows, v).collect()}
     score = {i: s for i, s in v.pieces.values()}
     for w in words:
-        assert coded[w] == v.fold(w)
-        if all(i in score for i in coded[w]):
+        assert coded[w] == plain_ids(v, w)
+        if len(w) < 20 and all(i in score for i in coded[w]):
             assert sum(score[i] for i in coded[w]) == best(v, w)
 
 
 def test_pieces_round_trip(spark, docs, empty, monkeypatch):
-    more = spark.createDataFrame([(50, "x" * 400 + "  y"), (51, "tab\tand\x00nul▁"), (52, " lead and trail  ")], "doc_id long, text string")
+    more = spark.createDataFrame([(50 + i, t) for i, t in enumerate(PIECE_TEXTS)], "doc_id long, text string")
     both = docs.select("doc_id", "text").unionByName(more)
-    whole = {(r.doc_id, r.n_tokens, tuple(r.ids)) for r in pieces.piece_digest(both).collect() if r.round_trip}
-    assert len(whole) == len({(i, t) for i, t in ROWS}) + 3
-    monkeypatch.setattr(pieces, "TABLE_ROWS", 3)
-    assert {(r.doc_id, r.n_tokens, tuple(r.ids)) for r in pieces.piece_digest(both).collect()} == whole
-    assert pieces.piece_digest(empty).count() == 0
     v = pieces.load_vocabulary()
-    for t in TEXTS:
-        assert [i for w in v.words(t) for i in v.fold(w)] == v.fold(v.prepared(t))
+    plain = lambda t: plain_ids(v, pieces.SPACE + t.replace(" ", pieces.SPACE)) if t else []
+    want = sorted(((i, plain(t)) for i, t in [*ROWS, *((50 + i, t) for i, t in enumerate(PIECE_TEXTS))]), key=str)
+    for table_rows in (1 << 19, 3, 0):
+        monkeypatch.setattr(pieces, "TABLE_ROWS", table_rows)
+        got = pieces.piece_digest(both).collect()
+        assert all(r.round_trip and r.n_tokens == len(r.ids) for r in got)
+        assert sorted(((r.doc_id, list(r.ids)) for r in got), key=str) == want
+    assert pieces.piece_digest(empty).count() == 0
+    out = pieces.encode(docs, v)
+    assert out.columns == [*docs.columns, "ids"] and out.drop("ids").exceptAll(docs).count() == 0 and out.count() == len(ROWS)
+
+
+def test_unigram_scores_as_a_model_file_has_them(spark, tmp_path):
+    from sentencepiece import SentencePieceProcessor
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    m = proto.ModelProto()
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback, m.normalizer_spec.name, m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces = 1, True, "identity", True, False
+    m.pieces.add(piece="<unk>", score=0, type=2)
+    for b in range(256):
+        m.pieces.add(piece=f"<0x{b:02X}>", score=0, type=6)
+    r = random.Random(4)
+    for p in sorted({w[a:b] for w in ("▁alpha", "▁beta", "▁gamma", "▁delta", "▁epsilon") for a in range(len(w)) for b in range(a + 1, len(w) + 1)}):
+        m.pieces.add(piece=p, score=-round(r.uniform(2, 9), 3) - 3 / len(p), type=1)
+    (tmp_path / "u.model").write_bytes(m.SerializeToString())
+    v, library = pieces.load_vocabulary(str(tmp_path / "u.model")), SentencePieceProcessor(model_file=str(tmp_path / "u.model"))
+    texts = ["alpha beta gamma", "epsilon delta alphabeta", "gammadelta é alpha", "  beta  ", "zeta"]
+    got = {r.text: list(r.ids) for r in pieces.encode(spark.createDataFrame([(t,) for t in texts], "text string"), v).collect()}
+    assert got == {t: library.encode(t) for t in texts}
 
 
 def test_flat_keeps_empty_rows():
