@@ -58,7 +58,7 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens and ids of every document."""
-    coded = encode(docs.select(COLUMNS), load_vocabulary())
+    coded = encode(docs.select(COLUMNS), load_vocabulary(), keep=["doc_id", "source"])
     return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 

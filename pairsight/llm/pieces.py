@@ -8,7 +8,7 @@ A character without a piece of its own is an edge worth less than any piece, and
 have any length: its substrings are taken from stretches that overlap by a piece, and the fold grows in blocks.
 
 A segment is known by its 64-bit XXH64 together with its CRC-32. Texts take the ids of frequent segments from flat arrays of
-bounded size; what isn't in them is joined, by text rows that are compressed on their way through the shuffle.
+bounded size; what isn't in them is joined.
 """
 
 from __future__ import annotations
@@ -26,14 +26,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, AtomicType, BinaryType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, AtomicType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from .common import shared_folder
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Segments whose ids every task holds in memory, at most: those that occur most often.
-TABLE_ROWS = 1 << 19
+TABLE_ROWS = 1 << 18
 #: Counts from which segments aren't told apart when those to hold are chosen.
 OFTEN = 1 << 16
 #: Characters of the stretches that a segment's substrings are taken from.
@@ -41,7 +41,9 @@ STRETCH = 64
 #: Elements of the blocks in which a fold's result grows.
 FOLD_BLOCK = 128
 #: Different words that a task counts before it hands the counts on, and whose ids it remembers.
-COUNTED = 250_000
+COUNTED = 150_000
+#: The column that decoding looks pieces up in.
+HEX_TABLE = "_hex_of_each_piece"
 #: Texts, and bytes of them, that a task takes at a time.
 DOCS, DOC_BYTES = 400, 2_000_000
 
@@ -166,7 +168,7 @@ def count_segments(docs: DataFrame, vocabulary: Vocabulary, text: str = "text")
                     n = words[k]
                     for s in segments:
                         seen[s] += n
-            names = sorted(seen)  # neighbours share their beginnings, which shuffles smaller
+            names = list(seen)
             for at in range(0, len(names), 20_000):
                 part = names[at : at + 20_000]
                 keys = [s if len(s) <= STRETCH else f"{SPACE}{SPACE}\n{hashlib.sha256(s.encode(errors='surrogatepass')).hexdigest()}" for s in part]
@@ -230,22 +232,21 @@ def best_edges(edges: Column, longest: int) -> Column:
     """The edge that reaches each place of a segment with the best sum of scores, the longer one where sums are equal."""
 
     def step(acc: Column, x: Column) -> Column:
-        e = x["e"]
-        best, size = acc["best"], F.size(acc["best"])
-        same = _end(e) == acc["end"]
+        e, best, size = x["e"], acc["best"], F.size(acc["best"])
         # scores up to the place before ``end`` are in ``best``; that of ``end`` itself is still ``top``
-        score = x["score"] + F.when(same, F.get(best, size - _chars(e))).when(_chars(e) == 1, acc["top"]).otherwise(F.get(best, size + 1 - _chars(e)))
+        here = x["score"] + F.get(best, size - _chars(e))
+        beyond = x["score"] + F.get(best, size + 1 - _chars(e))
         full = F.size(acc["block"]) >= FOLD_BLOCK
         ahead = F.struct(
             F.concat(F.when(size >= 2 * longest, F.slice(best, size - longest + 1, F.lit(longest))).otherwise(best), F.array(acc["top"])).alias("best"),
             F.when(full, F.concat(acc["blocks"], F.array(acc["block"]))).otherwise(acc["blocks"]).alias("blocks"),
             F.when(full, F.array(acc["via"])).otherwise(F.concat(acc["block"], F.array(acc["via"]))).alias("block"),
-            score.alias("top"), e.alias("via"), _end(e).alias("end"),
+            F.when(_chars(e) == 1, x["score"] + acc["top"]).otherwise(beyond).alias("top"), e.alias("via"), _end(e).alias("end"),
         )
-        better = F.struct(best.alias("best"), acc["blocks"].alias("blocks"), acc["block"].alias("block"), score.alias("top"), e.alias("via"), acc["end"].alias("end"))
-        return F.when(~same, ahead).when((acc["via"] == 0) | (score > acc["top"]), better).otherwise(acc)
+        better = F.struct(best.alias("best"), acc["blocks"].alias("blocks"), acc["block"].alias("block"), here.alias("top"), e.alias("via"), acc["end"].alias("end"))
+        return F.when(_end(e) > acc["end"], ahead).when(here > acc["top"], better).otherwise(acc)
 
-    first = F.expr("named_struct('best', array(0D), 'blocks', cast(array() AS array<array<bigint>>), 'block', cast(array() AS array<bigint>), 'top', 0D, 'via', 0L, 'end', 1)")
+    first = F.expr("named_struct('best', array(0D), 'blocks', cast(array() AS array<array<bigint>>), 'block', cast(array() AS array<bigint>), 'top', cast('-Infinity' AS double), 'via', 0L, 'end', 1)")
     return F.aggregate(edges, first, step, lambda acc: F.concat(F.flatten(acc["blocks"]), acc["block"], F.array(acc["via"])))
 
 
@@ -284,40 +285,43 @@ class Held:
     """The ids of the most frequent segments as flat arrays, and a bounded memory of words that are made of them."""
 
     def __init__(self, a: np.ndarray, b: np.ndarray, at: np.ndarray, ids: np.ndarray) -> None:
-        self.a, self.b, self.at, self.data = a, b, at, ids.tobytes()
-        #: key: its ids as bytes; or, for a word that lacks some, its segments as (id, ids or None).
+        self.a, self.b, self.at, self.data = a, b, at, memoryview(ids).cast("B")
+        #: key: its ids as bytes; or, for a word that lacks some, its segments as (id_a, id_b, ids or None).
         self.made: dict[str, bytes] = {}
         self.lacks: dict[str, list[tuple[int, int, bytes | None]]] = {}
 
-    def look_up(self, cutter: Cutter, keys: list[str]) -> None:
-        import xxhash
-
-        digest = xxhash.xxh64_intdigest
-        for start in range(0, len(keys), 20_000):
-            part = keys[start : start + 20_000]
-            segments = cutter.segments(part)
-            raw = [s.encode(errors="surrogatepass") for own in segments for s in own]
-            a = np.fromiter((digest(x, 42) for x in raw), np.uint64, len(raw)).view(np.int64)
-            b = (np.fromiter(map(zlib.crc32, raw), np.int64, len(raw)) & CRC_MASK).astype(np.int32)
-            i = np.minimum(np.searchsorted(self.a, a), max(len(self.a) - 1, 0))
-            found = (self.a[i] == a) & (self.b[i] == b) if len(self.a) else np.zeros(len(a), bool)
-            low, high = (self.at[i], self.at[i + 1]) if len(self.a) else (i, i)
-            coded = [self.data[4 * x : 4 * y] if f else None for f, x, y in zip(found.tolist(), low.tolist(), high.tolist(), strict=True)]
-            n, a, b = 0, a.tolist(), b.tolist()
-            for k, own in zip(part, segments, strict=True):
-                m = n + len(own)
-                mine = coded[n:m]
-                if None in mine:
-                    self.lacks[k] = list(zip(a[n:m], b[n:m], mine, strict=True))
-                else:
-                    self.made[k] = b"".join(mine) if len(mine) > 1 else mine[0]
-                n = m
-
     def know(self, cutter: Cutter, words: list[list[str]]) -> None:
         if len(self.made) + len(self.lacks) > COUNTED:
             self.made.clear()
             self.lacks.clear()
-        self.look_up(cutter, [w for w in set().union(*words) if w not in self.made and w not in self.lacks])
+        new = set().union(*words)
+        new.difference_update(self.made, self.lacks)
+        keys = list(new)
+        for start in range(0, len(keys), 10_000):
+            self.look_up(cutter, keys[start : start + 10_000])
+
+    def look_up(self, cutter: Cutter, keys: list[str]) -> None:
+        import xxhash
+
+        digest = xxhash.xxh64_intdigest
+        segments = cutter.segments(keys)
+        raw = [s.encode(errors="surrogatepass") for own in segments for s in own]
+        a = np.fromiter((digest(x, 42) for x in raw), np.uint64, len(raw)).view(np.int64)
+        b = (np.fromiter(map(zlib.crc32, raw), np.int64, len(raw)) & CRC_MASK).astype(np.int32)
+        found, low, high = np.zeros(len(a), bool), np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+        if len(self.a):
+            i = np.minimum(np.searchsorted(self.a, a), len(self.a) - 1)
+            found, low, high = (self.a[i] == a) & (self.b[i] == b), self.at[i] * 4, self.at[i + 1] * 4
+        coded = [bytes(self.data[x:y]) if f else None for f, x, y in zip(found.tolist(), low.tolist(), high.tolist(), strict=True)]
+        n, a, b = 0, a.tolist(), b.tolist()
+        for k, own in zip(keys, segments, strict=True):
+            m = n + len(own)
+            mine = coded[n:m]
+            if None in mine:
+                self.lacks[k] = list(zip(a[n:m], b[n:m], mine, strict=True))
+            else:
+                self.made[k] = b"".join(mine) if m > n + 1 else mine[0]
+            n = m
 
 
 def _hold(coded: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -336,11 +340,14 @@ def _hold(coded: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return top["id_a"].to_numpy().astype(np.int64), top["id_b"].to_numpy().astype(np.int32), at.astype(np.int64), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name: str = "ids") -> DataFrame:
-    """docs and a column with the ids of each text. Null and empty texts have none; rows that repeat are encoded alike.
+def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name: str = "ids", keep: list[str] | None = None) -> DataFrame:
+    """docs, or those of its columns that ``keep`` names, and a column with the ids of each text. Null and empty texts have none; rows that repeat are encoded alike.
 
     Ids are those that maximise the sum of the model's scores, the longer last piece where sums are equal. Texts may have
     any length and other columns any names but ``name``.
+
+    A task codes a text with the segments that it holds and leaves marks for the others; those are joined by segment, go back
+    to their row, and take the places of the marks.
     """
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/segments-{uuid.uuid4().hex}"
@@ -349,83 +356,103 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name: st
     cutter_of, arrays = _cutter(spark, vocabulary), spark.sparkContext.broadcast(_hold(coded, TABLE_ROWS))
     # a key from the row itself is the same each time that docs are computed, and copies of a text have different rows
     atoms = [f"`{f.name}`" for f in docs.schema if isinstance(f.dataType, AtomicType)]
-    columns = [f"c{i}" for i in range(len(docs.columns))]
-    at = docs.columns.index(text)
-    rows = docs.select(F.xxhash64(*atoms).alias("row"), *(F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, columns, strict=True)))
+    kept = docs.columns if keep is None else keep
+    columns = [f"c{i}" for i in range(len(kept))]
+    types = [docs.schema[c].dataType for c in kept]
+    rows = docs.select(F.xxhash64(*atoms).alias("row"), F.col(f"`{text}`").alias("text"), *(F.col(f"`{c}`").alias(k) for c, k in zip(kept, columns, strict=True) if c != text))
+    carried = [k for c, k in zip(kept, columns, strict=True) if c != text]
 
-    def missing(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, held = Cutter(*cutter_of.value), Held(*arrays.value)
-        for part in _slices(it, "text"):
-            words = [cutter.words(t) for t in part.column("text").to_pylist()]
-            held.know(cutter, words)
-            lacks = held.lacks
-            found = [[*{(a, b) for w in {*own} if w in lacks for a, b, x in lacks[w] if x is None}] for own in words]
-            row = part.column("row").take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found])))
-            yield pa.RecordBatch.from_arrays([row, pa.array([a for x in found for a, _ in x], pa.int64()), pa.array([b for x in found for _, b in x], pa.int32())], names=["row", "id_a", "id_b"])
-
-    rare = rows.select("row", F.col(columns[at]).alias("text")).mapInArrow(missing, "row long, id_a long, id_b int").distinct().join(coded.select("id_a", "id_b", "ids"), ["id_a", "id_b"])
-    packed = F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i), 8, "0")), "")
-    rare = rare.groupBy("row").agg(F.collect_list(F.struct("id_a", F.unhex(packed).alias("ids"))).alias("rare"))
-    rare = rare.select("row", F.col("rare.id_a").alias("rare"), F.col("rare.ids").alias("rare_ids"))
-
-    def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def code(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
+        cutter, held, z = Cutter(*cutter_of.value), Held(*arrays.value), zstandard.ZstdCompressor(level=3)
+        for part in _slices(it, "text"):
+            texts = part.column("text").to_pylist()
+            words = [cutter.words(t) for t in texts]
+            held.know(cutter, words)
+            made, lacks, out, missing = held.made, held.lacks, [], []
+            for own in words:
+                rare = {w for w in {*own} if w in lacks} if lacks else ()
+                if rare:
+                    gaps = sorted({(a, b) for w in rare for a, b, x in lacks[w] if x is None})
+                    mark = {a: (-i).to_bytes(4, "little", signed=True) for i, (a, _) in enumerate(gaps, 1)}
+                    mine = {w: b"".join([mark[a] if x is None else x for a, _, x in lacks[w]]) for w in rare}
+                    out.append(z.compress(b"".join([made.get(w) or mine[w] for w in own])))
+                    missing.append(gaps)
+                else:
+                    out.append(z.compress(b"".join([made[w] for w in own])))
+                    missing.append(())
+            ends = pa.array(np.cumsum([0, *map(len, missing)]).astype(np.int32))
+            gaps_a, gaps_b = (pa.ListArray.from_arrays(ends, pa.array([g[i] for own in missing for g in own], kind)) for i, kind in ((0, pa.int64()), (1, pa.int32())))
+            small = [pa.array([None if t is None else z.compress(t.encode(errors="surrogatepass")) for t in texts], pa.binary())] if text in kept else []
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(out, pa.binary()), gaps_a, gaps_b, *small, *(part.column(k) for k in carried)], names=["row", "coded", "gaps_a", "gaps_b", *(["text"] if small else []), *carried])
+
+    fields = [StructField("text", BinaryType())] if text in kept else []
+    fields += [StructField(k, t) for k, t in zip(columns, types, strict=True) if k in carried]
+    schema = StructType([rows.schema["row"], StructField("coded", BinaryType()), StructField("gaps_a", ArrayType(LongType())), StructField("gaps_b", ArrayType(IntegerType())), *fields])
+    # both uses below read the one exchange
+    started = rows.mapInArrow(code, schema).repartition("row")
+
+    def spread(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            z = zstandard.ZstdCompressor(level=3)
-            small = pa.array([None if t is None else z.compress(t.encode(errors="surrogatepass")) for t in batch.column(1 + at).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([small if i == 1 + at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+            gaps = batch.column("gaps_a")
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.compute.list_parent_indices(gaps)), gaps.flatten(), batch.column("gaps_b").flatten()], names=["row", "id_a", "id_b"])
 
-    fields = [StructField(k, BinaryType() if i == at else f.dataType) for i, (k, f) in enumerate(zip(columns, docs.schema, strict=True))]
-    small = rows.mapInArrow(pack, StructType([rows.schema["row"], *fields]))
+    rare = started.mapInArrow(spread, "row long, id_a long, id_b int").distinct().join(coded.select("id_a", "id_b", "ids"), ["id_a", "id_b"])
+    packed = F.unhex(F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i), 8, "0")), ""))
+    # in the order of the marks
+    rare = rare.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("id_a", "id_b", packed.alias("ids")))), lambda x: x["ids"]).alias("fill"))
 
-    def assemble(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        cutter, held, z = Cutter(*cutter_of.value), Held(*arrays.value), zstandard.ZstdDecompressor()
-        for part in _slices(it, columns[at]):
-            texts = [None if t is None else z.decompress(t).decode(errors="surrogatepass") for t in part.column(columns[at]).to_pylist()]
-            words = [cutter.words(t) for t in texts]
-            held.know(cutter, words)
-            made, lacks, out = held.made, held.lacks, []
-            for own, a, ids in zip(words, part.column("rare").to_pylist(), part.column("rare_ids").to_pylist(), strict=True):
-                if a is None:
-                    out.append(b"".join([made[w] for w in own]))
-                    continue
-                rare = dict(zip(a, [np.frombuffer(x, ">i4").astype(np.int32).tobytes() for x in ids], strict=True))
-                mine = {w: b"".join([rare[i] if x is None else x for i, _, x in lacks[w]]) for w in {*own} if w in lacks}
-                out.append(b"".join([made.get(w) or mine[w] for w in own]))
-            ends = np.cumsum([0, *(len(x) // 4 for x in out)]).astype(np.int32)
-            coded_ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out), np.int32)))
-            yield pa.RecordBatch.from_arrays([*(pa.array(texts, pa.string()) if i == at else part.column(k) for i, k in enumerate(columns)), coded_ids], names=[*columns, "ids"])
-
-    schema = StructType([*(StructField(k, f.dataType) for k, f in zip(columns, docs.schema, strict=True)), StructField("ids", ArrayType(IntegerType()))])
-    return small.join(rare, "row", "left").select(*columns, "rare", "rare_ids").mapInArrow(assemble, schema).toDF(*docs.columns, name)
+        z = zstandard.ZstdDecompressor()
+        for part in _slices(it, "coded"):
+            parts = [np.frombuffer(z.decompress(x), np.int32) for x in part.column("coded").to_pylist()]
+            flat, sizes = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+            fills = part.column("fill")
+            counts = np.nan_to_num(pa.compute.list_value_length(fills).to_numpy(zero_copy_only=False).astype(np.float64)).astype(np.int64)
+            raw = fills.flatten().to_pylist()
+            fill, lengths = np.frombuffer(b"".join(raw), ">i4").astype(np.int32), np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+            starts = np.cumsum(lengths) - lengths
+            gaps = np.flatnonzero(flat < 0)
+            which = np.repeat(np.cumsum(counts) - counts, sizes)[gaps] - flat[gaps] - 1
+            width = np.ones(len(flat), np.int64)
+            width[gaps] = lengths[which]
+            at = np.cumsum(width) - width
+            ids = np.empty(int(width.sum()), np.int32)
+            ids[at[flat >= 0]] = flat[flat >= 0]
+            more = lengths[which]
+            inside = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more)
+            ids[np.repeat(at[gaps], more) + inside] = fill[np.repeat(starts[which], more) + inside]
+            ends = np.concatenate([[0], np.append(at, len(ids))[np.cumsum(sizes)]]).astype(np.int32)
+            if text in kept:
+                texts = pa.array([None if t is None else z.decompress(t).decode(errors="surrogatepass") for t in part.column("text").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*(part.column(k) if k in carried else texts for k in columns), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], names=[*columns, "ids"])
+
+    out = StructType([*(StructField(k, t) for k, t in zip(columns, types, strict=True)), StructField("ids", ArrayType(IntegerType()))])
+    return started.join(rare, "row", "left").drop("row", "gaps_a", "gaps_b").mapInArrow(finish, out).toDF(*kept, name)
 
 
 def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", name: str = "decoded") -> DataFrame:
-    """docs and a column with the text of the ids: pieces end to end, bytes put together as UTF-8, SPACE as a space, the first one dropped. Unknown ids and null have no text. Rows that repeat are decoded alike."""
-    spark = docs.sparkSession
-    back = {i: p.replace(SPACE, " ").encode() for p, (i, _) in vocabulary.pieces.items()} | {i: bytes([b]) for b, i in enumerate(vocabulary.bytes)}
-    table = [back.get(i, b"") for i in range(max(back) + 1)]
-    held = spark.sparkContext.broadcast((table, vocabulary.prefix))
+    """docs and a column with the text of the ids: pieces end to end, bytes put together as UTF-8, SPACE as a space, the first one dropped.
 
-    @F.pandas_udf("string")
-    def text(rows: pd.Series) -> pd.Series:
-        table, prefix = held.value
-        n, out = len(table), []
-        for r in rows:
-            known = [] if r is None else r.tolist() if len(r) and r.min() >= 0 and r.max() < n else [i for i in r.tolist() if 0 <= i < n]
-            s = b"".join([table[i] for i in known]).decode(errors="replace")
-            out.append(s[1:] if prefix and s[:1] == " " else s)
-        return pd.Series(out)
-
-    return docs.withColumn(name, text(F.col(ids)))
+    Unknown ids and null have no text, bytes that are no UTF-8 become replacement characters, rows that repeat are decoded alike.
+    """
+    back = {i: p.replace(SPACE, " ").encode() for p, (i, _) in vocabulary.pieces.items()} | {i: bytes([b]) for b, i in enumerate(vocabulary.bytes)}
+    table = docs.sparkSession.createDataFrame([([back[i].hex() if i in back else None for i in range(max(back) + 1)],)], "hex array<string>").scalar()
+    known = F.transform(F.filter(F.col(ids), lambda i: i >= 0), lambda i: F.get(F.col(HEX_TABLE), i))
+    hexed = F.array_join(known, "")
+    if vocabulary.prefix:
+        hexed = F.regexp_replace(hexed, "^20", "")
+    text = F.make_valid_utf8(F.unhex(hexed).cast("string"))
+    return docs.withColumn(HEX_TABLE, table).withColumn(name, F.coalesce(text, F.lit(""))).drop(HEX_TABLE)
 
 
 def piece_digest(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """A row for each row of docs: doc_id, n_tokens, ids, and whether decoding gives the text again (SPACE itself is read as a space)."""
     v = load_vocabulary(path)
-    coded = decode(encode(docs.select("doc_id", "text"), v), v)
-    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), SPACE, " ")
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), same.alias("round_trip"))
+    sha = lambda t: F.sha2(t.cast("binary"), 256)
+    docs = docs.select("doc_id", "text", sha(F.translate(F.coalesce("text", F.lit("")), SPACE, " ")).alias("sha"))
+    coded = decode(encode(docs, v, keep=["doc_id", "sha"]), v).withColumn("decoded_sha256", sha(F.col("decoded")))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256", (F.col("decoded_sha256") == F.col("sha")).alias("round_trip"))

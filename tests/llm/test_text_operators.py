@@ -336,7 +336,7 @@ def test_repeated_strings(docs, empty, monkeypatch, large):
 def test_long_texts_go_on_over_blocks(monkeypatch):
     monkeypatch.setattr(substrings, "BLOCK", 1000)
     data = prose(9, 1200).encode()
-    seen = [i for _, _, first, last in substrings.contexts(data) for i in range(first, last + 1)]
+    seen = [i for _, _, first, last in substrings.contexts(data) for a, b in zip(first, last, strict=True) for i in range(a, b + 1)]
     assert seen == list(range(len(data) - 199))
 
 
