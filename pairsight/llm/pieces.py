@@ -7,8 +7,8 @@ higher-order fold keeps the best score for each place and the edge that reached
 A character without a piece of its own is an edge worth less than any piece, and is written as its bytes. A segment may
 have any length: its substrings are taken from stretches that overlap by a piece, and the fold grows in blocks.
 
-A segment is known by its 64-bit XXH64 together with its CRC-32. Texts take the ids of frequent segments from flat arrays of
-bounded size; what isn't in them is joined.
+A segment is known by its 64-bit XXH64 together with its CRC-32. Texts take the ids of frequent segments from a table of
+bounded size; what isn't in it is joined.
 """
 
 from __future__ import annotations
@@ -16,10 +16,11 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -93,26 +94,21 @@ class Cutter:
     def prepared(self, text: str) -> str:
         return (SPACE if self.prefix and text else "") + text.replace(" ", SPACE)
 
-    def segments(self, keys: list[str]) -> list[list[str]]:
-        """The segments of each word. They don't depend on what stands around it, so all words are looked at end to end."""
+    def segments(self, keys: list[str]) -> tuple[list[str], list[int]]:
+        """The segments of all words end to end, and how many each has. They don't depend on what stands around a word."""
+        if not keys:
+            return [], []
         words = [k if k[:1] == "\n" else SPACE + k for k in keys] if self.by_word else keys
-        if not words:
-            return []
         s = "".join(words)
         points = np.frombuffer(s.encode("utf-32-le", errors="surrogatepass"), np.uint32)
         places = self.place[np.minimum(points, len(self.place) - 1)]
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-        apart = ~self.joined[places[:-1], places[1:]]
-        apart[ends[:-1] - 1] = False
-        inner = np.flatnonzero(apart) + 1
-        out = [[w] for w in words]
-        owner = np.searchsorted(ends, inner, "right")
-        first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(inner) else inner
-        for i, cuts in zip(owner[first].tolist(), np.split(inner, first[1:]) if len(inner) else [], strict=True):
-            w, start = words[i], int(ends[i]) - len(words[i])
-            at = [0, *(cuts - start).tolist(), len(w)]
-            out[i] = [w[a:b] for a, b in zip(at, at[1:], strict=False)]
-        return out
+        apart = np.append(~self.joined[places[:-1], places[1:]], True)
+        apart[ends - 1] = True
+        at = np.flatnonzero(apart) + 1
+        counts = np.diff(np.searchsorted(at, ends, "right"), prepend=0)
+        cuts = at.tolist()
+        return [s[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], counts.tolist()
 
 
 def load_vocabulary(path: str = MODEL) -> Vocabulary:
@@ -164,10 +160,9 @@ def count_segments(docs: DataFrame, vocabulary: Vocabulary, text: str = "text")
             keys, seen = list(words), Counter()
             for at in range(0, len(keys), 20_000):
                 part = keys[at : at + 20_000]
-                for k, segments in zip(part, cutter.segments(part), strict=True):
-                    n = words[k]
-                    for s in segments:
-                        seen[s] += n
+                found, counts = cutter.segments(part)
+                for s, n in zip(found, chain.from_iterable(map(repeat, map(words.__getitem__, part), counts)), strict=True):
+                    seen[s] += n
             names = list(seen)
             for at in range(0, len(names), 20_000):
                 part = names[at : at + 20_000]
@@ -205,7 +200,7 @@ def lattice(segments: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     spark = segments.sparkSession
     if vocabulary.longest >= LONG_CHARS or max(i for i, _ in vocabulary.pieces.values()) >= UNKNOWN:
         raise ValueError("pieces are too long or too many to pack an edge")
-    table = spark.createDataFrame(pd.DataFrame([(p, i, s) for p, (i, s) in vocabulary.pieces.items()], columns=["piece", "id", "score"]), "piece string, id int, score double")
+    table = spark.createDataFrame(pd.DataFrame([(p, i) for p, (i, _) in vocabulary.pieces.items()], columns=["piece", "id"]), "piece string, id int")
     keyed = segments.select("key", "n", F.coalesce("whole", "key").alias("segment")).where("segment <> ''")
     stretch = F.transform(F.sequence(F.lit(0), F.length("segment") - 1, F.lit(STRETCH)), lambda k: F.struct(k.alias("at"), F.substring(F.col("segment"), k + 1, F.lit(STRETCH + vocabulary.longest - 1)).alias("part"), F.when(k == 0, F.col("segment")).alias("first")))
     parts = keyed.select("key", "n", F.inline(stretch)).withColumn("chars_in", F.length("part"))
@@ -216,8 +211,7 @@ def lattice(segments: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     edges = subs.join(F.broadcast(table), "piece", "left").where("id IS NOT NULL OR chars = 1")
     known = F.coalesce("id", F.lit(UNKNOWN).bitwiseOR(F.ascii("piece"))).cast("long")
     packed = _shift(F.col("start") + F.col("chars"), END_BITS).bitwiseOR(_shift(F.lit(LONG_CHARS) - F.col("chars"), CHAR_BITS)).bitwiseOR(known)
-    edge = F.struct(packed.alias("e"), F.coalesce("score", F.lit(vocabulary.unknown)).alias("score"))
-    return edges.groupBy("key").agg(F.max("n").alias("n"), F.max("segment").alias("segment"), F.sort_array(F.collect_list(edge)).alias("edges"))
+    return edges.groupBy("key").agg(F.max("n").alias("n"), F.max("segment").alias("segment"), F.sort_array(F.collect_list(packed)).alias("edges"))
 
 
 def _end(e: Column) -> Column:
@@ -228,20 +222,22 @@ def _chars(e: Column) -> Column:
     return F.lit(LONG_CHARS) - F.shiftright(e, CHAR_BITS).bitwiseAND(F.lit(LONG_CHARS - 1)).cast("int")
 
 
-def best_edges(edges: Column, longest: int) -> Column:
-    """The edge that reaches each place of a segment with the best sum of scores, the longer one where sums are equal."""
+def best_edges(edges: Column, scores: Column, vocabulary: Vocabulary) -> Column:
+    """The edge that reaches each place of a segment with the best sum of scores, the longer one where sums are equal. scores: of each piece, by id."""
+    longest = vocabulary.longest
 
-    def step(acc: Column, x: Column) -> Column:
-        e, best, size = x["e"], acc["best"], F.size(acc["best"])
+    def step(acc: Column, e: Column) -> Column:
+        best, size = acc["best"], F.size(acc["best"])
+        own = F.coalesce(F.get(scores, e.bitwiseAND(F.lit((1 << CHAR_BITS) - 1)).cast("int")), F.lit(vocabulary.unknown))
         # scores up to the place before ``end`` are in ``best``; that of ``end`` itself is still ``top``
-        here = x["score"] + F.get(best, size - _chars(e))
-        beyond = x["score"] + F.get(best, size + 1 - _chars(e))
+        here = own + F.get(best, size - _chars(e))
+        beyond = own + F.when(_chars(e) == 1, acc["top"]).otherwise(F.get(best, size + 1 - _chars(e)))
         full = F.size(acc["block"]) >= FOLD_BLOCK
         ahead = F.struct(
             F.concat(F.when(size >= 2 * longest, F.slice(best, size - longest + 1, F.lit(longest))).otherwise(best), F.array(acc["top"])).alias("best"),
             F.when(full, F.concat(acc["blocks"], F.array(acc["block"]))).otherwise(acc["blocks"]).alias("blocks"),
             F.when(full, F.array(acc["via"])).otherwise(F.concat(acc["block"], F.array(acc["via"]))).alias("block"),
-            F.when(_chars(e) == 1, x["score"] + acc["top"]).otherwise(beyond).alias("top"), e.alias("via"), _end(e).alias("end"),
+            beyond.alias("top"), e.alias("via"), _end(e).alias("end"),
         )
         better = F.struct(best.alias("best"), acc["blocks"].alias("blocks"), acc["block"].alias("block"), here.alias("top"), e.alias("via"), acc["end"].alias("end"))
         return F.when(_end(e) > acc["end"], ahead).when(here > acc["top"], better).otherwise(acc)
@@ -276,68 +272,72 @@ def path_ids(back: Column, codes: list[int]) -> Column:
 
 def encode_segments(segments: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """segment, id_a, id_b, n and ids of each segment. segments: as count_segments gives them."""
-    folded = lattice(segments, vocabulary).select("n", "segment", best_edges(F.col("edges"), vocabulary.longest).alias("back"))
+    by_id = dict(vocabulary.pieces.values())
+    scores = segments.sparkSession.createDataFrame([([by_id.get(i) for i in range(max(by_id) + 1)],)], "scores array<double>").scalar()
+    folded = lattice(segments, vocabulary).withColumn("scores", scores).select("n", "segment", best_edges(F.col("edges"), F.col("scores"), vocabulary).alias("back"))
     crc = F.crc32(F.col("segment").cast("binary")).bitwiseAND(F.lit(CRC_MASK)).cast("int")
     return folded.select("segment", F.xxhash64("segment").alias("id_a"), crc.alias("id_b"), "n", path_ids(F.col("back"), vocabulary.bytes).alias("ids"))
 
 
 class Held:
-    """The ids of the most frequent segments as flat arrays, and a bounded memory of words that are made of them."""
+    """The ids of the most frequent segments, and a bounded memory of words that are made of them."""
 
-    def __init__(self, a: np.ndarray, b: np.ndarray, at: np.ndarray, ids: np.ndarray) -> None:
-        self.a, self.b, self.at, self.data = a, b, at, memoryview(ids).cast("B")
-        #: key: its ids as bytes; or, for a word that lacks some, its segments as (id_a, id_b, ids or None).
+    def __init__(self, cutter: Cutter, segments: list[str], ends: np.ndarray, ids: np.ndarray) -> None:
+        data, ends = ids.tobytes(), (4 * ends).tolist()
+        self.cutter, self.table = cutter, dict(zip(segments, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+        #: key: its ids as bytes; or, for a word that lacks some, its segments as (id_a, id_b, None) or (0, 0, ids).
         self.made: dict[str, bytes] = {}
         self.lacks: dict[str, list[tuple[int, int, bytes | None]]] = {}
 
-    def know(self, cutter: Cutter, words: list[list[str]]) -> None:
+    def know(self, words: list[list[str]]) -> None:
         if len(self.made) + len(self.lacks) > COUNTED:
             self.made.clear()
             self.lacks.clear()
         new = set().union(*words)
         new.difference_update(self.made, self.lacks)
         keys = list(new)
-        for start in range(0, len(keys), 10_000):
-            self.look_up(cutter, keys[start : start + 10_000])
-
-    def look_up(self, cutter: Cutter, keys: list[str]) -> None:
-        import xxhash
-
-        digest = xxhash.xxh64_intdigest
-        segments = cutter.segments(keys)
-        raw = [s.encode(errors="surrogatepass") for own in segments for s in own]
-        a = np.fromiter((digest(x, 42) for x in raw), np.uint64, len(raw)).view(np.int64)
-        b = (np.fromiter(map(zlib.crc32, raw), np.int64, len(raw)) & CRC_MASK).astype(np.int32)
-        found, low, high = np.zeros(len(a), bool), np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
-        if len(self.a):
-            i = np.minimum(np.searchsorted(self.a, a), len(self.a) - 1)
-            found, low, high = (self.a[i] == a) & (self.b[i] == b), self.at[i] * 4, self.at[i + 1] * 4
-        coded = [bytes(self.data[x:y]) if f else None for f, x, y in zip(found.tolist(), low.tolist(), high.tolist(), strict=True)]
-        n, a, b = 0, a.tolist(), b.tolist()
-        for k, own in zip(keys, segments, strict=True):
-            m = n + len(own)
-            mine = coded[n:m]
-            if None in mine:
-                self.lacks[k] = list(zip(a[n:m], b[n:m], mine, strict=True))
+        for start in range(0, len(keys), 20_000):
+            self.look_up(keys[start : start + 20_000])
+
+    def look_up(self, keys: list[str]) -> None:
+        from xxhash import xxh64_intdigest as digest
+
+        found, counts = self.cutter.segments(keys)
+        coded = list(map(self.table.get, found))
+        n = 0
+        for k, size in zip(keys, counts, strict=True):
+            if size == 1:
+                x = coded[n]
+                mine = [x]
+            else:
+                mine = coded[n : n + size]
+                x = None if None in mine else b"".join(mine)
+            if x is None:
+                gaps = []
+                for s, y in zip(found[n : n + size], mine, strict=True):
+                    if y is None:
+                        raw = s.encode(errors="surrogatepass")
+                        a = digest(raw, 42)
+                        gaps.append((a - (1 << 64) if a >> 63 else a, crc32(raw) & CRC_MASK, None))
+                    else:
+                        gaps.append((0, 0, y))
+                self.lacks[k] = gaps
             else:
-                self.made[k] = b"".join(mine) if m > n + 1 else mine[0]
-            n = m
+                self.made[k] = x
+            n += size
 
 
-def _hold(coded: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of the segments seen most, at most as many as ``most``: all that occur some number of times or more."""
+def _hold(coded: DataFrame, most: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Segments seen most, at most as many as ``most``: all that occur some number of times or more, and their ids with the ends of each."""
     often = coded.select(F.least("n", F.lit(OFTEN)).alias("n")).groupBy("n").agg(F.count("*").alias("segments")).collect()  # OFTEN rows at most
     least, taken = OFTEN + 1, 0
     for n, segments in sorted(((r["n"], r["segments"]) for r in often), reverse=True):
         if taken + segments > most:
             break
         least, taken = n, taken + segments
-    top = coded.where(F.least("n", F.lit(OFTEN)) >= least).select("id_a", "id_b", "ids").toArrow()
-    order = np.argsort(top["id_a"].to_numpy())
-    top = top.take(order).combine_chunks()
+    top = coded.where(F.least("n", F.lit(OFTEN)) >= least).where(F.length("segment") <= STRETCH).select("segment", "ids").toArrow().combine_chunks()
     ids = pa.concat_arrays(top["ids"].chunks) if top.num_rows else pa.array([], pa.list_(pa.int32()))
-    at = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))])
-    return top["id_a"].to_numpy().astype(np.int64), top["id_b"].to_numpy().astype(np.int32), at.astype(np.int64), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+    return top["segment"].to_pylist(), np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False)), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name: str = "ids", keep: list[str] | None = None) -> DataFrame:
@@ -351,9 +351,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name: st
     """
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/segments-{uuid.uuid4().hex}"
-    encode_segments(count_segments(docs, vocabulary, text), vocabulary).select("id_a", "id_b", "n", "ids").write.parquet(folder)
+    encode_segments(count_segments(docs, vocabulary, text), vocabulary).write.parquet(folder)
     coded = spark.read.parquet(folder)
-    cutter_of, arrays = _cutter(spark, vocabulary), spark.sparkContext.broadcast(_hold(coded, TABLE_ROWS))
+    cutter_of, table_of = _cutter(spark, vocabulary), spark.sparkContext.broadcast(_hold(coded, TABLE_ROWS))
     # a key from the row itself is the same each time that docs are computed, and copies of a text have different rows
     atoms = [f"`{f.name}`" for f in docs.schema if isinstance(f.dataType, AtomicType)]
     kept = docs.columns if keep is None else keep
@@ -365,14 +365,15 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name: st
     def code(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        cutter, held, z = Cutter(*cutter_of.value), Held(*arrays.value), zstandard.ZstdCompressor(level=3)
+        cutter, z = Cutter(*cutter_of.value), zstandard.ZstdCompressor(level=3)
+        held = Held(cutter, *table_of.value)
         for part in _slices(it, "text"):
             texts = part.column("text").to_pylist()
             words = [cutter.words(t) for t in texts]
-            held.know(cutter, words)
+            held.know(words)
             made, lacks, out, missing = held.made, held.lacks, [], []
             for own in words:
-                rare = {w for w in {*own} if w in lacks} if lacks else ()
+                rare = lacks.keys() & {*own}
                 if rare:
                     gaps = sorted({(a, b) for w in rare for a, b, x in lacks[w] if x is None})
                     mark = {a: (-i).to_bytes(4, "little", signed=True) for i, (a, _) in enumerate(gaps, 1)}
@@ -431,7 +432,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name: st
             yield pa.RecordBatch.from_arrays([*(part.column(k) if k in carried else texts for k in columns), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], names=[*columns, "ids"])
 
     out = StructType([*(StructField(k, t) for k, t in zip(columns, types, strict=True)), StructField("ids", ArrayType(IntegerType()))])
-    return started.join(rare, "row", "left").drop("row", "gaps_a", "gaps_b").mapInArrow(finish, out).toDF(*kept, name)
+    # all columns of ``started`` go on, so that the exchange is the same
+    return started.join(rare, "row", "left").mapInArrow(finish, out).toDF(*kept, name)
 
 
 def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", name: str = "decoded") -> DataFrame:
