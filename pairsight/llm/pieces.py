@@ -34,15 +34,17 @@ from .common import shared_folder
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Segments whose ids every task holds in memory, at most: those that occur most often.
-TABLE_ROWS = 1 << 18
+TABLE_ROWS = 1 << 19
 #: Counts from which segments aren't told apart when those to hold are chosen.
 OFTEN = 1 << 16
 #: Characters of the stretches that a segment's substrings are taken from.
 STRETCH = 64
 #: Elements of the blocks in which a fold's result grows.
 FOLD_BLOCK = 128
-#: Different words that a task counts before it hands the counts on, and whose ids it remembers.
+#: Different words that a task counts before it cuts them, and whose ids it remembers.
 COUNTED = 150_000
+#: Different segments that a task counts before it hands the counts on.
+SEGMENTS = 400_000
 #: The column that decoding looks pieces up in.
 HEX_TABLE = "_hex_of_each_piece"
 #: Texts, and bytes of them, that a task takes at a time.
@@ -156,28 +158,35 @@ def count_segments(docs: DataFrame, vocabulary: Vocabulary, text: str = "text")
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Cutter(*shared.value)
 
-        def hand_on(words: Counter) -> Iterator[pa.RecordBatch]:
-            keys, seen = list(words), Counter()
+        words: Counter = Counter()
+        seen: Counter = Counter()
+
+        def cut_words() -> None:
+            keys = list(words)
             for at in range(0, len(keys), 20_000):
                 part = keys[at : at + 20_000]
                 found, counts = cutter.segments(part)
                 for s, n in zip(found, chain.from_iterable(map(repeat, map(words.__getitem__, part), counts)), strict=True):
                     seen[s] += n
+            words.clear()
+
+        def hand_on() -> Iterator[pa.RecordBatch]:
             names = list(seen)
             for at in range(0, len(names), 20_000):
                 part = names[at : at + 20_000]
                 keys = [s if len(s) <= STRETCH else f"{SPACE}{SPACE}\n{hashlib.sha256(s.encode(errors='surrogatepass')).hexdigest()}" for s in part]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([s if len(s) > STRETCH else None for s in part], pa.string()), pa.array([seen[s] for s in part], pa.int32())], names=["key", "whole", "n"])
+            seen.clear()
 
-        words: Counter = Counter()
         for part in _slices(it, "text"):
             for t in part.column(0).to_pylist():
                 words.update(cutter.words(t))
             if len(words) >= COUNTED:
-                yield from hand_on(words)
-                words = Counter()
-        if words:
-            yield from hand_on(words)
+                cut_words()
+                if len(seen) >= SEGMENTS:
+                    yield from hand_on()
+        cut_words()
+        yield from hand_on()
 
     rows = docs.select(F.col(text).alias("text")).mapInArrow(count, "key string, whole string, n int")
     return rows.repartition("key").groupBy("key", "whole").agg(F.sum("n").alias("n"))
@@ -275,8 +284,13 @@ def encode_segments(segments: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     by_id = dict(vocabulary.pieces.values())
     scores = segments.sparkSession.createDataFrame([([by_id.get(i) for i in range(max(by_id) + 1)],)], "scores array<double>").scalar()
     folded = lattice(segments, vocabulary).withColumn("scores", scores).select("n", "segment", best_edges(F.col("edges"), F.col("scores"), vocabulary).alias("back"))
+    return with_identity(folded.select("segment", "n", path_ids(F.col("back"), vocabulary.bytes).alias("ids")))
+
+
+def with_identity(segments: DataFrame) -> DataFrame:
+    """segments with id_a and id_b, by which one is known."""
     crc = F.crc32(F.col("segment").cast("binary")).bitwiseAND(F.lit(CRC_MASK)).cast("int")
-    return folded.select("segment", F.xxhash64("segment").alias("id_a"), crc.alias("id_b"), "n", path_ids(F.col("back"), vocabulary.bytes).alias("ids"))
+    return segments.select("*", F.xxhash64("segment").alias("id_a"), crc.alias("id_b"))
 
 
 class Held:
@@ -327,17 +341,21 @@ class Held:
             n += size
 
 
-def _hold(coded: DataFrame, most: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Segments seen most, at most as many as ``most``: all that occur some number of times or more, and their ids with the ends of each."""
+def _hold(coded: DataFrame, most: int, n_ids: int) -> tuple[np.ndarray, tuple[list[str], np.ndarray, np.ndarray]]:
+    """All ids by how often they occur; and segments seen most, at most as many as ``most``: all that occur some number of times or more, with the ends and the ranks of their ids."""
     often = coded.select(F.least("n", F.lit(OFTEN)).alias("n")).groupBy("n").agg(F.count("*").alias("segments")).collect()  # OFTEN rows at most
     least, taken = OFTEN + 1, 0
     for n, segments in sorted(((r["n"], r["segments"]) for r in often), reverse=True):
         if taken + segments > most:
             break
         least, taken = n, taken + segments
-    top = coded.where(F.least("n", F.lit(OFTEN)) >= least).where(F.length("segment") <= STRETCH).select("segment", "ids").toArrow().combine_chunks()
+    top = coded.where(F.least("n", F.lit(OFTEN)) >= least).where(F.length("segment") <= STRETCH).select("segment", "n", "ids").toArrow().combine_chunks()
     ids = pa.concat_arrays(top["ids"].chunks) if top.num_rows else pa.array([], pa.list_(pa.int32()))
-    return top["segment"].to_pylist(), np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False)), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+    sizes, flat = ids.value_lengths().to_numpy(zero_copy_only=False), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    by_rank = np.argsort(-np.bincount(flat, weights=np.repeat(top["n"].to_numpy(), sizes), minlength=n_ids), kind="stable").astype(np.int32)
+    rank = np.empty(n_ids, np.int32)
+    rank[by_rank] = np.arange(n_ids)
+    return by_rank, (top["segment"].to_pylist(), np.cumsum(sizes), rank[flat].astype(np.int32))
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name: str = "ids", keep: list[str] | None = None) -> DataFrame:
@@ -351,9 +369,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name: st
     """
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/segments-{uuid.uuid4().hex}"
-    encode_segments(count_segments(docs, vocabulary, text), vocabulary).write.parquet(folder)
-    coded = spark.read.parquet(folder)
-    cutter_of, table_of = _cutter(spark, vocabulary), spark.sparkContext.broadcast(_hold(coded, TABLE_ROWS))
+    encode_segments(count_segments(docs, vocabulary, text), vocabulary).drop("id_a", "id_b").write.parquet(folder)
+    coded = with_identity(spark.read.parquet(folder))
+    n_ids = max(*vocabulary.bytes, *(i for i, _ in vocabulary.pieces.values())) + 1
+    by_rank, table = _hold(coded, TABLE_ROWS, n_ids)
+    cutter_of, table_of, id_of = _cutter(spark, vocabulary), spark.sparkContext.broadcast(table), spark.sparkContext.broadcast(by_rank)
     # a key from the row itself is the same each time that docs are computed, and copies of a text have different rows
     atoms = [f"`{f.name}`" for f in docs.schema if isinstance(f.dataType, AtomicType)]
     kept = docs.columns if keep is None else keep
@@ -372,16 +392,21 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name: st
             words = [cutter.words(t) for t in texts]
             held.know(words)
             made, lacks, out, missing = held.made, held.lacks, [], []
+
+            def packed(ranks: list[bytes]) -> bytes:
+                """Compressed with the bytes of one place after those of another: frequent ids have small ranks, so most of them are alike."""
+                return z.compress(np.frombuffer(b"".join(ranks), np.uint8).reshape(-1, 4).T.tobytes())
+
             for own in words:
                 rare = lacks.keys() & {*own}
                 if rare:
                     gaps = sorted({(a, b) for w in rare for a, b, x in lacks[w] if x is None})
-                    mark = {a: (-i).to_bytes(4, "little", signed=True) for i, (a, _) in enumerate(gaps, 1)}
+                    mark = {a: (n_ids + i).to_bytes(4, "little") for i, (a, _) in enumerate(gaps)}
                     mine = {w: b"".join([mark[a] if x is None else x for a, _, x in lacks[w]]) for w in rare}
-                    out.append(z.compress(b"".join([made.get(w) or mine[w] for w in own])))
+                    out.append(packed([made.get(w) or mine[w] for w in own]))
                     missing.append(gaps)
                 else:
-                    out.append(z.compress(b"".join([made[w] for w in own])))
+                    out.append(packed([made[w] for w in own]))
                     missing.append(())
             ends = pa.array(np.cumsum([0, *map(len, missing)]).astype(np.int32))
             gaps_a, gaps_b = (pa.ListArray.from_arrays(ends, pa.array([g[i] for own in missing for g in own], kind)) for i, kind in ((0, pa.int64()), (1, pa.int32())))
@@ -409,20 +434,20 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name: st
 
         z = zstandard.ZstdDecompressor()
         for part in _slices(it, "coded"):
-            parts = [np.frombuffer(z.decompress(x), np.int32) for x in part.column("coded").to_pylist()]
+            parts = [np.frombuffer(z.decompress(x), np.uint8).reshape(4, -1).T.reshape(-1).view(np.int32) for x in part.column("coded").to_pylist()]
             flat, sizes = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
             fills = part.column("fill")
             counts = np.nan_to_num(pa.compute.list_value_length(fills).to_numpy(zero_copy_only=False).astype(np.float64)).astype(np.int64)
             raw = fills.flatten().to_pylist()
             fill, lengths = np.frombuffer(b"".join(raw), ">i4").astype(np.int32), np.fromiter(map(len, raw), np.int64, len(raw)) // 4
             starts = np.cumsum(lengths) - lengths
-            gaps = np.flatnonzero(flat < 0)
-            which = np.repeat(np.cumsum(counts) - counts, sizes)[gaps] - flat[gaps] - 1
+            plain, gaps = np.flatnonzero(flat < n_ids), np.flatnonzero(flat >= n_ids)
+            which = np.repeat(np.cumsum(counts) - counts, sizes)[gaps] + flat[gaps] - n_ids
             width = np.ones(len(flat), np.int64)
             width[gaps] = lengths[which]
             at = np.cumsum(width) - width
             ids = np.empty(int(width.sum()), np.int32)
-            ids[at[flat >= 0]] = flat[flat >= 0]
+            ids[at[plain]] = id_of.value[flat[plain]]
             more = lengths[which]
             inside = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more)
             ids[np.repeat(at[gaps], more) + inside] = fill[np.repeat(starts[which], more) + inside]
