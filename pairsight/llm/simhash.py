@@ -1,19 +1,23 @@
 """SimHash near-duplicates found with BK-trees.
 
 Equal fingerprints are one row from the start. Two fingerprints that differ in at most RADIUS of 64 bits agree in
-at least two of six blocks of bits, so every one is put under the values of all fifteen pairs of blocks, and a tree
-is grown from those under the same value: a child hangs on the edge that is its Hamming distance to the parent, and
-a search follows only edges within the radius of the distance at hand. A value that very many share is split into
-shards; each shard's tree is then searched with the fingerprints of every shard, a pair of shards at a time.
+at least two of six blocks of bits, so every one is put under the values of all fifteen pairs of blocks; values that only
+one has are dropped. From those under the same value, shards of at most SHARD, trees are grown by tasks: a child hangs on
+the edge that is its Hamming distance to the parent. The shards' trees, flat arrays of some 20 bytes a node, are broadcast
+and searched with every fingerprint under their value; a search follows only edges within the radius of the distance at
+hand. With more than TREE_NODES nodes in all, trees aren't broadcast but searched where they were grown, with
+fingerprints that are shuffled there. Links are the same either way.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +29,10 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 #: Fingerprints under one value that make one tree, about.
 SHARD = 2048
+#: Nodes of all trees together that are broadcast at most: 20 MB.
+TREE_NODES = 1 << 20
+#: Parts that the links of one component are dealt to when it gets its name.
+SALTS = 32
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -57,56 +65,153 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 class BKTree:
-    """Metric tree over integers under Hamming distance."""
-
-    def __init__(self) -> None:
-        self.root: list | None = None
-
-    def add(self, x: int) -> None:
-        if self.root is None:
-            self.root = [x, {}]
-            return
-        node = self.root
-        while d := (x ^ node[0]).bit_count():
-            if d not in node[1]:
-                node[1][d] = [x, {}]
+    """Metric trees over integers under Hamming distance, in flat arrays. A node has its value, its edge to the parent, its first child and its next sibling."""
+
+    def __init__(self, value: bytes = b"", edge: bytes = b"", child: bytes = b"", sibling: bytes = b"") -> None:
+        self.value, self.edge, self.child, self.sibling = array("Q", value), array("B", edge), array("i", child), array("i", sibling)
+
+    def arrays(self) -> tuple[bytes, bytes, bytes, bytes]:
+        return self.value.tobytes(), self.edge.tobytes(), self.child.tobytes(), self.sibling.tobytes()
+
+    def add(self, x: int, root: int = 0) -> None:
+        """Hangs x into the tree of a root; into none where the root is yet to come. A value that is there already stays once."""
+        value, edge, child, sibling = self.value, self.edge, self.child, self.sibling
+        node, d = root, 0
+        while node < len(value) and (d := (x ^ value[node]).bit_count()):
+            next_ = child[node]
+            while next_ >= 0 and edge[next_] != d:
+                next_ = sibling[next_]
+            if next_ < 0:
+                sibling.append(child[node])
+                child[node] = len(value)
+                break
+            node = next_
+        else:
+            if node < len(value):
                 return
-            node = node[1][d]
-
-    def near(self, x: int, radius: int) -> Iterator[int]:
-        stack = [self.root] if self.root else []
+            sibling.append(-1)
+        value.append(x)
+        edge.append(d)
+        child.append(-1)
+
+    def near(self, x: int, radius: int, root: int = 0) -> Iterator[int]:
+        """Values within the radius of x."""
+        value, edge, child, sibling = self.value, self.edge, self.child, self.sibling
+        stack = [root] if root < len(value) else []
         while stack:
             node = stack.pop()
-            d = (x ^ node[0]).bit_count()
+            d = (x ^ value[node]).bit_count()
             if d <= radius:
-                yield node[0]
-            stack += [child for edge, child in node[1].items() if -radius <= edge - d <= radius]
-
-
-def _forest(groups: Iterator[tuple[list[int], list[int]]], radius: int) -> Iterator[tuple[int, int]]:
-    """For each group, given as the two sides to compare (the same list for a group with itself), edges that connect what is linked."""
-    for left, right in groups:
-        parent: dict[int, int] = {}
-
-        def find(x: int, parent: dict[int, int] = parent) -> int:
-            while (up := parent.setdefault(x, x)) != x:
-                parent[x] = x = parent[up]
-            return x
-
-        tree, same = BKTree(), left is right
-        if not same:
-            for x in left:
-                tree.add(x)
-        for x in right:
-            for y in tree.near(x, radius):
-                a, b = find(x), find(y)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-            if same:
-                tree.add(x)
-        for x in list(parent):
-            if (root := find(x)) != x:
-                yield x, root
+                yield value[node]
+            next_ = child[node]
+            while next_ >= 0:
+                if -radius <= edge[next_] - d <= radius:
+                    stack.append(next_)
+                next_ = sibling[next_]
+
+
+class Forest:
+    """What is linked so far, as a parent for each value; hands on an edge to its root for each."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        parent = self.parent
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    def link(self, x: int, y: int) -> None:
+        a, b = self.find(x), self.find(y)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+
+    def edges(self) -> pd.DataFrame:
+        found = [(x, root) for x in list(self.parent) if (root := self.find(x)) != x]
+        self.parent.clear()
+        return pd.DataFrame(np.array(found, np.uint64).reshape(-1, 2).view(np.int64), columns=["a", "b"])
+
+
+#: Values that a task's forest holds before it hands its edges on.
+FOREST = 200_000
+
+
+def _groups(it: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Keys and rows of each group of rows that come sorted by them; a group is one shard's, or two shards'."""
+    key, rows = None, []
+    for pdf in it:
+        rest = [c for c in pdf.columns if c not in keys]
+        for k, row in zip(pdf[keys].itertuples(index=False, name=None), pdf[rest].itertuples(index=False, name=None), strict=True):
+            if k != key:
+                if rows:
+                    yield key, rows
+                key, rows = k, []
+            rows.append(row)
+    if rows:
+        yield key, rows
+
+
+def _broadcast_links(rows: DataFrame, radius: int) -> DataFrame:
+    """Links found with all shards' trees broadcast. rows: key, shard and fp."""
+
+    def grow(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for (key, _), values in _groups(it, ["key", "shard"]):
+            tree = BKTree()
+            for (x,) in values:
+                tree.add(x & 0xFFFFFFFFFFFFFFFF)
+            yield pd.DataFrame([(key, *tree.arrays())], columns=["key", "value", "edge", "child", "sibling"])
+
+    grown = rows.select("key", "shard", "fp").repartition("key", "shard").sortWithinPartitions("key", "shard").mapInPandas(grow, "key long, value binary, edge binary, child binary, sibling binary").toArrow()  # TREE_NODES nodes at most
+    sizes = np.fromiter((len(x) for x in grown["edge"].to_pylist()), np.int64, grown.num_rows)
+    roots = np.cumsum(sizes) - sizes
+    moved = lambda c: np.concatenate([np.zeros(0, np.int32), *(np.where((x := np.frombuffer(b, np.int32)) < 0, -1, x + r).astype(np.int32) for b, r in zip(grown[c].to_pylist(), roots, strict=True))]).tobytes()
+    order = np.argsort(grown["key"].to_numpy(), kind="stable")
+    shared = rows.sparkSession.sparkContext.broadcast((grown["key"].to_numpy()[order], roots[order], b"".join(grown["value"].to_pylist()), b"".join(grown["edge"].to_pylist()), moved("child"), moved("sibling")))
+
+    def search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, roots, *arrays = shared.value
+        trees, forest = BKTree(*arrays), Forest()
+        for batch in it:
+            wanted = batch.column("key").to_numpy()
+            low, high = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")
+            for x, a, b in zip(batch.column("fp").to_numpy().view(np.uint64).tolist(), low.tolist(), high.tolist(), strict=True):
+                for root in roots[a:b].tolist():
+                    for y in trees.near(x, radius, root):
+                        if x != y:
+                            forest.link(x, y)
+            if len(forest.parent) > FOREST:
+                yield pa.RecordBatch.from_pandas(forest.edges(), preserve_index=False)
+        yield pa.RecordBatch.from_pandas(forest.edges(), preserve_index=False)
+
+    return rows.select("key", "fp").mapInArrow(search, "a long, b long")
+
+
+def _shuffled_links(rows: DataFrame, radius: int) -> DataFrame:
+    """Links found where trees are grown: each pair of a value's shards is a group of its own. rows: key, shards, shard and fp."""
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    rows = rows.select("key", F.greatest("shard", "other").alias("s"), F.least("shard", "other").alias("t"), (F.col("shard") < F.col("other")).alias("left"), "fp")
+
+    def search(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forest = Forest()
+        for (_, s, t), group in _groups(it, ["key", "s", "t"]):
+            tree = BKTree()
+            if s != t:
+                for is_left, x in group:
+                    if is_left:
+                        tree.add(x & 0xFFFFFFFFFFFFFFFF)
+            for is_left, x in group:
+                if not is_left:
+                    x &= 0xFFFFFFFFFFFFFFFF
+                    for y in tree.near(x, radius):
+                        forest.link(x, y)
+                    if s == t:
+                        tree.add(x)
+            if len(forest.parent) > FOREST:
+                yield forest.edges()
+        yield forest.edges()
+
+    return rows.repartition("key", "s", "t").sortWithinPartitions("key", "s", "t").mapInPandas(search, "a long, b long")
 
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -122,34 +227,8 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     rows = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     rows = rows.join(shared, "key").withColumn("shards", F.ceil(F.col("n") / SHARD).cast("int"))
-    own = F.pmod(F.xxhash64("fp", F.lit("shard")), F.col("shards")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    rows = rows.select("key", F.greatest("own", "other").alias("s"), F.least("own", "other").alias("t"), (F.col("own") < F.col("other")).alias("left"), "fp")
-    rows = rows.repartition("key", "s", "t").sortWithinPartitions("key", "s", "t")
-
-    def groups(it: Iterator[pd.DataFrame]) -> Iterator[tuple[list[int], list[int]]]:
-        key, sides = None, ([], [])
-        for pdf in it:
-            for k, s, t, is_left, x in zip(pdf["key"].tolist(), pdf["s"].tolist(), pdf["t"].tolist(), pdf["left"].tolist(), pdf["fp"].tolist(), strict=True):
-                if (k, s, t) != key:
-                    if key:
-                        yield sides if key[1] != key[2] else (sides[1], sides[1])
-                    key, sides = (k, s, t), ([], [])
-                sides[0 if is_left else 1].append(x & 0xFFFFFFFFFFFFFFFF)
-        if key:
-            yield sides if key[1] != key[2] else (sides[1], sides[1])
-
-    def search(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out: list[tuple[int, int]] = []
-        for edge in _forest(groups(it), radius):
-            out.append(edge)
-            if len(out) >= 10_000:
-                yield pd.DataFrame(np.array(out, np.uint64).view(np.int64), columns=["a", "b"])
-                out = []
-        if out:
-            yield pd.DataFrame(np.array(out, np.uint64).view(np.int64), columns=["a", "b"])
-
-    return rows.mapInPandas(search, "a long, b long")
+    rows = cut(rows.select("key", "shards", F.pmod(F.xxhash64("fp", F.lit("shard")), F.col("shards")).cast("int").alias("shard"), "fp"))
+    return (_broadcast_links if rows.count() <= TREE_NODES else _shuffled_links)(rows, radius)
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -161,10 +240,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id
     prints = cut(fingerprints(docs, doc_id, text))
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     least = cut(least)
-    roots = connected_components(links(least.select("fp"), radius)).select(F.col("node").alias("fp"), "root")
-    least = least.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    named = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(least.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    # only what is linked has a root besides itself, and a component of any size is dealt to SALTS parts
+    roots = cut(connected_components(links(least.select("fp"), radius)).select(F.col("node").alias("fp"), "root"))
+    linked = roots.join(least, "fp")
+    named = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")
+    linked = roots.withColumn("salt", salt).join(named, ["root", "salt"]).select("fp", "component_id")
+    named = least.join(linked, "fp", "left").select("fp", F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:
