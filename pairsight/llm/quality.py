@@ -31,10 +31,13 @@ def _places(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """The places of all tokens and of all pairs; a row's first token makes a pair with its start, and a token that comes again, at once or after another, makes the same pair whatever it is."""
     mask = np.uint64((1 << BITS) - 1)
     h = hashes.astype(np.uint64)
+    first = (np.cumsum(sizes) - sizes)[sizes > 0]
     before = np.roll(h, 1)
-    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
+    before[first] = 0
+    two_before = np.roll(before, 1)
+    two_before[first] = 0
     pair = before * np.uint64(0x9E3779B97F4A7C15) ^ h
-    pair[np.roll(before, 1) == h] = 2
+    pair[two_before == h] = 2
     pair[before == h] = 1
     pair = (pair ^ (pair >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return (h & mask).astype(np.int64), ((pair >> np.uint64(32)) & mask).astype(np.int64)
@@ -84,7 +87,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality") ->
         return pd.DataFrame({"i": np.append(i, -1), "w": np.append(w[i], bias)})
 
     parts = rows.groupBy("shard").applyInPandas(learner, "i long, w double")
-    got = parts.groupBy("i").agg(F.sum("w").alias("w"), F.count("*").alias("n")).toPandas()  # a row for each place at most
+    got = parts.groupBy("i").agg(F.sum("w").alias("w"), F.count("*").alias("n")).toArrow().to_pandas()  # a row for each place at most
     weights = np.zeros(1 << BITS, np.float64)
     shards = max(int(got.loc[got["i"] == -1, "n"].sum()), 1)
     known = got[got["i"] >= 0]
