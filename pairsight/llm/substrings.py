@@ -2,31 +2,40 @@
 
 Wherever the same LENGTH bytes start twice, both places have the same smallest GRAM-byte hash within them. So starts
 whose strings have the same smallest gram, at the same place, are one context; contexts with the same gram are one
-group, and equal strings are always in one group. Grams that occur once in the corpus are dropped by a table of bits
-of fixed size. Equal contexts are counted, not repeated. In each group, what is left is cut to what it can share with
-any other context, put end to end and suffix-sorted: starts that are neighbours in that order and agree in LENGTH
-bytes are repeats. Groups with more than GROUP contexts are not put together: their starts are counted by hash.
+group, and equal strings are always in one group. Contexts are counted by hash first, without their bytes: one that
+occurs twice repeats whole, and only groups of two or more different contexts are looked at further. In each of those,
+contexts are cut to what they can share with any other, put end to end and suffix-sorted: starts that are neighbours
+in that order and agree in LENGTH bytes are repeats.
+
+A group of more than GROUP different contexts is split by longer strings around its gram, which equal strings share as
+well, until its parts are small enough to sort. Tables of bits of bounded size tell which grams can matter, so that
+fewer contexts are shuffled; they decide nothing else.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
-from .common import cut
+from .common import cut, shared_folder
 from .suffixes import suffix_array
 
 LENGTH, GRAM = 200, 64
 #: Bytes hashed at a time; longer texts go on with the next block.
 BLOCK = 1 << 20
-#: Bits of the table of grams that occur more than once, as a power of two. A fuller table lets more through to the exact count.
-TABLE_BITS = 26
-#: Contexts of a group that one task sorts at most.
+#: Bits of a table of grams, as powers of two, at least and at most. A fuller table lets more through, no fewer.
+LEAST_BITS, MOST_BITS = 18, 28
+#: Different contexts of a group that one task sorts at most.
 GROUP = 20_000
+#: Places of the gram within a string that a larger group's parts have in common, level by level. Strings with the gram at one place differ in nothing.
+WIDTHS = (35, 9, 1)
 #: Rows of the list of larger groups that are broadcast at most.
 BROADCAST_ROWS = 1_000_000
 RANGES = "array<struct<s:int,e:int>>"
@@ -58,8 +67,8 @@ def _rolling(b: np.ndarray, k: int, made: dict = {}) -> np.ndarray:  # noqa: B00
     return h ^ (h >> np.uint64(29))
 
 
-def contexts(data: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, int, int, int]]:
-    """(key, at, first, last): starts from first to last have their smallest gram at ``at``; key is its hash, of 43 bits."""
+def contexts(data: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """key, at, first and last of a text's contexts, block by block: starts from first to last have their smallest gram at ``at``; key is its hash, of 43 bits."""
     w = length - gram + 1
     low = np.uint64((1 << 21) - 1)
     for base in range(0, max(len(data) - length + 1, 0), BLOCK):
@@ -72,7 +81,7 @@ def contexts(data: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tu
         least = np.minimum(from_right[:m], from_left[w - 1 : w - 1 + m])
         first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
         key, at = (least[first] >> np.uint64(21)).astype(np.int64), (least[first] & low).astype(np.int64) + base
-        yield from zip(key.tolist(), at.tolist(), (first + base).tolist(), (np.append(first[1:], m) - 1 + base).tolist(), strict=True)
+        yield key, at, first + base, np.append(first[1:], m) - 1 + base
 
 
 def _shared(sorted_parts: list[tuple[bytes, int]], out: list[int]) -> None:
@@ -120,13 +129,13 @@ def repeats_in_group(group: list[tuple[bytes, int, int]], length: int = LENGTH)
     return found
 
 
-def _groups(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Ranges of repeated starts for contexts that come sorted by key."""
+def _groups(it: Iterator[pd.DataFrame], single: bool) -> Iterator[pd.DataFrame]:
+    """Ranges of repeated starts for contexts that come sorted by key; single: of those that occur once, as the others repeat whole."""
     key, ids, group, out = None, [], [], []
 
     def close() -> None:
-        for h, ranges in zip(ids, repeats_in_group(group), strict=True):
-            if ranges:
+        for h, (_, _, n), ranges in zip(ids, group, repeats_in_group(group), strict=True):
+            if ranges and not (single and n > 1):
                 out.append((key, h, [{"s": s, "e": e} for s, e in ranges]))
 
     for pdf in it:
@@ -145,87 +154,163 @@ def _groups(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(out, columns=["key", "ctx", "ranges"])
 
 
-def _occurrences(texts: DataFrame, bits, whole: bool) -> DataFrame:
-    """A row for each context of each text whose gram may occur twice: key, ctx, and where it is (whole: its bytes)."""
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
-        table = bits.value
-        for pdf in it:
-            rows = []
-            for text_id, text in zip(pdf["text_id"].tolist(), pdf["text"].tolist(), strict=True):
-                data = text.encode(errors="surrogatepass")
-                for key, at, first, last in contexts(data):
-                    slot = key & ((1 << TABLE_BITS) - 1)
-                    if table[slot >> 3] >> (slot & 7) & 1:
-                        c = data[first : last + LENGTH]
-                        h = xxhash.xxh64_intdigest(c, at - first) - (1 << 63)
-                        rows.append((key, h, at - first, c) if whole else (key, h, text_id, first))
-                if len(rows) >= 20_000:
-                    yield pd.DataFrame(rows, columns=["key", "ctx", "at", "bytes"] if whole else ["key", "ctx", "text_id", "first"])
-                    rows = []
-            yield pd.DataFrame(rows, columns=["key", "ctx", "at", "bytes"] if whole else ["key", "ctx", "text_id", "first"])
-
-    return texts.mapInPandas(run, "key long, ctx long, at int, bytes binary" if whole else "key long, ctx long, text_id string, first long")
+def _bits(keys: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """A table with the bit of each key set, folded in Spark to pages of 4 KB, and its size as a power of two."""
+    power = min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
+    slot = F.col("key").bitwiseAND(F.lit((1 << power) - 1)) + 1
+    pages = keys.groupBy(F.bitmap_bucket_number(slot).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).toArrow()  # bounded by the table
+    table = np.zeros(1 << (power - 3), np.uint8)
+    for page, bits in zip(pages["page"].to_pylist(), pages["bits"], strict=True):
+        table[(page - 1) * 4096 : page * 4096] = np.frombuffer(bits.as_buffer(), np.uint8)
+    return table, power
 
 
-def _by_hash(big: DataFrame) -> DataFrame:
-    """Ranges of repeated starts in groups too large for one task: every start is counted by the hash of its string."""
+def _contexts_of(texts: DataFrame, columns: str, bits=None, carried: bool = False, whole: bool = False) -> DataFrame:
+    """A row for each context of each text, or of those whose bit is set: key, ctx and starts; carried: where it occurs; whole: its bytes instead.
 
-    def starts(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for k, h, c, n in zip(pdf["key"].tolist(), pdf["ctx"].tolist(), pdf["bytes"].tolist(), pdf["n"].tolist(), strict=True):
-                x = _rolling(np.frombuffer(c, np.uint8), LENGTH).view(np.int64)
-                yield pd.DataFrame({"key": k, "ctx": h, "s": np.arange(len(x), dtype=np.int32), "h": x, "n": n})
-
-    rows = big.mapInPandas(starts, "key long, ctx long, s int, h long, n long")
-    again = rows.groupBy("key", "h").agg(F.sum("n").alias("n")).where("n > 1").select("key", "h")
-    return rows.join(again, ["key", "h"]).groupBy("key", "ctx").agg(F.transform(F.array_sort(F.collect_set("s")), lambda s: F.struct(s.alias("s"), (s + 1).alias("e"))).alias("ranges"))
+    ctx is the hash of a context's bytes and of the place of its gram in them; starts is how many strings start in it.
+    """
 
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
 
-def text_id(text: Column) -> Column:
-    return F.sha2(text.cast("binary"), 256)
+        digest, names = xxhash.xxh64_intdigest, [c.split()[0] for c in columns.split(", ")]
+        table, power = bits.value if bits is not None else (None, 0)
+        rows: dict[str, list] = {c: [] for c in names}
+
+        def batch() -> pa.RecordBatch:
+            kinds = {"bytes": pa.binary(), "at": pa.int32(), "starts": pa.int16()}
+            arrays = [pa.array(np.concatenate(v) if v and isinstance(v[0], np.ndarray) else v, kinds.get(c, pa.int64())) for c, v in rows.items()]
+            for v in rows.values():
+                v.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=names)
+
+        held = 0
+        for part in it:
+            for row, text in enumerate(part.column("text")):
+                data = text.as_py().encode(errors="surrogatepass")
+                for key, at, first, last in contexts(data):
+                    if table is not None:
+                        slot = key & ((1 << power) - 1)
+                        mine = np.flatnonzero(table[slot >> 3] >> (slot & 7) & 1)
+                        key, at, first, last = key[mine], at[mine], first[mine], last[mine]
+                    if not len(key):
+                        continue
+                    parts = [data[f : e + LENGTH] for f, e in zip(first.tolist(), last.tolist(), strict=True)]
+                    ctx = np.fromiter((digest(c, i) for c, i in zip(parts, (at - first).tolist(), strict=True)), np.uint64, len(parts)).view(np.int64)
+                    rows["key"].append(key)
+                    rows["ctx"].append(ctx)
+                    if carried:
+                        for c in ("row_a", "row_b"):
+                            rows[c].append(np.full(len(key), part.column(c)[row].as_py(), np.int64))
+                        rows["first"].append(first)
+                    elif whole:
+                        rows["at"].append((at - first).astype(np.int32))
+                        rows["bytes"] += parts
+                    else:
+                        rows["starts"].append((last - first + 1).astype(np.int16))
+                    held += len(key) * (10 if whole else 1)
+                    if held >= 200_000:
+                        held = 0
+                        yield batch()
+        if held:
+            yield batch()
+
+    return texts.mapInArrow(run, columns)
+
+
+def _sorted(groups: DataFrame, single: bool) -> DataFrame:
+    """key, ctx and the ranges of repeated starts of contexts in groups that one task can sort. groups: key, ctx, at, bytes, n."""
+    return groups.repartition("key").sortWithinPartitions("key", "ctx").mapInPandas(lambda it: _groups(it, single), f"key long, ctx long, ranges {RANGES}")
+
+
+def split_context(c: bytes, at: int, width: int, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, bytes, bytes, int]]:
+    """base, anchor, bytes and at of a context's parts: starts that have the gram at places of one class of ``width``, and what all their strings hold for sure."""
+    span = length - gram
+    for least in range(0, span + 1, width):
+        most = min(least + width - 1, span)
+        first, last = max(0, at - most), min(at - least, len(c) - length)
+        if first <= last:
+            yield first, b"%d:" % least + c[at - least : at + length - most], c[first : last + length], at - first
+
+
+def _split(large: DataFrame) -> DataFrame:
+    """Ranges of repeated starts in groups too large for one task. large: key, ctx, at, bytes, n of all their contexts."""
+    rows, ranges = large.withColumn("base", F.lit(0)), None
+    schema = "key long, ctx long, base int, key2 long, ctx2 long, at int, bytes binary, n long"
+    for width in WIDTHS:
+
+        def parts(it: Iterator[pd.DataFrame], width: int = width) -> Iterator[pd.DataFrame]:
+            import xxhash
+
+            for pdf in it:
+                for from_ in range(0, len(pdf), 500):
+                    out = []
+                    for k, h, b, at, c, n in pdf.iloc[from_ : from_ + 500][["key", "ctx", "base", "at", "bytes", "n"]].itertuples(index=False):
+                        for base, anchor, part, place in split_context(bytes(c), at, width):
+                            out.append((k, h, b + base, xxhash.xxh64_intdigest(anchor, k) - (1 << 63), xxhash.xxh64_intdigest(part, place) - (1 << 63), place, part, n))
+                    yield pd.DataFrame(out, columns=["key", "ctx", "base", "key2", "ctx2", "at", "bytes", "n"])
+
+        split = cut(rows.mapInPandas(parts, schema))
+        different = split.groupBy("key2", "ctx2", "at").agg(F.sum("n").alias("n"), F.first("bytes").alias("bytes")).withColumnsRenamed({"key2": "key", "ctx2": "ctx"})
+        if width > 1:
+            still = cut(split.select("key2", "ctx2").distinct().groupBy("key2").agg(F.count("*").alias("kinds")).where(F.col("kinds") > GROUP).select("key2"))
+            different = different.join(still.withColumnRenamed("key2", "key"), "key", "left_anti")
+        found = _sorted(different, False).withColumnsRenamed({"key": "key2", "ctx": "ctx2"})
+        moved = F.transform("ranges", lambda r: F.struct((r["s"] + F.col("base")).alias("s"), (r["e"] + F.col("base")).alias("e")))
+        found = split.select("key", "ctx", "base", "key2", "ctx2").join(found, ["key2", "ctx2"]).select("key", "ctx", moved.alias("ranges"))
+        ranges = found if ranges is None else ranges.unionByName(found)
+        if width > 1:
+            rows = split.join(still, "key2", "left_semi").select("key", "ctx", "base", "at", "bytes", "n")
+            if rows.isEmpty():
+                break
+    return ranges
 
 
 def repeated_strings(texts: DataFrame) -> DataFrame:
-    """text_id and spans, byte ranges covered by a repeated string, for each different text with any. texts: text_id and text, without nulls."""
+    """row_a, row_b and spans, byte ranges covered by a repeated string, for each row with any. texts: row_a, row_b, a key of the row, and text, without nulls."""
     spark = texts.sparkSession
-
-    def keys(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for at in range(0, len(pdf), 500):
-                yield pd.DataFrame({"key": np.array([c[0] for t in pdf["text"].iloc[at : at + 500] for c in contexts(t.encode(errors="surrogatepass"))], np.int64)})
-
-    counts = cut(texts.mapInPandas(keys, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    slot = F.col("key").bitwiseAND(F.lit((1 << TABLE_BITS) - 1))
-    words = counts.groupBy((slot / 32).cast("int").alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 32).cast("int"))).alias("b")).toPandas()  # bounded by the table
-    table = np.zeros(1 << (TABLE_BITS - 5), np.uint32)
-    table[words["i"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).astype(np.uint32)
-    bits = spark.sparkContext.broadcast(table.view(np.uint8))
-
-    found = _occurrences(texts, bits, True).groupBy("key", "ctx", "at").agg(F.count("*").alias("n"), F.first("bytes").alias("bytes"))
-    large = counts.where(F.col("n") > GROUP).select("key")
-    n_large = large.count()
-    part = lambda how: found.join(F.broadcast(large) if n_large <= BROADCAST_ROWS else large, "key", how)
-    small = part("left_anti") if n_large else found
-    ranges = small.repartition("key").sortWithinPartitions("key", "ctx").mapInPandas(_groups, f"key long, ctx long, ranges {RANGES}")
+    folder = f"{shared_folder(spark)}/contexts-{uuid.uuid4().hex}"
+    seen = _contexts_of(texts.select("text"), "key long, ctx long, starts short")
+    seen.groupBy("key", "ctx", "starts").agg(F.count("*").alias("n")).write.parquet(folder)
+    seen = spark.read.parquet(folder)
+    keys = cut(seen.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).where("n > 1"))
+    n_keys, n_mixed, n_large = keys.agg(F.count("*"), F.count_if(F.col("kinds") > 1), F.count_if(F.col("kinds") > GROUP)).first()
+    share = lambda x: spark.sparkContext.broadcast(x)
+
+    whole = seen.where("n > 1").select("key", "ctx", F.array(F.struct(F.lit(0).alias("s"), F.col("starts").cast("int").alias("e"))).alias("ranges"))
+    mixed = _contexts_of(texts.select("text"), "key long, ctx long, at int, bytes binary", share(_bits(keys.where("kinds > 1"), n_mixed)), whole=True)
+    mixed = mixed.groupBy("key", "ctx", "at").agg(F.count("*").alias("n"), F.first("bytes").alias("bytes"))
+    ranges = whole
     if n_large:
-        ranges = ranges.unionByName(_by_hash(part("left_semi")))
-    spans = _occurrences(texts, bits, False).join(ranges, ["key", "ctx"]).select("text_id", F.explode(F.transform("ranges", lambda r: F.struct((F.col("first") + r["s"]).alias("s"), (F.col("first") + r["e"] - 1 + LENGTH).alias("e")))).alias("r"))
-    return spans.groupBy("text_id").agg(F.array_sort(F.collect_set("r")).alias("spans"))
+        large = keys.where(F.col("kinds") > GROUP).select("key")
+        part = lambda how: mixed.join(F.broadcast(large) if n_large <= BROADCAST_ROWS else large, "key", how)
+        ranges = ranges.unionByName(_split(cut(part("left_semi")))).unionByName(_sorted(part("left_anti"), True))
+    elif n_mixed:
+        ranges = ranges.unionByName(_sorted(mixed, True))
+    places = _contexts_of(texts, "key long, ctx long, row_a long, row_b long, first long", share(_bits(keys, n_keys)), carried=True)
+    spans = places.join(ranges, ["key", "ctx"]).select("row_a", "row_b", F.explode(F.transform("ranges", lambda r: F.struct((F.col("first") + r["s"]).alias("s"), (F.col("first") + r["e"] - 1 + LENGTH).alias("e")))).alias("r"))
+    return spans.groupBy("row_a", "row_b").agg(F.array_sort(F.collect_set("r")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with ``kept``, the bytes of a text that no repeated string of LENGTH bytes covers, ``n_bytes``, and ``removed``, the runs that go.
 
     Every string is judged on the input: copies don't spare each other, and a string may start again in the same text
-    or overlap itself. A null text is empty; a text shorter than LENGTH stays whole. Rows of docs that repeat are copies.
+    or overlap itself. A null text is empty; a text shorter than LENGTH stays whole, and texts may have any length. Rows of
+    docs that repeat are copies. Columns of docs that have one of the three names are replaced.
     """
-    names = docs.columns
-    held = docs.select(F.struct(*names).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("text_id", text_id(F.col("text")))
-    spans = repeated_strings(held.where(F.octet_length("text") >= LENGTH).select("text_id", "text"))
-    joined = held.join(spans, "text_id", "left")
+    new = ("n_bytes", "removed", "kept")
+    names = [c for c in docs.columns if c not in new]
+    atoms = [f"`{f.name}`" for f in docs.schema if isinstance(f.dataType, AtomicType)]
+    # rows are told apart by 128 bits of a hash, which is the same each time that docs are computed
+    keyed = docs.select(F.xxhash64(*atoms).alias("row_a"), F.xxhash64(F.lit(LENGTH), *atoms).alias("row_b"), F.struct(*(f"`{c}`" for c in names)).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    spans = repeated_strings(keyed.where(F.octet_length("text") >= LENGTH).select("row_a", "row_b", "text"))
+    if text in names:  # once is enough on the way through the shuffle
+        keyed, value = keyed.drop("text"), F.coalesce(F.col("row")[text], F.lit(""))
+    else:
+        value = F.col("text")
+    joined = keyed.join(spans, ["row_a", "row_b"], "left")
 
     @F.pandas_udf(f"n_bytes long, removed {RANGES}, kept binary")
     def keep(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
@@ -244,7 +329,7 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
             out.append((len(data), runs, b"".join([*left, data[at:]])))
         return pd.DataFrame(out, columns=["n_bytes", "removed", "kept"])
 
-    return joined.withColumn("_k", keep("text", "spans")).select("_row.*", "_k.n_bytes", "_k.removed", "_k.kept")
+    return joined.withColumn("_k", keep(value, "spans")).select(*(F.col("row")[c].alias(c) for c in names), "_k.n_bytes", "_k.removed", "_k.kept")
 
 
 def substring_digest(docs: DataFrame) -> DataFrame:
