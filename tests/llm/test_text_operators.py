@@ -119,6 +119,66 @@ def test_toxicity_on_held_out_rows(spark, docs, empty):
     assert toxicity.toxicity(empty, labels).count() == 0
 
 
+def plain_kneser_ney(texts, labels, keep, discount, pair_discount, window=3):
+    """The ratio of a text, from dictionaries: the model of the labelled texts that ``keep`` takes."""
+    import math
+
+    seen = {0: set(), 1: set()}
+    for i, t in texts:
+        w = re.findall(r"[^\W_]+", (t or "").lower())
+        if i in labels and keep(zlib.crc32(str(i).encode()) % 3):
+            for k in {x: k for k, x in reversed(list(enumerate(w)))}.values():
+                seen[labels[i]].add((w[k], w[k - 1] if k else None, w[k - 2] if k > 1 else None))
+    pairs = {c: {} for c in seen}
+    for c, rows in seen.items():
+        for w, v, _ in rows:
+            pairs[c][w, v] = pairs[c].get((w, v), 0) + 1
+    words = {c: {} for c in seen}
+    for c, p in pairs.items():
+        for w, _ in p:
+            words[c][w] = words[c].get(w, 0) + 1
+    everything = {*words[0], *words[1]}
+    total = {c: max(sum(words[c].values()), 1) for c in words}
+    left = {c: 1 - sum(max(n - discount, 0) for n in words[c].values()) / total[c] for c in words}
+    both = sum(words[0].values()) + sum(words[1].values()) + len(everything) + 1
+
+    def word(c, w):
+        return max(words[c].get(w, 0) - discount, 0) / total[c] + left[c] * (words[0].get(w, 0) + words[1].get(w, 0) + 1) / both
+
+    heavy = {v for c in pairs for (_, v), n in pairs[c].items() if n > pair_discount}
+
+    def after(c, w, v):
+        if v not in heavy or not any(x == v for _, x in pairs[c]):
+            return word(c, w)
+        of = sum(n for (_, x), n in pairs[c].items() if x == v)
+        kept = sum(max(n - pair_discount, 0) for (_, x), n in pairs[c].items() if x == v)
+        return max(pairs[c].get((w, v), 0) - pair_discount, 0) / of + (1 - kept / of) * word(c, w)
+
+    def ratio(t):
+        w = re.findall(r"[^\W_]+", (t or "").lower())
+        each = [math.log(after(1, x, w[k - 1] if k else None) / after(0, x, w[k - 1] if k else None)) for k, x in enumerate(w)]
+        n = min(window, len(w))
+        return max((sum(each[k : k + n]) / n for k in range(len(w) - n + 1)), default=0.0) if w else 0.0
+
+    return ratio
+
+
+def test_toxicity_is_the_plain_model(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "DISCOUNT", 2)
+    monkeypatch.setattr(toxicity, "PAIR_DISCOUNT", 3)
+    texts, labels = labelled(spark, lambda i: f"you {WORDS[i % 20]} nasty thing {WORDS[i % 7]}")
+    have = [(r.doc_id, r.text) for r in texts.collect()]
+    ratio = plain_kneser_ney(have, {r.doc_id: r.toxic for r in labels.collect()}, lambda fold: fold != 1, 2, 3)
+    new = [t for _, t in have[:60]] + [None, "", "nasty", "alpha nasty", "unseen", "alpha unseen beta nasty thing unseen", "thing nasty unseen other you"]
+    df = spark.createDataFrame(list(enumerate(new)), "doc_id long, text string")
+    for most in (1 << 20, 5, 0):
+        model = toxicity.train_toxicity(texts, labels, most=most)
+        assert (model.rest is None) == (most > 5) and len(model.words) <= most and len(model.pairs) > 10 and len(model.contexts) > 5
+        got = {r.doc_id: r.x for r in toxicity._with_ratio(df, model, "text", "x").collect()}
+        for i, t in enumerate(new):
+            assert got[i] == pytest.approx(ratio(t), abs=1e-9)
+
+
 def test_toxicity_tells_all_words_apart(spark):
     texts, labels = labelled(spark, lambda i: "nasty")
     low = lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << 20) - 1))
@@ -128,7 +188,6 @@ def test_toxicity_tells_all_words_apart(spark):
     scores = []
     for most in (1 << 20, 3, 0):
         model = toxicity.train_toxicity(texts, labels, most=most)
-        assert (model.rest is None) == (most > 3) and len(model.words) <= most
         scores.append([r.score for r in toxicity.score_toxicity(new, model).orderBy("doc_id").collect()])
     assert scores[0] == pytest.approx(scores[1], abs=1e-12) and scores[0] == pytest.approx(scores[2], abs=1e-12)
     assert scores[0][0] == scores[0][1] == scores[0][4] < 0.5 < scores[0][2]
@@ -236,8 +295,10 @@ def test_simhash_components(docs, empty):
     assert simhash.simhash_digest(empty).count() == 0
 
 
-def test_links_are_found_across_shards(spark, monkeypatch):
+@pytest.mark.parametrize("nodes", [1 << 20, 0])
+def test_links_are_found_across_shards(spark, monkeypatch, nodes):
     monkeypatch.setattr(simhash, "SHARD", 5)
+    monkeypatch.setattr(simhash, "TREE_NODES", nodes)
     r = random.Random(3)
     center = r.getrandbits(64)
     flip = lambda x, n: x ^ sum(1 << b for b in r.sample(range(64), n))
@@ -274,8 +335,11 @@ def test_trees_follow_only_edges_within_the_radius():
     tree = simhash.BKTree()
     for v in values:
         tree.add(v)
+    again = simhash.BKTree(*tree.arrays())
+    assert len(tree.value) == len({*values})
     for q in values[:40]:
-        assert sorted(tree.near(q, 2)) == sorted({v for v in values if (v ^ q).bit_count() <= 2})
+        assert sorted(tree.near(q, 2)) == sorted(again.near(q, 2)) == sorted({v for v in values if (v ^ q).bit_count() <= 2})
+    assert list(simhash.BKTree().near(3, 2)) == []
 
 
 # ---- I-Match
