@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import comparable, strip
+from .text import comparable, number, strip
 
 NUMBER = r"[-+]?\d+(?:\.\d+)?"
 CRITERION = "struct<kind:string,op:string,value:double,low:double,high:double,unit:string,prefix:string,text:string>"
@@ -23,16 +23,16 @@ STANDARDS = ("ISO", "USP", "IEC", "EN", "ASTM", "BS")
 def criterion(text: Column, form: Column | None = None) -> Column:
     """CRITERION from the text of a cell; null for a blank one. form: the text in NFKC, where that may differ."""
     c = comparable(text if form is None else form)
-    number = lambda pattern, group: F.regexp_extract(c, pattern, group).try_cast("double")
+    read = lambda pattern, group: F.regexp_extract(c, pattern, group).try_cast("double")
     null, none = F.lit(None).cast("double"), F.lit("")
     limit_at = F.regexp_instr(c, F.lit(r">=|<="))
 
     def made(kind: str, op=none, value=null, low=null, high=null, unit=none, prefix=none, own=none) -> Column:
         return F.struct(F.lit(kind).alias("kind"), op.alias("op"), value.alias("value"), low.alias("low"), high.alias("high"), unit.alias("unit"), prefix.alias("prefix"), own.alias("text"))
 
-    between = made("range", low=number(_RANGE, 1), high=number(_RANGE, 2), unit=F.regexp_extract(c, _RANGE, 3))
+    between = made("range", low=read(_RANGE, 1), high=read(_RANGE, 2), unit=F.regexp_extract(c, _RANGE, 3))
     before = F.regexp_replace(F.regexp_extract(c, rf"^(.*?)(?:{_LIMIT})", 1), r"^[ .,:;]+|[ .,:;]+$", "")
-    limit = made("threshold", op=F.regexp_extract(c, _LIMIT, 1), value=number(_LIMIT, 2), unit=strip(F.regexp_extract(c, _LIMIT, 3)), prefix=before)
+    limit = made("threshold", op=F.regexp_extract(c, _LIMIT, 1), value=read(_LIMIT, 2), unit=strip(F.regexp_extract(c, _LIMIT, 3)), prefix=before)
     return F.when(strip(text) == "", None).when(c.rlike(_RANGE) & (limit_at == 0), between).when(c.rlike(_LIMIT), limit).when(text.isNotNull(), made("qualitative", own=strip(text))).cast(CRITERION)
 
 
@@ -41,6 +41,13 @@ def outside(c: Column, value: Column) -> Column:
     return F.when(c["kind"] == "range", (value < c["low"]) | (value > c["high"])).when(c["op"] == ">=", value < c["value"]).when(c["op"] == "<=", value > c["value"]).otherwise(F.lit(False))
 
 
+def describe(c: Column) -> Column:
+    """A criterion as text: its comparison, its bounds or its words."""
+    limit = F.concat_ws(" ", c["op"], number(c["value"]), F.nullif(c["unit"], F.lit("")))
+    between = F.concat_ws(" ", number(c["low"]), F.lit("-"), number(c["high"]), F.nullif(c["unit"], F.lit("")))
+    return F.when(c["kind"] == "threshold", limit).when(c["kind"] == "range", between).otherwise(c["text"])
+
+
 def _matches(text: Column, pattern: str | Column, build) -> Column:
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     group = lambda m, g: F.regexp_substr(m, pattern) if g == 0 else F.call_function("regexp_extract", m, pattern, F.lit(g))
@@ -100,6 +107,7 @@ def instruments(text: Column) -> Column:
 
 
 def external_references(text: Column) -> Column:
+    # fixed value: what a reference to a standard or to another document looks like
     pattern = r"\b(?:ISO|USP|IEC|EN|ASTM)\s*<?\d[\w\-<>.]*>?|\b[A-Z]{2,}-[A-Z0-9]+-\d+\b"
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))))
 

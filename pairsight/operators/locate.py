@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import loose_pattern, strip
+from ..sources.shared import settle
+from .structure import CELLS, DOC, SPANS, cell_text
 
 #: Beginnings of words by which a suggestion would judge; such a suggestion is dropped.
 VERDICTS = r"(?iU)\b(?:pass|fail|conform|non-?conform|complian|acceptab|unacceptab|approv|reject|satisf)\w*"
@@ -16,27 +19,76 @@ KEPT = 6
 REPLY = "suggestions array<struct<scope:string,observation:string,reviewer_action:string,protocol_quote:string,protocol_line:int,report_quote:string,report_line:int>>"
 
 
+#: Columns that a word's rest on the next line may stand beside its beginning, as the rest of a cell does.
+COLUMN_SLACK = 2
+
+
+def _longest(words: Column) -> Column:
+    return F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+
+
+def _candidates(quotes: DataFrame, lines: DataFrame) -> DataFrame:
+    """Quotations with the lines that may have them: a word between a quotation's first and last is a word of the line, which makes an equi-join; shorter ones meet the lines of their document that have their longest word in them."""
+    words = F.split("_q", r"(?U)\s+")
+    q = quotes.withColumn("_words", words)
+    inner = F.slice("_words", F.lit(2), F.size("_words") - 2)
+    long = q.where(F.size("_words") > 2).withColumn("_word", _longest(inner))
+    of_line = lines.select("pair_id", "doc_key", "page", "line", F.explode(F.array_distinct(F.split("raw", r"(?U)\s+"))).alias("_word"))
+    long = long.join(of_line, ["pair_id", "doc_key", "_word"]).join(lines, ["pair_id", "doc_key", "page", "line"])
+    short = q.where(F.size("_words") <= 2).withColumn("_word", _longest(F.col("_words"))).join(lines, ["pair_id", "doc_key"]).where(F.col("raw").contains(F.col("_word")))
+    return long.unionByName(short).drop("_word", "_words")
+
+
 def locate(quotes: DataFrame, lines: DataFrame) -> DataFrame:
-    """quotes with page, line, start, end and text of their place; null where they aren't in the document.
+    """quotes with page, line, start, end and text of their place, and ``rest_start`` and ``rest`` of what goes on in the next line; null where they aren't in the document.
 
     quotes: pair_id, doc_key, quote_id, quote and hint, the line where it is thought to be. White space may differ. The
-    hinted line comes first, else the first one. A quotation on no line is looked for in two: from some word on it may
-    go on at the next line's start; of several such places in a document the one with the longest first part counts.
+    hinted line comes first, else the first one. A quotation on no line is looked for in two: a word that a hyphen breaks
+    may go on in the next line in the same column, where the hyphen is the last of its cell; else from some word on the
+    quotation may go on anywhere in the next line, and the place with the longest first part counts.
     """
-    q = quotes.withColumn("_q", strip(F.col("quote"))).where("_q <> ''")
-    after = F.lead("raw").over(Window.partitionBy("pair_id", "doc_key", "page").orderBy("line"))
-    near = q.join(lines.withColumn("after", after), ["pair_id", "doc_key"])
+    where = ("pair_id", "doc_key", "quote_id")
+    q = settle(quotes.select(*where, "quote", "hint", strip(F.col("quote")).alias("_q")).where("_q <> ''"))
+    match = lambda text, pattern: F.call_function("regexp_substr", text, pattern)
+    at = lambda text, pattern: F.call_function("regexp_instr", text, pattern) - 1
+    none = F.lit(None)
+    near = _candidates(q, lines)
     pattern = loose_pattern(F.col("_q"))
-    one = near.where(F.regexp_like("raw", pattern)).select("pair_id", "doc_key", "quote_id", F.lit(0).alias("way"), (F.col("line") != F.coalesce("hint", F.lit(0))).cast("int").alias("far"), "page", "line", (F.call_function("regexp_instr", "raw", pattern) - 1).alias("start"), F.call_function("regexp_substr", "raw", pattern).alias("text"), F.lit(None).cast("string").alias("rest"))
+    one = near.where(F.regexp_like("raw", pattern)).select(*where, F.lit(0).alias("way"), (F.col("line") != F.coalesce("hint", F.lit(0))).cast("int").alias("far"), "page", "line", at("raw", pattern).alias("start"), match("raw", pattern).alias("text"), none.cast("int").alias("rest_start"), none.cast("string").alias("rest"))
+    one = settle(one.groupBy(*where).agg(F.min(F.struct("way", "far", "page", "line", "start", "text", "rest_start", "rest")).alias("b")))
+    # only what is on no line is held against two
+    left = q.join(one, list(where), "left_anti")
+    after = F.lead("raw").over(Window.partitionBy("pair_id", "doc_key", "page").orderBy("line"))
+    two_lines = lines.withColumn("after", after).where("after IS NOT NULL")
+    hyphens = F.regexp_extract_all("_q", F.lit("(?s)(?=((?<=[0-9A-Za-z])-(?=[0-9A-Za-z]).*))-"), F.lit(1))
+    broken = left.select("*", F.posexplode(hyphens).alias("_m", "_tail")).withColumn("_tail", F.substring("_tail", F.lit(2), F.length("_tail")))
+    broken = broken.withColumn("_head", F.substring("_q", F.lit(1), F.length("_q") - F.length("_tail")))
+    head, tail = loose_pattern(F.col("_head")), loose_pattern(F.col("_tail"))
+    first = _longest(F.split("_head", r"(?U)\s+"))
+    broken = broken.join(two_lines, ["pair_id", "doc_key"]).where(F.col("raw").contains(first) & F.regexp_like("raw", head)).withColumn("_at", at("raw", head)).withColumn("_text", match("raw", head))
+    last = F.col("_at") + F.length("_text")
+    broken = broken.where(F.trim(F.substring("raw", last + 1, F.lit(1))) == "")
+    low = F.greatest(F.col("_at") - COLUMN_SLACK, F.lit(0))
+    window = F.concat(F.lit(rf"(?s)^.{{0,{2 * COLUMN_SLACK}}}?"), tail)
+    rest = F.substring("after", low + 1, F.length("after"))
+    begin = low + F.length(match(rest, window)) - F.length(match(match(rest, window), F.concat(tail, F.lit("$"))))
+    broken = broken.where(F.regexp_like(rest, window)).withColumn("_rest_at", begin).where(F.abs(F.col("_rest_at") - F.col("_at")) <= COLUMN_SLACK)
+    broken = broken.select(*where, F.lit(1).alias("way"), F.col("_m").alias("far"), "page", "line", F.col("_at").cast("int").alias("start"), F.col("_text").alias("text"), F.col("_rest_at").cast("int").alias("rest_start"), match(rest, tail).alias("rest"))
     words = F.split("_q", r"(?U)\s+")
-    cut = near.where(F.size(words) >= 4).withColumn("words", words).withColumn("k", F.explode(F.sequence(F.lit(1), F.size("words") - 1)))
-    head, tail = F.array_join(F.slice("words", F.lit(1), F.col("k")), " "), F.array_join(F.slice("words", F.col("k") + 1, F.size("words")), " ")
-    ends = F.concat(loose_pattern(head), F.lit(r"(?U:\s*)$"))
-    begins = F.concat(F.lit(r"^(?U:\s*)"), loose_pattern(tail))
-    two = cut.where(F.regexp_like("raw", ends) & F.coalesce(F.regexp_like("after", begins), F.lit(False))).select("pair_id", "doc_key", "quote_id", F.lit(1).alias("way"), (-F.col("k")).alias("far"), "page", "line", (F.call_function("regexp_instr", "raw", ends) - 1).alias("start"), strip(F.call_function("regexp_substr", "raw", ends)).alias("text"), strip(F.call_function("regexp_substr", "after", begins)).alias("rest"))
-    best = one.unionByName(two).groupBy("pair_id", "doc_key", "quote_id").agg(F.min(F.struct("way", "far", "page", "line", "start", "text", "rest")).alias("b"))
-    found = best.select("pair_id", "doc_key", "quote_id", "b.page", "b.line", "b.start", (F.col("b.start") + F.length("b.text")).alias("end"), "b.text", "b.rest")
-    return quotes.join(found, ["pair_id", "doc_key", "quote_id"], "left")
+    cut = left.where(F.size(words) >= 4).withColumn("words", words).join(two_lines, ["pair_id", "doc_key"]).where(F.col("raw").contains(words[0]))
+    cut = cut.withColumn("k", F.explode(F.sequence(F.lit(2), F.size("words") - 1)))
+    head, tail = (loose_pattern(F.array_join(x, " ")) for x in (F.slice("words", F.lit(1), F.col("k")), F.slice("words", F.col("k") + 1, F.size("words"))))
+    two = cut.where(F.regexp_like("raw", head)).where(F.regexp_like("after", tail)).select(*where, F.lit(2).alias("way"), (-F.col("k")).alias("far"), "page", "line", at("raw", head).alias("start"), match("raw", head).alias("text"), at("after", tail).alias("rest_start"), match("after", tail).alias("rest"))
+    both = broken.unionByName(two).groupBy(*where).agg(F.min(F.struct("way", "far", "page", "line", "start", "text", "rest_start", "rest")).alias("b"))
+    found = one.unionByName(both).select(*where, "b.page", "b.line", "b.start", (F.col("b.start") + F.length("b.text")).alias("end"), "b.text", "b.rest_start", "b.rest")
+    return quotes.join(found, list(where), "left")
+
+
+def spans_of(doc: Column) -> Column:
+    """SPANS of a located quotation, one for each line."""
+    span = lambda line, start, text: F.struct(doc.alias("doc"), F.col("page").cast("int").alias("page"), line.cast("int").alias("line"), start.cast("int").alias("start"), (start + F.length(text)).cast("int").alias("end"), text.alias("text"))
+    here, beyond = span(F.col("line"), F.col("start"), F.col("text")), span(F.col("line") + 1, F.col("rest_start"), F.col("rest"))
+    return F.when(F.col("rest").isNotNull(), F.array(here, beyond)).when(F.col("line").isNotNull(), F.array(here)).otherwise(F.array()).cast(SPANS)
 
 
 def parse_reply(reply: Column, schema: str = REPLY) -> Column:
@@ -62,7 +114,7 @@ def suggestions(replies: DataFrame, lines: DataFrame, limit: int = KEPT) -> tupl
     each = replies.select("pair_id", F.posexplode(parse_reply(F.col("reply"))["suggestions"]).alias("ord", "s"))
     quoted = lambda key: each.select("pair_id", F.lit(key).alias("doc_key"), F.col("ord").alias("quote_id"), F.col(f"s.{key}_quote").alias("quote"), F.col(f"s.{key}_line").alias("hint"))
     found = locate(quoted("protocol").unionByName(quoted("report")).where("quote IS NOT NULL"), lines)
-    places = found.groupBy("pair_id", F.col("quote_id").alias("ord")).agg(F.count_if(F.col("line").isNull()).alias("lost"), F.array_sort(F.collect_list(F.struct("doc_key", "page", "line", "start", "end", "text"))).alias("places"))
+    places = found.groupBy("pair_id", F.col("quote_id").alias("ord")).agg(F.count_if(F.col("line").isNull()).alias("lost"), F.array_sort(F.collect_list(F.struct("doc_key", "page", "line", "start", "end", "text", "rest_start", "rest"))).alias("places"))
     each = each.join(places, ["pair_id", "ord"], "left")
     said = F.concat_ws(" ", "s.observation", "s.reviewer_action")
     why = F.when(said.rlike(VERDICTS), "verdict language").when(F.coalesce("lost", F.lit(1)) > 0, "quotation not found")
@@ -73,17 +125,90 @@ def suggestions(replies: DataFrame, lines: DataFrame, limit: int = KEPT) -> tupl
     return kept, each.where("why IS NOT NULL").select("pair_id", "ord", F.col("why").alias("note"))
 
 
-def ask(prompts: DataFrame, model: Callable[[str], str]) -> DataFrame:
-    """pair_id, reply and error for each prompt; a call that raises gives an error, not a failed job. model is called by tasks."""
+_VALUE = "struct<value:string,line:int>"
+PARSED = f"tests array<struct<{','.join(f'{c}:{_VALUE}' for c in CELLS)}>>, fields array<struct<key:string,value:string,line:int>>, sections array<struct<number:int,title:string,line:int>>"
+#: Header fields that a reply may name, in lower case, as they are called here.
+FIELD_NAMES = {
+    "document": "Document", "title": "Title", "version": "Version", "effective": "Effective", "date": "Date", "verifies protocol": "Verifies protocol",
+    "test equipment": "Test equipment", "revision": "Revision", "testing performed": "Testing performed",
+}
+
+
+def parse_with_model(replies: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Test rows, header fields and sections that a model's replies name and that documents really have, and a report of each document.
+
+    replies: pair_id, doc_key and reply, JSON of tests, fields and sections with texts and the lines where they are thought
+    to be. Every text is looked for on the document's first page and taken as it stands there; what isn't found is dropped and listed. Test
+    rows are as tables() gives them: cells of other names and empty ones don't count, and a row without a found test_id is
+    dropped, as nothing could be joined to it. Fields of other names are dropped; sections end where the next one begins.
+    """
+    read = settle(replies.select(*DOC, parse_reply(F.col("reply"), PARSED).alias("r")))
+    each = lambda kind: read.select(*DOC, F.posexplode(f"r.{kind}").alias("ord", "x"))
+    name = lambda kind, *parts: F.concat_ws(":", F.lit(kind), *(p.cast("string") for p in parts))
+    cells = each("tests").select(*DOC, "ord", F.inline(F.array(*(F.struct(F.lit(c).alias("cell"), F.col(f"x.{c}.value").alias("quote"), F.col(f"x.{c}.line").alias("hint")) for c in CELLS))))
+    fields = each("fields").where(F.lower(F.trim("x.key")).isin(*FIELD_NAMES))
+    wanted = cells.select(*DOC, name("test", F.col("ord"), F.col("cell")).alias("quote_id"), "quote", "hint")
+    wanted = wanted.unionByName(fields.select(*DOC, name("field", F.col("ord")).alias("quote_id"), F.col("x.value").alias("quote"), F.col("x.line").alias("hint")))
+    wanted = wanted.unionByName(each("sections").select(*DOC, name("section", F.col("ord")).alias("quote_id"), F.col("x.title").alias("quote"), F.col("x.line").alias("hint")))
+    page = lines.where("page = 1")
+    found = settle(locate(wanted.where(strip(F.col("quote")) != ""), page).withColumn("spans", spans_of(F.col("doc_key"))).withColumn("id", F.split("quote_id", ":")))
+    there = found.where("line IS NOT NULL")
+
+    rows = there.where(F.col("id")[0] == "test").select(*DOC, F.col("id")[1].cast("int").alias("ord"), F.col("id")[2].alias("cell"), "spans", cell_text(F.transform("spans", lambda s: s["text"])).alias("text"))
+    rows = rows.groupBy(*DOC, "ord").agg(*(F.coalesce(F.max(F.when(F.col("cell") == c, F.col("text"))), F.lit("")).alias(c) for c in CELLS), F.map_from_entries(F.collect_list(F.struct("cell", "spans"))).alias("spans")).where("test_id <> ''")
+    rows = rows.select(*DOC, F.row_number().over(Window.partitionBy(*DOC).orderBy("ord")).alias("row_ord"), *(F.upper(c).alias(c) if c == "test_id" else c for c in CELLS), "spans")
+
+    label = F.create_map(*(F.lit(x) for kv in FIELD_NAMES.items() for x in kv))
+    one_line = there.where(F.col("rest").isNull())
+    named = one_line.where(F.col("id")[0] == "field").withColumn("ord", F.col("id")[1].cast("int")).join(fields.select(*DOC, "ord", F.try_element_at(label, F.lower(F.trim("x.key"))).alias("key")), [*DOC, "ord"])
+    named = named.withColumn("n", F.row_number().over(Window.partitionBy(*DOC, "key").orderBy(F.desc("ord")))).where("n = 1").select(*DOC, "key", F.col("text").alias("value"), "page", "line", F.col("spans")[0].alias("span"))
+
+    w = Window.partitionBy(*DOC).orderBy("ord")
+    last = page.groupBy(*DOC).agg(F.max("line").alias("last"))
+    parts = one_line.where(F.col("id")[0] == "section").withColumn("ord", F.col("id")[1].cast("int")).join(each("sections").select(*DOC, "ord", F.col("x.number").alias("given")), [*DOC, "ord"]).join(last, DOC)
+    parts = parts.select(*DOC, F.coalesce("given", F.row_number().over(w)).alias("number"), F.col("text").alias("title"), "page", F.col("line").alias("start"), F.coalesce(F.lead("line").over(w), F.col("last") + 1).alias("end"))
+
+    n = lambda kind: F.count_if((F.col("id")[0] == kind) & F.col("line").isNotNull())
+    lost = F.array_sort(F.collect_list(F.when(F.col("line").isNull(), F.concat("quote_id", F.lit(": "), F.substring("quote", 1, 80)))))
+    report = found.groupBy(*DOC).agg(n("field").alias("fields_found"), F.count_if(F.col("line").isNotNull()).alias("located"), F.count_if(F.col("line") != F.col("hint")).alias("hints_corrected"), lost.alias("discarded"))
+    # where no test has a place the table would begin at the first line
+    tests = rows.groupBy(*DOC).agg(F.count("*").alias("tests_found"), F.min(F.try_element_at("spans", F.lit("test_id"))[0]["line"]).alias("header_line"))
+    report = read.select(*DOC, F.col("r").isNotNull().alias("read")).join(report, DOC, "left").join(tests, DOC, "left").fillna(0, ["fields_found", "located", "hints_corrected", "tests_found"]).fillna(1, ["header_line"])
+    return rows, named, parts, report
+
+
+class ModelRefused(RuntimeError):
+    """A call that no other attempt can mend: a key that isn't accepted, a model that isn't there."""
+
+
+def ask(prompts: DataFrame, model: Callable[[str], str | dict], retries: int = 1, wait: float = 1.5) -> DataFrame:
+    """pair_id, reply, error, attempts, prompt_tokens and completion_tokens for each prompt. model is called by tasks.
+
+    A call that raises is made again up to ``retries`` times, each time after a longer wait, unless it raises ModelRefused;
+    what fails in the end gives an error, not a failed job. model returns a text, or a dict with content and usage.
+    """
 
     def call(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             out = []
             for pair, prompt in zip(pdf["pair_id"], pdf["prompt"], strict=True):
-                try:
-                    out.append((pair, model(prompt), None))
-                except Exception as e:  # noqa: BLE001  whatever a model's client raises
-                    out.append((pair, None, f"{type(e).__name__}: {e}"[:400]))
-            yield pd.DataFrame(out, columns=["pair_id", "reply", "error"])
-
-    return prompts.select("pair_id", "prompt").mapInPandas(call, "pair_id string, reply string, error string")
+                for attempt in range(1, retries + 2):
+                    try:
+                        got = model(prompt)
+                        got = got if isinstance(got, dict) else {"content": got}
+                        used = got.get("usage") or {}
+                        out.append((pair, got.get("content") or "", None, attempt, int(used.get("prompt_tokens") or 0), int(used.get("completion_tokens") or 0)))
+                        break
+                    except Exception as e:  # noqa: BLE001  whatever a model's client raises
+                        if attempt > retries or isinstance(e, ModelRefused):
+                            out.append((pair, None, f"{type(e).__name__}: {e}"[:400], attempt, 0, 0))
+                            break
+                        time.sleep(wait * attempt)
+            yield pd.DataFrame(out, columns=["pair_id", "reply", "error", "attempts", "prompt_tokens", "completion_tokens"])
+
+    return prompts.select("pair_id", "prompt").mapInPandas(call, "pair_id string, reply string, error string, attempts int, prompt_tokens long, completion_tokens long")
+
+
+def usage(replies: DataFrame) -> DataFrame:
+    """calls, prompt_tokens and completion_tokens over all replies that came."""
+    return replies.where("error IS NULL").agg(F.count("*").alias("calls"), F.coalesce(F.sum("prompt_tokens"), F.lit(0)).alias("prompt_tokens"), F.coalesce(F.sum("completion_tokens"), F.lit(0)).alias("completion_tokens"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import squash, trimmed
 
 DOC = ["pair_id", "doc_key"]
+#: What a heading, a header field and a bullet look like.
 SECTION = r"(?U)^\s{0,3}(\d+)\.\s+(\S.*)$"
 FIELD = r"(?U)^\s*([A-Za-z][A-Za-z /]{2,30}):\s+(\S.*)$"
 BULLET = r"(?U)^\s*[●•▪·o]\s+"
@@ -48,6 +49,12 @@ def fields(lines: DataFrame) -> DataFrame:
     return kv.withColumn("n", latest).where("n = 1").select(*DOC, "key", "value", "page", "line", span.alias("span"))
 
 
+def bullets(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """pair_id, doc_key, number of the section, page, line and text of each bullet line within a section."""
+    each = section_lines(lines, found).where(F.col("raw").rlike(BULLET))
+    return each.select(*DOC, "number", "page", "line", squash(F.regexp_replace("raw", BULLET, "")).alias("text")).where("text <> ''")
+
+
 def field(found: DataFrame, doc_key: str, *names: str, prefix: str) -> DataFrame:
     """pair_id and the value and span of the first of several names, in any case, that a document has."""
     rank = F.array_position(F.array(*(F.lit(n.lower()) for n in names)), F.lower("key"))
@@ -71,30 +78,50 @@ def phrase(lines: DataFrame, doc_key: str, pattern: str, name: str) -> DataFrame
     return hit.select("pair_id", two.cast(SPANS).alias(name))
 
 
-def gutters(raws: Column) -> Column:
-    """Columns (start, end) of a block of lines: what lies between runs of two or more places that are spaces in every line that isn't blank."""
-    body = F.filter(raws, lambda r: F.trim(r) != "")
-    width = F.array_max(F.transform(body, lambda r: F.length(r)))
-    padded = F.transform(body, lambda r: F.rpad(r, width, F.lit(" ")))
-    mask = F.array_join(F.transform(F.sequence(F.lit(1), width), lambda i: F.when(F.forall(padded, lambda p: F.substring(p, i, F.lit(1)) == " "), "1").otherwise("0")), "")
-    runs = F.regexp_extract_all(mask, F.lit("1{2,}|(?:0|(?<!1)1(?!1))+"), F.lit(0))
-    none = F.expr("named_struct('at', 0, 'spans', cast(array() as array<struct<start:int,end:int>>))")
+INTERVALS = "array<struct<start:int,end:int>>"
+
+
+def _words_of(raw: Column) -> Column:
+    """INTERVALS of what stands between runs of two or more spaces in a line."""
+    runs = F.regexp_extract_all(raw, F.lit(r" {2,}|(?:[^ ]| (?! ))+"), F.lit(0))
+    none = F.expr(f"named_struct('at', 0, 'spans', cast(array() AS {INTERVALS}))")
 
     def step(acc: Column, run: Column) -> Column:
         end = acc["at"] + F.length(run)
-        span = F.struct(acc["at"].alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(run.startswith("11"), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span))).alias("spans"))
+        # a space at an end of a run counts for a gap, which other lines may make wider
+        first, last = acc["at"] + F.when(run.startswith(" "), 1).otherwise(0), end - F.when(run.endswith(" "), 1).otherwise(0)
+        span = F.struct(first.alias("start"), last.alias("end"))
+        return F.struct(end.alias("at"), F.when(F.trim(run) == "", acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span))).alias("spans"))
 
     return F.aggregate(runs, none, step, lambda acc: acc["spans"])
 
 
+def gutters(raws: Column) -> Column:
+    """INTERVALS, the columns of a block of lines: what lies between runs of two or more places that are spaces in every line that isn't blank.
+
+    What a line has between such runs is an interval; those of all lines that touch, or are one place apart, are one column.
+    """
+    body = F.filter(raws, lambda r: F.trim(r) != "")
+    width = F.array_max(F.transform(body, lambda r: F.length(r)))
+    spans = F.array_sort(F.array_distinct(F.flatten(F.transform(body, _words_of))))
+
+    def merge(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        return F.when(F.size(acc) == 0, F.array(x)).when(x["start"] <= last["end"] + 1, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(x)))
+
+    # a single space at the very start or end is no gutter
+    edge = lambda x: F.struct(F.when(x["start"] == 1, 0).otherwise(x["start"]).alias("start"), F.when(x["end"] == width - 1, width).otherwise(x["end"]).alias("end"))
+    return F.transform(F.aggregate(spans, F.array().cast(INTERVALS), merge), edge)
+
+
 def cell_text(parts: Column) -> Column:
     """The lines of a cell put together; without a space where a line ends in a hyphen within a word."""
     joins = lambda a, b: a.rlike("[A-Za-z0-9]-$") & b.rlike("^[A-Za-z0-9]")
     return squash(F.aggregate(parts, F.lit(""), lambda acc, p: F.when(acc == "", p).when(joins(acc, p), F.concat(acc, p)).otherwise(F.concat(acc, F.lit(" "), p))))
 
 
-def _blocks(lines: DataFrame, keyword: str) -> DataFrame:
+def table_lines(lines: DataFrame, keyword: str) -> DataFrame:
     """The lines of each document's table: from the first line with the keyword to the next section of the page, without blank lines at the end."""
     head = lines.where(F.lower("raw").contains(keyword.lower())).groupBy(*DOC).agg(F.min(F.struct("page", "line")).alias("head"))
     page = lines.join(head, DOC).where((F.col("page") == F.col("head.page")) & (F.col("line") >= F.col("head.line")))
@@ -111,11 +138,15 @@ def tables(lines: DataFrame, keyword: str = "Test ID") -> tuple[DataFrame, DataF
     Rows: pair_id, doc_key, row_ord, each of CELLS as text, and ``spans``, a map from cell to the places of its lines. A
     document whose table isn't recognised beyond doubt has no rows but an error: pair_id, doc_key, message.
     """
-    blocks = _blocks(lines, keyword).groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("line", "raw"))).alias("rows"), F.first("page").alias("page"))
+    blocks = table_lines(lines, keyword).groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("line", "raw"))).alias("rows"), F.first("page").alias("page"))
     known = F.create_map(*(x for k, v in LABELS.items() for x in (F.lit(k), F.lit(v))))
     raws = F.transform("rows", lambda r: r["raw"])
-    columns = F.transform(gutters(raws), lambda g: F.struct(g["start"].alias("start"), g["end"].alias("end"), squash(F.substring(raws[0], g["start"] + 1, g["end"] - g["start"])).alias("label")))
-    blocks = blocks.withColumn("columns", columns).withColumn("columns", F.transform("columns", lambda c: F.struct(c["start"], c["end"], c["label"], F.try_element_at(known, F.lower(c["label"])).alias("cell"))))
+    # exploded on their own, columns are found once; as an expression they would be found again by each filter over them
+    blocks = blocks.select("*", F.inline(F.array(F.struct(gutters(raws).alias("gutters")))))
+    label = lambda g: squash(F.substring(raws[0], g["start"] + 1, g["end"] - g["start"]))
+    columns = F.transform("gutters", lambda g: F.struct(g["start"].alias("start"), g["end"].alias("end"), label(g).alias("label")))
+    columns = F.transform(columns, lambda c: F.struct(c["start"], c["end"], c["label"], F.try_element_at(known, F.lower(c["label"])).alias("cell")))
+    blocks = blocks.select(*DOC, "rows", "page", F.inline(F.array(F.struct(columns.alias("columns")))))
     unknown = F.filter("columns", lambda c: c["cell"].isNull())
     missing = F.array_except(F.array(*map(F.lit, REQUIRED)), F.transform("columns", lambda c: c["cell"]))
     at_id = F.filter("columns", lambda c: c["cell"] == "test_id")[0]
@@ -126,7 +157,7 @@ def tables(lines: DataFrame, keyword: str = "Test ID") -> tuple[DataFrame, DataF
         .when(F.size(missing) > 0, F.concat(F.lit("missing column: "), F.array_join(missing, ", ")))
         .when(~F.exists(F.slice(raws, F.lit(2), F.size(raws)), is_row), "the table has no numbered rows")
     )
-    blocks = blocks.withColumn("message", message)
+    blocks = blocks.select("*", F.inline(F.array(F.struct(message.alias("message")))))
     none = lines.select(*DOC).distinct().join(blocks.select(*DOC), DOC, "left_anti").withColumn("message", F.lit("no table header was found"))
     errors = blocks.where("message IS NOT NULL").select(*DOC, "message").unionByName(none)
 

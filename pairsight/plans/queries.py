@@ -1,7 +1,8 @@
 """Queries over the driver's tables that show each operator, and the same in SQL.
 
 Pairs of protocol and report are derived from parts and line items: a part is a test, its criterion is worded from its
-size, and the report's result from the quantities of its line items. Fifty pairs share the parts.
+size, and the report's result from the quantities of its line items. A pair has the twenty parts of neighbouring keys, so
+that pairs grow with the parts.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from ..functions import values as V
 from ..operators import cite, locate, structure
 from ..sources import documents as D
 from ..sources import outputs
+from ..sources.shared import settle
 from .rules import Relations, by_id, registry, run_rules, share_tests, with_counts
 
 QUERIES: dict = {}
@@ -97,16 +99,16 @@ def q_slice_padded(spark, sf_dir):
 
 
 def _gate(spark, sf_dir) -> DataFrame:
-    """Spans of the first ten columns of every line; every seventh line's is off by one and every eleventh names no line."""
+    """Spans of every whole line; every seventh line's text is off by one and every eleventh names no line."""
     lines = doc_lines(spark, sf_dir)
-    text = F.when(F.col("line") % 7 == 0, F.substring("raw", 2, 10)).otherwise(F.substring("raw", 1, 10))
+    text = F.when(F.col("line") % 7 == 0, F.substring("raw", F.lit(2), F.length("raw"))).otherwise(F.col("raw"))
     at = F.when(F.col("line") % 11 == 0, F.col("line") + 1_000_000).otherwise(F.col("line")).cast("int")
-    span = F.struct(F.lit("report").alias("doc"), F.lit(1).alias("page"), at.alias("line"), F.lit(0).alias("start"), F.least(F.length("raw"), F.lit(10)).alias("end"), text.alias("text"))
+    span = F.struct(F.lit("report").alias("doc"), F.lit(1).alias("page"), at.alias("line"), F.lit(0).alias("start"), F.length("raw").alias("end"), text.alias("text"))
     one = lines.where("raw <> ''").select("pair_id", F.col("line").cast("string").alias("key"), F.array(cite.citation("report", "", F.array(span))).cast(cite.CITATIONS).alias("citations"))
     return cite.check_spans(one, lines)
 
 
-_GATE = f"""WITH {_LINES}, g AS (SELECT pair_id, line::VARCHAR AS key, CASE WHEN line % 11 = 0 THEN 'no such line' WHEN line % 7 = 0 AND substr(raw, 2, 10) <> substr(raw, 1, least(length(raw), 10)::INT) THEN 'text differs' ELSE '' END AS failure FROM lines WHERE raw <> '')"""
+_GATE = f"""WITH {_LINES}, g AS (SELECT pair_id, line::VARCHAR AS key, CASE WHEN line % 11 = 0 THEN 'no such line' WHEN line % 7 = 0 THEN 'text differs' ELSE '' END AS failure FROM lines WHERE raw <> '')"""
 
 
 @query(f"{_GATE} SELECT pair_id, key, failure FROM g")
@@ -119,37 +121,55 @@ def q_gate_totals(spark, sf_dir):
     return cite.gate_totals(_gate(spark, sf_dir)).select("pair_id", "spans_checked", "citations_checked", F.size("failures").cast("long").alias("n_failures"))
 
 
+@query(f"WITH {_LINES} SELECT pair_id, line, instr(lower(raw), 'license') - 1 AS start, instr(lower(raw), 'license') + 6 AS \"end\" FROM lines WHERE regexp_matches(raw, '(?i)license')")
+def q_search_every_line(spark, sf_dir):
+    return D.hits(doc_lines(spark, sf_dir), "(?i)license").select("pair_id", "line", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
+@query("SELECT page_id, regexp_extract(url, '[^/\\\\]*$') AS name, regexp_matches(left(sha256(url), 12), '^[0-9a-f]{12}$') AS is_id, regexp_matches(url, '^[0-9a-f]{12}$') AS url_is_id FROM pages")
+def q_safe_names(spark, sf_dir):
+    run = F.substring(F.sha2("url", 256), 1, 12)
+    return table(spark, sf_dir, "pages").select("page_id", D.base_name(F.col("url")).alias("name"), D.is_run_id(run).alias("is_id"), D.is_run_id(F.col("url")).alias("url_is_id"))
+
+
 # ---- layout text made from orders and parts -----------------------------------------
 
 
 def _headers(spark, sf_dir) -> DataFrame:
     """A small document for each order: header fields, one of them twice, and two sections."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0")
+    o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey").cast("string")
     body = F.concat(F.lit("Document:  AB-"), k, F.lit("\nDate:  1 May 2020\nDate:  "), F.date_format("o_orderdate", "d MMMM yyyy"), F.lit("\n\n1. Scope "), F.col("o_orderpriority"), F.lit("\nPriority: not a field\nline\n2. Results\nlast"))
     return o.select(k.alias("pair_id"), F.lit("report").alias("doc_key"), F.lit("").alias("name"), body.alias("text"))
 
 
-@query("SELECT o_orderkey::VARCHAR AS pair_id, unnest(['Document', 'Date']) AS key, unnest(['AB-' || o_orderkey, strftime(o_orderdate, '%-d %B %Y')]) AS value, unnest([1, 3]) AS line FROM orders WHERE o_orderkey % 10 = 0")
+@query("SELECT o_orderkey::VARCHAR AS pair_id, unnest(['Document', 'Date']) AS key, unnest(['AB-' || o_orderkey, strftime(o_orderdate, '%-d %B %Y')]) AS value, unnest([1, 3]) AS line FROM orders")
 def q_header_last_wins(spark, sf_dir):
     return structure.fields(D.lines(_headers(spark, sf_dir))).select("pair_id", "key", "value", "line")
 
 
-@query("SELECT o_orderkey::VARCHAR AS pair_id, unnest([1, 2]) AS number, unnest(['Scope ' || o_orderpriority, 'Results']) AS title, unnest([5, 8]) AS start, unnest([8, 10]) AS \"end\" FROM orders WHERE o_orderkey % 10 = 0")
+@query("SELECT o_orderkey::VARCHAR AS pair_id, unnest([1, 2]) AS number, unnest(['Scope ' || o_orderpriority, 'Results']) AS title, unnest([5, 8]) AS start, unnest([8, 10]) AS \"end\" FROM orders")
 def q_sections_lead(spark, sf_dir):
     return structure.sections(D.lines(_headers(spark, sf_dir))).select("pair_id", "number", "title", "start", "end")
 
 
-@query("SELECT o_orderkey::VARCHAR AS pair_id, unnest([1, 1, 1, 2, 2]) AS number, unnest([5, 6, 7, 8, 9]) AS line FROM orders WHERE o_orderkey % 10 = 0")
+@query("SELECT o_orderkey::VARCHAR AS pair_id, unnest([1, 1, 1, 2, 2]) AS number, unnest([5, 6, 7, 8, 9]) AS line FROM orders")
 def q_section_lines_range_join(spark, sf_dir):
     lines = D.lines(_headers(spark, sf_dir))
     return structure.section_lines(lines, structure.sections(lines)).select("pair_id", "number", "line")
 
 
-@query("SELECT o_orderkey::VARCHAR AS pair_id, CASE WHEN o_orderkey % 20 = 0 THEN 'none' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders WHERE o_orderkey % 10 = 0")
+@query("SELECT o_orderkey::VARCHAR AS pair_id, 2 AS number, 10 AS line, 'priority ' || o_orderpriority AS text FROM orders")
+def q_bullets(spark, sf_dir):
+    more = F.concat("text", F.lit("\n•  priority  "), F.regexp_extract("text", r"Scope (.*)\n", 1), F.lit("\nnot a bullet • here"))
+    lines = D.lines(_headers(spark, sf_dir).withColumn("text", more))
+    return structure.bullets(lines, structure.sections(lines)).select("pair_id", "number", "line", "text")
+
+
+@query("SELECT o_orderkey::VARCHAR AS pair_id, CASE WHEN o_orderkey % 9 = 0 THEN 'none' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders")
 def q_parse_date(spark, sf_dir):
-    text = F.when(F.col("o_orderkey") % 20 == 0, "31 February 2020").otherwise(F.concat(F.lit("on "), F.date_format("o_orderdate", "d MMMM yyyy")))
-    return table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").cast("string").alias("pair_id"), F.coalesce(V.date(text).cast("string"), F.lit("none")).alias("day"))
+    text = F.when(F.col("o_orderkey") % 9 == 0, "31 February 2020").otherwise(F.concat(F.lit("on "), F.date_format("o_orderdate", "d MMMM yyyy")))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("pair_id"), F.coalesce(V.date(text).cast("string"), F.lit("none")).alias("day"))
 
 
 def _layout(spark, sf_dir) -> DataFrame:
@@ -162,7 +182,7 @@ def _layout(spark, sf_dir) -> DataFrame:
 
 @query("SELECT p_partkey::VARCHAR AS pair_id, unnest([0, 30, 60]) AS start, unnest([CASE WHEN length('T' || p_partkey) > 7 THEN length('T' || p_partkey) ELSE 7 END, 50, 68]) AS \"end\" FROM part")
 def q_gutter_columns(spark, sf_dir):
-    lines = D.lines(_layout(spark, sf_dir)).where("line BETWEEN 2 AND 4")
+    lines = structure.table_lines(D.lines(_layout(spark, sf_dir)), "Test ID")
     g = lines.groupBy("pair_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "raw"))), lambda x: x["raw"]).alias("raws"))
     return g.select("pair_id", F.explode(structure.gutters(F.col("raws"))).alias("c")).select("pair_id", F.col("c.start").alias("start"), F.col("c.end").cast("long").alias("end"))
 
@@ -183,13 +203,13 @@ def q_parse_errors(spark, sf_dir):
 
 
 _PAIRS = """p AS (
-  SELECT 'P' || (p_partkey % 50) AS pair_id, p_partkey AS k, 'T' || p_partkey AS test_id, p_name AS test_name, p_size AS s,
+  SELECT 'P' || (p_partkey // 20) AS pair_id, p_partkey AS k, 'T' || p_partkey AS test_id, p_name AS test_name, p_size AS s,
     CASE p_partkey % 4 WHEN 0 THEN '≥ ' || p_size || ' N' WHEN 1 THEN 'grade ≤ ' || p_size || ' N' WHEN 2 THEN p_size || ' – ' || (p_size + 9) || ' N' ELSE 'No visible wear at ' || p_size || ' h' END AS criterion,
     CASE WHEN p_partkey % 7 = 0 THEN 'per plan' ELSE (p_size % 10 + 25)::VARCHAR END AS sample_size,
     CASE WHEN p_partkey % 3 = 0 THEN 'bath at 37°C' WHEN p_partkey % 3 = 1 THEN 'pull; Instron ' || (5000 + p_size) ELSE 'by eye' END AS method
   FROM part WHERE p_partkey % 23 <> 0
 ), r AS (
-  SELECT 'P' || (l_partkey % 50) AS pair_id, l_partkey AS k, CASE WHEN l_partkey % 29 = 0 THEN 'T99999' || l_partkey ELSE 'T' || l_partkey END AS test_id,
+  SELECT 'P' || (l_partkey // 20) AS pair_id, l_partkey AS k, CASE WHEN l_partkey % 29 = 0 THEN 'T99999' || l_partkey ELSE 'T' || l_partkey END AS test_id,
     min(l_quantity)::INT AS lo, max(l_quantity)::INT AS hi, (sum(l_quantity)::BIGINT // count(*))::INT AS mean, count(*)::INT AS n
   FROM lineitem WHERE l_partkey % 17 <> 0 GROUP BY l_partkey
 ), j AS (SELECT p.*, r.lo, r.hi, r.mean, r.n, r.k AS rk FROM p JOIN r USING (pair_id, test_id))"""
@@ -204,14 +224,14 @@ def _sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     p = table(spark, sf_dir, "part").where(k % 23 != 0)
     crit = F.when(k % 4 == 0, say("≥ ", s, " N")).when(k % 4 == 1, say("grade ≤ ", s, " N")).when(k % 4 == 2, say(s, " – ", s + 9, " N")).otherwise(say("No visible wear at ", s, " h"))
     method = F.when(k % 3 == 0, "bath at 37°C").when(k % 3 == 1, say("pull; Instron ", s + 5000)).otherwise("by eye")
-    protocol = p.select(say("P", k % 50).alias("pair_id"), k.cast("int").alias("row_ord"), say("T", k).alias("test_id"), F.col("p_name").alias("test_name"), crit.alias("criterion"), F.when(k % 7 == 0, "per plan").otherwise((s % 10 + 25).cast("string")).alias("sample_size"), method.alias("method"), F.lit("").alias("result"), spans)
+    protocol = p.select(say("P", F.floor(k / 20)).alias("pair_id"), k.cast("int").alias("row_ord"), say("T", k).alias("test_id"), F.col("p_name").alias("test_name"), crit.alias("criterion"), F.when(k % 7 == 0, "per plan").otherwise((s % 10 + 25).cast("string")).alias("sample_size"), method.alias("method"), F.lit("").alias("result"), spans)
     q = F.col("l_quantity").cast("long")
     r = table(spark, sf_dir, "lineitem").where("l_partkey % 17 <> 0").groupBy("l_partkey").agg(F.min(q).alias("lo"), F.max(q).alias("hi"), F.floor(F.sum(q) / F.count("*")).alias("mean"), F.count("*").alias("n"))
     k = F.col("l_partkey")
     at = F.when(k % 5 == 0, "ambient").otherwise(F.when(k % 6 == 0, "40°C").otherwise("37°C"))
     result = say("Min ", F.col("lo"), " N, max ", F.col("hi"), " N, mean ", F.col("mean"), " N. Tested at ", at, ".", F.when(k % 2 == 0, " Pass.").otherwise(""))
     restated = F.when(k % 13 == 0, say("≥ ", k % 50, " N"))
-    report = r.select(say("P", k % 50).alias("pair_id"), k.cast("int").alias("row_ord"), F.when(k % 29 == 0, say("T99999", k)).otherwise(say("T", k)).alias("test_id"), F.lit("").alias("test_name"), F.coalesce(restated, F.lit("")).alias("criterion"), F.col("n").cast("string").alias("sample_size"), F.lit("").alias("method"), result.alias("result"), spans)
+    report = r.select(say("P", F.floor(k / 20)).alias("pair_id"), k.cast("int").alias("row_ord"), F.when(k % 29 == 0, say("T99999", k)).otherwise(say("T", k)).alias("test_id"), F.lit("").alias("test_name"), F.coalesce(restated, F.lit("")).alias("criterion"), F.col("n").cast("string").alias("sample_size"), F.lit("").alias("method"), result.alias("result"), spans)
     form = lambda df: df.withColumn("criterion_form", F.col("criterion"))
     return form(protocol), form(report)
 
@@ -224,14 +244,14 @@ _FACTS = {
 _HEAD = """h AS (
   SELECT 'P' || i AS pair_id, i, (i % 3 + 1) || '.0' AS version, (i % 4 + 1) || '.0' AS cited_version, 'AB-' || (100 + i) || '-TP-014' AS protocol_id, 'AB-' || (100 + i - i % 2) || '-TP-014' AS cited_id,
     DATE '2024-01-01' + (i * 7)::INT AS report_date, DATE '2024-06-01' - (i % 9 * 30)::INT AS calibration_due, DATE '2024-03-01' AS effective, i % 4 = 0 AS says_deviation, i % 3 = 0 AS says_test_dates
-  FROM range(50) AS t(i)
+  FROM (SELECT DISTINCT (p_partkey // 20)::INT AS i FROM part) AS t
 )"""
 
 
 def _relations(spark, sf_dir) -> Relations:
     """Pairs with header facts by rule, and their tests."""
     protocol, report = _sides(spark, sf_dir)
-    i = F.col("id")
+    i = F.col("i")
     say = lambda *x: F.concat(*(F.lit(c) if isinstance(c, str) else c.cast("string") for c in x))
     place = F.array(F.struct(F.lit("report").alias("doc"), F.lit(1).alias("page"), F.lit(1).alias("line"), F.lit(0).alias("start"), F.lit(1).alias("end"), F.lit("x").alias("text"))).cast(structure.SPANS)
     known = {
@@ -239,10 +259,11 @@ def _relations(spark, sf_dir) -> Relations:
         "report_date": F.date_add(F.lit("2024-01-01").cast("date"), (i * 7).cast("int")), "calibration_due": F.date_sub(F.lit("2024-06-01").cast("date"), (i % 9 * 30).cast("int")), "effective": F.lit("2024-03-01").cast("date"),
         "says_deviation": i % 4 == 0, "says_test_dates": i % 3 == 0, "report_text": say("Instron ", i + 5000), "report_titles": F.array(F.lit("Summary")), "all_tests_phrase": F.when(i % 2 == 0, place), "conclusion_spans": F.when(i % 3 != 0, place),
     }
-    pairs = spark.range(50).select(say("P", i).alias("pair_id"), *(known.get(n, F.lit(None)).cast(t).alias(n) for n, t in _FACTS.items()))
-    shared = share_tests(protocol, report)
+    all_pairs = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 20).cast("int").alias("i")).distinct()
+    pairs = all_pairs.select(say("P", i).alias("pair_id"), *(known.get(n, F.lit(None)).cast(t).alias(n) for n, t in _FACTS.items()))
+    shared = settle(share_tests(protocol, report))
     once = by_id(protocol)
-    return Relations(with_counts(pairs, once, shared), once, report, shared)
+    return Relations(with_counts(pairs, once, report, shared), once, report, shared)
 
 
 def _rule(rule_id: str, sql: str):
@@ -338,6 +359,11 @@ def q_parse_criterion(spark, sf_dir):
     return c.select("pair_id", "test_id", "c.kind", "c.op", *(F.coalesce(f"c.{x}", F.lit(-1.0)).alias(x) for x in ("value", "low", "high")), "c.unit", "c.prefix")
 
 
+@query(f"WITH {_PAIRS} SELECT pair_id, test_id, CASE k % 4 WHEN 0 THEN '>= ' || s || ' n' WHEN 1 THEN '<= ' || s || ' n' WHEN 2 THEN s || ' - ' || (s + 9) || ' n' ELSE criterion END AS said FROM p")
+def q_describe_criterion(spark, sf_dir):
+    return _sides(spark, sf_dir)[0].select("pair_id", "test_id", V.describe(V.criterion(F.col("criterion"))).alias("said"))
+
+
 @query(f"WITH {_PAIRS}, x AS (SELECT pair_id, test_id, unnest(['min', 'max', 'mean']) AS label, unnest([lo, hi, mean])::DOUBLE AS value, 'N' AS unit FROM r) SELECT * FROM x UNION ALL SELECT pair_id, test_id, 'observation', CASE WHEN k % 6 = 0 THEN 40 ELSE 37 END, 'C' FROM r WHERE false")
 def q_measurements(spark, sf_dir):
     m = _sides(spark, sf_dir)[1].select("pair_id", "test_id", F.explode(V.measurements(F.col("result"))).alias("m"))
@@ -370,21 +396,58 @@ def q_not_checked(spark, sf_dir):
 # ---- quotations, suggestions, decisions -------------------------------------------------
 
 
-@query(f"""WITH {_LINES}, q AS (SELECT pair_id, line AS quote_id, substr(raw, 4, 15) AS quote, line + 1 AS hint FROM lines WHERE line % 3 = 1 AND length(raw) > 30 AND NOT regexp_matches(substr(raw, 4, 15), '^\\s|\\s$|\\s\\s|[^ -~]')),
+@query(f"""WITH {_LINES}, q AS (SELECT pair_id, line AS quote_id, substr(raw, 4, 15) AS quote, line + 1 AS hint FROM lines WHERE length(raw) > 30 AND NOT regexp_matches(substr(raw, 4, 15), '^\\s|\\s$|\\s\\s|[^ -~]')),
 hit AS (SELECT q.*, l.line, instr(l.raw, q.quote) - 1 AS start, row_number() OVER (PARTITION BY q.pair_id, q.quote_id ORDER BY (l.line <> q.hint)::INT, l.line) AS n FROM q JOIN lines l USING (pair_id) WHERE contains(l.raw, q.quote))
 SELECT pair_id, quote_id, line, start::INT AS start FROM hit WHERE n = 1""")
 def q_locate_with_hint(spark, sf_dir):
     lines = doc_lines(spark, sf_dir)
-    q = lines.where((F.col("line") % 3 == 1) & (F.length("raw") > 30)).select("pair_id", "doc_key", F.col("line").alias("quote_id"), F.substring("raw", 4, 15).alias("quote"), (F.col("line") + 1).alias("hint")).where(~F.col("quote").rlike(r"^\s|\s$|\s\s|[^ -~]"))
+    q = lines.where(F.length("raw") > 30).select("pair_id", "doc_key", F.col("line").alias("quote_id"), F.substring("raw", 4, 15).alias("quote"), (F.col("line") + 1).alias("hint")).where(~F.col("quote").rlike(r"^\s|\s$|\s\s|[^ -~]"))
     return locate.locate(q, lines).select("pair_id", "quote_id", "line", F.col("start").cast("int").alias("start"))
 
 
-@query("""WITH s AS (SELECT (user_id % 20)::VARCHAR AS pair_id, event_id, event_type, value, regexp_matches(event_type, '(?i)\\b(pass|fail|conform|non-?conform|complian|acceptab|unacceptab|approv|reject|satisf)\\w*') AS verdict FROM events),
-k AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY event_id) AS n FROM s WHERE NOT verdict) SELECT pair_id, printf('AI-%03d', n) AS id, event_id FROM k WHERE n <= 6""")
+_WORDY = "r AS (SELECT doc_id::VARCHAR AS pair_id, string_split(coalesce(text, ''), chr(10))[1] AS first FROM documents)"
+
+
+def _replies(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """A model's reply for each document: nine suggestions that quote its first line; every third judges, every fourth quotes what isn't there."""
+    lines = doc_lines(spark, sf_dir)
+    lines = lines.unionByName(lines.withColumn("doc_key", F.lit("protocol")))
+    first = lines.where("doc_key = 'report' AND line = 1").select("pair_id", F.substring("raw", 1, 40).alias("q"))
+    i = lambda n: F.lit(n)
+    one = lambda n: F.struct(F.lit(f"T{n}").alias("scope"), F.when(i(n) % 3 == 0, f"note {n} fails").otherwise(f"note {n}").alias("observation"), F.lit("look again").alias("reviewer_action"), F.col("q").alias("protocol_quote"), F.lit(2).alias("protocol_line"), F.when(i(n) % 4 == 0, F.lit("\u0001nowhere")).otherwise(F.col("q")).alias("report_quote"), F.lit(1).alias("report_line"))
+    reply = F.concat(F.lit("Here it is:\n```json\n"), F.to_json(F.struct(F.array(*(one(n) for n in range(1, 10))).alias("suggestions"))), F.lit("\n```"))
+    return first.where(F.trim("q") != "").select("pair_id", reply.alias("reply")), lines
+
+
+@query(f"""WITH {_WORDY}, s AS (SELECT pair_id, unnest([1, 2, 5, 7]) AS n FROM r WHERE trim(substr(first, 1, 40), ' ') <> '')
+SELECT pair_id, printf('AI-%03d', row_number() OVER (PARTITION BY pair_id ORDER BY n)) AS id, 'T' || n AS scope, 'note ' || n AS observation, 2 AS n_places FROM s""")
 def q_suggestion_filter_cap(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select((F.col("user_id") % 20).cast("string").alias("pair_id"), "event_id", "event_type").where(~F.col("event_type").rlike(locate.VERDICTS))
-    n = F.row_number().over(Window.partitionBy("pair_id").orderBy("event_id"))
-    return e.withColumn("n", n).where(F.col("n") <= locate.KEPT).select("pair_id", F.format_string("AI-%03d", "n").alias("id"), "event_id")
+    kept, _ = locate.suggestions(*_replies(spark, sf_dir))
+    return kept.select("pair_id", "id", "scope", "observation", F.size("places").alias("n_places"))
+
+
+@query(f"""WITH {_WORDY}, s AS (SELECT pair_id, unnest([3, 4, 6, 8, 9]) AS n FROM r WHERE trim(substr(first, 1, 40), ' ') <> '')
+SELECT pair_id, n - 1 AS ord, CASE WHEN n % 3 = 0 THEN 'verdict language' ELSE 'quotation not found' END AS note FROM s""")
+def q_suggestions_dropped(spark, sf_dir):
+    return locate.suggestions(*_replies(spark, sf_dir))[1]
+
+
+def _wrapped(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """For each part a page with a word that a hyphen breaks over two lines, one whose rest is in another column, and a sentence over two lines."""
+    k, n = F.col("p_partkey").cast("string"), F.col("p_partkey")
+    pad = F.repeat(F.lit(" "), (n % 11).cast("int"))
+    text = F.concat(F.lit("7\n"), pad, F.lit("part ABC-   x\n"), pad, k, F.lit(" and 7\nnothing here\nstray XY-\n            "), k, F.lit("\nmeasured on part "), k, F.lit(" in\n   the second   bath, alone"))
+    pages = table(spark, sf_dir, "part").select(k.alias("pair_id"), F.lit("report").alias("doc_key"), F.lit("").alias("name"), text.alias("text"))
+    quoted = [F.concat(F.lit("part ABC-"), k), F.concat(F.lit("part "), k, F.lit(" in the second bath")), F.concat(F.lit("part ABD-"), k), F.lit("nothing  here"), F.concat(F.lit("stray XY-"), k)]
+    each = F.array(*(F.struct(F.lit(i).alias("quote_id"), q.alias("quote")) for i, q in enumerate(quoted, 1)))
+    return table(spark, sf_dir, "part").select(k.alias("pair_id"), F.lit("report").alias("doc_key"), F.inline(each)).withColumn("hint", F.lit(1)), D.lines(pages)
+
+
+@query("""SELECT p_partkey::VARCHAR AS pair_id, q::INT AS quote_id, [2, 7, -1, 4, -1][q] AS line, [(p_partkey % 11)::INT, 12, -1, 0, -1][q] AS start, ['part ABC-', 'part ' || p_partkey || ' in', '', 'nothing here', ''][q] AS text,
+[(p_partkey % 11)::INT, 3, -1, -1, -1][q] AS rest_start, [p_partkey::VARCHAR, 'the second   bath', '', '', ''][q] AS rest FROM part, range(1, 6) AS t(q)""")
+def q_locate_wrapped(spark, sf_dir):
+    found = locate.locate(*_wrapped(spark, sf_dir))
+    return found.select("pair_id", "quote_id", *(F.coalesce(F.col(c).cast("int"), F.lit(-1)).alias(c) for c in ("line", "start", "rest_start")), *(F.coalesce(c, F.lit("")).alias(c) for c in ("text", "rest")))
 
 
 @query("SELECT doc_id, coalesce(CASE quality WHEN 1 THEN 'confirmed' WHEN 0 THEN 'not-an-issue' END, 'open') AS decision FROM documents LEFT JOIN labels USING (doc_id)")
@@ -414,6 +477,40 @@ def q_payload_json(spark, sf_dir):
     return made.select("pair_id", size("findings").alias("n_findings"), size("rules_run").alias("n_rules")).where("n_findings > 0")
 
 
+def _model_replies(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """For each part a page that no parser knows, and a model's reply on it: two tests, of which one isn't there, three fields, of which one has an unknown name and one isn't there, and two sections."""
+    k = F.col("p_partkey").cast("string")
+    text = F.concat(F.lit("Document no. AB-"), k, F.lit("\nSize wanted\nfirst check t"), k, F.lit(" needs >= "), F.col("p_size").cast("string"), F.lit(" N\nsampled 30\nEnd words"))
+    pages = table(spark, sf_dir, "part").select(k.alias("pair_id"), F.lit("protocol").alias("doc_key"), F.lit("").alias("name"), text.alias("text"))
+    cell = lambda value, line: F.struct(value.alias("value"), F.lit(line).alias("line"))
+    none = F.lit(None).cast("struct<value:string,line:int>")
+    test = lambda test_id, criterion, sample: F.struct(test_id.alias("test_id"), none.alias("test_name"), criterion.alias("criterion"), sample.alias("sample_size"), none.alias("method"), none.alias("result"))
+    tests = F.array(test(cell(F.concat(F.lit("t"), k), 9), cell(F.concat(F.lit(">=  "), F.col("p_size").cast("string")), 3), cell(F.lit("30"), 4)), test(cell(F.concat(F.lit("U"), k), 3), cell(F.lit("needs"), 3), cell(F.lit("no such"), 4)))
+    field = lambda key, value, line: F.struct(F.lit(key).alias("key"), value.alias("value"), F.lit(line).alias("line"))
+    fields = F.array(field(" DOCUMENT", F.concat(F.lit("AB-"), k), 1), field("Colour", F.lit("Size"), 2), field("version", F.lit("nowhere 9"), 1))
+    parts = F.array(F.struct(F.lit(None).cast("int").alias("number"), F.lit("Size wanted").alias("title"), F.lit(2).alias("line")), F.struct(F.lit(7).alias("number"), F.lit("End words").alias("title"), F.lit(1).alias("line")))
+    reply = F.concat(F.lit("Sure: "), F.to_json(F.struct(tests.alias("tests"), fields.alias("fields"), parts.alias("sections"))), F.lit(" That is all."))
+    return table(spark, sf_dir, "part").select(k.alias("pair_id"), F.lit("protocol").alias("doc_key"), reply.alias("reply")), D.lines(pages)
+
+
+@query("SELECT p_partkey::VARCHAR AS pair_id, 1 AS row_ord, 'T' || p_partkey AS test_id, '>= ' || p_size AS criterion, '30' AS sample_size, 3 AS n_cells, 3 AS line FROM part")
+def q_model_tests(spark, sf_dir):
+    rows, *_ = locate.parse_with_model(*_model_replies(spark, sf_dir))
+    return rows.select("pair_id", F.col("row_ord").cast("int").alias("row_ord"), "test_id", "criterion", "sample_size", F.size("spans").alias("n_cells"), F.try_element_at("spans", F.lit("test_id"))[0]["line"].alias("line"))
+
+
+@query("SELECT p_partkey::VARCHAR AS pair_id, 'Document' AS key, 'AB-' || p_partkey AS value, 1 AS line FROM part UNION ALL SELECT p_partkey::VARCHAR, 'section ' || unnest([1, 7]), unnest(['Size wanted', 'End words']), unnest([2, 5]) FROM part")
+def q_model_fields(spark, sf_dir):
+    _, fields, parts, _ = locate.parse_with_model(*_model_replies(spark, sf_dir))
+    return fields.select("pair_id", "key", "value", "line").unionByName(parts.select("pair_id", F.concat(F.lit("section "), F.col("number").cast("string")).alias("key"), F.col("title").alias("value"), F.col("start").alias("line")))
+
+
+@query("SELECT p_partkey::VARCHAR AS pair_id, true AS read, 1 AS fields_found, 1 AS tests_found, 7 AS located, 2 AS hints_corrected, 3 AS header_line, 3 AS n_discarded FROM part")
+def q_model_report(spark, sf_dir):
+    *_, report = locate.parse_with_model(*_model_replies(spark, sf_dir))
+    return report.select("pair_id", "read", *(F.col(c).cast("int").alias(c) for c in ("fields_found", "tests_found", "located", "hints_corrected", "header_line")), F.size("discarded").alias("n_discarded"))
+
+
 @query()
 def q_quote_repair(spark, sf_dir):
     """Lines with a space put into their first long word, repaired from the page's text. A fold; SQL has none."""

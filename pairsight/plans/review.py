@@ -17,6 +17,7 @@ from ..sources.documents import contains, lines
 from ..sources.shared import settle
 from .rules import Relations, by_id, run_rules, share_tests, with_counts
 
+#: Fixed value: what a document number looks like.
 DOC_ID = r"[A-Z]{2,4}-\d{2,4}-[A-Z]{2,3}-\d{2,4}"
 
 
@@ -115,7 +116,7 @@ def review(documents: DataFrame, fallback: Callable[[DataFrame], DataFrame] | No
     pairs = header_facts(all_lines, documents, settle(fields(all_lines)), found_sections).join(errors.select("pair_id").distinct(), "pair_id", "left_anti")
     shared = settle(share_tests(side("protocol"), side("report")))
     protocol = by_id(side("protocol"))
-    pairs = settle(with_counts(pairs, protocol, shared))
+    pairs = settle(with_counts(pairs, protocol, side("report"), shared))
     findings, outcomes = run_rules(Relations(pairs, protocol, side("report"), shared))
     findings = settle(findings)
     checked = settle(check_spans(findings.select("pair_id", F.col("id").alias("key"), "citations"), all_lines))

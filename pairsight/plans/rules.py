@@ -292,11 +292,26 @@ def r21(r: Relations) -> DataFrame:
 # ---- all of them -------------------------------------------------------------------------
 
 
-def with_counts(pairs: DataFrame, protocol: DataFrame, shared: DataFrame) -> DataFrame:
+def with_counts(pairs: DataFrame, protocol: DataFrame, report: DataFrame, shared: DataFrame) -> DataFrame:
     """pairs with what tells whether a rule applies."""
-    named = protocol.groupBy("pair_id").agg(F.sum(F.size(instruments(F.col("method")))).alias("n_instruments"))
-    seen = shared.groupBy("pair_id").agg(F.count_if(F.size("p_temps") > 0).alias("n_conditions"), F.count_if(F.size("values") > 0).alias("n_compared"), F.count_if(F.size("quals") > 0).alias("n_qualified"))
-    return pairs.join(named, "pair_id", "left").join(seen, "pair_id", "left").fillna(0, ["n_instruments", "n_conditions", "n_compared", "n_qualified"])
+    named = protocol.groupBy("pair_id").agg(F.sum(F.size(instruments(F.col("method")))).alias("n_instruments"), F.count("*").alias("n_protocol"))
+    tested = report.groupBy("pair_id").agg(F.count("*").alias("n_report"))
+    seen = shared.groupBy("pair_id").agg(F.count("*").alias("n_shared"), F.count_if(F.size("p_temps") > 0).alias("n_conditions"), F.count_if(F.size("values") > 0).alias("n_compared"), F.count_if(F.size("quals") > 0).alias("n_qualified"))
+    counted = [c for df in (named, tested, seen) for c in df.columns if c != "pair_id"]
+    return pairs.join(named, "pair_id", "left").join(tested, "pair_id", "left").join(seen, "pair_id", "left").fillna(0, counted)
+
+
+#: What a rule goes over, where that isn't the pair as a whole: a count of facts, and how one and more of it are called.
+JUDGED = {
+    "R-10": ("n_protocol", "test", "of the protocol"), "R-11": ("n_report", "test", "of the report"), "R-18": ("n_protocol", "test", "of the protocol"), "R-19": ("n_instruments", "instrument", "named"),
+    **dict.fromkeys(("R-12", "R-13"), ("n_shared", "test", "on both sides")), "R-14": ("n_compared", "test", "with values to compare"), "R-15": ("n_shared", "test", "on both sides"),
+    "R-16": ("n_conditions", "test", "with conditions"), "R-22": ("n_qualified", "test", "with a time in words"), "R-17": ("n_departures", "departure", ""),
+}
+
+
+def _judged(rule_id: str) -> tuple[Column, Column, Column]:
+    count, one, rest = JUDGED.get(rule_id, ("", "pair", "of documents"))
+    return (F.col(count).cast("long") if count else F.lit(1).cast("long")), F.lit(one), F.lit(rest)
 
 
 def run_rules(r: Relations, only: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -320,10 +335,12 @@ def run_rules(r: Relations, only: list[str] | None = None) -> tuple[DataFrame, D
     count = lambda *ids: F.coalesce(F.sum(F.when(F.col("rule_id").isin(*ids), 1)), F.lit(0))
     fired = all_found.groupBy("pair_id").agg(count("R-12", "R-13", "R-16").alias("n_departures"), count("R-10", "R-14").alias("n_outstanding"))
     facts = r.pairs.join(fired, "pair_id", "left").fillna(0, ["n_departures", "n_outstanding"])
-    said = [F.struct(F.lit(i).alias("ord"), F.lit(x.id).alias("rule_id"), F.lit(x.title).alias("title"), F.lit(x.category).alias("category"), F.lit(x.question).alias("question"), (F.lit(True) if x.applies is None else F.coalesce(x.applies, F.lit(False))).alias("applies")) for i, x in enumerate(rules)]
-    each = facts.select("pair_id", F.explode(F.array(*said)).alias("r")).select("pair_id", "r.*")
+    said = [F.struct(F.lit(i).alias("ord"), F.lit(x.id).alias("rule_id"), F.lit(x.title).alias("title"), F.lit(x.category).alias("category"), F.lit(x.question).alias("question"), (F.lit(True) if x.applies is None else F.coalesce(x.applies, F.lit(False))).alias("applies"), *(v.alias(k) for k, v in zip(("n_judged", "judged", "rest"), _judged(x.id), strict=True))) for i, x in enumerate(rules)]
+    each = facts.select("pair_id", F.inline(F.array(*said)))
     counts = all_found.groupBy("pair_id", "rule_id").agg(F.count("*").cast("int").alias("fired"))
     outcomes = each.join(counts, ["pair_id", "rule_id"], "left").fillna(0, ["fired"])
     status = F.when(F.col("fired") > 0, "findings").when(F.col("applies"), "no-finding").otherwise("not-applicable")
-    detail = F.when(status == "not-applicable", "There is nothing here to judge.").when(status == "no-finding", "Judged, with nothing to raise.").otherwise("")
+    judged = F.concat(F.lit("Judged: "), F.col("n_judged").cast("string"), F.lit(" "), "judged", F.when(F.col("n_judged") == 1, "").otherwise("s"), F.regexp_replace("rest", "^(?=.)", " "), F.lit("; "))
+    fired_said = F.concat(F.col("fired").cast("string"), F.when(F.col("fired") == 1, F.lit(" finding.")).otherwise(F.lit(" findings.")))
+    detail = F.when(status == "not-applicable", "There is nothing here to judge.").otherwise(F.concat(judged, F.when(F.col("fired") == 0, F.lit("nothing to raise.")).otherwise(fired_said)))
     return numbered, outcomes.select("pair_id", "ord", "rule_id", "title", "category", "question", "fired", status.alias("status"), detail.alias("detail"))

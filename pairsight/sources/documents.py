@@ -38,7 +38,7 @@ def uploads(df: DataFrame, data: str = "data", name: str = "name") -> DataFrame:
     content = F.try_to_binary(F.col(data), F.lit("base64"))
     size = F.octet_length(content)
     error = F.when(content.isNull(), "not base64").when(size == 0, "empty").when(size > MOST_UPLOAD_BYTES, "too large").when(F.substring(content, 1, 4) != F.lit(b"%PDF"), "not a PDF")
-    return df.withColumn("error", error).withColumn("content", F.when(error.isNull(), content)).withColumn(name, F.element_at(F.split(F.col(name), r"[/\\]"), -1))
+    return df.withColumn("error", error).withColumn("content", F.when(error.isNull(), content)).withColumn(name, base_name(F.col(name)))
 
 
 def lines(documents: DataFrame) -> DataFrame:
@@ -61,5 +61,24 @@ def first_hits(all_lines: DataFrame, pattern: str, per: list[str] | None = None)
     return first.select(*keys, "page", "line", "raw", at.alias("start"), (at + F.length(text)).alias("end"), text.alias("match"))
 
 
+def hits(all_lines: DataFrame, pattern: str) -> DataFrame:
+    """Every line that a pattern is found in, with the place and text of its first match there."""
+    at, text = F.regexp_instr("raw", F.lit(pattern)) - 1, F.regexp_substr("raw", F.lit(pattern))
+    return all_lines.where(F.col("raw").rlike(pattern)).select("*", at.alias("start"), (at + F.length(text)).alias("end"), text.alias("match"))
+
+
+#: Fixed value: what the id of a run looks like.
+RUN_ID = "^[0-9a-f]{12}$"
+
+
+def base_name(name: Column) -> Column:
+    """The last part of a path, whichever slashes it has, so that an uploaded name leads nowhere else."""
+    return F.element_at(F.split(name, r"[/\\]"), -1)
+
+
+def is_run_id(text: Column) -> Column:
+    return F.coalesce(text.rlike(RUN_ID), F.lit(False))
+
+
 def contains(text: Column, pattern: str) -> Column:
     return F.coalesce(text.rlike(f"(?iU){pattern}"), F.lit(False))

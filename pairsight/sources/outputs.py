@@ -72,7 +72,28 @@ def sheet(findings: DataFrame, priority: str | None = None, scope: str | None =
     return findings.where(F.lower(F.concat_ws(" ", *columns)).contains(search.strip().lower())) if search.strip() else findings
 
 
-def export_decisions(findings: DataFrame) -> DataFrame:
-    """pair_id and decisions as JSON, by finding."""
-    pairs = F.map_from_entries(F.array_sort(F.collect_list(F.struct("id", F.struct("decision", "note")))))
-    return findings.groupBy("pair_id").agg(F.to_json(pairs).alias("decisions"))
+def export_decisions(findings: DataFrame, payloads: DataFrame, exported_at: Column | None = None) -> DataFrame:
+    """pair_id and export, JSON of the run, the documents, the time and one decision for each finding. findings: with_decisions() of them; payloads: the records of the same run."""
+    at = F.date_format(F.current_timestamp() if exported_at is None else exported_at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    manifest = F.from_json("payload", "manifest struct<run_at_utc:string,version:string,documents:array<struct<doc_key:string,name:string,text_sha256:string>>>")["manifest"]
+    each = F.map_from_entries(F.array_sort(F.collect_list(F.struct("id", F.struct("decision", "note")))))
+    decided = findings.groupBy("pair_id").agg(each.alias("decisions"))
+    runs = payloads.select("pair_id", manifest.alias("m")).join(decided, "pair_id", "left")
+    record = F.struct(F.col("m.run_at_utc").alias("run"), F.concat(F.lit("pairsight "), F.col("m.version")).alias("tool"), F.col("m.documents").alias("documents"), at.alias("exported_at"), F.coalesce("decisions", F.expr("cast(map() AS map<string,struct<decision:string,note:string>>)")).alias("decisions"))
+    return runs.select("pair_id", F.to_json(record).alias("export"))
+
+
+def read_decisions(exports: DataFrame, export: str = "export") -> DataFrame:
+    """pair_id, id, decision and note of exported decisions; what isn't one of DECISIONS is open."""
+    known = F.from_json(export, "decisions map<string,struct<decision:string,note:string>>")["decisions"]
+    each = exports.select("pair_id", F.explode(known).alias("id", "d"))
+    return each.select("pair_id", "id", F.when(F.col("d.decision").isin(*DECISIONS), F.col("d.decision")).otherwise("open").alias("decision"), F.coalesce("d.note", F.lit("")).alias("note"))
+
+
+FINDINGS = "array<struct<id:string,rule_id:string,review_priority:string,scope:string,observation:string,basis:string,action:string,uncertainty:string>>"
+
+
+def read_payloads(payloads: DataFrame) -> DataFrame:
+    """pair_id and the findings of records, a row for each; a record that can't be read has none."""
+    found = payloads.select("pair_id", F.inline(F.from_json("payload", f"findings {FINDINGS}")["findings"]))
+    return found.withColumnRenamed("review_priority", "priority")

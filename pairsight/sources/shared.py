@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """df, written to the checkpoint folder that the cluster names and read from there, so that plans built on it stay small."""
+    """df, written to the checkpoint folder that the session names in spark.checkpoint.dir and read from there, so that plans built on it stay small.
+
+    Spark removes checkpoints that nothing refers to any more where spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pairsight-checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder)
     return df.checkpoint()

@@ -17,8 +17,8 @@ def one(spark, column, **values):
 
 
 CRITERIA = [
-    ("≥ 5.0 N", ("threshold", ">=", 5.0, None, None, "n", "")), ("≤ 20 particles ≥10 µm per unit", ("threshold", "<=", 20.0, None, None, "particles >=10 um per unit", "")), ("0.20 – 0.40 N", ("range", "", None, 0.2, 0.4, "n", "")),
-    ("Reactivity grade ≤ 2", ("threshold", "<=", 2.0, None, None, "", "reactivity grade")), ("No visible corrosion at 24 h", ("qualitative", "", None, None, None, "", "")), ("Per ISO 10993-5", ("range", "", None, 10993.0, 5.0, "", "")), ("< 5 N", ("qualitative", "", None, None, None, "", "")),
+    ("≥ 640 kPa", ("threshold", ">=", 640.0, None, None, "kpa", "")), ("≤ 8 fibres ≥40 µm per litre", ("threshold", "<=", 8.0, None, None, "fibres >=40 um per litre", "")), ("2.1 – 3.4 L", ("range", "", None, 2.1, 3.4, "l", "")),
+    ("Panel score ≤ 3", ("threshold", "<=", 3.0, None, None, "", "panel score")), ("No visible bleaching at 72 h", ("qualitative", "", None, None, None, "", "")), ("Per ISO 2859-1", ("range", "", None, 2859.0, 1.0, "", "")), ("< 9 L", ("qualitative", "", None, None, None, "", "")),
 ]
 
 
@@ -27,29 +27,31 @@ def test_criteria(spark):
     for (text, wanted), r in zip(CRITERIA, rows, strict=True):
         assert (r.c.kind, r.c.op, r.c.value, r.c.low, r.c.high, r.c.unit, r.c.prefix) == wanted, text
     assert one(spark, V.criterion(F.col("t")), t="  ") is None
+    said = V.describe(V.criterion(F.col("t")))
+    assert [one(spark, said, t=t) for t in ("≥ 640 kPa", "2.1 – 3.4 L", "≤ 3", "by eye")] == [">= 640 kpa", "2.1 - 3.4 l", "<= 3", "by eye"]
 
 
 def test_bounds_belong_to_a_criterion(spark):
     c = V.criterion(F.col("t"))
-    for text, value, out in (("≥ 5.0 N", 4.7, True), ("≥ 5.0 N", 5.0, False), ("0.20 – 0.40 N", 0.45, True), ("0.20 – 0.40 N", 0.19, True), ("0.20 – 0.40 N", 0.4, False)):
+    for text, value, out in (("≥ 640 kPa", 639.9, True), ("≥ 640 kPa", 640.0, False), ("2.1 – 3.4 L", 3.41, True), ("2.1 – 3.4 L", 2.0, True), ("2.1 – 3.4 L", 3.4, False)):
         assert one(spark, V.outside(c, F.lit(value)), t=text) is out
 
 
 def test_measurements(spark):
     got = lambda t, prefix="": [(m.label, m.value) for m in one(spark, V.measurements(F.col("t"), F.lit(prefix)), t=t)]
-    assert got("Min 4.7 N, mean 6.1 N. Tested at ambient. Pass.") == [("min", 4.7), ("mean", 6.1)]
-    assert got("Range 0.22 – 0.45 N (one unit at 0.45 N), mean 0.31 N. Pass.") == [("min", 0.22), ("max", 0.45), ("mean", 0.31)]
-    assert got("Reactivity grade 1. Pass.") == [] and got("Reactivity grade 1. Pass.", "reactivity grade") == [("observation", 1.0)]
+    assert got("Min 610 kPa, mean 688 kPa. Filled at room temperature.") == [("min", 610.0), ("mean", 688.0)]
+    assert got("Range 2.3 – 3.9 L (a single one at 3.9 L), mean 2.9 L.") == [("min", 2.3), ("max", 3.9), ("mean", 2.9)]
+    assert got("Panel score 2.") == [] and got("Panel score 2.", "panel score") == [("observation", 2.0)]
     assert got("") == []
 
 
 def test_small_values(spark):
-    assert one(spark, V.integer(F.col("t")), t=" 30 ") == 30 and one(spark, V.integer(F.col("t")), t="Per ISO 10993-5") is None
-    assert one(spark, V.date(F.col("t")), t="Date: 3 July 2026") == datetime.date(2026, 7, 3)
+    assert one(spark, V.integer(F.col("t")), t=" 24 ") == 24 and one(spark, V.integer(F.col("t")), t="Per ISO 2859-1") is None
+    assert one(spark, V.date(F.col("t")), t="Date: 19 April 2024") == datetime.date(2024, 4, 19)
     assert one(spark, V.date(F.col("t")), t="31 February 2026") is None and one(spark, V.date(F.col("t")), t="none") is None
-    assert one(spark, V.temperatures(F.col("t")), t="Pull in 37°C saline") == [37.0]
-    assert one(spark, V.qualifiers(F.col("t")), t="No corrosion at 24 h") == ["24 h"]
-    assert one(spark, V.instruments(F.col("t")), t="Instron 5943 per ISO 10993") == ["Instron 5943"]
+    assert one(spark, V.temperatures(F.col("t")), t="Fill with water at 45°C") == [45.0]
+    assert one(spark, V.qualifiers(F.col("t")), t="No bleaching at 72 h") == ["72 h"]
+    assert one(spark, V.instruments(F.col("t")), t="Lloyd 3300 per ISO 2859") == ["Lloyd 3300"]
     assert [one(spark, T.number(F.lit(x))) for x in (5.0, 0.45, 30.0, -1.5)] == ["5", "0.45", "30", "-1.5"]
     assert one(spark, T.mask(F.col("t")), t="abcdefghijkl") == "abcdef...ijkl" and one(spark, T.mask(F.col("t")), t="abc") == "***"
 
@@ -72,24 +74,33 @@ def test_gutters(spark, rows, wanted):
 
 
 def test_cells_and_quotes(spark):
-    assert one(spark, cell_text(F.array(F.lit("Per ISO 10993-"), F.lit("5")))) == "Per ISO 10993-5"
+    assert one(spark, cell_text(F.array(F.lit("Per ISO 2859-"), F.lit("1")))) == "Per ISO 2859-1"
     assert one(spark, cell_text(F.array(F.lit("a -"), F.lit("b")))) == "a - b"
     fixed = cite.repair(F.col("t"), F.col("flat"))
-    assert one(spark, fixed, t="serial 5943 -11", flat="serial 5943-11") == "serial 5943 -11"
-    assert one(spark, fixed, t="the cali bration of it", flat="the calibration of it") == "the calibration of it"
+    assert one(spark, fixed, t="number 3300 -7", flat="number 3300-7") == "number 3300 -7"
+    assert one(spark, fixed, t="a cart ridge of ours", flat="a cartridge of ours") == "a cartridge of ours"
     assert one(spark, fixed, t="a b", flat="ab or a b") == "a b"
 
 
 def test_locate(spark):
-    docs = spark.createDataFrame([("p", "report", "", "Version:  2.0\nno corrosion was\nseen on parts here\nVersion:  2.0")], "pair_id string, doc_key string, name string, text string")
-    quotes = [("a", "Version: 2.0", 99), ("b", "Version: 2.0", 4), ("c", "corrosion was seen on parts", 0), ("d", "invented", 1), ("e", None, 1)]
+    docs = spark.createDataFrame([("p", "report", "", "Grade:  2.0\nno bleaching was\nseen on any part here\nGrade:  2.0")], "pair_id string, doc_key string, name string, text string")
+    quotes = [("a", "Grade: 2.0", 99), ("b", "Grade: 2.0", 4), ("c", "bleaching was seen on any part", 0), ("d", "invented", 1), ("e", None, 1)]
     q = spark.createDataFrame([("p", "report", *x) for x in quotes], "pair_id string, doc_key string, quote_id string, quote string, hint int")
     got = {r.quote_id: r for r in locate.locate(q, lines(docs)).collect()}
-    assert (got["a"].line, got["a"].text, got["b"].line) == (1, "Version:  2.0", 4)
-    assert (got["c"].line, got["c"].text, got["c"].rest) == (2, "corrosion was", "seen on parts")
+    assert (got["a"].line, got["a"].text, got["b"].line) == (1, "Grade:  2.0", 4)
+    assert (got["c"].line, got["c"].text, got["c"].rest) == (2, "bleaching was", "seen on any part")
     assert got["d"].line is None and got["e"].line is None
 
 
+def test_a_word_that_a_hyphen_breaks_is_found_in_its_column_only(spark):
+    text = "x   model ABC-\n    4711 and 7\nmodel ABD-\n          4711\nmodel ABE-5\n4711"
+    docs = spark.createDataFrame([("p", "report", "", text)], "pair_id string, doc_key string, name string, text string")
+    q = spark.createDataFrame([("p", "report", f"model {x}-4711", f"model {x}-4711", None) for x in ("ABC", "ABD", "ABE")], "pair_id string, doc_key string, quote_id string, quote string, hint int")
+    found = locate.locate(q, lines(docs)).withColumn("spans", locate.spans_of(F.col("doc_key")))
+    got = {r.quote_id: [(s.line, s.start, s.text) for s in r.spans] for r in found.collect()}
+    assert got == {"model ABC-4711": [(1, 4, "model ABC-"), (2, 4, "4711")], "model ABD-4711": [], "model ABE-4711": []}
+
+
 def test_suggestions(spark):
     docs = spark.createDataFrame([("p", k, "", "one line\ntwo line") for k in ("protocol", "report")], "pair_id string, doc_key string, name string, text string")
     item = lambda i, said="look", q="one line": f'{{"scope":"t{i}","observation":"{said}","reviewer_action":"check","protocol_quote":"{q}","protocol_line":1,"report_quote":"two line","report_line":2}}'
@@ -108,7 +119,17 @@ def test_a_model_that_raises_fails_only_its_row(spark):
             raise ValueError("no")
         return p.upper()
 
-    assert {(r.pair_id, r.reply, r.error) for r in locate.ask(prompts, model).collect()} == {("a", "X", None), ("b", None, "ValueError: no")}
+    got = locate.ask(prompts, model, wait=0)
+    assert {(r.pair_id, r.reply, r.error, r.attempts) for r in got.collect()} == {("a", "X", None, 1), ("b", None, "ValueError: no", 2)}
+
+    def refuses(p):
+        if p == "y":
+            raise locate.ModelRefused("key")
+        return {"content": "Z", "usage": {"prompt_tokens": 3, "completion_tokens": 4}}
+
+    got = locate.ask(prompts, refuses, retries=5).persist()
+    assert {(r.pair_id, r.reply, r.attempts) for r in got.collect()} == {("a", "Z", 1), ("b", None, 1)}
+    assert tuple(locate.usage(got).first()) == (1, 3, 4)
 
 
 def test_uploads(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pairsight.operators.cite import CitationError, check_spans, require_verified
 from pairsight.plans.review import review
-from pairsight.sources.outputs import counts, embedded, export_decisions, html, payload, sheet, with_decisions, write
+from pairsight.sources.outputs import counts, embedded, export_decisions, html, payload, read_decisions, read_payloads, sheet, with_decisions, write
 
 
 def documents(spark, pairs):
@@ -35,21 +35,21 @@ def mutated():
     p, r = flawed()
     cp, cr = clean()
     return {
-        "version": (p, edit(r, "Version 1.0", "Version 2.0"), set(), {("R-01", "document")}),
-        "calibration": (p, edit(r, "30 June 2025", "30 June 2027"), set(), {("R-04", "document")}),
-        "days": (p, edit(r, "Date:", "Testing performed:  1 July 2026\nDate:"), set(), {("R-06", "document")}),
+        "version": (p, edit(r, "Version 1.7", "Version 2.2"), set(), {("R-01", "document")}),
+        "calibration": (p, edit(r, "30 November 2023", "30 November 2027"), set(), {("R-04", "document")}),
+        "days": (p, edit(r, "Date:", "Testing performed:  2 April 2024\nDate:"), set(), {("R-06", "document")}),
         "deviation": (p, r + "\nA deviation is on file.", {("R-13", "T1")}, {("R-17", "document")}),
-        "ambient": (p, edit(r, "Tested at ambient", "Tested in 37°C saline"), {("R-14", "T1")}, {("R-16", "T1")}),
-        "units": (p, edit(r, "  25", "  30"), set(), {("R-13", "T1")}),
-        "criterion": (edit(p, "≥ 5.0 N", "≥ 4.5 N"), r, {("R-13", "T1")}, {("R-12", "T1"), ("R-14", "T1"), ("R-15", "T1")}),
-        "maximum": (p, edit(r, "Max 12", "Max 32"), {("R-14", "T2"), ("R-15", "T2")}, set()),
+        "ambient": (p, edit(r, "Filled at room temperature", "Filled at 45°C"), {("R-14", "T1")}, {("R-16", "T1")}),
+        "units": (p, edit(r, "  18", "  24"), set(), {("R-13", "T1")}),
+        "criterion": (edit(p, "≥ 640 kPa", "≥ 600 kPa"), r, {("R-13", "T1")}, {("R-12", "T1"), ("R-14", "T1"), ("R-15", "T1")}),
+        "maximum": (p, edit(r, "Max 5", "Max 15"), {("R-14", "T2"), ("R-15", "T2")}, set()),
         "renamed test": (edit(p, "\nT4", "\nT9"), r, {("R-11", "T4"), ("R-10", "T9")}, set()),
-        "other protocol": (p, edit(r, "AB-200-TP-014", "AB-201-TP-014"), {("R-02", "document")}, set()),
-        "instrument": (p, edit(r, "Instron 5943", "Zwick Z005"), {("R-19", "T1")}, set()),
-        "early": (p, edit(r, "3 July 2026", "3 March 2026"), {("R-05", "document")}, set()),
-        "other report": (p, edit(r, "AB-200-VR-014", "AB-200-VR-015"), {("R-03", "document")}, set()),
-        "clean minimum": (cp, edit(cr, "Min 5.3", "Min 4.3"), {("R-14", "T1"), ("R-15", "T1")}, set()),
-        "clean grade": (cp, edit(cr, "Reactivity grade 1", "Reactivity grade 3"), {("R-14", "T5")}, set()),
+        "other protocol": (p, edit(r, "QX-310-TP-002", "QX-311-TP-002"), {("R-02", "document")}, set()),
+        "instrument": (p, edit(r, "Lloyd 3300", "a lever"), {("R-19", "T1")}, set()),
+        "early": (p, edit(r, "19 April 2024", "19 January 2024"), {("R-05", "document")}, set()),
+        "other report": (p, edit(r, "QX-310-VR-002", "QX-310-VR-003"), {("R-03", "document")}, set()),
+        "clean minimum": (cp, edit(cr, "Min 655", "Min 555"), {("R-14", "T1"), ("R-15", "T1")}, set()),
+        "clean grade": (cp, edit(cr, "Panel score 2", "Panel score 5"), {("R-14", "T5")}, set()),
     }
 
 
@@ -124,14 +124,14 @@ def _with(s, new):
 
 def test_wrapped_cells_are_put_together(reviewed):
     r = reviewed.findings.where("pair_id = 'flawed' AND rule_id = 'R-18'").first()
-    assert "Per ISO 10993-5" in r.statement
-    assert [s.text for s in r.citations[0].spans] == ["Per ISO 10993-", "5"]
+    assert "Per ISO 2859-1" in r.statement
+    assert [s.text for s in r.citations[0].spans] == ["Per ISO 2859-", "1"]
 
 
 def test_blind_spots(reviewed):
     items = {(r.scope, r.item) for r in reviewed.not_checked.where("pair_id = 'flawed'").collect()}
-    assert ("T5", "External reference: BC-NV200-03") in items and ("T2", "External reference: USP <788>") in items
-    assert ("T4", 'Qualitative criterion: "No visible corrosion at 24 h"') in items
+    assert ("T5", "External reference: QX-FL310-07") in items and ("T2", "External reference: ISO 4020") in items
+    assert ("T4", 'Qualitative criterion: "No visible bleaching at 72 h"') in items
     assert sum(s == "document" for s, _ in items) == 3
 
 
@@ -154,4 +154,18 @@ def test_sheet_and_decisions(spark, reviewed):
     decided = with_decisions(one, spark.createDataFrame([("flawed", "F-001", "confirmed", "seen")], "pair_id string, id string, decision string, note string"), ["pair_id", "id"])
     assert sheet(decided, decision="confirmed").count() == 1 and sheet(decided, decision="open").count() == 15
     assert sheet(decided, search=" CALIBRATION ").count() >= 1 and sheet(decided, priority="low", scope="T4").first().rule_id == "R-22"
-    assert json.loads(export_decisions(decided).first().decisions)["F-001"] == {"decision": "confirmed", "note": "seen"}
+    records = payload(reviewed)
+    exports = export_decisions(decided, records)
+    export = json.loads(exports.where("pair_id = 'flawed'").first().export)
+    assert export["decisions"]["F-001"] == {"decision": "confirmed", "note": "seen"} and export["decisions"]["F-002"]["decision"] == "open"
+    assert export["tool"].startswith("pairsight ") and {d["doc_key"] for d in export["documents"]} == {"protocol", "report"} and export["run"] and export["exported_at"]
+    assert {(r.id, r.decision, r.note) for r in read_decisions(exports).collect()} == {(r.id, r.decision, r.note) for r in decided.select("id", "decision", "note").collect()}
+    assert {(r.id, r.scope, r.priority) for r in read_payloads(records).where("pair_id = 'flawed'").collect()} == {(r.id, r.scope, r.priority) for r in one.collect()}
+
+
+def test_outcomes_say_what_was_judged(reviewed):
+    said = {r.rule_id: r.detail for r in reviewed.outcomes.where("pair_id = 'clean'").collect()}
+    assert said["R-14"] == "Judged: 4 tests with values to compare; nothing to raise." and said["R-10"] == "Judged: 5 tests of the protocol; nothing to raise."
+    assert said["R-01"] == "Judged: 1 pair of documents; nothing to raise." and "nothing" in said["R-17"].lower()
+    said = {r.rule_id: r.detail for r in reviewed.outcomes.where("pair_id = 'flawed'").collect()}
+    assert said["R-14"] == "Judged: 3 tests with values to compare; 2 findings."
