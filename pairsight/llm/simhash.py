@@ -29,8 +29,8 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 #: Fingerprints under one value that make one tree, about.
 SHARD = 2048
-#: Nodes of all trees together that are broadcast at most: 20 MB.
-TREE_NODES = 1 << 20
+#: Nodes of all trees together that are broadcast at most: 10 MB.
+TREE_NODES = 1 << 19
 #: Parts that the links of one component are dealt to when it gets its name.
 SALTS = 32
 
@@ -68,10 +68,10 @@ class BKTree:
     """Metric trees over integers under Hamming distance, in flat arrays. A node has its value, its edge to the parent, its first child and its next sibling."""
 
     def __init__(self, value: bytes = b"", edge: bytes = b"", child: bytes = b"", sibling: bytes = b"") -> None:
-        self.value, self.edge, self.child, self.sibling = array("Q", value), array("B", edge), array("i", child), array("i", sibling)
+        self.value, self.edge, self.child, self.sibling = (array(kind, x).tolist() for kind, x in zip("QBii", (value, edge, child, sibling), strict=True))
 
-    def arrays(self) -> tuple[bytes, bytes, bytes, bytes]:
-        return self.value.tobytes(), self.edge.tobytes(), self.child.tobytes(), self.sibling.tobytes()
+    def arrays(self) -> tuple[bytes, ...]:
+        return tuple(array(kind, x).tobytes() for kind, x in zip("QBii", (self.value, self.edge, self.child, self.sibling), strict=True))
 
     def add(self, x: int, root: int = 0) -> None:
         """Hangs x into the tree of a root; into none where the root is yet to come. A value that is there already stays once."""
