@@ -34,7 +34,7 @@ from .common import shared_folder
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Segments whose ids every task holds in memory, at most: those that occur most often.
-TABLE_ROWS = 1 << 19
+TABLE_ROWS = 1 << 18
 #: Counts from which segments aren't told apart when those to hold are chosen.
 OFTEN = 1 << 16
 #: Characters of the stretches that a segment's substrings are taken from.
@@ -42,9 +42,9 @@ STRETCH = 64
 #: Elements of the blocks in which a fold's result grows.
 FOLD_BLOCK = 128
 #: Different words that a task counts before it cuts them, and whose ids it remembers.
-COUNTED = 150_000
+COUNTED = 100_000
 #: Different segments that a task counts before it hands the counts on.
-SEGMENTS = 400_000
+SEGMENTS = 150_000
 #: The column that decoding looks pieces up in.
 HEX_TABLE = "_hex_of_each_piece"
 #: Texts, and bytes of them, that a task takes at a time.
