@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairsight.llm.common import shared_folder, table
+from pairsight.llm.common import remove_folder, shared_folder, table
 from pairsight.llm.decontaminate import decontaminate
 from pairsight.llm.pieces import encode, load_vocabulary
 from pairsight.llm.secrets import redact_secrets
@@ -76,9 +76,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows. What a stage returns is written to the shared folder and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove_folder(spark, before)
+        before = f"{folder}/{name}"
     return docs
