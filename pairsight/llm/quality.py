@@ -96,7 +96,10 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality") ->
 
 
 def score_quality(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", name: str = "score") -> DataFrame:
-    """docs and a column with the probability of label 1. A text without tokens, null or empty, gets that of the bias."""
+    """docs and a column with the probability of label 1, in place of a column of that name. A text without tokens, null or empty, gets that of the bias.
+
+    A score depends on the text alone, which may have any length; rows that repeat get the same.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -151,7 +151,10 @@ SPANS = "array<struct<start:int,end:int,kind:string>>"
 
 
 def scan_secrets(docs: DataFrame, text: str = "text", name: str = "secrets") -> DataFrame:
-    """docs and a column with the spans of secrets as SPANS, in code points, end exclusive. A null text is empty and has none."""
+    """docs and a column with the spans of secrets as SPANS, in code points, end exclusive, in place of a column of that name.
+
+    A null text is empty and has none. Texts may have any length; rows that repeat get the same.
+    """
 
     @F.pandas_udf(SPANS)
     def scan(texts: pd.Series) -> pd.Series:
@@ -171,7 +174,7 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def redact_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the secrets of a column replaced. Null stays null."""
+    """docs with the secrets of a column replaced. Null stays null; texts may have any length; rows that repeat are treated alike, other columns stay as they are."""
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:

@@ -2,13 +2,17 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
+import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -201,6 +205,97 @@ def test_quality_on_held_out_rows(spark, docs, empty):
     assert quality.quality(empty, labels).count() == 0
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def spark_hash(*values):
+    """Spark's xxhash64 of longs and strings."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(struct.pack("<q", v) if isinstance(v, int) else v.encode(), seed)
+    return signed(seed)
+
+
+def plain_places(text):
+    mask, out, before, two_before = (1 << 64) - 1, [], 0, 0
+    for token in regex.findall(quality.TOKEN, text or ""):
+        h = spark_hash(token) & mask
+        pair = 1 if h == before else 2 if h == two_before else (before * 0x9E3779B97F4A7C15 & mask) ^ h
+        pair = (pair ^ pair >> 29) * 0xBF58476D1CE4E5B9 & mask
+        out += [h & (1 << quality.BITS) - 1, pair >> 32 & (1 << quality.BITS) - 1]
+        before, two_before = h, before
+    return out
+
+
+def plain_ftrl(rows):
+    """Weights and bias of follow-the-regularised-leader over (text, label), one weight at a time."""
+    z, n = {}, {}
+
+    def weight(i):
+        l1 = 0 if i == "bias" else quality.L1
+        x = z.get(i, 0.0)
+        return 0.0 if abs(x) <= l1 else -(x - math.copysign(l1, x)) / ((quality.BETA + math.sqrt(n.get(i, 0.0))) / quality.ALPHA + quality.L2)
+
+    for _ in range(quality.EPOCHS):
+        for text, label in rows:
+            places = plain_places(text)
+            x = {i: quality.SCALE * c / max(len(places), 1) for i, c in Counter(places).items()} | {"bias": 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-max(-35, min(35, sum(w[i] * x[i] for i in x)))))
+            for i in x:
+                g = (p - label) * x[i]
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / quality.ALPHA * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z}
+
+
+def test_quality_is_the_plain_learner(spark):
+    texts, labels = labelled(spark, lambda i: "BUY!! NOW!! BUY!! NOW!! BUY!! now now " * 3)
+    texts, labels = texts.where("doc_id < 150"), labels.where("doc_id < 150")
+    label = {r.doc_id: r.quality for r in labels.collect()}
+    rows = sorted(((spark_hash(r.doc_id, "quality") % (1 << 20), r.doc_id, r.text) for r in texts.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1))
+    models = [plain_ftrl([(t, label[i]) for place, i, t in rows if place % quality.SHARDS == shard]) for shard in range(quality.SHARDS)]
+    models = [m for m in models if m]
+
+    def score(text):
+        places = plain_places(text)
+        z = sum(sum(m.get("bias", 0.0) + quality.SCALE * sum(m.get(i, 0.0) for i in places) / max(len(places), 1) for m in [x]) for x in models) / len(models)
+        return 1 / (1 + math.exp(-z))
+
+    got = quality.quality(texts, labels).join(texts, "doc_id").collect()
+    assert len(got) == 150
+    for r in got:
+        assert r.score == pytest.approx(score(r.text), abs=1e-9)
+
+
+def test_scores_do_not_depend_on_neighbours(spark):
+    texts, labels = labelled(spark, lambda i: "nasty BUY!! nasty BUY!!")
+    models = quality.train_quality(texts, labels), toxicity.train_toxicity(texts, labels)
+    some = [(i, t) for i, t in enumerate(["a b a", "a", None, "", "b a b a", "nasty", "BUY!!", *TEXTS])]
+    seen = []
+    for size in (1, 7, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        df = spark.createDataFrame(some if size > 1 else some[::-1], "doc_id long, text string").coalesce(1)
+        seen.append([{r.doc_id: r.score for r in f(df, m).collect()} for f, m in zip((quality.score_quality, toxicity.score_toxicity), models, strict=True)])
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert seen[0] == seen[1] == seen[2]
+
+
+def test_columns_of_the_same_name_are_replaced_or_kept(spark, docs):
+    texts, labels = labelled(spark, lambda i: "nasty")
+    named = docs.select("doc_id", "text", F.lit("mine").alias("score"), F.lit("mine").alias("secrets"), F.lit("mine").alias("removed"), F.lit("mine").alias("_toxicity_text_"), F.lit(1).alias("ids"), F.lit("x").alias("fp"))
+    assert {type(r.score) for r in quality.score_quality(named, quality.train_quality(texts, labels)).collect()} == {float}
+    for most in (1 << 20, 0):
+        out = toxicity.score_toxicity(named, toxicity.train_toxicity(texts, labels, most=most))
+        assert sorted(out.columns) == sorted(named.columns) and {type(r.score) for r in out.collect()} == {float} and out.count() == len(ROWS)
+    assert secrets.scan_secrets(named).count() == len(ROWS) and secrets.redact_secrets(named).columns == named.columns
+    out = substrings.remove_repeats(named)
+    assert {*out.columns} == {*named.columns, "n_bytes", "kept"} and out.count() == len(ROWS)
+    out = pieces.encode(named, pieces.load_vocabulary(), name="tokens")
+    assert out.columns == [*named.columns, "tokens"] and {r.ids for r in out.collect()} == {1}
+
+
 # ---- licenses
 
 
@@ -362,6 +457,41 @@ def test_imatch_edits_and_likeness(docs, empty):
     assert imatch.imatch_digest(empty).count() == 0
 
 
+def test_imatch_is_the_plain_fingerprint(spark, monkeypatch):
+    monkeypatch.setattr(imatch, "LEAST_SHARE", 0.05)
+    texts = [(i, prose(40 + i, 25 + 5 * i) + f" only{i} both{i // 2} every{i % 3}") for i in range(24)] + [(30, None), (31, "alone"), (32, prose(41, 30)), (33, "Ünïcode ÄRGER 12")]
+    mask = (1 << imatch.TABLE_BITS) - 1
+    terms = lambda t: sorted({spark_hash(w) for w in regex.findall(imatch.TERM, (t or "").lower())})
+    df = Counter(t for _, x in texts for t in terms(x))
+    lexicon = {t & mask for t, k in df.items() if max(2, 0.05 * len(texts)) <= k <= 0.2 * len(texts)}
+
+    def views(t):
+        known = [x for x in terms(t) if x & mask in lexicon] or terms(t)
+        out = []
+        for m, clear in imatch.MASKS:
+            mine, seed = [x for x in known if (spark_hash(x, "view") & m == 0) == clear], 42
+            for x in mine:
+                seed = xxhash.xxh64_intdigest(struct.pack("<q", x), seed)
+            out.append(max(seed & 0x7FFFFFFF, 1) if mine else 0)
+        return out
+
+    def likeness(a, b):
+        either = [x == y for x, y in zip(a, b, strict=True) if x or y]
+        return sum(either) / len(either) if either else 1.0
+
+    monkeypatch.setattr(imatch.lexicon, "__defaults__", ("text", 0.05, imatch.MOST_SHARE))
+    order = sorted(texts, key=lambda x: -x[0])
+    want = {}
+    for i, (doc_id, t) in enumerate(order):
+        t, after = t or "", order[(i + 1) % len(order)][1] or ""
+        k = len(t) // 3
+        mine, edited, next_ = views(t), views(t[: len(t) - k] + after[:k]), views(after)
+        want[doc_id] = ("".join(f"{x:08x}" for x in mine), "".join(f"{x:08x}" for x in edited), likeness(mine, edited), likeness(mine, next_))
+    got = {r.doc_id: (r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in imatch.imatch_digest(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == want
+    assert any(0 < x[2] < 1 for x in want.values())
+
+
 # ---- suffix sorting and repeated strings
 
 
@@ -397,6 +527,24 @@ def test_repeated_strings(docs, empty, monkeypatch, large):
     assert substrings.substring_digest(empty).count() == 0
 
 
+def test_a_passage_amid_many_texts_is_found_by_parts_of_its_group(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "GROUP", 3)
+    passage, other = prose(70, 60), prose(71, 60)
+    texts = [prose(800 + i, 30) + " " + (passage if i % 3 else passage[: 150 + i] + other) + " " + prose(900 + i, 30) for i in range(40)] + [passage, "x" + passage * 3]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [(i, *x) for i, x in enumerate(repeats(texts))]
+    assert rows(substrings.substring_digest(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want, key=str)
+
+
+def test_parts_of_a_context_hold_all_its_strings():
+    c, at = prose(5, 60).encode()[:336], 136
+    for width in substrings.WIDTHS:
+        parts = list(substrings.split_context(c, at, width))
+        assert sorted(base + k for base, _, part, _ in parts for k in range(len(part) - 199)) == list(range(137))
+        assert all(anchor.split(b":", 1)[1] in part[k : k + 200] for _, anchor, part, _ in parts for k in range(len(part) - 199))
+        assert all(part[place : place + 64] == c[at : at + 64] for _, _, part, place in parts)
+
+
 def test_long_texts_go_on_over_blocks(monkeypatch):
     monkeypatch.setattr(substrings, "BLOCK", 1000)
     data = prose(9, 1200).encode()
