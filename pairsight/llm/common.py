@@ -50,3 +50,9 @@ def held_out(doc_id: Column) -> Column:
 def let(value: Column, body) -> Column:
     """body(value), with the value computed once however often body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def row_key(text: Column) -> Column:
+    """128 bits by which texts are told apart, the same each time that a row is computed. Null and empty texts are the same."""
+    text = F.coalesce(text, F.lit(""))
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(text, F.lit(1)).alias("b"))

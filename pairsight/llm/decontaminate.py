@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lower_ascii
+from .common import cut, lower_ascii, row_key
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, K = 13, 5
@@ -107,7 +107,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: in
     n = prints.count()
     short = sorted(r["need"] for r in prints.select("need").where(F.col("need") < window).distinct().collect())  # window - 1 at most
     bits = min(MOST_BITS, max(1 << 15, 1 << (16 * n).bit_length()))
-    hashed = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), word_hashes(F.col(text)).alias("w")).withColumn("bits", _bit_table(prints, bits))
+    hashed = docs.select(F.col(doc_id).alias("doc_id"), row_key(F.col(text)).alias("row"), word_hashes(F.col(text)).alias("w")).withColumn("bits", _bit_table(prints, bits))
 
     def can_match(g: Column) -> Column:
         slot = F.shiftright(g["key"], POSITION_BITS).bitwiseAND(F.lit(bits - 1))
@@ -123,14 +123,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: in
     hits = hits.withColumn("l", F.when(F.col("middle") == F.col("item_middle"), left)).withColumn("r", F.when(F.col("middle") == F.col("item_middle"), right))
     hit = F.coalesce(F.col("l") + F.col("k") + F.col("r") >= F.col("need"), F.lit(False))
     run = F.struct((F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("k") + F.col("r")).alias("end"))
-    per = hits.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.collect_set(F.when(hit, run))).alias("runs"), F.collect_set(F.when(hit, F.col("item_id").cast("string"))).alias("items"))
+    # rows that repeat come here together, each with one row that has no gram
+    per = hits.groupBy("doc_id", "row").agg(F.count_if(F.col("n_words").isNotNull()).alias("copies"), F.max("n_words").alias("n_words"), F.array_sort(F.collect_set(F.when(hit, run))).alias("runs"), F.collect_set(F.when(hit, F.col("item_id").cast("string"))).alias("items"))
 
     def merge(acc: Column, r: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
         joined = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"))))
         return F.when(F.size(acc) == 0, F.array(r)).when(r["start"] <= last["end"], joined).otherwise(F.concat(acc, F.array(r)))
 
-    per = per.withColumn("spans", F.aggregate("runs", F.array().cast("array<struct<start:int,end:int>>"), merge))
+    per = per.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).withColumn("spans", F.aggregate("runs", F.array().cast("array<struct<start:int,end:int>>"), merge))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, r: acc + r["end"] - r["start"])
     per = per.select("doc_id", "n_words", n_hit.alias("n_hit"), F.array_sort("items").alias("item_ids"), "spans")
     return per.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))

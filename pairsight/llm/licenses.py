@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, let, lower_ascii
+from .common import cut, let, lower_ascii, row_key
 
 WORD = "[a-z0-9]+"
 SHINGLE, CONTAINED, BANDS = 5, 0.8, 42
@@ -71,7 +71,7 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, doc_id: str = "doc_id",
     have = t.select(F.explode("set").alias("s")).select((slot(F.col("s")) / 64).cast("int").alias("i"), bit.alias("b"))
     every = docs.sparkSession.range((1 << TABLE_BITS) // 64).select(F.col("id").cast("int").alias("i"), F.lit(0).cast("long").alias("b"))
     table = have.unionByName(every).groupBy("i").agg(F.bit_or("b").alias("b")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "b"))), lambda x: x["b"]).alias("t"))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), shingles(F.col(text)).alias("s")).withColumn("table", table.scalar())
+    rows = docs.select(F.col(doc_id).alias("doc_id"), row_key(F.col(text)).alias("row"), shingles(F.col(text)).alias("s")).withColumn("table", table.scalar())
     known = lambda s: F.call_function("shiftright", F.get("table", (slot(s) / 64).cast("int")), (slot(s) % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
     places = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: known(F.get("s", i)))
     rows = rows.where(F.size("s") > 0).withColumn("places", places).where(F.size("places") > 0).drop("table")
@@ -84,7 +84,11 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, doc_id: str = "doc_id",
     mine = t.select("license", F.col("set").alias("template"), "class", F.posexplode(minima(F.col("set"))).alias("band", "least"))
     found = banded.join(F.broadcast(mine) if t.count() * BANDS <= BROADCAST_ROWS else mine, ["class", "band", "least"])
     share = F.size(F.array_intersect("set", "template")) / F.size("template")
-    found = found.select("doc_id", "row", "license", "class", "at", share.alias("share")).where(F.col("share") >= contained)
-    found = found.groupBy("row", "license", "class", "at").agg(F.first("doc_id").alias("doc_id"), F.max("share").alias("share"))
+    found = found.select("doc_id", "row", "license", "class", "at", "band", F.xxhash64("template").alias("template"), share.alias("share")).where(F.col("share") >= contained)
+    # rows that repeat come here together: a band of a window finds a template once for each
+    found = found.groupBy("doc_id", "row", "license", "class", "at", "band", "template").agg(F.max("share").alias("share"), F.count("*").alias("copies"))
+    found = found.groupBy("doc_id", "row", "license", "class", "at").agg(F.max("share").alias("share"), F.max("copies").alias("copies"))
     best = F.min(F.struct((-F.col("share")).alias("share"), "at"))
-    return found.groupBy("row", "license").agg(F.first("doc_id").alias("doc_id"), best.alias("best"), F.count("*").alias("n_windows")).select("doc_id", "license", (-F.col("best.share")).alias("containment"), F.col("best.at").cast("long").alias("first_word"), "n_windows")
+    found = found.groupBy("doc_id", "row", "license").agg(best.alias("best"), F.count("*").alias("n_windows"), F.max("copies").alias("copies"))
+    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return found.select("doc_id", "license", (-F.col("best.share")).alias("containment"), F.col("best.at").cast("long").alias("first_word"), "n_windows")

@@ -309,6 +309,8 @@ def test_license_windows_lose_no_notice(spark, docs, empty):
     for r in licenses.scan_licenses(df, licenses.default_templates(spark)).collect():
         found.setdefault(r.doc_id, set()).add(r.license)
     assert found == {i: x for i, _, x in cases if x}
+    again = licenses.scan_licenses(df.unionByName(df.where("doc_id IN (1, 4)")).unionByName(df.where("doc_id = 1")), licenses.default_templates(spark)).collect()
+    assert Counter((r.doc_id, r.license) for r in again) == Counter([(i, x) for i, _, own in cases for x in own] + [(1, "bsd")] * 2 + [(4, "mit")])
     assert licenses.scan_licenses(docs, licenses.default_templates(spark)).count() == 0
     assert licenses.scan_licenses(empty, licenses.default_templates(spark)).count() == 0
     assert licenses.scan_licenses(df, licenses.default_templates(spark).where("false")).count() == 0
