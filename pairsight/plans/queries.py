@@ -7,7 +7,9 @@ that pairs grow with the parts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -266,6 +268,34 @@ def _relations(spark, sf_dir) -> Relations:
     return Relations(with_counts(pairs, once, report, shared), once, report, shared)
 
 
+def _header_texts(spark, sf_dir) -> DataFrame:
+    """Both documents of each pair as text, with headers, phrases and sections that facts are read from."""
+    i = F.col("i")
+    say = lambda *x: F.concat(*(F.lit(c) if isinstance(c, str) else c.cast("string") for c in x))
+    day = lambda d: F.date_format(d, "d MMMM yyyy")
+    when = lambda cond, text: F.when(cond, text).otherwise("")
+    protocol = say("Document:  AB-", i + 100, "-TP-014\nVersion: ", i % 3 + 1, ".0\nEffective: 1 March 2024\n\n1. Rules\nAny deviation is told.\nGauges are within current calibration\nwhen used.\n2. Reporting\nAll of it shall be recorded in AB-", i + 100 - i % 5, "-VR-014, which\nmust reference this protocol.\n")
+    due, dated = F.date_sub(F.lit("2024-06-01").cast("date"), (i % 9 * 30).cast("int")), F.date_add(F.lit("2024-01-01").cast("date"), (i % 400 * 7).cast("int"))
+    report = say("Document: AB-", i + 100, "-VR-014\nVerifies protocol: AB-", i + 100 - i % 2, "-TP-014, Version ", i % 4 + 1, ".0\nDate: 3 May 2020\nDate: ", day(dated), "\nTest equipment: Zwick 5000; calibration due ", day(due), "; no. 4\n", when(i % 3 == 0, "Testing performed: in May\n"), "\n1. Summary\n", when(i % 2 == 0, "All tests were done.\n"), when(i % 4 == 0, "One deviation.\n"), "2. Conclusion\nIt holds\nas it is.\n")
+    pairs = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 20).cast("int").alias("i")).distinct()
+    sides = F.array(F.struct(F.lit("protocol").alias("doc_key"), F.lit("p").alias("name"), protocol.alias("text")), F.struct(F.lit("report").alias("doc_key"), F.lit("r").alias("name"), report.alias("text")))
+    return pairs.select(say("P", i).alias("pair_id"), F.inline(sides))
+
+
+@query("""WITH h AS (SELECT DISTINCT (p_partkey // 20)::INT AS i FROM part)
+SELECT 'P' || i AS pair_id, (i % 3 + 1) || '.0' AS version, (i % 4 + 1) || '.0' AS cited_version, 'AB-' || (i + 100) || '-TP-014' AS protocol_id, 'AB-' || (i + 100 - i % 2) || '-TP-014' AS cited_id, 'AB-' || (i + 100) || '-VR-014' AS report_id,
+'AB-' || (i + 100 - i % 5) || '-VR-014' AS named, (DATE '2024-01-01' + (i % 400 * 7)::INT)::VARCHAR AS report_date, (DATE '2024-06-01' - (i % 9 * 30)::INT)::VARCHAR AS calibration_due, '2024-03-01' AS effective, i % 3 = 0 AS says_test_dates, i % 4 = 0 AS says_deviation,
+'Summary,Conclusion' AS titles, CASE WHEN i % 2 = 0 THEN 1 ELSE 0 END AS n_all_tests, 2 AS n_calibration, 3 AS n_conclusion, 1 AS n_must, 2 AS n_recorded FROM h""")
+def q_header_facts(spark, sf_dir):
+    from .review import header_facts
+
+    docs = _header_texts(spark, sf_dir)
+    lines = settle(D.lines(docs))
+    f = header_facts(lines, docs, structure.fields(lines), structure.sections(lines))
+    spans = [F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).alias(a) for c, a in (("all_tests_phrase", "n_all_tests"), ("calibration_phrase", "n_calibration"), ("conclusion_spans", "n_conclusion"), ("must_reference", "n_must"), ("recorded_phrase", "n_recorded"))]
+    return f.select("pair_id", "version", "cited_version", "protocol_id", "cited_id", "report_id", F.array_join("named_ids", ",").alias("named"), *(F.col(c).cast("string").alias(c) for c in ("report_date", "calibration_due", "effective")), "says_test_dates", "says_deviation", F.array_join("report_titles", ",").alias("titles"), *spans)
+
+
 def _rule(rule_id: str, sql: str):
     needs = {"R-15": ["R-14"], "R-17": ["R-12", "R-13", "R-16"], "R-20": ["R-10", "R-14"], "R-21": ["R-10", "R-14"]}.get(rule_id, [])
 
@@ -342,6 +372,21 @@ def q_rule_outcomes(spark, sf_dir):
     return _findings(spark, sf_dir)[1].select("pair_id", "rule_id", "fired", "status")
 
 
+@query(f"""WITH {_PAIRS}, {_HEAD} SELECT pair_id, 'R-13' AS rule_id, test_id AS scope, 'The report has ' || n || ' units for ' || test_id || ', the protocol ' || (s % 10 + 25) || ': ' || abs(s % 10 + 25 - n) || CASE WHEN n < s % 10 + 25 THEN ' fewer.' ELSE ' more.' END AS statement, 2 AS n_cells FROM j WHERE {_UNITS}
+UNION ALL SELECT pair_id, 'R-01', 'document', 'The report cites protocol version ' || cited_version || '; the protocol at hand has version ' || version || '.', 3 FROM h WHERE version <> cited_version
+UNION ALL SELECT pair_id, 'R-04', 'document', 'Calibration was due ' || strftime(calibration_due, '%d %B %Y') || ', ' || (report_date - calibration_due) || ' days before the report''s date of ' || strftime(report_date, '%d %B %Y') || '.', 3 FROM h WHERE calibration_due < report_date
+UNION ALL SELECT pair_id, 'R-18', test_id, 'The protocol''s sample size for ' || test_id || ' is "per plan", not a number.', 2 FROM p WHERE k % 7 = 0""")
+def q_rule_statements(spark, sf_dir):
+    r = _relations(spark, sf_dir)
+    place = F.array(F.struct(F.lit("report").alias("doc"), F.lit(1).alias("page"), F.lit(1).alias("line"), F.lit(0).alias("start"), F.lit(1).alias("end"), F.lit("x").alias("text"))).cast(structure.SPANS)
+    cells = F.map_from_arrays(F.array(F.lit("sample_size"), F.lit("method")), F.array(place, place))
+    r.shared, r.protocol = r.shared.withColumns({"p_spans": cells, "r_spans": cells}), r.protocol.withColumn("spans", cells)
+    r.pairs = r.pairs.withColumns({"must_reference": place, "calibration_phrase": place, **{f"{c}_span": place[0] for c in ("cited", "version_field", "equipment", "report_date_field")}})
+    rules = {x.id: x for x in registry()}
+    found = reduce(DataFrame.unionByName, (rules[k].find(r) for k in ("R-13", "R-01", "R-04", "R-18")))
+    return found.select("pair_id", "rule_id", "scope", "statement", F.aggregate("citations", F.lit(0), lambda n, c: n + F.size(c["spans"])).alias("n_cells"))
+
+
 @query(f"{_WITH_ALL} SELECT pair_id, count(*) AS total, count(*) FILTER (priority = 'high') AS high, count(*) FILTER (priority = 'medium') AS medium, count(*) FILTER (priority = 'low') AS low, string_agg(DISTINCT scope, ',' ORDER BY scope) AS scopes FROM a GROUP BY pair_id")
 def q_priority_counts(spark, sf_dir):
     return outputs.counts(_findings(spark, sf_dir)[0]).withColumn("scopes", F.array_join("scopes", ","))
@@ -524,3 +569,21 @@ def q_quote_repair(spark, sf_dir):
 def q_nfkc_normalise(spark, sf_dir):
     """NFKC and the comparison form; DuckDB has only NFC."""
     return table(spark, sf_dir, "documents").select("doc_id", T.comparable(T.nfkc("text")).alias("form"))
+
+
+@query("SELECT p_partkey AS k, 't' || p_partkey || ' fit >=' || p_size || ' a-b 5 um ok' AS form FROM part")
+def q_nfkc_known_forms(spark, sf_dir):
+    """Full-width letters and digits, a ligature, a micro sign, dashes and odd spaces, in their plain forms."""
+    wide = lambda c: F.translate(c.cast("string"), "0123456789", "０１２３４５６７８９")
+    p = table(spark, sf_dir, "part")
+    text = F.concat(F.lit("Ｔ"), wide(F.col("p_partkey")), F.lit("\u3000ﬁt ≥\u00a0"), wide(F.col("p_size")), F.lit("  A–b ５ µm\u2003ＯＫ "))
+    return p.select(F.col("p_partkey").alias("k"), T.comparable(T.nfkc(text)).alias("form"))
+
+
+@query("SELECT p_partkey AS k, 'part ' || p_name || ' of cartridge K' || p_partkey || ' is not cart ridge -7, see non-stop' AS repaired FROM part")
+def q_quote_repair_words(spark, sf_dir):
+    """Words that layout has split, of which the flat text has some as one word only, one both ways and one as neither."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey").cast("string")
+    shown = F.concat(F.lit("part "), F.col("p_name"), F.lit(" of cartr idge K"), k, F.lit(" is not cart ridge -7, see non- stop"))
+    flat = F.concat(F.lit("a cartridge and a cart ridge, non-stop, K"), k, F.lit(" "), F.col("p_name"))
+    return p.select(F.col("p_partkey").alias("k"), cite.repair(shown, flat).alias("repaired"))
