@@ -30,7 +30,9 @@ COARSE, FINE = 8, 40
 #: Bits of a term's hash that a coarse view needs not to be all clear, and a fine view to be all clear.
 MASKS = (*((3 << 2 * k, False) for k in range(COARSE)), *((63 << k, True) for k in range(2 * COARSE, 2 * COARSE + FINE)))
 #: Documents next to each other in order of id that are handled together, about, in so many runs at most.
-RUN, MOST_RUNS = 2000, 1 << 13
+RUN, MOST_RUNS = 2000, 1 << 16
+#: Cuts between runs that are looked at together.
+GROUP = 256
 
 
 def terms(text: Column) -> Column:
@@ -101,13 +103,18 @@ def with_next(docs: DataFrame, order: str, text: str, derive) -> DataFrame:
     spark = docs.sparkSession
     n = docs.count()
     runs = max(1, min(MOST_RUNS, n // RUN))
-    cuts = docs.agg(F.percentile_approx(order, [i / runs for i in range(1, runs)], 100 * runs)).first()[0] if runs > 1 else []
+    cuts = docs.agg(F.percentile_approx(order, [i / runs for i in range(1, runs)], 10 * runs)).first()[0] if runs > 1 else []
     cuts = sorted({*(cuts or [])})
-    # a run's number is how many cuts are above its values; null goes after all
-    run = F.when(F.col(order).isNull(), len(cuts) + 1).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col(order))) if cuts else F.lit(0)).cast("int")
-    placed = docs.select(order, text, run.alias("_run"), F.lit(0).alias("_close"))
+    # a run's number is how many cuts are above its values, counted in two steps; null goes after all
+    groups = [cuts[at : at + GROUP] for at in range(0, len(cuts), GROUP)]
+    kind = docs.schema[order].dataType.simpleString()
+    finer = spark.createDataFrame([(len(groups) - k, sum(map(len, groups[k + 1 :])), g) for k, g in enumerate(groups)], f"_above int, _base int, _cuts array<{kind}>")
+    above = F.size(F.filter(F.array(*(F.lit(g[-1]) for g in groups)), lambda c: c > F.col(order))) if groups else F.lit(0)
+    placed = docs.select(order, text, F.coalesce(above, F.lit(0)).cast("int").alias("_above")).join(F.broadcast(finer), "_above", "left")
+    run = F.when(F.col(order).isNull(), len(cuts) + 1).otherwise(F.coalesce(F.col("_base") + F.size(F.filter("_cuts", lambda c: c > F.col(order))), F.lit(0))).cast("int")
+    placed = placed.select(order, text, run.alias("_run"), F.lit(0).alias("_close"))
     heads = placed.groupBy("_run").agg(F.max(order).alias("_head")).orderBy("_run").collect()  # MOST_RUNS + 1 rows at most
-    follows = spark.createDataFrame([(heads[i]["_run"], heads[(i + 1) % len(heads)]["_run"], heads[(i + 1) % len(heads)]["_head"]) for i in range(len(heads))], f"_before int, _run int, _head {docs.schema[order].dataType.simpleString()}")
+    follows = spark.createDataFrame([(heads[i]["_run"], heads[(i + 1) % len(heads)]["_run"], heads[(i + 1) % len(heads)]["_head"]) for i in range(len(heads))], f"_before int, _run int, _head {kind}")
     first = placed.join(F.broadcast(follows), [placed["_run"] == follows["_run"], placed[order].eqNullSafe(follows["_head"])]).groupBy("_before").agg(F.min(text).alias(text))
     closing = first.select(F.lit(None).cast(docs.schema[order].dataType).alias(order), text, F.col("_before").alias("_run"), F.lit(1).alias("_close"))
     rows = derive(placed.unionByName(closing))

@@ -442,7 +442,10 @@ def test_trees_follow_only_edges_within_the_radius():
 # ---- I-Match
 
 
-def test_imatch_edits_and_likeness(docs, empty):
+@pytest.mark.parametrize(("run", "group"), [(2000, 256), (1, 3), (2, 1)])
+def test_imatch_edits_and_likeness(docs, empty, monkeypatch, run, group):
+    monkeypatch.setattr(imatch, "RUN", run)
+    monkeypatch.setattr(imatch, "GROUP", group)
     got = imatch.imatch_digest(docs).collect()
     order = sorted(ROWS, key=lambda x: (x[0] is None, -(x[0] or 0), x[1] or ""))
     want = []
