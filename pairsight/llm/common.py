@@ -31,6 +31,17 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows that tasks hand to Python at a time at most.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts may be long, so that the usual 10,000 rows at a time would fill an executor: lowers the session's spark.sql.execution.arrow.maxRecordsPerBatch to BATCH_ROWS where it is higher or unbounded."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it from there."""
     shared_folder(df.sparkSession)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, AtomicType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import shared_folder
+from .common import bounded_batches, shared_folder
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -368,6 +368,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name: st
     to their row, and take the places of the marks.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     folder = f"{shared_folder(spark)}/segments-{uuid.uuid4().hex}"
     encode_segments(count_segments(docs, vocabulary, text), vocabulary).drop("id_a", "id_b").write.parquet(folder)
     coded = with_identity(spark.read.parquet(folder))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import bounded_batches, held_out
 from .ngrams import flat, hashed, row_sums, with_labels
 
 TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]+"
@@ -100,6 +100,7 @@ def score_quality(docs: DataFrame, model: tuple[np.ndarray, float], text: str =
 
     A score depends on the text alone, which may have any length; rows that repeat get the same.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 KINDS = ("assign", "access", "hex", "novel")
 #: What the base patterns match, and the length that a match must have.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -156,6 +158,8 @@ def scan_secrets(docs: DataFrame, text: str = "text", name: str = "secrets") ->
     A null text is empty and has none. Texts may have any length; rows that repeat get the same.
     """
 
+    bounded_batches(docs.sparkSession)
+
     @F.pandas_udf(SPANS)
     def scan(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [{"start": s, "end": e, "kind": k} for s, e, k in find_secrets(t)])
@@ -176,6 +180,8 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
 def redact_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the secrets of a column replaced. Null stays null; texts may have any length; rows that repeat are treated alike, other columns stay as they are."""
 
+    bounded_batches(docs.sparkSession)
+
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: t if t is None else redact(t, find_secrets(t)))

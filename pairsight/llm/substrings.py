@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
-from .common import cut, shared_folder
+from .common import bounded_batches, cut, shared_folder
 from .suffixes import suffix_array
 
 LENGTH, GRAM = 200, 64
@@ -300,6 +300,7 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     or overlap itself. A null text is empty; a text shorter than LENGTH stays whole, and texts may have any length. Rows of
     docs that repeat are copies. Columns of docs that have one of the three names are replaced.
     """
+    bounded_batches(docs.sparkSession)
     new = ("n_bytes", "removed", "kept")
     names = [c for c in docs.columns if c not in new]
     atoms = [f"`{f.name}`" for f in docs.schema if isinstance(f.dataType, AtomicType)]
