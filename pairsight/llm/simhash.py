@@ -157,11 +157,16 @@ def _broadcast_links(rows: DataFrame, radius: int) -> DataFrame:
     """Links found with all shards' trees broadcast. rows: key, shard and fp."""
 
     def grow(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns, out = ["key", "value", "edge", "child", "sibling"], []
         for (key, _), values in _groups(it, ["key", "shard"]):
             tree = BKTree()
             for (x,) in values:
                 tree.add(x & 0xFFFFFFFFFFFFFFFF)
-            yield pd.DataFrame([(key, *tree.arrays())], columns=["key", "value", "edge", "child", "sibling"])
+            out.append((key, *tree.arrays()))
+            if len(out) >= 5000:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        yield pd.DataFrame(out, columns=columns)
 
     grown = rows.select("key", "shard", "fp").repartition("key", "shard").sortWithinPartitions("key", "shard").mapInPandas(grow, "key long, value binary, edge binary, child binary, sibling binary").toArrow()  # TREE_NODES nodes at most
     sizes = np.fromiter((len(x) for x in grown["edge"].to_pylist()), np.int64, grown.num_rows)
