@@ -63,6 +63,11 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with further columns, each computed once a row: they are generated, so later filters and functions read them instead of holding their expressions again."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
+
+
 def row_key(text: Column) -> Column:
     """128 bits by which texts are told apart, the same each time that a row is computed. Null and empty texts are the same."""
     text = F.coalesce(text, F.lit(""))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, let, lower_ascii, row_key
+from .common import cut, let, lower_ascii, once, row_key
 
 WORD = "[a-z0-9]+"
 SHINGLE, CONTAINED, BANDS = 5, 0.8, 42
@@ -71,20 +71,21 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, doc_id: str = "doc_id",
     have = t.select(F.explode("set").alias("s")).select((slot(F.col("s")) / 64).cast("int").alias("i"), bit.alias("b"))
     every = docs.sparkSession.range((1 << TABLE_BITS) // 64).select(F.col("id").cast("int").alias("i"), F.lit(0).cast("long").alias("b"))
     table = have.unionByName(every).groupBy("i").agg(F.bit_or("b").alias("b")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "b"))), lambda x: x["b"]).alias("t"))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), row_key(F.col(text)).alias("row"), shingles(F.col(text)).alias("s")).withColumn("table", table.scalar())
+    rows = once(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), row=row_key(F.col("text")), s=shingles(F.col("text"))).drop("text")
     known = lambda s: F.call_function("shiftright", F.get("table", (slot(s) / 64).cast("int")), (slot(s) % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
     places = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: known(F.get("s", i)))
-    rows = rows.where(F.size("s") > 0).withColumn("places", places).where(F.size("places") > 0).drop("table")
+    rows = once(rows.where(F.size("s") > 0).withColumn("table", table.scalar()), places=places).where(F.size("places") > 0).drop("table")
     # a window is known by its class and its place in strides; a shingle lies in two of each class
     near = lambda c: F.flatten(F.transform("places", lambda i: F.array(F.floor(i / c).cast("int"), F.floor(i / c).cast("int") - 1)))
     windows_of = lambda c: F.transform(F.filter(F.array_distinct(near(c)), lambda k: k >= 0), lambda k: F.struct(F.lit(c).alias("class"), k.alias("k")))
     windows = F.concat(*map(windows_of, classes)) if classes else F.array().cast("array<struct<class:int,k:int>>")
-    w = rows.select("doc_id", "row", "s", F.explode(windows).alias("w")).select("doc_id", "row", "w.class", (F.col("w.k") * F.col("w.class")).alias("at"), F.array_distinct(F.slice("s", F.col("w.k") * F.col("w.class") + 1, 2 * F.col("w.class"))).alias("set"))
+    w = rows.select("doc_id", "row", "s", F.explode(windows).alias("w")).select("doc_id", "row", "s", "w.class", (F.col("w.k") * F.col("w.class")).alias("at"))
+    w = once(w, set=F.array_distinct(F.slice("s", F.col("at") + 1, 2 * F.col("class")))).drop("s")
     banded = w.select("*", F.posexplode(minima(F.col("set"))).alias("band", "least"))
     mine = t.select("license", F.col("set").alias("template"), "class", F.posexplode(minima(F.col("set"))).alias("band", "least"))
     found = banded.join(F.broadcast(mine) if t.count() * BANDS <= BROADCAST_ROWS else mine, ["class", "band", "least"])
     share = F.size(F.array_intersect("set", "template")) / F.size("template")
-    found = found.select("doc_id", "row", "license", "class", "at", "band", F.xxhash64("template").alias("template"), share.alias("share")).where(F.col("share") >= contained)
+    found = once(found, share=share).where(F.col("share") >= contained).select("doc_id", "row", "license", "class", "at", "band", F.xxhash64("template").alias("template"), "share")
     # rows that repeat come here together: a band of a window finds a template once for each
     found = found.groupBy("doc_id", "row", "license", "class", "at", "band", "template").agg(F.max("share").alias("share"), F.count("*").alias("copies"))
     found = found.groupBy("doc_id", "row", "license", "class", "at").agg(F.max("share").alias("share"), F.max("copies").alias("copies"))

@@ -646,3 +646,9 @@ def test_flat_keeps_empty_rows():
 
     values, sizes = flat(pd.Series([np.array([1, 2]), np.array([], int), np.array([3])]))
     assert row_sums(values, sizes).tolist() == [3, 0, 3]
+
+
+def test_texts_are_cut_into_words_once_a_row(spark, docs):
+    """A pattern that stands again in a later filter or fold would be run again for each of its windows."""
+    scanned = licenses.scan_licenses(docs, licenses.default_templates(spark))
+    assert scanned._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
