@@ -76,3 +76,14 @@ def numbered(line: Column, raw: Column) -> Column:
 def loose_pattern(quote: Column) -> Column:
     """A pattern for a quotation whose white space may differ."""
     return F.concat(F.lit(r"\Q"), F.array_join(F.split(strip(quote), r"(?U)\s+"), r"\E(?U:\s+)\Q"), F.lit(r"\E"))
+
+
+def found_at(text: Column | str, pattern: Column) -> Column:
+    """How many characters a text has before the first place that a pattern is found in; -1 where it isn't.
+
+    Spark's own function counts a character beyond the first 65,536 twice, so a text with one is cut up to the place instead.
+    """
+    text = _col(text)
+    before = F.call_function("regexp_substr", text, F.concat(F.lit("(?s)^.*?(?:"), pattern, F.lit(")")))
+    by_length = F.coalesce(F.length(before) - F.length(F.call_function("regexp_substr", text, pattern)), F.lit(-1))
+    return F.when(text.rlike(r"[\x{10000}-\x{10FFFF}]"), by_length).otherwise(F.call_function("regexp_instr", text, pattern) - 1)

@@ -81,17 +81,3 @@ def require_verified(checked: DataFrame) -> DataFrame:
     if failed:
         raise CitationError("; ".join(f"{r['pair_id']} {r['key']}: {r['failure']}" for r in failed))
     return gate_totals(checked)
-
-
-def repair(text: Column, flat: Column) -> Column:
-    """A line without spaces that layout has put inside words: two tokens become one where the flat text has them only as one word."""
-    token = "^[A-Za-z0-9][A-Za-z0-9-]*$"
-    has = lambda w: F.regexp_like(flat, F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), w, F.lit(r"\E(?![A-Za-z0-9])")))
-
-    def step(acc: Column, part: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        # a plain search first: the pattern runs over the whole text
-        merge = last.rlike(token) & part.rlike(token) & flat.contains(F.concat(last, part)) & has(F.concat(last, part)) & ~has(F.concat(last, F.lit(" "), part))
-        return F.when(F.coalesce(merge, F.lit(False)), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat(last, part)))).otherwise(F.concat(acc, F.array(part)))
-
-    return F.when(F.coalesce(flat, F.lit("")) == "", text).otherwise(F.array_join(F.aggregate(F.split(text, " "), F.array().cast("array<string>"), step), " "))

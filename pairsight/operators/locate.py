@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import loose_pattern, strip
+from ..functions.text import found_at, loose_pattern, strip
 from ..sources.shared import settle
+from .cite import CITATIONS
 from .structure import CELLS, DOC, SPANS, cell_text
 
 #: Beginnings of words by which a suggestion would judge; such a suggestion is dropped.
@@ -23,49 +24,167 @@ REPLY = "suggestions array<struct<scope:string,observation:string,reviewer_actio
 COLUMN_SLACK = 2
 
 
-def _longest(words: Column) -> Column:
-    return F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+WHERE = ("pair_id", "doc_key", "quote_id")
+LINE = ["pair_id", "doc_key", "page", "line"]
+#: Characters of the ends of neighbouring words, and of parts of a word, by which places are looked up; shorter words by one character.
+GRAM = 3
+#: Hashes of keys, eight bytes each, that are broadcast at most.
+MOST_KEYS = 1_000_000
+_BEST = ("way", "far", "page", "line", "start", "text", "rest_start", "rest")
 
 
-def _candidates(quotes: DataFrame, lines: DataFrame) -> DataFrame:
-    """Quotations with the lines that may have them: a word between a quotation's first and last is a word of the line, which makes an equi-join; shorter ones meet the lines of their document that have their longest word in them."""
-    words = F.split("_q", r"(?U)\s+")
-    q = quotes.withColumn("_words", words)
-    inner = F.slice("_words", F.lit(2), F.size("_words") - 2)
-    long = q.where(F.size("_words") > 2).withColumn("_word", _longest(inner))
-    of_line = lines.select("pair_id", "doc_key", "page", "line", F.explode(F.array_distinct(F.split("raw", r"(?U)\s+"))).alias("_word"))
-    long = long.join(of_line, ["pair_id", "doc_key", "_word"]).join(lines, ["pair_id", "doc_key", "page", "line"])
-    short = q.where(F.size("_words") <= 2).withColumn("_word", _longest(F.col("_words"))).join(lines, ["pair_id", "doc_key"]).where(F.col("raw").contains(F.col("_word")))
-    return long.unionByName(short).drop("_word", "_words")
+def _tokens(text: Column) -> Column:
+    return F.filter(F.split(text, r"(?U)\s+"), lambda t: t != "")
+
+
+def postings(lines: DataFrame) -> DataFrame:
+    """LINE, place, token, and the tokens before and after it, empty where there is none, of every word of every line; places are counted from 1."""
+    t = lines.select(*LINE, _tokens(F.col("raw")).alias("t"))
+    none = F.array(F.lit(""))
+    beside = F.arrays_zip(F.col("t").alias("token"), F.slice(F.concat(none, "t"), F.lit(1), F.size("t")).alias("before"), F.concat(F.slice("t", F.lit(2), F.size("t")), none).alias("after"))
+    each = t.where(F.size("t") > 0).select(*LINE, F.posexplode(beside).alias("place", "x"))
+    return each.select(*LINE, (F.col("place") + 1).alias("place"), "x.*")
+
+
+def _join_key(a: Column, b: Column, n: int) -> Column:
+    """Where two words meet: the end of the first and the beginning of the second, n characters each."""
+    return F.concat(F.lit(f"{n} "), F.right(a, F.lit(n)), F.lit(" "), F.left(b, F.lit(n)))
+
+
+def _word_key(word: Column) -> Column:
+    return F.concat(F.lit("w "), word)
+
+
+def _hyphen_key(word: Column) -> Column:
+    return F.concat(F.lit("- "), F.right(word, F.lit(2)))
+
+
+def _pair_key(words: Column) -> Column:
+    """The key of the first two words of a quotation, of which the first may begin, and the second end, within words of the line."""
+    a, b = words[0], words[1]
+    long = (F.length(a) >= GRAM) & (F.length(b) >= GRAM)
+    return F.when(long, _join_key(a, b, GRAM)).otherwise(_join_key(a, b, 1))
+
+
+def _places(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """postings() with key, a row for each key that is wanted in its document: words as they are, words that meet, ends in a hyphen. wanted: pair_id, doc_key and key.
+
+    Hashes of what is wanted go to the lines where there are no more than MOST_KEYS of them, so that only places that may
+    count are shuffled; what is joined to places later is joined by the keys themselves.
+    """
+    on = ["pair_id", "doc_key"]
+    hashes = settle(wanted.select(F.xxhash64(*on, "key").alias("h")).distinct())
+    hashes = F.broadcast(hashes) if hashes.count() <= MOST_KEYS else hashes
+    meets = lambda n: (F.col("after") != "") & (F.length("token") >= n) & (F.length("after") >= n)
+    kinds = {"word": (_word_key(F.col("token")), F.lit(True)), "long": (_join_key(F.col("token"), F.col("after"), GRAM), meets(GRAM)), "short": (_join_key(F.col("token"), F.col("after"), 1), meets(1)), "hyphen": (_hyphen_key(F.col("token")), F.col("token").endswith("-"))}
+    each = postings(lines)
+    for kind, (key, has) in kinds.items():
+        each = each.withColumn(f"h_{kind}", F.when(has, F.xxhash64(*on, key))).join(hashes.select(F.col("h").alias(f"h_{kind}"), F.lit(True).alias(kind)), f"h_{kind}", "left")
+    each = each.where(" OR ".join(kinds))
+    keys = F.array_compact(F.array(*(F.when(F.col(kind), key) for kind, (key, _) in kinds.items())))
+    return settle(each.select(*LINE, "place", "token", "before", "after", F.explode(keys).alias("key")))
+
+
+def _anchored(q: DataFrame, places: DataFrame, lines: DataFrame) -> DataFrame:
+    """Quotations with LINE and place, where their first word may be on one line: of three words and more by the rarest of the inner ones, which are words of the line as they are, of two by how they meet, of one by a part of it."""
+    on = ["pair_id", "doc_key"]
+    many = q.where(F.size("words") > 2)
+    inner = many.select(*WHERE, F.posexplode(F.slice("words", F.lit(2), F.size("words") - 2)).alias("at", "token"))
+    there = places.where(F.col("key") == _word_key(F.col("token")))
+    often = there.groupBy(*on, "token").agg(F.count("*").alias("often"))
+    rarest = inner.join(often, [*on, "token"]).groupBy(*WHERE).agg(F.min(F.struct("often", "at", "token")).alias("r")).select(*WHERE, "r.at", "r.token")
+    # the words beside it tell most places apart before any line is read
+    w, at = F.col("words"), F.col("at")
+    before = F.when(at == 0, F.col("before").endswith(w[0])).otherwise(F.col("before") == F.get(w, at))
+    after = F.when(at == F.size(w) - 3, F.col("after").startswith(F.element_at(w, -1))).otherwise(F.col("after") == F.get(w, at + 2))
+    rarest = rarest.join(many.select(*WHERE, "words"), list(WHERE))
+    of_many = rarest.join(there, [*on, "token"]).where(before & after).select(*WHERE, *LINE[2:], (F.col("place") - 1 - at).alias("place")).where("place > 0")
+    two = q.where(F.size("words") == 2).select(*WHERE, "words", _pair_key(w).alias("key"))
+    of_two = two.join(places, [*on, "key"]).where(F.col("token").endswith(w[0]) & F.col("after").startswith(w[1])).select(*WHERE, *LINE[2:], "place")
+    one = q.where(F.size("words") == 1).select(*WHERE, F.col("words")[0].alias("w"))
+    one = one.select("*", F.left("w", F.when(F.length("w") >= GRAM, GRAM).otherwise(1)).alias("gram"))
+    known = postings(lines.join(one.select(*on).distinct(), on, "left_semi")).select(*LINE, "place", "token")
+    grams = lambda n: F.when(F.length("token") >= n, F.transform(F.sequence(F.lit(1), F.length("token") - n + 1), lambda i: F.substring("token", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    vocabulary = known.select(*on, "token").distinct().select(*on, "token", F.explode(F.array_distinct(F.concat(grams(GRAM), grams(1)))).alias("gram"))
+    has = one.join(vocabulary, [*on, "gram"]).where(F.contains("token", "w")).select(*WHERE, "token")
+    of_one = has.join(known, [*on, "token"]).select(*WHERE, *LINE[2:], "place")
+    return of_many.unionByName(of_two).unionByName(of_one).distinct()
+
+
+def _with_line(at: DataFrame, lines: DataFrame) -> DataFrame:
+    """at with raw and its words, t, and chunks, the words with the white space before them."""
+    both = at.join(lines.select(*LINE, "raw"), LINE)
+    chunks = F.regexp_extract_all("raw", F.lit(r"(?U)\s*\S+"), F.lit(0))
+    # generated, so that they are made once for all that reads them
+    return both.select("*", F.inline(F.array(F.struct(_tokens(F.col("raw")).alias("t"), chunks.alias("chunks")))))
+
+
+def _begin(chunks: Column, t: Column, place: Column) -> Column:
+    """The column at which a line's word begins."""
+    return F.length(F.array_join(F.slice(chunks, F.lit(1), place), "")) - F.length(F.get(t, place - 1))
+
+
+def _run_starts(t: Column, place: Column, words: Column) -> Column:
+    """Whether words stand in t from a place on; the first may begin, the last may end, within a word of t."""
+    n = F.size(words)
+    first, last = F.get(t, place - 1), F.get(t, place + n - 2)
+    inner = F.slice(t, place + 1, F.greatest(n - 2, F.lit(0))) == F.slice(words, F.lit(2), F.greatest(n - 2, F.lit(0)))
+    return F.coalesce(F.when(n == 1, first.contains(words[0])).otherwise(first.endswith(words[0]) & last.startswith(F.element_at(words, -1)) & inner), F.lit(False))
+
+
+def _start(chunks: Column, t: Column, place: Column, words: Column) -> Column:
+    token, first = F.get(t, place - 1), words[0]
+    within = F.when(F.size(words) == 1, F.call_function("instr", token, first) - 1).otherwise(F.length(token) - F.length(first))
+    return _begin(chunks, t, place) + within
+
+
+def _end(chunks: Column, t: Column, place: Column, words: Column) -> Column:
+    n = F.size(words)
+    return F.when(n == 1, _start(chunks, t, place, words) + F.length(words[0])).otherwise(_begin(chunks, t, place + n - 1) + F.length(F.element_at(words, -1)))
 
 
 def locate(quotes: DataFrame, lines: DataFrame) -> DataFrame:
     """quotes with page, line, start, end and text of their place, and ``rest_start`` and ``rest`` of what goes on in the next line; null where they aren't in the document.
 
-    quotes: pair_id, doc_key, quote_id, quote and hint, the line where it is thought to be. White space may differ. The
-    hinted line comes first, else the first one. A quotation on no line is looked for in two: a word that a hyphen breaks
-    may go on in the next line in the same column, where the hyphen is the last of its cell; else from some word on the
-    quotation may go on anywhere in the next line, and the place with the longest first part counts.
+    quotes: pair_id, doc_key, quote_id, quote and hint, the line where it is thought to be; where there is a column
+    only_page that isn't null, only that page counts. White space may differ. The hinted line comes first, else the first
+    one. A quotation on no line is looked for in two: a word that a hyphen breaks may go on in the next line in the same
+    column, where the hyphen is the last of its cell; else from some word on the quotation may go on anywhere in the next
+    line, and the place with the longest first part counts. Quotations meet lines by words or parts of them, never a whole
+    document.
     """
-    where = ("pair_id", "doc_key", "quote_id")
-    q = settle(quotes.select(*where, "quote", "hint", strip(F.col("quote")).alias("_q")).where("_q <> ''"))
+    only = F.col("only_page").cast("int") if "only_page" in quotes.columns else F.lit(None).cast("int")
+    q = settle(quotes.select(*WHERE, "hint", only.alias("_only"), strip(F.col("quote")).alias("_q"), _tokens(F.col("quote")).alias("words")).where("_q <> ''"))
+    on = ["pair_id", "doc_key"]
     match = lambda text, pattern: F.call_function("regexp_substr", text, pattern)
-    at = lambda text, pattern: F.call_function("regexp_instr", text, pattern) - 1
     none = F.lit(None)
-    near = _candidates(q, lines)
+    here = F.col("_only").isNull() | (F.col("page") == F.col("_only"))
+    best = lambda df: df.groupBy(*WHERE).agg(F.min(F.struct(*_BEST)).alias("b"))
+
+    n, words = F.size("words"), F.col("words")
+    hyphens = F.regexp_extract_all("_q", F.lit("(?s)(?=((?<=[0-9A-Za-z])-(?=[0-9A-Za-z]).*))-"), F.lit(1))
+    # the beginnings of a quotation that end in one of its hyphens
+    heads = F.transform(hyphens, lambda tail: F.substring("_q", F.lit(1), F.length("_q") - F.length(tail) + 1))
+    keys = F.array_distinct(F.concat(F.when(n > 2, F.transform(F.slice(words, F.lit(2), n - 2), _word_key)).otherwise(F.array()), F.when((n == 2) | (n > 3), F.array(_pair_key(words))).otherwise(F.array()), F.transform(heads, _hyphen_key)))
+    places = _places(lines, q.select(*on, F.explode(keys).alias("key")))
+    t, chunks, place = F.col("t"), F.col("chunks"), F.col("place")
+    # nearly all lines that are left have the quotation, so the pattern is run once for each
     pattern = loose_pattern(F.col("_q"))
-    one = near.where(F.regexp_like("raw", pattern)).select(*where, F.lit(0).alias("way"), (F.col("line") != F.coalesce("hint", F.lit(0))).cast("int").alias("far"), "page", "line", at("raw", pattern).alias("start"), match("raw", pattern).alias("text"), none.cast("int").alias("rest_start"), none.cast("string").alias("rest"))
-    one = settle(one.groupBy(*where).agg(F.min(F.struct("way", "far", "page", "line", "start", "text", "rest_start", "rest")).alias("b")))
+    one = _anchored(q, places, lines).select(*WHERE, *LINE[2:]).distinct().join(q.select(*WHERE, "hint", "_only", "_q"), list(WHERE)).where(here).join(lines.select(*LINE, "raw"), LINE)
+    one = one.select(*WHERE, "page", "line", "hint", F.inline(F.array(F.struct(match("raw", pattern).alias("text"), found_at("raw", pattern).alias("start"))))).where("text IS NOT NULL")
+    one = one.select(*WHERE, F.lit(0).alias("way"), (F.col("line") != F.coalesce("hint", F.lit(0))).cast("int").alias("far"), "page", "line", "start", "text", none.cast("int").alias("rest_start"), none.cast("string").alias("rest"))
+    one = settle(best(one))
     # only what is on no line is held against two
-    left = q.join(one, list(where), "left_anti")
-    after = F.lead("raw").over(Window.partitionBy("pair_id", "doc_key", "page").orderBy("line"))
-    two_lines = lines.withColumn("after", after).where("after IS NOT NULL")
-    hyphens = F.regexp_extract_all("_q", F.lit("(?s)(?=((?<=[0-9A-Za-z])-(?=[0-9A-Za-z]).*))-"), F.lit(1))
-    broken = left.select("*", F.posexplode(hyphens).alias("_m", "_tail")).withColumn("_tail", F.substring("_tail", F.lit(2), F.length("_tail")))
+    left = settle(q.join(one, list(WHERE), "left_anti"))
+    after = lines.select("pair_id", "doc_key", "page", (F.col("line") - 1).alias("line"), F.col("raw").alias("after"))
+
+    broken = left.select(*WHERE, "_only", "_q", F.posexplode(hyphens).alias("_m", "_tail")).withColumn("_tail", F.substring("_tail", F.lit(2), F.length("_tail")))
     broken = broken.withColumn("_head", F.substring("_q", F.lit(1), F.length("_q") - F.length("_tail")))
     head, tail = loose_pattern(F.col("_head")), loose_pattern(F.col("_tail"))
-    first = _longest(F.split("_head", r"(?U)\s+"))
-    broken = broken.join(two_lines, ["pair_id", "doc_key"]).where(F.col("raw").contains(first) & F.regexp_like("raw", head)).withColumn("_at", at("raw", head)).withColumn("_text", match("raw", head))
+    broken = broken.withColumn("_last", F.element_at(_tokens(F.col("_head")), -1)).withColumn("key", _hyphen_key(F.col("_head")))
+    broken = broken.join(places.select(*LINE, "token", "key"), [*on, "key"]).where(F.col("token").endswith(F.col("_last")) & here).drop("token", "key", "_last").distinct()
+    broken = broken.join(lines.select(*LINE, "raw"), LINE).join(after, LINE)
+    broken = broken.where(F.regexp_like("raw", head)).withColumn("_at", found_at("raw", head)).withColumn("_text", match("raw", head))
     last = F.col("_at") + F.length("_text")
     broken = broken.where(F.trim(F.substring("raw", last + 1, F.lit(1))) == "")
     low = F.greatest(F.col("_at") - COLUMN_SLACK, F.lit(0))
@@ -73,15 +192,24 @@ def locate(quotes: DataFrame, lines: DataFrame) -> DataFrame:
     rest = F.substring("after", low + 1, F.length("after"))
     begin = low + F.length(match(rest, window)) - F.length(match(match(rest, window), F.concat(tail, F.lit("$"))))
     broken = broken.where(F.regexp_like(rest, window)).withColumn("_rest_at", begin).where(F.abs(F.col("_rest_at") - F.col("_at")) <= COLUMN_SLACK)
-    broken = broken.select(*where, F.lit(1).alias("way"), F.col("_m").alias("far"), "page", "line", F.col("_at").cast("int").alias("start"), F.col("_text").alias("text"), F.col("_rest_at").cast("int").alias("rest_start"), match(rest, tail).alias("rest"))
-    words = F.split("_q", r"(?U)\s+")
-    cut = left.where(F.size(words) >= 4).withColumn("words", words).join(two_lines, ["pair_id", "doc_key"]).where(F.col("raw").contains(words[0]))
-    cut = cut.withColumn("k", F.explode(F.sequence(F.lit(2), F.size("words") - 1)))
-    head, tail = (loose_pattern(F.array_join(x, " ")) for x in (F.slice("words", F.lit(1), F.col("k")), F.slice("words", F.col("k") + 1, F.size("words"))))
-    two = cut.where(F.regexp_like("raw", head)).where(F.regexp_like("after", tail)).select(*where, F.lit(2).alias("way"), (-F.col("k")).alias("far"), "page", "line", at("raw", head).alias("start"), match("raw", head).alias("text"), at("after", tail).alias("rest_start"), match("after", tail).alias("rest"))
-    both = broken.unionByName(two).groupBy(*where).agg(F.min(F.struct("way", "far", "page", "line", "start", "text", "rest_start", "rest")).alias("b"))
-    found = one.unionByName(both).select(*where, "b.page", "b.line", "b.start", (F.col("b.start") + F.length("b.text")).alias("end"), "b.text", "b.rest_start", "b.rest")
-    return quotes.join(found, list(where), "left")
+    broken = broken.select(*WHERE, F.lit(1).alias("way"), F.col("_m").alias("far"), "page", "line", F.col("_at").cast("int").alias("start"), F.col("_text").alias("text"), F.col("_rest_at").cast("int").alias("rest_start"), match(rest, tail).alias("rest"))
+
+    long = left.where(F.size("words") >= 4).select(*WHERE, "_only", "words", _pair_key(F.col("words")).alias("key"))
+    cut = long.join(places, [*on, "key"]).where(here & F.col("token").endswith(words[0]) & F.col("after").startswith(words[1])).select(*WHERE, "words", *LINE[2:], "place").join(after, LINE)
+    cut = _with_line(cut, lines).select("*", F.inline(F.array(F.struct(_tokens(F.col("after")).alias("t2")))))
+    t2 = F.col("t2")
+    part = lambda k: F.slice(words, F.lit(1), k)
+    others = lambda k: F.slice(words, k + 1, n - k)
+    places = lambda k: F.filter(F.sequence(F.lit(1), F.size(t2)), lambda j: _run_starts(t2, j, others(k)))
+    splits = F.filter(F.sequence(n - 1, F.lit(2), F.lit(-1)), lambda k: _run_starts(t, place, part(k)) & (F.size(places(k)) > 0))
+    cut = cut.where(F.size("t2") > 0).select("*", F.inline(F.array(F.struct(F.try_element_at(splits, F.lit(1)).alias("k"))))).where("k IS NOT NULL")
+    cut = cut.select("*", F.inline(F.array(F.struct(F.regexp_extract_all("after", F.lit(r"(?U)\s*\S+"), F.lit(0)).alias("chunks2"), places(F.col("k"))[0].alias("j"), part(F.col("k")).alias("w1"), others(F.col("k")).alias("w2")))))
+    w1, w2, j, chunks2 = (F.col(c) for c in ("w1", "w2", "j", "chunks2"))
+    cut = cut.select(*WHERE, "k", "page", "line", "raw", "after", _start(chunks, t, place, w1).alias("start"), _end(chunks, t, place, w1).alias("end"), _start(chunks2, t2, j, w2).alias("rest_start"), _end(chunks2, t2, j, w2).alias("rest_end"))
+    cut = cut.select(*WHERE, F.lit(2).alias("way"), (-F.col("k")).alias("far"), "page", "line", "start", F.substring("raw", F.col("start") + 1, F.col("end") - F.col("start")).alias("text"), "rest_start", F.substring("after", F.col("rest_start") + 1, F.col("rest_end") - F.col("rest_start")).alias("rest"))
+
+    found = one.unionByName(best(broken.unionByName(cut))).select(*WHERE, "b.page", "b.line", "b.start", (F.col("b.start") + F.length("b.text")).alias("end"), "b.text", "b.rest_start", "b.rest")
+    return quotes.join(found, list(WHERE), "left")
 
 
 def spans_of(doc: Column) -> Column:
@@ -105,24 +233,36 @@ def scope(text: Column) -> Column:
     return F.when(text.rlike(r"(?iU)^(T\d+|document)$"), F.when(F.lower(text) == "document", "document").otherwise(F.upper(text))).otherwise("document")
 
 
+#: What a suggestion that doesn't say what to do is shown with.
+LOOK = "Read what is quoted and decide whether the difference matters."
+
+
 def suggestions(replies: DataFrame, lines: DataFrame, limit: int = KEPT) -> tuple[DataFrame, DataFrame]:
-    """Suggestions kept, and notes on those dropped. replies: pair_id and reply.
+    """Suggestions kept (pair_id, id, scope, observation, action, places and citations), and notes (pair_id, ord, note) on what was dropped. replies: pair_id and reply.
 
-    A suggestion is dropped if it uses the language of a verdict or if one of its quotations isn't in its document; of the
-    rest the first ``limit`` of a pair stay, in the reply's order.
+    A suggestion is dropped if its observation uses the language of a verdict, or if none of its quotations is in its
+    document; a quotation that isn't there is dropped from a suggestion that has another. Suggestions without an observation
+    count for nothing. Of the rest the first ``limit`` of a pair stay, in the reply's order, and nothing after them is
+    noted. A reply that can't be read has a note of its own, at ord -1; a null one is left out.
     """
-    each = replies.select("pair_id", F.posexplode(parse_reply(F.col("reply"))["suggestions"]).alias("ord", "s"))
+    parsed = settle(replies.select("pair_id", "reply", parse_reply(F.col("reply")).alias("r")))
+    each = parsed.select("pair_id", F.posexplode("r.suggestions").alias("ord", "s")).where(strip(F.coalesce("s.observation", F.lit(""))) != "")
     quoted = lambda key: each.select("pair_id", F.lit(key).alias("doc_key"), F.col("ord").alias("quote_id"), F.col(f"s.{key}_quote").alias("quote"), F.col(f"s.{key}_line").alias("hint"))
-    found = locate(quoted("protocol").unionByName(quoted("report")).where("quote IS NOT NULL"), lines)
-    places = found.groupBy("pair_id", F.col("quote_id").alias("ord")).agg(F.count_if(F.col("line").isNull()).alias("lost"), F.array_sort(F.collect_list(F.struct("doc_key", "page", "line", "start", "end", "text", "rest_start", "rest"))).alias("places"))
+    wanted = quoted("protocol").unionByName(quoted("report")).where(strip(F.coalesce("quote", F.lit(""))) != "")
+    found = locate(wanted, lines).withColumn("spans", spans_of(F.col("doc_key")))
+    place = F.struct("doc_key", "page", "line", "start", "end", "text", "rest_start", "rest", "spans")
+    places = found.groupBy("pair_id", F.col("quote_id").alias("ord")).agg(F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), place))).alias("places"), F.array_sort(F.collect_list(F.when(F.col("line").isNull(), F.col("doc_key")))).alias("lost"))
     each = each.join(places, ["pair_id", "ord"], "left")
-    said = F.concat_ws(" ", "s.observation", "s.reviewer_action")
-    why = F.when(said.rlike(VERDICTS), "verdict language").when(F.coalesce("lost", F.lit(1)) > 0, "quotation not found")
+    why = F.when(F.col("s.observation").rlike(VERDICTS), "verdict language").when(F.coalesce(F.size("places"), F.lit(0)) < 1, "quotation not found")
     each = each.withColumn("why", why)
-    n = F.row_number().over(Window.partitionBy("pair_id").orderBy("ord"))
-    kept = each.where("why IS NULL").withColumn("n", n).where(F.col("n") <= limit)
-    kept = kept.select("pair_id", F.format_string("AI-%03d", "n").alias("id"), scope(F.col("s.scope")).alias("scope"), F.col("s.observation").alias("observation"), F.col("s.reviewer_action").alias("action"), "places")
-    return kept, each.where("why IS NOT NULL").select("pair_id", "ord", F.col("why").alias("note"))
+    n = F.count(F.when(F.col("why").isNull(), 1)).over(Window.partitionBy("pair_id").orderBy("ord"))
+    each = each.withColumn("n", n).where((F.col("n") < limit) | (F.col("why").isNull() & (F.col("n") == limit)))
+    cites = F.transform("places", lambda x: F.struct(x["doc_key"].alias("doc"), F.lit("quoted by the model").alias("note"), x["spans"].alias("spans"))).cast(CITATIONS)
+    action = F.coalesce(F.nullif(strip(F.col("s.reviewer_action")), F.lit("")), F.lit(LOOK))
+    kept = each.where("why IS NULL").select("pair_id", F.format_string("AI-%03d", "n").alias("id"), scope(F.col("s.scope")).alias("scope"), strip(F.col("s.observation")).alias("observation"), action.alias("action"), F.transform("places", lambda x: x.dropFields("spans")).alias("places"), cites.alias("citations"))
+    unread = parsed.where("reply IS NOT NULL AND r IS NULL").select("pair_id", F.lit(-1).alias("ord"), F.lit("the reply can't be read").alias("note"))
+    partly = each.where("why IS NULL").select("pair_id", "ord", F.explode("lost").alias("doc")).select("pair_id", "ord", F.concat("doc", F.lit(" quotation not found")).alias("note"))
+    return kept, each.where("why IS NOT NULL").select("pair_id", "ord", F.col("why").alias("note")).unionByName(partly).unionByName(unread)
 
 
 _VALUE = "struct<value:string,line:int>"
@@ -181,32 +321,39 @@ class ModelRefused(RuntimeError):
     """A call that no other attempt can mend: a key that isn't accepted, a model that isn't there."""
 
 
-def ask(prompts: DataFrame, model: Callable[[str], str | dict], retries: int = 1, wait: float = 1.5) -> DataFrame:
-    """pair_id, reply, error, attempts, prompt_tokens and completion_tokens for each prompt. model is called by tasks.
+def ask(prompts: DataFrame, model: Callable[[str], str | dict], retries: int = 1, wait: float = 1.5, keys: tuple[str, ...] = ("pair_id",), per_second: float | None = None) -> DataFrame:
+    """keys, reply, error, attempts, prompt_tokens and completion_tokens for each prompt. model is called by tasks, by each at most per_second times a second.
 
     A call that raises is made again up to ``retries`` times, each time after a longer wait, unless it raises ModelRefused;
     what fails in the end gives an error, not a failed job. model returns a text, or a dict with content and usage.
     """
 
+    columns = [*keys, "reply", "error", "attempts", "prompt_tokens", "completion_tokens"]
+
     def call(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        next_call = time.monotonic()
         for pdf in it:
             out = []
-            for pair, prompt in zip(pdf["pair_id"], pdf["prompt"], strict=True):
+            for *key, prompt in pdf[[*keys, "prompt"]].itertuples(index=False, name=None):
                 for attempt in range(1, retries + 2):
+                    if per_second:
+                        time.sleep(max(0.0, next_call - time.monotonic()))
+                        next_call = max(next_call, time.monotonic()) + 1 / per_second
                     try:
                         got = model(prompt)
                         got = got if isinstance(got, dict) else {"content": got}
                         used = got.get("usage") or {}
-                        out.append((pair, got.get("content") or "", None, attempt, int(used.get("prompt_tokens") or 0), int(used.get("completion_tokens") or 0)))
+                        out.append((*key, got.get("content") or "", None, attempt, int(used.get("prompt_tokens") or 0), int(used.get("completion_tokens") or 0)))
                         break
                     except Exception as e:  # noqa: BLE001  whatever a model's client raises
                         if attempt > retries or isinstance(e, ModelRefused):
-                            out.append((pair, None, f"{type(e).__name__}: {e}"[:400], attempt, 0, 0))
+                            out.append((*key, None, f"{type(e).__name__}: {e}"[:400], attempt, 0, 0))
                             break
                         time.sleep(wait * attempt)
-            yield pd.DataFrame(out, columns=["pair_id", "reply", "error", "attempts", "prompt_tokens", "completion_tokens"])
+            yield pd.DataFrame(out, columns=columns)
 
-    return prompts.select("pair_id", "prompt").mapInPandas(call, "pair_id string, reply string, error string, attempts int, prompt_tokens long, completion_tokens long")
+    kinds = ", ".join(f"{k} {prompts.schema[k].dataType.simpleString()}" for k in keys)
+    return prompts.select(*keys, "prompt").mapInPandas(call, f"{kinds}, reply string, error string, attempts int, prompt_tokens long, completion_tokens long")
 
 
 def usage(replies: DataFrame) -> DataFrame:

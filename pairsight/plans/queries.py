@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
-from ..operators import cite, locate, structure
+from ..operators import cite, locate, repair, structure
 from ..sources import documents as D
 from ..sources import outputs
 from ..sources.shared import settle
@@ -454,25 +454,25 @@ _WORDY = "r AS (SELECT doc_id::VARCHAR AS pair_id, string_split(coalesce(text, '
 
 
 def _replies(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """A model's reply for each document: nine suggestions that quote its first line; every third judges, every fourth quotes what isn't there."""
+    """A model's reply for each document: eleven suggestions that quote its first line; every third judges, every fourth has one quotation that isn't there, the fifth has none that is."""
     lines = doc_lines(spark, sf_dir)
     lines = lines.unionByName(lines.withColumn("doc_key", F.lit("protocol")))
     first = lines.where("doc_key = 'report' AND line = 1").select("pair_id", F.substring("raw", 1, 40).alias("q"))
     i = lambda n: F.lit(n)
-    one = lambda n: F.struct(F.lit(f"T{n}").alias("scope"), F.when(i(n) % 3 == 0, f"note {n} fails").otherwise(f"note {n}").alias("observation"), F.lit("look again").alias("reviewer_action"), F.col("q").alias("protocol_quote"), F.lit(2).alias("protocol_line"), F.when(i(n) % 4 == 0, F.lit("\u0001nowhere")).otherwise(F.col("q")).alias("report_quote"), F.lit(1).alias("report_line"))
-    reply = F.concat(F.lit("Here it is:\n```json\n"), F.to_json(F.struct(F.array(*(one(n) for n in range(1, 10))).alias("suggestions"))), F.lit("\n```"))
+    one = lambda n: F.struct(F.lit(f"T{n}").alias("scope"), F.when(i(n) % 3 == 0, f"note {n} fails").otherwise(f"note {n}").alias("observation"), F.lit("look again").alias("reviewer_action"), F.when(i(n) == 5, F.lit("\u0001never")).otherwise(F.col("q")).alias("protocol_quote"), F.lit(2).alias("protocol_line"), F.when((i(n) % 4 == 0) | (i(n) == 5), F.lit("\u0001nowhere")).otherwise(F.col("q")).alias("report_quote"), F.lit(1).alias("report_line"))
+    reply = F.concat(F.lit("Here it is:\n```json\n"), F.to_json(F.struct(F.array(*(one(n) for n in range(1, 12))).alias("suggestions"))), F.lit("\n```"))
     return first.where(F.trim("q") != "").select("pair_id", reply.alias("reply")), lines
 
 
-@query(f"""WITH {_WORDY}, s AS (SELECT pair_id, unnest([1, 2, 5, 7]) AS n FROM r WHERE trim(substr(first, 1, 40), ' ') <> '')
-SELECT pair_id, printf('AI-%03d', row_number() OVER (PARTITION BY pair_id ORDER BY n)) AS id, 'T' || n AS scope, 'note ' || n AS observation, 2 AS n_places FROM s""")
+@query(f"""WITH {_WORDY}, s AS (SELECT pair_id, unnest([1, 2, 4, 7, 8, 10]) AS n FROM r WHERE trim(substr(first, 1, 40), ' ') <> '')
+SELECT pair_id, printf('AI-%03d', row_number() OVER (PARTITION BY pair_id ORDER BY n)) AS id, 'T' || n AS scope, 'note ' || n AS observation, CASE WHEN n % 4 = 0 THEN 1 ELSE 2 END AS n_places FROM s""")
 def q_suggestion_filter_cap(spark, sf_dir):
     kept, _ = locate.suggestions(*_replies(spark, sf_dir))
     return kept.select("pair_id", "id", "scope", "observation", F.size("places").alias("n_places"))
 
 
-@query(f"""WITH {_WORDY}, s AS (SELECT pair_id, unnest([3, 4, 6, 8, 9]) AS n FROM r WHERE trim(substr(first, 1, 40), ' ') <> '')
-SELECT pair_id, n - 1 AS ord, CASE WHEN n % 3 = 0 THEN 'verdict language' ELSE 'quotation not found' END AS note FROM s""")
+@query(f"""WITH {_WORDY}, s AS (SELECT pair_id, unnest([3, 4, 5, 6, 8, 9]) AS n FROM r WHERE trim(substr(first, 1, 40), ' ') <> '')
+SELECT pair_id, n - 1 AS ord, CASE WHEN n % 3 = 0 THEN 'verdict language' WHEN n = 5 THEN 'quotation not found' ELSE 'report quotation not found' END AS note FROM s""")
 def q_suggestions_dropped(spark, sf_dir):
     return locate.suggestions(*_replies(spark, sf_dir))[1]
 
@@ -561,8 +561,10 @@ def q_quote_repair(spark, sf_dir):
     """Lines with a space put into their first long word, repaired from the page's text. A fold; SQL has none."""
     lines = doc_lines(spark, sf_dir)
     flat = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("pair_id"), T.squash("text").alias("flat"))
-    broken = F.regexp_replace("raw", r"^(\w{3})(\w{4,})", "$1 $2")
-    return lines.join(flat, "pair_id").select("pair_id", "line", broken.alias("shown"), cite.repair(broken, F.col("flat")).alias("repaired"))
+    shown = lines.select("pair_id", F.lit("report").alias("doc"), F.lit(1).alias("page"), "line", F.regexp_replace("raw", r"^(\w{3})(\w{4,})", "$1 $2").alias("shown"))
+    pages = flat.where("flat <> ''").select("pair_id", F.lit("report").alias("doc"), F.lit(1).alias("page"), "flat")
+    fixed = repair.repaired(shown, pages)
+    return shown.join(fixed, [*repair.PAGE, "shown"], "left").select("pair_id", "line", "shown", F.coalesce("display", "shown").alias("repaired"))
 
 
 @query()
@@ -586,4 +588,5 @@ def q_quote_repair_words(spark, sf_dir):
     p, k = table(spark, sf_dir, "part"), F.col("p_partkey").cast("string")
     shown = F.concat(F.lit("part "), F.col("p_name"), F.lit(" of cartr idge K"), k, F.lit(" is not cart ridge -7, see non- stop"))
     flat = F.concat(F.lit("a cartridge and a cart ridge, non-stop, K"), k, F.lit(" "), F.col("p_name"))
-    return p.select(F.col("p_partkey").alias("k"), cite.repair(shown, flat).alias("repaired"))
+    pages = p.select(k.alias("pair_id"), F.lit("report").alias("doc"), F.lit(1).alias("page"), shown.alias("shown"), flat.alias("flat"))
+    return repair.repaired(pages, pages).select(F.col("pair_id").cast("long").alias("k"), F.col("display").alias("repaired"))

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import found_at
+
 #: pair_id, doc_key (protocol or report), name and text; a form feed ends a page, a line feed a line.
 DOCUMENTS = "pair_id string, doc_key string, name string, text string"
 MOST_UPLOAD_BYTES = 25 << 20
@@ -56,14 +58,14 @@ def first_hits(all_lines: DataFrame, pattern: str, per: list[str] | None = None)
     keys = per or ["pair_id", "doc_key"]
     hits = all_lines.where(F.col("raw").rlike(pattern))
     first = hits.groupBy(*keys).agg(F.min(F.struct("page", "line", "raw")).alias("h")).select(*keys, "h.*")
-    at = F.regexp_instr("raw", F.lit(pattern)) - 1
+    at = found_at("raw", F.lit(pattern))
     text = F.regexp_substr("raw", F.lit(pattern))
     return first.select(*keys, "page", "line", "raw", at.alias("start"), (at + F.length(text)).alias("end"), text.alias("match"))
 
 
 def hits(all_lines: DataFrame, pattern: str) -> DataFrame:
     """Every line that a pattern is found in, with the place and text of its first match there."""
-    at, text = F.regexp_instr("raw", F.lit(pattern)) - 1, F.regexp_substr("raw", F.lit(pattern))
+    at, text = found_at("raw", F.lit(pattern)), F.regexp_substr("raw", F.lit(pattern))
     return all_lines.where(F.col("raw").rlike(pattern)).select("*", at.alias("start"), (at + F.length(text)).alias("end"), text.alias("match"))
 
 

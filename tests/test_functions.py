@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairsight.functions import text as T
 from pairsight.functions import values as V
-from pairsight.operators import cite, locate
+from pairsight.operators import locate
 from pairsight.operators.structure import cell_text, gutters
 from pairsight.sources.documents import lines, uploads
 
@@ -68,6 +68,11 @@ def test_slices_go_on_with_spaces(spark, raw, start, size):
     assert one(spark, T.padded_slice("t", F.lit(start), F.lit(start + size)), t=raw) == raw.ljust(start + size)[start : start + size]
 
 
+def test_places_are_counted_in_characters(spark):
+    for raw, pattern, at in (("😀é b", "b", 3), ("ab", "b", 1), ("ab", "c", -1), ("😀", "c", -1), ("😀😀a a", "(?i)^A|A$", 4), (None, "a", None)):
+        assert one(spark, T.found_at("t", F.lit(pattern)), t=raw) == at
+
+
 @pytest.mark.parametrize(("rows", "wanted"), [(["ab  cd", "a   c"], [(0, 2), (4, 6)]), (["  ab c", "  a  c"], [(2, 6)]), ([" ab", " a"], [(0, 3)]), (["ab", ""], [(0, 2)])])
 def test_gutters(spark, rows, wanted):
     assert [(c.start, c.end) for c in one(spark, gutters(F.array(*map(F.lit, rows))))] == wanted
@@ -76,10 +81,6 @@ def test_gutters(spark, rows, wanted):
 def test_cells_and_quotes(spark):
     assert one(spark, cell_text(F.array(F.lit("Per ISO 2859-"), F.lit("1")))) == "Per ISO 2859-1"
     assert one(spark, cell_text(F.array(F.lit("a -"), F.lit("b")))) == "a - b"
-    fixed = cite.repair(F.col("t"), F.col("flat"))
-    assert one(spark, fixed, t="number 3300 -7", flat="number 3300-7") == "number 3300 -7"
-    assert one(spark, fixed, t="a cart ridge of ours", flat="a cartridge of ours") == "a cartridge of ours"
-    assert one(spark, fixed, t="a b", flat="ab or a b") == "a b"
 
 
 def test_locate(spark):
@@ -107,8 +108,14 @@ def test_suggestions(spark):
     reply = 'Here:\n```json\n{"suggestions":[' + ",".join([item(0, "this passes"), item(1, q="nowhere"), *(item(i) for i in range(2, 22))]) + "]}\n```"
     kept, notes = locate.suggestions(spark.createDataFrame([("p", reply)], "pair_id string, reply string"), lines(docs))
     rows = kept.orderBy("id").collect()
-    assert [r.id for r in rows] == [f"AI-{i:03d}" for i in range(1, 7)] and rows[0].scope == "T2"
-    assert {r.note for r in notes.collect()} == {"verdict language", "quotation not found"}
+    assert [r.id for r in rows] == [f"AI-{i:03d}" for i in range(1, 7)] and [r.scope for r in rows[:2]] == ["T1", "T2"]
+    # of the second one quotation is there; after the sixth that is kept nothing is looked at
+    assert [[c.doc for c in r.citations] for r in rows] == [["report"]] + [["protocol", "report"]] * 5
+    assert {(r.ord, r.note) for r in notes.collect()} == {(0, "verdict language"), (1, "protocol quotation not found")}
+    lost = spark.createDataFrame([("p", '{"suggestions":[' + ",".join([item(3, q="nowhere").replace("two line", "never"), '{"observation":" "}', item(4, said="look", q=" ").replace('"check"', '" "')]) + "]}"), ("q", "no JSON"), ("r", None)], "pair_id string, reply string")
+    kept, notes = locate.suggestions(lost, lines(docs))
+    assert [(r.id, r.scope, r.action) for r in kept.collect()] == [("AI-001", "T4", locate.LOOK)]
+    assert {(r.pair_id, r.ord, r.note) for r in notes.collect()} == {("p", 0, "quotation not found"), ("q", -1, "the reply can't be read")}
 
 
 def test_a_model_that_raises_fails_only_its_row(spark):
