@@ -278,24 +278,30 @@ def parse_with_model(replies: DataFrame, lines: DataFrame) -> tuple[DataFrame, D
     """Test rows, header fields and sections that a model's replies name and that documents really have, and a report of each document.
 
     replies: pair_id, doc_key and reply, JSON of tests, fields and sections with texts and the lines where they are thought
-    to be. Every text is looked for on the document's first page and taken as it stands there; what isn't found is dropped and listed. Test
-    rows are as tables() gives them: cells of other names and empty ones don't count, and a row without a found test_id is
+    to be; several replies on a document, of which page and piece give the order, count as one. Every text is looked for on
+    the document's first page, or on the page of its reply, and taken as it stands there; what isn't found is dropped and
+    listed. A test or section that two replies have at the same place counts once, the one with more cells. Test rows are as tables() gives them: cells of other names and empty ones don't count, and a row without a found test_id is
     dropped, as nothing could be joined to it. Fields of other names are dropped; sections end where the next one begins.
     """
-    read = settle(replies.select(*DOC, parse_reply(F.col("reply"), PARSED).alias("r")))
-    each = lambda kind: read.select(*DOC, F.posexplode(f"r.{kind}").alias("ord", "x"))
+    part = [F.coalesce(c, F.lit(d)).alias(c) if c in replies.columns else F.lit(d).alias(c) for c, d in (("page", 1), ("piece", 0))]
+    read = settle(replies.select(*DOC, *part, parse_reply(F.col("reply"), PARSED).alias("r")))
+    in_order = F.row_number().over(Window.partitionBy(*DOC).orderBy("page", "piece", "at")) - 1
+    each = lambda kind: read.select(*DOC, "page", "piece", F.posexplode(f"r.{kind}").alias("at", "x")).select(*DOC, F.col("page").alias("only_page"), in_order.alias("ord"), "x")
     name = lambda kind, *parts: F.concat_ws(":", F.lit(kind), *(p.cast("string") for p in parts))
-    cells = each("tests").select(*DOC, "ord", F.inline(F.array(*(F.struct(F.lit(c).alias("cell"), F.col(f"x.{c}.value").alias("quote"), F.col(f"x.{c}.line").alias("hint")) for c in CELLS))))
+    cells = each("tests").select(*DOC, "ord", "only_page", F.inline(F.array(*(F.struct(F.lit(c).alias("cell"), F.col(f"x.{c}.value").alias("quote"), F.col(f"x.{c}.line").alias("hint")) for c in CELLS))))
     fields = each("fields").where(F.lower(F.trim("x.key")).isin(*FIELD_NAMES))
-    wanted = cells.select(*DOC, name("test", F.col("ord"), F.col("cell")).alias("quote_id"), "quote", "hint")
-    wanted = wanted.unionByName(fields.select(*DOC, name("field", F.col("ord")).alias("quote_id"), F.col("x.value").alias("quote"), F.col("x.line").alias("hint")))
-    wanted = wanted.unionByName(each("sections").select(*DOC, name("section", F.col("ord")).alias("quote_id"), F.col("x.title").alias("quote"), F.col("x.line").alias("hint")))
-    page = lines.where("page = 1")
+    wanted = cells.select(*DOC, name("test", F.col("ord"), F.col("cell")).alias("quote_id"), "quote", "hint", "only_page")
+    wanted = wanted.unionByName(fields.select(*DOC, name("field", F.col("ord")).alias("quote_id"), F.col("x.value").alias("quote"), F.col("x.line").alias("hint"), "only_page"))
+    wanted = wanted.unionByName(each("sections").select(*DOC, name("section", F.col("ord")).alias("quote_id"), F.col("x.title").alias("quote"), F.col("x.line").alias("hint"), "only_page"))
+    page = lines.join(read.select(*DOC, "page").distinct(), [*DOC, "page"], "left_semi")
     found = settle(locate(wanted.where(strip(F.col("quote")) != ""), page).withColumn("spans", spans_of(F.col("doc_key"))).withColumn("id", F.split("quote_id", ":")))
     there = found.where("line IS NOT NULL")
 
     rows = there.where(F.col("id")[0] == "test").select(*DOC, F.col("id")[1].cast("int").alias("ord"), F.col("id")[2].alias("cell"), "spans", cell_text(F.transform("spans", lambda s: s["text"])).alias("text"))
     rows = rows.groupBy(*DOC, "ord").agg(*(F.coalesce(F.max(F.when(F.col("cell") == c, F.col("text"))), F.lit("")).alias(c) for c in CELLS), F.map_from_entries(F.collect_list(F.struct("cell", "spans"))).alias("spans")).where("test_id <> ''")
+    at = F.try_element_at("spans", F.lit("test_id"))[0]
+    twice = F.row_number().over(Window.partitionBy(*DOC, at["page"], at["line"], at["start"]).orderBy(F.desc(F.size("spans")), "ord"))
+    rows = rows.withColumn("twice", twice).where("twice = 1")
     rows = rows.select(*DOC, F.row_number().over(Window.partitionBy(*DOC).orderBy("ord")).alias("row_ord"), *(F.upper(c).alias(c) if c == "test_id" else c for c in CELLS), "spans")
 
     label = F.create_map(*(F.lit(x) for kv in FIELD_NAMES.items() for x in kv))
@@ -304,16 +310,17 @@ def parse_with_model(replies: DataFrame, lines: DataFrame) -> tuple[DataFrame, D
     named = named.withColumn("n", F.row_number().over(Window.partitionBy(*DOC, "key").orderBy(F.desc("ord")))).where("n = 1").select(*DOC, "key", F.col("text").alias("value"), "page", "line", F.col("spans")[0].alias("span"))
 
     w = Window.partitionBy(*DOC).orderBy("ord")
-    last = page.groupBy(*DOC).agg(F.max("line").alias("last"))
-    parts = one_line.where(F.col("id")[0] == "section").withColumn("ord", F.col("id")[1].cast("int")).join(each("sections").select(*DOC, "ord", F.col("x.number").alias("given")), [*DOC, "ord"]).join(last, DOC)
-    parts = parts.select(*DOC, F.coalesce("given", F.row_number().over(w)).alias("number"), F.col("text").alias("title"), "page", F.col("line").alias("start"), F.coalesce(F.lead("line").over(w), F.col("last") + 1).alias("end"))
+    last = page.groupBy(*DOC, "page").agg(F.max("line").alias("last"))
+    parts = one_line.where(F.col("id")[0] == "section").withColumn("ord", F.col("id")[1].cast("int")).join(each("sections").select(*DOC, "ord", F.col("x.number").alias("given")), [*DOC, "ord"]).join(last, [*DOC, "page"])
+    parts = parts.withColumn("twice", F.row_number().over(Window.partitionBy(*DOC, "page", "line", "start").orderBy("ord"))).where("twice = 1")
+    parts = parts.select(*DOC, F.coalesce("given", F.row_number().over(w)).alias("number"), F.col("text").alias("title"), "page", F.col("line").alias("start"), F.coalesce(F.when(F.lead("page").over(w) == F.col("page"), F.lead("line").over(w)), F.col("last") + 1).alias("end"))
 
     n = lambda kind: F.count_if((F.col("id")[0] == kind) & F.col("line").isNotNull())
     lost = F.array_sort(F.collect_list(F.when(F.col("line").isNull(), F.concat("quote_id", F.lit(": "), F.substring("quote", 1, 80)))))
     report = found.groupBy(*DOC).agg(n("field").alias("fields_found"), F.count_if(F.col("line").isNotNull()).alias("located"), F.count_if(F.col("line") != F.col("hint")).alias("hints_corrected"), lost.alias("discarded"))
     # where no test has a place the table would begin at the first line
     tests = rows.groupBy(*DOC).agg(F.count("*").alias("tests_found"), F.min(F.try_element_at("spans", F.lit("test_id"))[0]["line"]).alias("header_line"))
-    report = read.select(*DOC, F.col("r").isNotNull().alias("read")).join(report, DOC, "left").join(tests, DOC, "left").fillna(0, ["fields_found", "located", "hints_corrected", "tests_found"]).fillna(1, ["header_line"])
+    report = read.groupBy(*DOC).agg(F.max(F.col("r").isNotNull()).alias("read")).join(report, DOC, "left").join(tests, DOC, "left").fillna(0, ["fields_found", "located", "hints_corrected", "tests_found"]).fillna(1, ["header_line"])
     return rows, named, parts, report
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,16 @@ REQUIRED = ("test_id", "criterion", "sample_size")
 SPANS = "array<struct<doc:string,page:int,line:int,start:int,end:int,text:string>>"
 
 
+@dataclass
+class Structure:
+    """What another source than the parser has found in documents (pair_id, doc_key): rows as tables(), fields() and sections() give them."""
+
+    documents: DataFrame
+    tests: DataFrame
+    fields: DataFrame
+    sections: DataFrame
+
+
 def sections(lines: DataFrame) -> DataFrame:
     """pair_id, doc_key, number, title, page, start, end: numbered headings; a section ends at the next heading or its page's end."""
     last = F.max("line").over(Window.partitionBy(*DOC, "page"))

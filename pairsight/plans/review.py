@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.text import nfkc, trimmed
 from ..functions.values import criterion, date, external_references
 from ..operators.cite import CITATIONS, check_spans, citation, gate_totals
-from ..operators.structure import SPANS, field, fields, phrase, section_lines, sections, tables
+from ..operators.locate import suggestions
+from ..operators.prompts import suggestion_prompts
+from ..operators.repair import flat_pages, quoted_lines, repaired
+from ..operators.structure import SPANS, Structure, field, fields, phrase, section_lines, sections, tables
 from ..sources.documents import contains, lines
 from ..sources.shared import settle
 from .rules import Relations, by_id, run_rules, share_tests, with_counts
@@ -30,6 +33,10 @@ class Review:
     checked_spans: DataFrame
     gate: DataFrame
     documents: DataFrame
+    #: Suggestions in the columns of findings, what was dropped of them, and quoted lines that are displayed otherwise; None where there was nothing to make them from.
+    suggestions: DataFrame | None = None
+    notes: DataFrame | None = None
+    repairs: DataFrame | None = None
 
 
 def _first(text: Column, pattern: str, group: int = 0) -> Column:
@@ -96,28 +103,72 @@ def not_checked(protocol: DataFrame, pairs: DataFrame) -> DataFrame:
     ])
 
 
-def review(documents: DataFrame, fallback: Callable[[DataFrame], DataFrame] | None = None) -> Review:
+#: What a suggestion rests on, and what isn't known about it, as the record says.
+SUGGESTED = "Raised by a language model, not by a check: the rules don't cover differences of this kind."
+UNSURE = "A model's words, which may be wrong or matter little. The quotations were found in the documents; what is said about them was not verified."
+
+
+def _as_findings(kept: DataFrame) -> DataFrame:
+    """Suggestions in the columns of findings, under keys of their own."""
+    said = {"rule_id": "AI", "priority": "low", "basis": SUGGESTED, "uncertainty": UNSURE}
+    return kept.select("pair_id", "id", *(F.lit(v).alias(k) for k, v in said.items()), "scope", F.col("observation").alias("statement"), "action", "citations")
+
+
+def prefer(first: DataFrame, second: DataFrame, documents: DataFrame) -> DataFrame:
+    """Rows of a structure, from the second source for the documents named (pair_id, doc_key) and from the first for all others."""
+    keys = ["pair_id", "doc_key"]
+    return first.join(documents, keys, "left_anti").unionByName(second.join(documents, keys, "left_semi"))
+
+
+def review(documents: DataFrame, fallback: Callable[[DataFrame], DataFrame | Structure] | None = None, suggest: Callable[[DataFrame], DataFrame] | None = None) -> Review:
     """Reviews all pairs of a DOCUMENTS relation.
 
-    A pair whose table isn't recognised on either side goes to parse_errors and has no findings. fallback: rows of tests,
-    as tables() gives them, for documents with errors, from a model or elsewhere; such documents are reviewed after all.
-    The gate is only counted here; require_verified(review.checked_spans) stops what must not be written.
+    A pair whose table isn't recognised on either side goes to parse_errors and has no findings; so does one of which a
+    document could not be read, where documents has a column error. fallback: for documents with parse errors (pair_id,
+    doc_key, message and the columns of documents), rows of tests as tables() gives them, or a Structure with fields and
+    sections as well, from a model or elsewhere (model_structure() makes one of a model); such documents are reviewed after
+    all, a Structure's with nothing but what it has. suggest: from prompts (pair_id and prompt) to replies (pair_id and
+    reply), for suggestions that stand beside the findings and go through the same gate. Where documents has flat_pages,
+    quotations are repaired for display. The gate is only counted here; require_verified(review.checked_spans) stops what
+    must not be written.
     """
+    keys = ["pair_id", "doc_key"]
+    unread = documents.where("error IS NOT NULL").select(*keys, F.concat(F.lit("the document can't be read: "), "error").alias("message")) if "error" in documents.columns else None
+    if unread is not None:
+        documents = documents.where("error IS NULL")
     all_lines = settle(lines(documents))
     tests, errors = tables(all_lines)
+    found_sections, found_fields = sections(all_lines), fields(all_lines)
     if fallback is not None:
-        more = fallback(errors.join(documents, ["pair_id", "doc_key"]))
-        tests = tests.unionByName(more)
-        errors = errors.join(more.select("pair_id", "doc_key").distinct(), ["pair_id", "doc_key"], "left_anti")
-    errors = settle(errors)
+        more = fallback(errors.join(documents, keys))
+        if isinstance(more, Structure):
+            which = settle(more.documents.select(*keys).distinct())
+            tests, found_fields, found_sections = prefer(tests, more.tests, which), prefer(found_fields, more.fields, which), prefer(found_sections, more.sections, which)
+        else:
+            which = settle(more.select(*keys).distinct())
+            tests = tests.unionByName(more)
+        errors = errors.join(which, keys, "left_anti")
+    errors = settle(errors if unread is None else errors.unionByName(unread))
     tests = settle(tests.withColumn("criterion_form", nfkc("criterion")).join(errors.select("pair_id").distinct(), "pair_id", "left_anti"))
     side = lambda key: tests.where(F.col("doc_key") == key).drop("doc_key")
-    found_sections = settle(sections(all_lines))
-    pairs = header_facts(all_lines, documents, settle(fields(all_lines)), found_sections).join(errors.select("pair_id").distinct(), "pair_id", "left_anti")
+    found_sections = settle(found_sections)
+    pairs = header_facts(all_lines, documents, settle(found_fields), found_sections).join(errors.select("pair_id").distinct(), "pair_id", "left_anti")
     shared = settle(share_tests(side("protocol"), side("report")))
     protocol = by_id(side("protocol"))
     pairs = settle(with_counts(pairs, protocol, side("report"), shared))
     findings, outcomes = run_rules(Relations(pairs, protocol, side("report"), shared))
     findings = settle(findings)
-    checked = settle(check_spans(findings.select("pair_id", F.col("id").alias("key"), "citations"), all_lines))
-    return Review(findings, outcomes, not_checked(protocol, pairs), errors, checked, gate_totals(checked), documents)
+    suggested = notes = None
+    cited = findings.select("pair_id", F.col("id").alias("key"), "citations")
+    if suggest is not None:
+        reviewed = all_lines.join(pairs.select("pair_id"), "pair_id", "left_semi")
+        kept, notes = suggestions(settle(suggest(suggestion_prompts(reviewed)).select("pair_id", "reply")), reviewed)
+        suggested, notes = settle(_as_findings(kept)), settle(notes)
+        cited = cited.unionByName(suggested.select("pair_id", F.col("id").alias("key"), "citations"))
+    checked = settle(check_spans(cited, all_lines))
+    open_points = not_checked(protocol, pairs)
+    repairs = None
+    if "flat_pages" in documents.columns:
+        quoted = cited.select("pair_id", F.explode("citations").alias("citation")).unionByName(open_points.where("citation IS NOT NULL").select("pair_id", "citation"))
+        repairs = settle(repaired(quoted_lines(quoted), flat_pages(documents)))
+    return Review(findings, outcomes, open_points, errors, checked, gate_totals(checked), documents, suggested, notes, repairs)

@@ -8,27 +8,58 @@ from pyspark.sql import functions as F
 from .. import __version__
 from ..operators.cite import locator, quote, require_verified
 from ..plans.review import Review
+from .pairfiles import write_pair_files
+from .shared import settle
 
 DECISIONS = ("open", "confirmed", "not-an-issue", "more-info")
 
 
-def _citation(c: Column) -> Column:
-    return F.struct(c["doc"].alias("document"), c["note"].alias("note"), locator(c["spans"]).alias("locator"), quote(c["spans"]).alias("quote"), c["spans"].alias("spans"))
+#: Quoted lines that are displayed otherwise than they stand, by document, page and line.
+FIXES = "map<struct<doc:string,page:int,shown:string>,string>"
+
+
+def _citation(c: Column, fixes: Column) -> Column:
+    """A citation as the record has it: the quotation as it stands, and as it is displayed."""
+    said = quote(c["spans"])
+    key = lambda t: F.struct(c["doc"].alias("doc"), F.get(c["spans"], F.lit(0))["page"].alias("page"), t.alias("shown"))
+    shown = F.array_join(F.transform(F.split(said, "\n"), lambda t: F.coalesce(F.try_element_at(fixes, key(t)), t)), "\n")
+    return F.struct(c["doc"].alias("document"), c["note"].alias("note"), locator(c["spans"]).alias("locator"), said.alias("quote"), shown.alias("quote_display"), (shown != said).alias("display_differs_from_source"), c["spans"].alias("spans"))
+
+
+def _findings(df: DataFrame, name: str, source: str) -> DataFrame:
+    finding = F.struct("id", "rule_id", F.col("priority").alias("review_priority"), "scope", F.col("statement").alias("observation"), "basis", "action", "uncertainty", F.lit(source).alias("source"), "citations")
+    return df.groupBy("pair_id").agg(F.array_sort(F.collect_list(finding)).alias(name))
 
 
 def payload(review: Review, run_at: Column | None = None) -> DataFrame:
-    """pair_id and payload, the record of a pair as JSON: manifest, findings, rules_run and not_checked. Nulls are kept."""
+    """pair_id and payload, the record of a pair as JSON: manifest, findings, ai_suggestions, rules_run and not_checked. Nulls are kept.
+
+    A suggestion is never among the findings, so that nothing can take one for a check's result.
+    """
     ordered = lambda x: F.transform(F.array_sort(F.collect_list(x)), lambda y: y["row"])
-    finding = F.struct("id", "rule_id", F.col("priority").alias("review_priority"), "scope", F.col("statement").alias("observation"), "basis", "action", "uncertainty", F.transform("citations", _citation).alias("citations"))
-    found = review.findings.groupBy("pair_id").agg(ordered(F.struct("id", finding.alias("row"))).alias("findings"))
+    found = _findings(review.findings, "findings", "rule")
+    none = review.findings.where("false")
+    suggested = _findings(none if review.suggestions is None else review.suggestions, "ai_suggestions", "model")
     ran = review.outcomes.groupBy("pair_id").agg(ordered(F.struct("ord", F.struct("rule_id", "title", "category", "question", "fired", "status", "detail").alias("row"))).alias("rules_run"))
-    limit = F.struct("scope", "item", "reason", F.when(F.col("citation").isNotNull(), _citation(F.col("citation"))).alias("citation"))
-    open_points = review.not_checked.groupBy("pair_id").agg(F.array_sort(F.collect_list(limit)).alias("not_checked"))
-    hashes = review.documents.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("doc_key", "name", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")))).alias("documents"))
+    open_points = review.not_checked.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("scope", "item", "reason", "citation"))).alias("not_checked"))
+    file_hash = F.col("file_sha256") if "file_sha256" in review.documents.columns else F.lit(None).cast("string")
+    hashes = review.documents.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("doc_key", "name", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), file_hash.alias("file_sha256")))).alias("documents"))
     at = F.date_format(F.current_timestamp() if run_at is None else run_at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    all_parts = ran.join(found, "pair_id", "left").join(open_points, "pair_id", "left").join(hashes, "pair_id", "left").join(review.gate, "pair_id", "left")
-    manifest = F.struct(at.alias("run_at_utc"), F.lit(__version__).alias("version"), "documents", F.coalesce("spans_checked", F.lit(0)).alias("spans_checked"), F.coalesce("citations_checked", F.lit(0)).alias("citations_checked"))
-    record = F.struct(manifest.alias("manifest"), "findings", "rules_run", "not_checked")
+    all_parts = ran.join(found, "pair_id", "left").join(suggested, "pair_id", "left").join(open_points, "pair_id", "left").join(hashes, "pair_id", "left").join(review.gate, "pair_id", "left")
+    if review.notes is not None:
+        all_parts = all_parts.join(review.notes.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("ord", "note"))).alias("notes")), "pair_id", "left")
+    if review.repairs is not None:
+        fix = F.struct(F.struct("doc", F.col("page").cast("int").alias("page"), "shown"), "display")
+        all_parts = all_parts.join(review.repairs.groupBy("pair_id").agg(F.map_from_entries(F.collect_list(fix)).cast(FIXES).alias("fixes")), "pair_id", "left")
+    fixes = F.coalesce("fixes", F.map_from_arrays(F.array(), F.array()).cast(FIXES)) if review.repairs is not None else F.map_from_arrays(F.array(), F.array()).cast(FIXES)
+    cited = lambda name: F.transform(name, lambda f: f.withField("citations", F.transform(f["citations"], lambda c: _citation(c, F.col("_fixes")))))
+    all_parts = all_parts.withColumn("_fixes", fixes)
+    ai = F.struct(F.lit(review.suggestions is not None).alias("suggestions_requested"), F.coalesce(F.size("ai_suggestions"), F.lit(0)).alias("suggestions_kept"), (F.col("notes") if review.notes is not None else F.lit(None).cast("array<struct<ord:int,note:string>>")).alias("notes"))
+    manifest = F.struct(at.alias("run_at_utc"), F.lit(__version__).alias("version"), "documents", F.coalesce("spans_checked", F.lit(0)).alias("spans_checked"), F.coalesce("citations_checked", F.lit(0)).alias("citations_checked"), ai.alias("ai"))
+    limits = F.transform("not_checked", lambda x: F.struct(x["scope"].alias("scope"), x["item"].alias("item"), x["reason"].alias("reason"), F.when(x["citation"].isNotNull(), _citation(x["citation"], F.col("_fixes"))).alias("citation")))
+    some = lambda name: F.coalesce(cited(name), F.from_json(F.lit("[]"), cited_type)).alias(name)
+    cited_type = all_parts.select(cited("findings").alias("x")).schema["x"].dataType
+    record = F.struct(manifest.alias("manifest"), some("findings"), some("ai_suggestions"), "rules_run", limits.alias("not_checked"))
     return all_parts.select("pair_id", F.to_json(record, {"ignoreNullFields": "false"}).alias("payload"))
 
 
@@ -48,11 +79,20 @@ def write(review: Review, path: str) -> None:
     require_verified(review.checked_spans)
     for name, df in (("findings", review.findings), ("outcomes", review.outcomes), ("not_checked", review.not_checked), ("parse_errors", review.parse_errors)):
         df.write.mode("overwrite").parquet(f"{path}/{name}")
+    if review.suggestions is not None:
+        review.suggestions.write.mode("overwrite").parquet(f"{path}/suggestions")
     records = payload(review)
     records.write.mode("overwrite").parquet(f"{path}/records")
     html(records).write.mode("overwrite").parquet(f"{path}/pages")
 
 
+def write_pairs(review: Review, path: str, mode: str = "append") -> None:
+    """Writes each pair's record and page as files under ``<path>/<pair_id>/``, together or not at all; nothing if a quotation doesn't hold."""
+    require_verified(review.checked_spans)
+    records = settle(payload(review))  # once, so that record and page are of the same moment
+    write_pair_files(records.join(html(records), "pair_id").withColumnRenamed("payload", "record"), path, mode)
+
+
 def counts(findings: DataFrame) -> DataFrame:
     """pair_id, total, high, medium, low, scopes."""
     n = lambda p: F.count_if(F.col("priority") == p).alias(p)

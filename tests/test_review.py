@@ -169,3 +169,118 @@ def test_outcomes_say_what_was_judged(reviewed):
     assert said["R-01"] == "Judged: 1 pair of documents; nothing to raise." and "nothing" in said["R-17"].lower()
     said = {r.rule_id: r.detail for r in reviewed.outcomes.where("pair_id = 'flawed'").collect()}
     assert said["R-14"] == "Judged: 3 tests with values to compare; 2 findings."
+
+
+def test_record_has_five_parts_and_no_suggestions_by_default(reviewed):
+    record = json.loads(payload(reviewed).where("pair_id = 'flawed'").first().payload)
+    assert list(record) == ["manifest", "findings", "ai_suggestions", "rules_run", "not_checked"] and record["ai_suggestions"] == []
+    clean_one = json.loads(payload(reviewed).where("pair_id = 'clean'").first().payload)
+    assert clean_one["findings"] == [] and clean_one["manifest"]["ai"] == {"suggestions_requested": False, "suggestions_kept": 0, "notes": None}
+    c = record["findings"][0]["citations"][0]
+    assert c["quote"] == c["quote_display"] and c["display_differs_from_source"] is False and record["findings"][0]["source"] == "rule"
+
+
+def suggested(prompts):
+    said = [{"scope": "t1", "observation": "The filling is worded differently.", "protocol_quote": "Fill with water", "protocol_line": 1, "report_quote": "Filled at room temperature", "report_line": 99}, {"scope": "T2", "observation": "T2 fails.", "protocol_quote": "Fibre release"}, {"scope": "T9", "observation": "Nothing of it.", "protocol_quote": "never said"}]
+    return prompts.select("pair_id", F.lit("```json\n" + json.dumps({"suggestions": said}) + "\n```").alias("reply"))
+
+
+def test_suggestions_go_through_the_gate_into_the_record(spark, tmp_path):
+    from pairsight.sources.outputs import write_pairs
+
+    result = review(documents(spark, {"flawed": flawed()}), suggest=suggested)
+    assert {(r.id, r.scope, r.rule_id) for r in result.suggestions.collect()} == {("AI-001", "T1", "AI")}
+    assert result.findings.where("rule_id = 'AI'").isEmpty()
+    gate = result.gate.first()
+    assert gate.failures == [] and result.checked_spans.where("key = 'AI-001'").count() == 2
+    record = json.loads(payload(result).first().payload)
+    assert len(record["findings"]) == 16 and [x["id"] for x in record["ai_suggestions"]] == ["AI-001"] and record["ai_suggestions"][0]["source"] == "model"
+    assert {c["document"] for c in record["ai_suggestions"][0]["citations"]} == {"protocol", "report"}
+    assert record["manifest"]["ai"]["suggestions_kept"] == 1 and {n["note"] for n in record["manifest"]["ai"]["notes"]} == {"verdict language", "quotation not found"}
+    assert record["manifest"]["spans_checked"] == gate.spans_checked
+    write_pairs(result, str(tmp_path / "out"))
+    assert len(json.loads((tmp_path / "out/flawed/findings.json").read_text())["findings"]) == 16 and "AI-001" in (tmp_path / "out/flawed/review-sheet.html").read_text()
+    # a forged suggestion stops everything
+    forged = result.suggestions.withColumn("citations", F.transform("citations", lambda c: c.withField("spans", F.transform(c["spans"], lambda s: s.withField("text", F.lit("forged"))))))
+    from pairsight.sources.documents import lines
+
+    result.checked_spans = check_spans(result.findings.unionByName(forged, allowMissingColumns=True).select("pair_id", F.col("id").alias("key"), "citations"), lines(result.documents))
+    for out in (write, write_pairs):
+        with pytest.raises(CitationError, match="AI-001"):
+            out(result, str(tmp_path / "never"))
+    assert not (tmp_path / "never").exists()
+
+
+def test_quotations_are_shown_as_the_flat_text_has_them(spark):
+    p, r = flawed()
+    split = lambda t: t.replace("Every gauge", "Every ga uge").replace("What each", "Wh at each")
+    rows = [("x", "protocol", "p", split(p), p.split("\f")), ("x", "report", "r", r, None)]
+    result = review(spark.createDataFrame(rows, "pair_id string, doc_key string, name string, text string, flat_pages array<string>"))
+    record = json.loads(payload(result).first().payload)
+    cites = [c for f in record["findings"] for c in f["citations"]]
+    shown = {c["quote_display"] for c in cites if c["display_differs_from_source"]}
+    assert any("Every gauge has" in t for t in shown) and any(t.startswith("What each") for t in shown)
+    assert all("ga uge" in c["quote"] or "Wh at" in c["quote"] for c in cites if c["display_differs_from_source"]) and not any("ga uge" in c["quote_display"] for c in cites)
+    assert {s["text"] for c in cites for s in c["spans"] if "ga uge" in s["text"]}
+    assert result.gate.first().failures == []
+
+
+def unknown_layout():
+    """The flawed protocol and report in a layout that no parser knows, and what a model would say of them."""
+    rows = {"protocol": [("T1", "Burst pressure", "≥ 640 kPa", "24")], "report": [("T1", "Burst pressure", "≥ 600 kPa", "18")]}
+    heads = {"protocol": [("Document", "QX-310-TP-002"), ("Version", "2.2"), ("Effective", "5 February 2024")], "report": [("Document", "QX-310-VR-003"), ("Verifies protocol", "QX-311-TP-002, Version 1.7"), ("Date", "19 January 2024"), ("Test equipment", "Lloyd 3300; calibration due 30 November 2023")]}
+    texts, replies = {}, {}
+    for key in rows:
+        body = [f"{k} is {v}." for k, v in heads[key]] + ["", "Part the first"] + ["Results go into QX-310-VR-002 by the reporting rules."] * (key == "protocol")
+        body += [f"check {' / '.join(r)}" for r in rows[key]]
+        texts[key] = "\n".join(body)
+        said = {"fields": [{"key": k.lower(), "value": v, "line": 1} for k, v in heads[key]], "sections": [{"number": 1, "title": "Reporting" if key == "protocol" else "Part the first", "line": 5}, {"title": "reporting", "line": 1}]}
+        said["tests"] = [dict(zip(("test_id", "test_name", "criterion", "sample_size"), ({"value": c, "line": 2} for c in r), strict=True)) for r in rows[key]]
+        replies[key] = json.dumps(said)
+    return texts, replies
+
+
+def test_a_document_that_only_a_model_can_read_is_reviewed(spark):
+    from pairsight.operators.prompts import model_structure
+
+    texts, replies = unknown_layout()
+
+    def model(prompt):
+        if "unreadable" in prompt:
+            return "no idea"
+        return replies["report" if "verification report" in prompt else "protocol"]
+
+    docs = documents(spark, {"x": (texts["protocol"], texts["report"]), "y": ("unreadable", texts["report"]), "z": flawed(), "mixed": (flawed()[0], texts["report"])})
+    result = review(docs, fallback=model_structure(model, wait=0))
+    got = {x[:2] for x in found(result, "x")}
+    assert {("R-01", "document"), ("R-02", "document"), ("R-04", "document"), ("R-05", "document"), ("R-12", "T1"), ("R-13", "T1")} <= got
+    assert found(result, "z") == EXPECTED and {r.pair_id for r in result.parse_errors.collect()} == {"y"}
+    assert {("R-10", f"T{i}") for i in range(2, 6)} <= {x[:2] for x in found(result, "mixed")}
+    assert result.checked_spans.where("failure IS NOT NULL").isEmpty()
+
+
+def test_documents_of_any_length_are_asked_about_in_pieces(spark):
+    from pairsight.operators.locate import ask, parse_with_model
+    from pairsight.operators.prompts import pieces, structure_prompts, suggestion_prompts
+    from pairsight.sources.documents import lines
+
+    body = "\n".join(f"line {i} T{i} wants ≥ {i} N" for i in range(1, 301)) + "\n" + "x" * 900
+    table = lines(documents(spark, {"p": (body, body), "q": ("", "T1")}))
+    cut = pieces(table.where("doc_key = 'protocol'"), 600, 2).where("pair_id = 'p'").orderBy("piece").collect()
+    assert len(cut) > 15 and cut[0].first_line == 1 and cut[-1].last_line == 301 and all(b.first_line <= a.last_line + 1 for a, b in zip(cut, cut[1:]))
+    assert all(b.first_line >= a.last_line - 1 for a, b in zip(cut, cut[1:])) and any(b.first_line < a.last_line for a, b in zip(cut, cut[1:]))
+    assert all(len(c.body) < 800 for c in cut[:-1]) and "   1| line 1 T1" in cut[0].body
+
+    def model(prompt):
+        import re
+
+        rows = re.findall(r"(?m)^ *(\d+)\| line \d+ (T\d+) wants (≥ \d+ N)", prompt)
+        return json.dumps({"tests": [{"test_id": {"value": t, "line": int(n)}, "criterion": {"value": c, "line": int(n)}} for n, t, c in rows], "fields": [], "sections": []})
+
+    asked = ask(structure_prompts(table, 600), model, keys=("pair_id", "doc_key", "page", "piece"), per_second=500)
+    rows, *_ = parse_with_model(asked, table)
+    got = rows.where("pair_id = 'p' AND doc_key = 'report'").orderBy("row_ord").collect()
+    assert [(r.row_ord, r.test_id, r.criterion) for r in got] == [(i, f"T{i}", f"≥ {i} N") for i in range(1, 301)]
+    both = suggestion_prompts(table, 600).where("pair_id = 'p'").collect()
+    assert len(both) < 4 * len(cut) and all(set(__import__("re").findall(r"T\d+", b.prompt)) for b in both)
+    assert suggestion_prompts(table).where("pair_id = 'p'").count() == 1 and suggestion_prompts(table).where("pair_id = 'q'").count() == 1
