@@ -151,10 +151,37 @@ def r06(r: Relations) -> DataFrame:
     return _finding(r.pairs.where(~F.col("says_test_dates")), "R-06", "document", "low", F.lit("The report doesn't say on which days tests were carried out."), "Whether calibration was in date depends on the days of testing.", "Ask for the days, or for records that have them.", cites)
 
 
+#: Letters before and digits after the gap of an instrument's name, by which it is looked up; names have as many of each at least.
+ENDS = 3
+
+
+def instrument_places(texts: DataFrame) -> DataFrame:
+    """pair_id, end and start, by which places are looked up, and name, gap and number of each place of a report that an instrument's name may have. texts: pair_id and report_text. Rows are distinct."""
+    each = texts.select("pair_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("report_text"), F.lit(r"[a-z]{3,}(?U:\s+)\d{3,}"), F.lit(0)))).alias("place"))
+    name, number = F.regexp_extract("place", "^[a-z]+", 0), F.regexp_extract("place", r"\d+$", 0)
+    gap = F.substring("place", F.length(name) + 1, F.length("place") - F.length(name) - F.length(number))
+    return each.select("pair_id", F.right(name, F.lit(ENDS)).alias("end"), F.left(number, F.lit(ENDS)).alias("start"), name.alias("name"), gap.alias("gap"), number.alias("number"))
+
+
+def missing_instruments(protocol: DataFrame, texts: DataFrame) -> DataFrame:
+    """pair_id, test_id, row_ord, spans and token of instruments that methods name and the pair's report hasn't, in any case of letters.
+
+    Each report is cut once into the places that may be a name; names meet places by the letters and digits around the
+    gap, so no text is searched for each name. A name is there where a place ends in its letters and goes on with its digits
+    after the same gap.
+    """
+    named = protocol.select("pair_id", "test_id", "row_ord", "spans", F.explode(instruments(F.col("method"))).alias("token")).join(texts.select("pair_id"), "pair_id", "left_semi")
+    low = F.lower("token")
+    name, number = F.regexp_extract(low, "^[a-z]+", 0), F.regexp_extract(low, r"\d+$", 0)
+    tokens = named.select("pair_id", "token").distinct().select("*", name.alias("w"), F.substring(low, F.length(name) + 1, F.length(low) - F.length(name) - F.length(number)).alias("g"), number.alias("d"))
+    tokens = tokens.select("*", F.right("w", F.lit(ENDS)).alias("end"), F.left("d", F.lit(ENDS)).alias("start"))
+    there = tokens.join(instrument_places(texts), ["pair_id", "end", "start"]).where(F.col("name").endswith(F.col("w")) & F.col("number").startswith(F.col("d")) & (F.col("gap") == F.col("g")))
+    return named.join(there.select("pair_id", "token").distinct(), ["pair_id", "token"], "left_anti")
+
+
 @rule("R-19", "Named instruments used", "equipment", "Does the report name every instrument that the protocol's methods name?", lambda: F.col("n_instruments") > 0)
 def r19(r: Relations) -> DataFrame:
-    rows = r.protocol.select("pair_id", "test_id", "row_ord", "spans", F.explode(instruments(F.col("method"))).alias("token")).join(r.pairs.select("pair_id", "report_text"), "pair_id")
-    rows = rows.where(~F.lower("report_text").contains(F.lower("token")))
+    rows = missing_instruments(r.protocol, r.pairs.select("pair_id", "report_text"))
     return _finding(rows, "R-19", F.col("test_id"), "medium", _say("The protocol names ", F.col("token"), " for ", F.col("test_id"), "; the report doesn't."), "The protocol fixes the instrument of this test.", "Find out which instrument was used and whether it was qualified.", citations(_cell("protocol", "method", "method", "spans")), order="row_ord")
 
 
