@@ -590,3 +590,42 @@ def q_quote_repair_words(spark, sf_dir):
     flat = F.concat(F.lit("a cartridge and a cart ridge, non-stop, K"), k, F.lit(" "), F.col("p_name"))
     pages = p.select(k.alias("pair_id"), F.lit("report").alias("doc"), F.lit(1).alias("page"), shown.alias("shown"), flat.alias("flat"))
     return repair.repaired(pages, pages).select(F.col("pair_id").cast("long").alias("k"), F.col("display").alias("repaired"))
+
+
+@query("""WITH h AS (SELECT DISTINCT (p_partkey // 20)::INT AS i FROM part)
+SELECT 'P' || i AS pair_id, unnest(['protocol', 'report']) AS doc_key, 2 AS n_pages, unnest(['page two of P', 'page two of P']) || i AS flat, unnest([i % 3 <> 0, true]) AS readable FROM h""")
+def q_two_text_documents(spark, sf_dir):
+    """Documents of pairs written as files of pages with both texts, and read by the data source; every third protocol's file is broken and gives a row with an error."""
+    import uuid
+
+    from ..sources.pairfiles import RECORD_NAME, document_files, write_pair_files
+    from ..sources.shared import shared_folder
+
+    folder = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    docs = _header_texts(spark, sf_dir)
+    flat = F.concat(F.lit("page two of "), "pair_id")
+    pages = F.to_json(F.array(F.struct(F.col("text").alias("layout"), F.lit("one").alias("flat")), F.struct(F.lit("two").alias("layout"), flat.alias("flat"))))
+    broken = (F.col("doc_key") == "protocol") & (F.substring("pair_id", 2, 20).cast("int") % 3 == 0)
+    each = docs.withColumn("body", F.when(broken, "{").otherwise(pages))
+    for key in ("protocol", "report"):
+        one = each.where(F.col("doc_key") == key).select("pair_id", F.col("body").alias("record"), F.lit("").alias("page"))
+        write_pair_files(one, f"{folder}/{key}")
+    read = [document_files(spark, f"{folder}/{key}", "json", glob=RECORD_NAME).withColumn("doc_key", F.lit(key)) for key in ("protocol", "report")]
+    got = read[0].unionByName(read[1])
+    return got.select("pair_id", "doc_key", F.coalesce(F.size(F.split("text", "\f")), F.lit(2)).alias("n_pages"), F.coalesce(F.get("flat_pages", F.lit(1)), flat).alias("flat"), F.col("error").isNull().alias("readable"))
+
+
+@query("""WITH h AS (SELECT DISTINCT (p_partkey // 20)::INT AS i FROM part)
+SELECT 'P' || i AS pair_id, CASE WHEN i % 7 = 0 THEN 'new' WHEN i % 5 = 0 THEN 'gone' ELSE 'changed' END AS change FROM h WHERE i % 7 = 0 OR i % 5 = 0 OR i % 3 = 0""")
+def q_changed_pairs(spark, sf_dir):
+    """Pairs whose documents aren't those of their record: every seventh has no record, every fifth no documents any more, and every third another report."""
+    from .. import __version__
+    from .incremental import changes
+
+    i = F.substring("pair_id", 2, 20).cast("int")
+    docs = _header_texts(spark, sf_dir)
+    document = F.struct("doc_key", "name", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+    manifest = F.struct(F.lit(__version__).alias("version"), F.array_sort(F.collect_list(document)).alias("documents"))
+    records = docs.where(i % 7 != 0).groupBy("pair_id").agg(F.to_json(F.struct(manifest.alias("manifest"))).alias("payload"))
+    now = docs.where((i % 5 != 0) | (i % 7 == 0)).withColumn("text", F.when((i % 3 == 0) & (F.col("doc_key") == "report"), F.concat("text", F.lit("\nmore"))).otherwise(F.col("text")))
+    return changes(now, records)

@@ -89,7 +89,7 @@ def write(review: Review, path: str) -> None:
 def write_pairs(review: Review, path: str, mode: str = "append") -> None:
     """Writes each pair's record and page as files under ``<path>/<pair_id>/``, together or not at all; nothing if a quotation doesn't hold."""
     require_verified(review.checked_spans)
-    records = settle(payload(review))  # once, so that record and page are of the same moment
+    records = settle(payload(review))  # made once, so that record and page are of the same moment
     write_pair_files(records.join(html(records), "pair_id").withColumnRenamed("payload", "record"), path, mode)
 
 

@@ -77,12 +77,13 @@ class _DocumentReader(DataSourceReader):
         self.glob = options.get("glob", GLOBS.get(self.reader, "*"))
         self.most = int(options.get("maxPartitionBytes", 32 << 20))
         self.open_cost = int(options.get("openCostInBytes", 64 << 10))
+        self.missing = options.get("missing", "error")
         self.wanted: dict[str, set] = {}
 
     def _files(self) -> list:
         fs, root = pafs.FileSystem.from_uri(self.path)
         roots = [root] if "pair_id" not in self.wanted else [posixpath.join(root, folder_name(p)) for p in sorted(self.wanted["pair_id"])]
-        found = [x for r in roots for x in fs.get_file_info(pafs.FileSelector(r, recursive=True, allow_not_found=len(roots) > 1 or r != root))]
+        found = [x for r in roots for x in fs.get_file_info(pafs.FileSelector(r, recursive=True, allow_not_found=r != root or self.missing == "none"))]
         keys = self.wanted.get("doc_key")
         return sorted((x for x in found if x.type == pafs.FileType.File and fnmatch(x.base_name, self.glob) and (keys is None or posixpath.splitext(x.base_name)[0] in keys)), key=lambda x: x.path)
 
@@ -130,7 +131,8 @@ class DocumentFiles(DataSource):
 
     Options: reader, a name of READERS or ``module:function``; glob; maxPartitionBytes and openCostInBytes, which set how
     many files a task reads; prune, ``true`` where spark.sql.python.filterPushdown.enabled is set, so that equality with
-    pair_id or doc_key, and IN lists, keep other files from being listed or read (document_files sees to it). A file that can't be read or parsed is a row with an error and no text.
+    pair_id or doc_key, and IN lists, keep other files from being listed or read (document_files sees to it); missing,
+    ``none`` where a folder that isn't there has no files. A file that can't be read or parsed is a row with an error and no text.
     """
 
     @classmethod
@@ -238,3 +240,16 @@ def document_files(spark: SparkSession, path: str, reader: str = "text", **optio
 def write_pair_files(files: DataFrame, path: str, mode: str = "append") -> None:
     register(files.sparkSession)
     files.select("pair_id", "record", "page").write.format("pair_files").mode(mode).save(path)
+
+
+def remove_pair_files(pairs: DataFrame, path: str) -> None:
+    """Removes the folders of pairs (pair_id), from tasks; those that aren't there are passed over."""
+
+    def remove(rows: Iterator) -> None:
+        fs, root = pafs.FileSystem.from_uri(path)
+        for row in rows:
+            folder = posixpath.join(root, folder_name(row["pair_id"]))
+            if fs.get_file_info(folder).type != pafs.FileType.NotFound:
+                fs.delete_dir(folder)
+
+    pairs.select("pair_id").foreachPartition(remove)
