@@ -32,6 +32,7 @@ LEAST_VALUE = 12
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
 SENSITIVE = re.compile(r"secret|token|passw|pwd|credential|private|auth|bearer|signature|api.?key|access.?key|session", re.ASCII | re.IGNORECASE)
 SENSITIVE_WORDS = ("secret", "token", "passw", "pwd", "credential", "private", "auth", "bearer", "signature", "api", "access", "session")
+LEAST_RUN = 16
 #: Characters before and after a candidate in which a sensitive word makes its context sensitive.
 REACH = 60
 #: What may stand between candidates that adjoin each other: quotes, joints and one line end.
@@ -108,20 +109,53 @@ def _private_blocks(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, bool, bool]]:
-    """start, end, whether a base kind overlaps, and whether it adjoins others, of all candidates in sensitive places."""
+def uncovered(start: int, end: int, over: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """What base spans, in order, leave of a run."""
+    gaps = []
+    for s, e, _ in over:
+        if s > start:
+            gaps.append((start, min(s, end)))
+        start = max(start, e)
+    return [*gaps, (start, end)] if start < end else gaps
+
+
+def rest_of_run(text: str, start: int, end: int, over: list[tuple[int, int, str]], least: float) -> list[tuple[int, int]]:
+    """What base spans leave of a run that they lie within and that belongs to a secret too: parts as long as a candidate that are novel, and shorter ones of a novel run whose letters aren't those of words.
+
+    What stands before an assignment is its name, and a run by itself.
+    """
+    for cut in [s for s, _, kind in over if kind == "assign"]:
+        end = min(end, max(start, cut))
+    over = [x for x in over if x[0] < end]
+    gaps = uncovered(start, end, over)
+    around = text[end : end + AROUND] + text[max(0, start - AROUND) : start]
+    # beside a key a part costs less, as letters of one case do; then its letters have to be no word's as well
+    novel = lambda a, b: is_novel(text, a, b, least) or is_novel(text, a, b, ONE_CASE_NOVELTY) and letter_bits(around, text[a:b]) >= ONE_CASE_BITS
+    out = [(a, b) for a, b in gaps if b - a >= LEAST_RUN and novel(a, b)]
+    small = [(a, b) for a, b in gaps if b - a < LEAST_RUN and any(c.isalnum() for c in text[a:b])]
+    if small and over and letter_bits(around, "".join(text[a:b] for a, b in small)) >= ONE_CASE_BITS and (out or is_novel(text, start, end, least)):
+        out += small
+    return sorted(out)
+
+
+def _candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, list, bool]]:
+    """start, end, the base spans that overlap, and whether it adjoins others, of all candidates in sensitive places."""
     blocks, at, block, runs = _private_blocks(text), 0, 0, []
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
         while at < len(base) and base[at][1] <= start:
             at += 1
-        over = [k for s, e, k in base[at : at + 8] if s < end and e > start]
+        over, k = [], at
+        while k < len(base) and base[k][0] < end:
+            if base[k][1] > start:
+                over.append(base[k])
+            k += 1
         while block < len(blocks) and blocks[block][1] <= start:
             block += 1
         inside = block < len(blocks) and blocks[block][0] <= start
-        near = inside or "assign" in over or bool(SENSITIVE.search(text, max(0, start - REACH), start) or SENSITIVE.search(text, end, end + REACH))
+        near = inside or any(x[2] == "assign" for x in over) or bool(SENSITIVE.search(text, max(0, start - REACH), start) or SENSITIVE.search(text, end, end + REACH))
         joined = bool(runs) and ADJOINING.fullmatch(text, runs[-1][1], start) is not None
-        runs.append([start, end, bool(over), inside, near, joined])
+        runs.append([start, end, over, inside, near, joined])
     for i in range(1, len(runs)):
         runs[i][4] |= runs[i][5] and runs[i - 1][4]
     for i in range(len(runs) - 1, 0, -1):
@@ -131,7 +165,7 @@ def _candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
 
 
 def find_secrets(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of all secrets in a text, in code points, by start and then kind. Base kinds first: they are whole; novel ones are those that overlap none."""
+    """(start, end, kind) of all secrets in a text, in code points, by start and then kind. Base kinds are whole; novel spans are runs that overlap none, and what base spans leave of a run that is novel."""
     found = []
     low = text.lower()
     if any(w in low for w in ASSIGN_WORDS):
@@ -141,9 +175,9 @@ def find_secrets(text: str) -> list[tuple[int, int, str]]:
     found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     if any(w in low for w in SENSITIVE_WORDS):
         for start, end, over, amid in _candidates(text, sorted(found)):
-            if over or is_novel(text, start, end, AMID if amid else NOVELTY):
-                if not over:
-                    found.append((start, end, "novel"))
+            least = AMID if amid else NOVELTY
+            if over or is_novel(text, start, end, least):
+                found += [(a, b, "novel") for a, b in (rest_of_run(text, start, end, over, least) if over else [(start, end)])]
                 if amid and (tail := TAIL.match(text, end)):
                     found.append((*tail.span(1), "novel"))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))

@@ -342,6 +342,27 @@ def test_novel_strings_in_sensitive_places_only():
     assert secrets.redact(text, secrets.find_secrets(text)) == "auth [novel], [assign]"
 
 
+@pytest.mark.parametrize("inner", ["0123456789abcdef", "AKIA" + "Z9Q8" * 4])
+def test_a_secret_around_a_base_match_is_found_whole(inner):
+    r = random.Random(17)
+    letters = lambda n: "".join(r.choice("ghijkmnopqrstuvwxyzGHJKLMNPQRSTUVWXYZ") for _ in range(n))
+    for _ in range(20):
+        secret = letters(23) + "x" + inner + "-" + letters(23)
+        text = f"the client secret is {secret} and that is all"
+        spans = secrets.find_secrets(text)
+        start = text.index(secret)
+        assert {p for a, b, _ in spans for p in range(a, b)} >= set(range(start, start + len(secret)))
+        left = secrets.redact(text, spans)
+        assert not any(secret[i : i + 6] in left for i in range(len(secret) - 5)) and left.startswith("the client secret is [") and left.endswith("] and that is all")
+    # base spans stay as they are however many lie in one run, and none of them is passed over
+    many = "-".join(f"{i:02d}" + "0123456789abcdef" for i in range(40))
+    spans = secrets.find_secrets(f"secret {many}-{letters(30)} end")
+    assert sum(k == "hex" for *_, k in spans) == 40 and any(k == "novel" and b - a >= 30 for a, b, k in spans)
+    # words around a hash aren't part of it, nor is the name before an assignment
+    assert {k for *_, k in secrets.find_secrets("the token of build-0123456789abcdef0123-release is old")} == {"hex"}
+    assert {k for *_, k in secrets.find_secrets("my_client_password=Zx81kQ0pLm22vB7w")} == {"assign"}
+
+
 def test_long_runs_whole_blocks_and_letters_of_one_case_are_measured():
     r = random.Random(9)
     draw = lambda n, of="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/": "".join(r.choice(of) for _ in range(n))
