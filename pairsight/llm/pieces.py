@@ -375,12 +375,14 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name: st
     n_ids = max(*vocabulary.bytes, *(i for i, _ in vocabulary.pieces.values())) + 1
     by_rank, table = _hold(coded, TABLE_ROWS, n_ids)
     cutter_of, table_of, id_of = _cutter(spark, vocabulary), spark.sparkContext.broadcast(table), spark.sparkContext.broadcast(by_rank)
-    # a key from the row itself is the same each time that docs are computed, and copies of a text have different rows
+    # 128 bits of the row itself are the same each time that docs are computed, and copies of a text have different rows
     atoms = [f"`{f.name}`" for f in docs.schema if isinstance(f.dataType, AtomicType)]
+    row = ["row_a", "row_b"]
+    keys = [F.xxhash64(*atoms).alias("row_a"), F.xxhash64(F.lit(1), *atoms).alias("row_b")]
     kept = docs.columns if keep is None else keep
     columns = [f"c{i}" for i in range(len(kept))]
     types = [docs.schema[c].dataType for c in kept]
-    rows = docs.select(F.xxhash64(*atoms).alias("row"), F.col(f"`{text}`").alias("text"), *(F.col(f"`{c}`").alias(k) for c, k in zip(kept, columns, strict=True) if c != text))
+    rows = docs.select(*keys, F.col(f"`{text}`").alias("text"), *(F.col(f"`{c}`").alias(k) for c, k in zip(kept, columns, strict=True) if c != text))
     carried = [k for c, k in zip(kept, columns, strict=True) if c != text]
 
     def code(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,23 +414,24 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name: st
             ends = pa.array(np.cumsum([0, *map(len, missing)]).astype(np.int32))
             gaps_a, gaps_b = (pa.ListArray.from_arrays(ends, pa.array([g[i] for own in missing for g in own], kind)) for i, kind in ((0, pa.int64()), (1, pa.int32())))
             small = [pa.array([None if t is None else z.compress(t.encode(errors="surrogatepass")) for t in texts], pa.binary())] if text in kept else []
-            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(out, pa.binary()), gaps_a, gaps_b, *small, *(part.column(k) for k in carried)], names=["row", "coded", "gaps_a", "gaps_b", *(["text"] if small else []), *carried])
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in row), pa.array(out, pa.binary()), gaps_a, gaps_b, *small, *(part.column(k) for k in carried)], names=[*row, "coded", "gaps_a", "gaps_b", *(["text"] if small else []), *carried])
 
     fields = [StructField("text", BinaryType())] if text in kept else []
     fields += [StructField(k, t) for k, t in zip(columns, types, strict=True) if k in carried]
-    schema = StructType([rows.schema["row"], StructField("coded", BinaryType()), StructField("gaps_a", ArrayType(LongType())), StructField("gaps_b", ArrayType(IntegerType())), *fields])
+    schema = StructType([*(rows.schema[k] for k in row), StructField("coded", BinaryType()), StructField("gaps_a", ArrayType(LongType())), StructField("gaps_b", ArrayType(IntegerType())), *fields])
     # both uses below read the one exchange
-    started = rows.mapInArrow(code, schema).repartition("row")
+    started = rows.mapInArrow(code, schema).repartition(*row)
 
     def spread(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             gaps = batch.column("gaps_a")
-            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.compute.list_parent_indices(gaps)), gaps.flatten(), batch.column("gaps_b").flatten()], names=["row", "id_a", "id_b"])
+            of = pa.compute.list_parent_indices(gaps)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(of) for k in row), gaps.flatten(), batch.column("gaps_b").flatten()], names=[*row, "id_a", "id_b"])
 
-    rare = started.mapInArrow(spread, "row long, id_a long, id_b int").distinct().join(coded.select("id_a", "id_b", "ids"), ["id_a", "id_b"])
+    rare = started.mapInArrow(spread, "row_a long, row_b long, id_a long, id_b int").distinct().join(coded.select("id_a", "id_b", "ids"), ["id_a", "id_b"])
     packed = F.unhex(F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i), 8, "0")), ""))
     # in the order of the marks
-    rare = rare.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("id_a", "id_b", packed.alias("ids")))), lambda x: x["ids"]).alias("fill"))
+    rare = rare.groupBy(*row).agg(F.transform(F.sort_array(F.collect_list(F.struct("id_a", "id_b", packed.alias("ids")))), lambda x: x["ids"]).alias("fill"))
 
     def finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -459,7 +462,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", name: st
 
     out = StructType([*(StructField(k, t) for k, t in zip(columns, types, strict=True)), StructField("ids", ArrayType(IntegerType()))])
     # all columns of ``started`` go on, so that the exchange is the same
-    return started.join(rare, "row", "left").mapInArrow(finish, out).toDF(*kept, name)
+    return started.join(rare, row, "left").mapInArrow(finish, out).toDF(*kept, name)
 
 
 def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", name: str = "decoded") -> DataFrame:
