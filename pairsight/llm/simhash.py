@@ -5,14 +5,15 @@ at least two of six blocks of bits, so every one is put under the values of all
 one has are dropped. From those under the same value, shards of at most SHARD, trees are grown by tasks: a child hangs on
 the edge that is its Hamming distance to the parent. The shards' trees, flat arrays of some 20 bytes a node, are broadcast
 and searched with every fingerprint under their value; a search follows only edges within the radius of the distance at
-hand. With more than TREE_NODES nodes in all, trees aren't broadcast but searched where they were grown, with
-fingerprints that are shuffled there. Links are the same either way.
+hand. More than TREE_NODES nodes are broadcast in several passes. What would take more than PASSES of them isn't broadcast
+but searched where it was grown, with fingerprints that are shuffled there. Links are the same every way.
 """
 
 from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -29,8 +30,10 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 #: Fingerprints under one value that make one tree, about.
 SHARD = 2048
-#: Nodes of all trees together that are broadcast at most: 10 MB.
+#: Nodes of trees that are broadcast at a time at most: 10 MB.
 TREE_NODES = 1 << 19
+#: Broadcasts one after the other at most: each reads the rows once more.
+PASSES = 64
 #: Parts that the links of one component are dealt to when it gets its name.
 SALTS = 32
 
@@ -154,7 +157,7 @@ def _groups(it: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple
 
 
 def _broadcast_links(rows: DataFrame, radius: int) -> DataFrame:
-    """Links found with all shards' trees broadcast. rows: key, shard and fp."""
+    """Links found with the trees of some shards broadcast. rows: key, shard, fp, and grows, whether the row is a node of these trees or only looks in them."""
 
     def grow(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns, out = ["key", "value", "edge", "child", "sibling"], []
@@ -168,11 +171,12 @@ def _broadcast_links(rows: DataFrame, radius: int) -> DataFrame:
                 out = []
         yield pd.DataFrame(out, columns=columns)
 
-    grown = rows.select("key", "shard", "fp").repartition("key", "shard").sortWithinPartitions("key", "shard").mapInPandas(grow, "key long, value binary, edge binary, child binary, sibling binary").toArrow()  # TREE_NODES nodes at most
+    nodes = rows.where("grows").select("key", "shard", "fp").repartition("key", "shard").sortWithinPartitions("key", "shard")
+    grown = nodes.mapInPandas(grow, "key long, value binary, edge binary, child binary, sibling binary").toArrow()  # some TREE_NODES nodes
     sizes = np.fromiter((len(x) for x in grown["edge"].to_pylist()), np.int64, grown.num_rows)
+    order = np.argsort(grown["key"].to_numpy(), kind="stable")
     roots = np.cumsum(sizes) - sizes
     moved = lambda c: np.concatenate([np.zeros(0, np.int32), *(np.where((x := np.frombuffer(b, np.int32)) < 0, -1, x + r).astype(np.int32) for b, r in zip(grown[c].to_pylist(), roots, strict=True))]).tobytes()
-    order = np.argsort(grown["key"].to_numpy(), kind="stable")
     shared = rows.sparkSession.sparkContext.broadcast((grown["key"].to_numpy()[order], roots[order], b"".join(grown["value"].to_pylist()), b"".join(grown["edge"].to_pylist()), moved("child"), moved("sibling")))
 
     def search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +185,8 @@ def _broadcast_links(rows: DataFrame, radius: int) -> DataFrame:
         for batch in it:
             wanted = batch.column("key").to_numpy()
             low, high = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")
-            for x, a, b in zip(batch.column("fp").to_numpy().view(np.uint64).tolist(), low.tolist(), high.tolist(), strict=True):
+            here = np.flatnonzero(high > low)
+            for x, a, b in zip(batch.column("fp").to_numpy().view(np.uint64)[here].tolist(), low[here].tolist(), high[here].tolist(), strict=True):
                 for root in roots[a:b].tolist():
                     for y in trees.near(x, radius, root):
                         if x != y:
@@ -193,6 +198,16 @@ def _broadcast_links(rows: DataFrame, radius: int) -> DataFrame:
     return rows.select("key", "fp").mapInArrow(search, "a long, b long")
 
 
+def _links_in_passes(rows: DataFrame, radius: int, passes: int) -> DataFrame:
+    """Links found pass by pass: each broadcasts the trees of a share of the shards, chosen by hash, in which all rows under their values look. A pass ends before the next one begins."""
+    if passes == 1:
+        return _broadcast_links(rows.withColumn("grows", F.lit(True)), radius)
+    turn = F.pmod(F.xxhash64("key", "shard", F.lit("pass")), F.lit(passes))
+    # a value with one tree has all its rows in that tree's pass
+    found = [cut(_broadcast_links(rows.withColumn("grows", turn == n).where("grows or shards > 1"), radius)) for n in range(passes)]
+    return reduce(DataFrame.unionByName, found)
+
+
 def _shuffled_links(rows: DataFrame, radius: int) -> DataFrame:
     """Links found where trees are grown: each pair of a value's shards is a group of its own. rows: key, shards, shard and fp."""
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
@@ -223,7 +238,8 @@ def _shuffled_links(rows: DataFrame, radius: int) -> DataFrame:
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges (a, b) between different fingerprints that connect all within the radius of each other. distinct: fp, each once.
 
-    radius: 4 at most, as two blocks of six are left when four hold a difference.
+    radius: 4 at most, as two blocks of six are left when four hold a difference. Columns of distinct besides are left out; an
+    empty table has no links.
     """
     if radius > len(BLOCKS) - 2:
         raise ValueError("blocks guarantee a radius of 4 at most")
@@ -234,7 +250,9 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     rows = rows.join(shared, "key").withColumn("shards", F.ceil(F.col("n") / SHARD).cast("int"))
     rows = cut(rows.select("key", "shards", F.pmod(F.xxhash64("fp", F.lit("shard")), F.col("shards")).cast("int").alias("shard"), "fp"))
-    return (_broadcast_links if rows.count() <= TREE_NODES else _shuffled_links)(rows, radius)
+    nodes = rows.count()
+    passes = 1 if nodes <= TREE_NODES else -(-nodes * 5 // (TREE_NODES * 4))  # shares by hash are even to a few percent, as a shard is small
+    return _links_in_passes(rows, radius, passes) if passes <= PASSES else _shuffled_links(rows, radius)
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -131,7 +131,7 @@ def plain_kneser_ney(texts, labels, keep, discount, pair_discount, window=3):
     for i, t in texts:
         w = re.findall(r"[^\W_]+", (t or "").lower())
         if i in labels and keep(zlib.crc32(str(i).encode()) % 3):
-            for k in {x: k for k, x in reversed(list(enumerate(w)))}.values():
+            for k in range(len(w)):
                 seen[labels[i]].add((w[k], w[k - 1] if k else None, w[k - 2] if k > 1 else None))
     pairs = {c: {} for c in seen}
     for c, rows in seen.items():
@@ -413,10 +413,11 @@ def test_simhash_components(docs, empty):
     assert simhash.simhash_digest(empty).count() == 0
 
 
-@pytest.mark.parametrize("nodes", [1 << 20, 0])
-def test_links_are_found_across_shards(spark, monkeypatch, nodes):
+@pytest.mark.parametrize(("nodes", "passes"), [(1 << 20, 1), (400, 64), (1, 0)])
+def test_links_are_found_across_shards(spark, monkeypatch, nodes, passes):
     monkeypatch.setattr(simhash, "SHARD", 5)
     monkeypatch.setattr(simhash, "TREE_NODES", nodes)
+    monkeypatch.setattr(simhash, "PASSES", passes)
     r = random.Random(3)
     center = r.getrandbits(64)
     flip = lambda x, n: x ^ sum(1 << b for b in r.sample(range(64), n))
