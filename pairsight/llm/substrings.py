@@ -2,10 +2,11 @@
 
 Wherever the same LENGTH bytes start twice, both places have the same smallest GRAM-byte hash within them. So starts
 whose strings have the same smallest gram, at the same place, are one context; contexts with the same gram are one
-group, and equal strings are always in one group. Contexts are counted by hash first, without their bytes: one that
-occurs twice repeats whole, and only groups of two or more different contexts are looked at further. In each of those,
-contexts are cut to what they can share with any other, put end to end and suffix-sorted: starts that are neighbours
-in that order and agree in LENGTH bytes are repeats.
+group, and equal strings are always in one group. Contexts are counted by hash first, without their bytes, which only
+tells groups that occur once and groups of a single context from the rest. Contexts of all groups that occur twice are
+then counted by their bytes: one whose bytes occur twice repeats whole. In groups of two or more different contexts,
+these are cut to what they can share with any other, put end to end and suffix-sorted: starts that are neighbours in
+that order and agree in LENGTH bytes are repeats. A place finds what was decided of its context by 107 bits of hash.
 
 A group of more than GROUP different contexts is split by longer strings around its gram, which equal strings share as
 well, until its parts are small enough to sort. Tables of bits of bounded size tell which grams can matter, so that
@@ -129,17 +130,20 @@ def repeats_in_group(group: list[tuple[bytes, int, int]], length: int = LENGTH)
     return found
 
 
-def _groups(it: Iterator[pd.DataFrame], single: bool) -> Iterator[pd.DataFrame]:
-    """Ranges of repeated starts for contexts that come sorted by key; single: of those that occur once, as the others repeat whole."""
+def _groups(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Ranges of repeated starts for contexts that come sorted by key. A context without bytes is alone in its group and repeats whole."""
     key, ids, group, out = None, [], [], []
 
     def close() -> None:
-        for h, (_, _, n), ranges in zip(ids, group, repeats_in_group(group), strict=True):
-            if ranges and not (single and n > 1):
+        for h, ranges in zip(ids, repeats_in_group(group), strict=True):
+            if ranges:
                 out.append((key, h, [{"s": s, "e": e} for s, e in ranges]))
 
     for pdf in it:
-        for k, h, c, at, n in zip(pdf["key"].tolist(), pdf["ctx"].tolist(), pdf["bytes"].tolist(), pdf["at"].tolist(), pdf["n"].tolist(), strict=True):
+        for k, h, c, at, n, starts in zip(*(pdf[x].tolist() for x in ("key", "ctx", "bytes", "at", "n", "starts")), strict=True):
+            if c is None:
+                out.append((k, h, [{"s": 0, "e": starts}]))
+                continue
             if k != key:
                 if group:
                     close()
@@ -165,8 +169,8 @@ def _bits(keys: DataFrame, n: int) -> tuple[np.ndarray, int]:
     return table, power
 
 
-def _contexts_of(texts: DataFrame, columns: str, bits=None, carried: bool = False, whole: bool = False) -> DataFrame:
-    """A row for each context of each text, or of those whose bit is set: key, ctx and starts; carried: where it occurs; whole: its bytes instead.
+def _contexts_of(texts: DataFrame, columns: str, bits=None, carried: bool = False, mixed=None) -> DataFrame:
+    """A row for each context of each text, or of those whose bit is set: key, ctx and starts; carried: where it occurs; mixed: its bytes as well, and whether its bit is set in this table.
 
     ctx is the hash of a context's bytes and of the place of its gram in them; starts is how many strings start in it.
     """
@@ -176,10 +180,11 @@ def _contexts_of(texts: DataFrame, columns: str, bits=None, carried: bool = Fals
 
         digest, names = xxhash.xxh64_intdigest, [c.split()[0] for c in columns.split(", ")]
         table, power = bits.value if bits is not None else (None, 0)
+        table2, power2 = mixed.value if mixed is not None else (None, 0)
         rows: dict[str, list] = {c: [] for c in names}
 
         def batch() -> pa.RecordBatch:
-            kinds = {"bytes": pa.binary(), "at": pa.int32(), "starts": pa.int16()}
+            kinds = {"bytes": pa.binary(), "at": pa.int32(), "starts": pa.int16(), "mixed": pa.bool_()}
             arrays = [pa.array(np.concatenate(v) if v and isinstance(v[0], np.ndarray) else v, kinds.get(c, pa.int64())) for c, v in rows.items()]
             for v in rows.values():
                 v.clear()
@@ -204,12 +209,14 @@ def _contexts_of(texts: DataFrame, columns: str, bits=None, carried: bool = Fals
                         for c in ("row_a", "row_b"):
                             rows[c].append(np.full(len(key), part.column(c)[row].as_py(), np.int64))
                         rows["first"].append(first)
-                    elif whole:
-                        rows["at"].append((at - first).astype(np.int32))
-                        rows["bytes"] += parts
                     else:
                         rows["starts"].append((last - first + 1).astype(np.int16))
-                    held += len(key) * (10 if whole else 1)
+                    if table2 is not None:
+                        slot = key & ((1 << power2) - 1)
+                        rows["mixed"].append((table2[slot >> 3] >> (slot & 7) & 1).astype(bool))
+                        rows["at"].append((at - first).astype(np.int32))
+                        rows["bytes"] += parts
+                    held += len(key) * (1 if table2 is None else 10)
                     if held >= 200_000:
                         held = 0
                         yield batch()
@@ -219,9 +226,9 @@ def _contexts_of(texts: DataFrame, columns: str, bits=None, carried: bool = Fals
     return texts.mapInArrow(run, columns)
 
 
-def _sorted(groups: DataFrame, single: bool) -> DataFrame:
-    """key, ctx and the ranges of repeated starts of contexts in groups that one task can sort. groups: key, ctx, at, bytes, n."""
-    return groups.repartition("key").sortWithinPartitions("key", "ctx").mapInPandas(lambda it: _groups(it, single), f"key long, ctx long, ranges {RANGES}")
+def _sorted(groups: DataFrame) -> DataFrame:
+    """key, ctx and the ranges of repeated starts of contexts in groups that one task can sort. groups: key, ctx, at, starts, bytes, n."""
+    return groups.repartition("key").sortWithinPartitions("key", "ctx").mapInPandas(_groups, f"key long, ctx long, ranges {RANGES}")
 
 
 def split_context(c: bytes, at: int, width: int, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, bytes, bytes, int]]:
@@ -252,11 +259,11 @@ def _split(large: DataFrame) -> DataFrame:
                     yield pd.DataFrame(out, columns=["key", "ctx", "base", "key2", "ctx2", "at", "bytes", "n"])
 
         split = cut(rows.mapInPandas(parts, schema))
-        different = split.groupBy("key2", "ctx2", "at").agg(F.sum("n").alias("n"), F.first("bytes").alias("bytes")).withColumnsRenamed({"key2": "key", "ctx2": "ctx"})
+        different = split.groupBy("key2", "ctx2", "at", "bytes").agg(F.sum("n").alias("n")).withColumnsRenamed({"key2": "key", "ctx2": "ctx"}).withColumn("starts", F.octet_length("bytes") - (LENGTH - 1))
         if width > 1:
             still = cut(split.select("key2", "ctx2").distinct().groupBy("key2").agg(F.count("*").alias("kinds")).where(F.col("kinds") > GROUP).select("key2"))
             different = different.join(still.withColumnRenamed("key2", "key"), "key", "left_anti")
-        found = _sorted(different, False).withColumnsRenamed({"key": "key2", "ctx": "ctx2"})
+        found = _sorted(different).withColumnsRenamed({"key": "key2", "ctx": "ctx2"})
         moved = F.transform("ranges", lambda r: F.struct((r["s"] + F.col("base")).alias("s"), (r["e"] + F.col("base")).alias("e")))
         found = split.select("key", "ctx", "base", "key2", "ctx2").join(found, ["key2", "ctx2"]).select("key", "ctx", moved.alias("ranges"))
         ranges = found if ranges is None else ranges.unionByName(found)
@@ -278,17 +285,17 @@ def repeated_strings(texts: DataFrame) -> DataFrame:
     n_keys, n_mixed, n_large = keys.agg(F.count("*"), F.count_if(F.col("kinds") > 1), F.count_if(F.col("kinds") > GROUP)).first()
     share = lambda x: spark.sparkContext.broadcast(x)
 
-    whole = seen.where("n > 1").select("key", "ctx", F.array(F.struct(F.lit(0).alias("s"), F.col("starts").cast("int").alias("e"))).alias("ranges"))
-    mixed = _contexts_of(texts.select("text"), "key long, ctx long, at int, bytes binary", share(_bits(keys.where("kinds > 1"), n_mixed)), whole=True)
-    mixed = mixed.groupBy("key", "ctx", "at").agg(F.count("*").alias("n"), F.first("bytes").alias("bytes"))
-    ranges = whole
+    all_bits = share(_bits(keys, n_keys))
+    compared = _contexts_of(texts.select("text"), "key long, ctx long, starts short, mixed boolean, at int, bytes binary", all_bits, mixed=share(_bits(keys.where("kinds > 1"), n_mixed)))
+    compared = compared.groupBy("key", "ctx", "at", "starts", "mixed", "bytes").agg(F.count("*").alias("n")).where("mixed OR n > 1")
+    compared = compared.select("key", "ctx", "at", "starts", "n", F.when(F.col("mixed"), F.col("bytes")).alias("bytes"))
     if n_large:
         large = keys.where(F.col("kinds") > GROUP).select("key")
-        part = lambda how: mixed.join(F.broadcast(large) if n_large <= BROADCAST_ROWS else large, "key", how)
-        ranges = ranges.unionByName(_split(cut(part("left_semi")))).unionByName(_sorted(part("left_anti"), True))
-    elif n_mixed:
-        ranges = ranges.unionByName(_sorted(mixed, True))
-    places = _contexts_of(texts, "key long, ctx long, row_a long, row_b long, first long", share(_bits(keys, n_keys)), carried=True)
+        part = lambda how: compared.join(F.broadcast(large) if n_large <= BROADCAST_ROWS else large, "key", how)
+        ranges = _split(cut(part("left_semi"))).unionByName(_sorted(part("left_anti")))
+    else:
+        ranges = _sorted(compared)
+    places = _contexts_of(texts, "key long, ctx long, row_a long, row_b long, first long", all_bits, carried=True)
     spans = places.join(ranges, ["key", "ctx"]).select("row_a", "row_b", F.explode(F.transform("ranges", lambda r: F.struct((F.col("first") + r["s"]).alias("s"), (F.col("first") + r["e"] - 1 + LENGTH).alias("e")))).alias("r"))
     return spans.groupBy("row_a", "row_b").agg(F.array_sort(F.collect_set("r")).alias("spans"))
 

@@ -563,6 +563,13 @@ def test_a_passage_amid_many_texts_is_found_by_parts_of_its_group(spark, monkeyp
     assert rows(substrings.substring_digest(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want, key=str)
 
 
+def test_contexts_of_one_hash_are_counted_by_bytes():
+    a, b = prose(1, 60).encode()[:230], prose(2, 60).encode()[:230]
+    rows = [(1, 7, 5, 31, 2, None), (2, 8, 5, 31, 1, a), (2, 8, 5, 31, 1, b), (3, 9, 5, 31, 1, a), (3, 9, 5, 31, 2, b)]
+    got = pd.concat(substrings._groups(iter([pd.DataFrame(rows, columns=["key", "ctx", "at", "starts", "n", "bytes"])])))
+    assert [(k, h, [(r["s"], r["e"]) for r in x]) for k, h, x in got.itertuples(index=False)] == [(1, 7, [(0, 31)]), (3, 9, [(0, 31)])]
+
+
 def test_parts_of_a_context_hold_all_its_strings():
     c, at = prose(5, 60).encode()[:336], 136
     for width in substrings.WIDTHS:
