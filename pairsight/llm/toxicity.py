@@ -11,17 +11,18 @@ A text is as toxic as its most toxic expression: of each WINDOW words in a row t
 and divided by their number, and the largest counts, so a few words decide in a text of any length. A shorter text is one
 expression.
 
-Counts cover all labelled rows that aren't held out and grow with them. Words are told apart by their 64-bit hash; one that
-isn't in the model falls back to the shared counts. The words seen most are looked up in a broadcast array of bounded
-size, all others by a join, so a score is the same wherever its words are found. The logistic curve from the ratio to a
+Counts cover all labelled rows that aren't held out and grow with them; discounts are the same for every number of rows. Words
+are told apart by their 64-bit hash; one that isn't in the model falls back to the shared counts. What is seen most, of words,
+of words that begin pairs and of pairs, is looked up in broadcast arrays of bounded size, all else by a join that adds up in the
+same order, so a score is the same to the bit wherever its words are found. The logistic curve from the ratio to a
 probability comes from half of these rows, scored by what the other half gives.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,13 +36,14 @@ from .ngrams import flat, hashed, with_labels
 WORD = r"[\p{L}\p{N}]+"
 #: Words in a row whose mean ratio is taken.
 WINDOW = 3
-#: What is taken from a word's count, at least: words with no more contexts than this in a class have no weight of their own there. The
-#: more words there are, the more of them keep to one class by chance, so it grows with the logarithm of the labelled rows.
-DISCOUNT, DISCOUNT_BITS = 2, 3.5
-#: The same for a pair: this, or one in so many of the labelled rows where that is more. It bounds the pairs with weight, all of which are broadcast.
-PAIR_DISCOUNT, PAIR_SHARE = 20, 1 << 16
-#: Words, of a hash and a ratio each, that are broadcast at most; the others are joined.
+#: What is taken from a word's count: words with no more contexts than this in a class have no weight of their own there.
+DISCOUNT = 4
+#: The same for a pair.
+PAIR_DISCOUNT = 20
+#: Words, of a hash and a ratio each, that are broadcast at most; the others are joined. The same for pairs, and for words that begin them.
 BROADCAST_WORDS = 1 << 20
+#: Bits of the table that tells which lookups of what isn't broadcast can find anything, as a power of two. A fuller table lets more through, no fewer.
+TABLE_BITS = 26
 #: Counts from which words aren't told apart when those to broadcast are chosen.
 OFTEN = 1 << 16
 #: The key of a text while its words are joined.
@@ -62,7 +64,8 @@ class KneserNey:
 
     words: np.ndarray  # hashes of the words seen most, in order
     ratios: np.ndarray
-    rest: DataFrame | None  # _word and _ratio of those that aren't in words; None for none
+    rest: DataFrame | None  # _kind, _key and _value of what isn't in the arrays: words, words that begin pairs, pairs; None for none
+    bits: np.ndarray | None  # the table of what is in rest
     other: float
     contexts: np.ndarray  # hashes of words that begin pairs with weight, in order
     shifts: np.ndarray
@@ -73,7 +76,7 @@ class KneserNey:
     tables: tuple = field(init=False)
 
     def __post_init__(self) -> None:
-        self.tables = (self.words, self.ratios, self.contexts, self.shifts, self.pairs, self.pair_ratios, self.other)
+        self.tables = (self.words, self.ratios, self.contexts, self.shifts, self.pairs, self.pair_ratios, self.other, self.bits)
 
     def curve(self, ratio: Column) -> Column:
         z = F.greatest(F.lit(-50.0), F.least(F.lit(50.0), ratio * self.slope + self.intercept))
@@ -87,6 +90,34 @@ def pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))).astype(np.int64)
 
 
+def _slot(key: np.ndarray, kind: int) -> np.ndarray:
+    """The bit of a key in the table."""
+    return pair_key(key, np.full(len(key), kind + 1)) & ((1 << TABLE_BITS) - 1)
+
+
+def _bits(rest: DataFrame) -> np.ndarray:
+    """The table with the bit of each key set, folded in Spark to pages of 4 KB."""
+
+    @F.pandas_udf("long")
+    def slot(kind: pd.Series, key: pd.Series) -> pd.Series:
+        return pd.Series(np.choose(kind.to_numpy(), [_slot(key.to_numpy(), k) for k in range(3)]) + 1)
+
+    slots = rest.select(slot("_kind", "_key").alias("slot"))
+    pages = slots.groupBy(F.bitmap_bucket_number("slot").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).toArrow()  # bounded by the table
+    table = np.zeros(1 << (TABLE_BITS - 3), np.uint8)
+    for page, bits in zip(pages["page"].to_pylist(), pages["bits"], strict=True):
+        table[(page - 1) * 4096 : page * 4096] = np.frombuffer(bits.as_buffer(), np.uint8)
+    return table
+
+
+def _may_be(bits: np.ndarray | None, key: np.ndarray, kind: int) -> np.ndarray:
+    """Whether each key can be in what the table is of."""
+    if bits is None:
+        return np.zeros(len(key), bool)
+    slot = _slot(key, kind)
+    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def _before(h: np.ndarray, sizes: np.ndarray, n: int = 1) -> np.ndarray:
     """The hash n places before each, 0 where a row has none."""
     out = np.roll(h, n)
@@ -147,7 +178,7 @@ def _count(rows: DataFrame, pair_discount: int, salts: int = SALTS) -> DataFrame
     return row(words, 0, F.col("w"), zero, F.col, none).unionByName(row(contexts, 1, F.col("v"), zero, F.col, kept)).unionByName(row(heavy, 2, F.col("w"), F.col("v"), F.col, left))
 
 
-def _model(counts: DataFrame, sums: dict, toxic: str, ordinary: str, most: int, discount: int) -> KneserNey:
+def _model(counts: DataFrame, sums: dict, toxic: str, ordinary: str, most: int, most_pairs: int, discount: int) -> KneserNey:
     """The model that two of the counts give. sums: over all words, of each count c, of what its discount leaves as c_kept, and the words with a count as n."""
     both = (toxic, ordinary)
     total = {c: max(sums[c] or 0, 1) for c in both}
@@ -157,32 +188,37 @@ def _model(counts: DataFrame, sums: dict, toxic: str, ordinary: str, most: int,
     words = counts.where("kind = 0").select("a", *both, *(own(c).alias(f"p_{c}") for c in both))
     # what the discount takes whole in both classes has the ratio of all other words
     weighed = words.where((F.col(toxic) > discount) | (F.col(ordinary) > discount)).select(F.col("a").alias("w"), F.log(F.col(f"p_{toxic}") / F.col(f"p_{ordinary}")).alias("ratio"), F.least(F.col(toxic) + F.col(ordinary), F.lit(OFTEN)).alias("n"))
-    by_count = sorted(((r["n"], r["words"]) for r in weighed.groupBy("n").agg(F.count("*").alias("words")).collect()), reverse=True)
-    least, taken = OFTEN + 1, 0
-    for n, of in by_count:
-        if taken + of > most:
-            break
-        least, taken = n, taken + of
-    rest = weighed.where(F.col("n") < least).select(F.col("w").alias("_word"), F.col("ratio").alias("_ratio")) if taken < sum(n for _, n in by_count) else None
     # what a word's pairs with weight leave to others after it
     backoff = lambda c: F.when(F.col(c) > 0, 1 - F.col(f"{c}_kept") / F.col(c)).otherwise(1.0)
     contexts = counts.where("kind = 1").select(F.col("a").alias("b"), *(F.col(c).alias(f"of_{c}") for c in both), *(backoff(c).alias(f"b_{c}") for c in both))
     heavy = counts.where("kind = 2").select("a", "b", *(F.col(f"{c}_kept").alias(f"k_{c}") for c in both)).where((F.col(f"k_{toxic}") > 0) | (F.col(f"k_{ordinary}") > 0)).join(words, "a").join(contexts, "b")
     p = lambda c: F.coalesce(F.try_divide(f"k_{c}", f"of_{c}"), F.lit(0.0)) + F.col(f"b_{c}") * F.col(f"p_{c}")
-
-    def arrays(df: DataFrame) -> list[np.ndarray]:
-        t = df.toArrow()
-        return [c.to_numpy() for c in t.columns]
-
-    def in_order(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    often = lambda cs: F.least(sum((F.col(c) for c in cs[1:]), F.col(cs[0])), F.lit(OFTEN)).cast("int").alias("n")
+
+    @F.pandas_udf("long")
+    def as_key(before: pd.Series, word: pd.Series) -> pd.Series:
+        return pd.Series(pair_key(before.to_numpy(), word.to_numpy()))
+
+    parts = [
+        (weighed.select(F.col("w").alias("_key"), F.col("ratio").alias("_value"), "n"), most),
+        (contexts.select(F.col("b").alias("_key"), F.log(F.col(f"b_{toxic}") / F.col(f"b_{ordinary}")).alias("_value"), often([f"of_{c}" for c in both])), most_pairs),
+        (heavy.select(as_key("b", "a").alias("_key"), F.log(p(toxic) / p(ordinary)).alias("_value"), often([f"k_{c}" for c in both])), most_pairs),
+    ]
+    arrays, rest = [], []
+    for kind, (df, bound) in enumerate(parts):
+        by_count = sorted(((r["n"], r["rows"]) for r in df.groupBy("n").agg(F.count("*").alias("rows")).collect()), reverse=True)  # OFTEN rows at most
+        least, taken = OFTEN + 1, 0
+        for n, of in by_count:
+            if taken + of > bound:
+                break
+            least, taken = n, taken + of
+        if taken < sum(of for _, of in by_count):
+            rest.append(df.where(F.col("n") < least).select(F.lit(kind).alias("_kind"), "_key", "_value"))
+        keys, values = (c.to_numpy() for c in df.where(F.col("n") >= least).select("_key", "_value").toArrow().columns)
         order = np.argsort(keys)
-        return keys[order].astype(np.int64), values[order].astype(np.float64)
-
-    head = in_order(*arrays(weighed.where(F.col("n") >= least).select("w", "ratio")))
-    shifts = in_order(*arrays(contexts.select("b", F.log(F.col(f"b_{toxic}") / F.col(f"b_{ordinary}")))))
-    before, word, ratio = arrays(heavy.select("b", "a", F.log(p(toxic) / p(ordinary))))
-    pairs = in_order(pair_key(before, word), ratio)
-    return KneserNey(*head, rest, float(np.log(left[toxic] / left[ordinary])), *shifts, *pairs)
+        arrays += [keys[order].astype(np.int64), values[order].astype(np.float64)]
+    joined = cut(reduce(DataFrame.unionByName, rest)) if rest else None
+    return KneserNey(*arrays[:2], joined, _bits(joined) if rest else None, float(np.log(left[toxic] / left[ordinary])), *arrays[2:])
 
 
 def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,20 +230,23 @@ def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.
     return known, np.where(known, values[at], 0.0)
 
 
-def _values(tables: tuple, h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The log-likelihood ratio of each place, and whether its word has to be looked up elsewhere for it."""
-    words, ratios, contexts, shifts, pairs, pair_ratios, other = tables
+def _values(tables: tuple, h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The log-likelihood ratio of each place in two parts, its word's and what is added after the word before, and the keys by which word, word before and pair have to be looked up elsewhere for it, each with whether it has to be. A pair that is found is one part."""
+    words, ratios, contexts, shifts, pairs, pair_ratios, other, bits = tables
     different, back = np.unique(h, return_inverse=True)
     known, ratio = _find(words, ratios, different)
-    value, unknown = np.where(known, ratio, other)[back], ~known[back]
+    ratio, ask_word = np.where(known, ratio, other)[back], (~known & _may_be(bits, different, 0))[back]
     before = _before(h, sizes)
     after, shift = _find(contexts, shifts, before)
-    value = value + shift
-    places = np.flatnonzero(after)
-    found, ratio = _find(pairs, pair_ratios, pair_key(before[places], h[places]))
-    value[places[found]] = ratio[found]
-    unknown[places[found]] = False
-    return value, unknown
+    ask_before = ~after & _may_be(bits, before, 1)
+    key, ask_pair = pair_key(before, h), np.zeros(len(h), bool)
+    places = np.flatnonzero(after | ask_before)
+    found, own = _find(pairs, pair_ratios, key[places])
+    ask_pair[places] = ~found & _may_be(bits, key[places], 2)
+    known = places[found]
+    ratio[known], shift[known] = own[found], 0.0
+    ask_word[known] = ask_before[known] = False
+    return ratio, shift, h, ask_word, before, ask_before, key, ask_pair
 
 
 def _windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -247,8 +286,8 @@ def _ratio(spark, model: KneserNey):
             h, sizes = flat(rows.iloc[i : i + TEXTS])
             top = np.zeros(len(sizes))
             if len(h):
-                value, _ = _values(shared.value, h, sizes)
-                _, row, length, total = _means(value, sizes)
+                ratio, shift, *_ = _values(shared.value, h, sizes)
+                _, row, length, total = _means(ratio + shift, sizes)
                 best = _largest(row, total / length, len(sizes))
                 top = np.where(sizes > 0, best, 0.0)
             out.append(top)
@@ -258,29 +297,29 @@ def _ratio(spark, model: KneserNey):
 
 
 def _look_up(spark, model: KneserNey):
-    """best: a row's largest mean of windows whose words are all known, null for none; open: its other windows, each set of missing words once: their sum without those words' own part, their length, and the words."""
+    """best: a row's largest mean of windows that are known, null for none; open: its other windows, alike ones once: for each place its two parts, and what has to be looked up."""
     shared = spark.sparkContext.broadcast(model.tables)
 
-    @F.pandas_udf("struct<best:double,open:array<struct<total:double,length:int,words:array<bigint>>>>")
+    @F.pandas_udf("struct<best:double,open:array<array<struct<ratio:double,shift:double,keys:array<struct<_kind:int,_key:bigint>>>>>>")
     def look_up(rows: pd.Series) -> pd.DataFrame:
         best, windows = [], []
-        other = shared.value[-1]
         for i in range(0, len(rows), TEXTS):
             h, sizes = flat(rows.iloc[i : i + TEXTS])
             mine: list[dict] = [{} for _ in sizes]
             top = np.full(len(sizes), -np.inf)
             if len(h):
-                value, unknown = _values(shared.value, h, sizes)
-                start, row, length, total = _means(np.where(unknown, value - other, value), sizes)
+                ratio, shift, *asked = _values(shared.value, h, sizes)
+                start, row, length, total = _means(ratio + shift, sizes)
+                asks = asked[1] | asked[3] | asked[5]
                 has = np.zeros(len(start), bool)
                 for k in range(WINDOW):
-                    has |= (k < length) & unknown[np.minimum(start + k, len(h) - 1)]
+                    has |= (k < length) & asks[np.minimum(start + k, len(h) - 1)]
                 top = _largest(row[~has], (total / length)[~has], len(sizes))
-                for s, r, n, t in zip(start[has].tolist(), row[has].tolist(), length[has].tolist(), total[has].tolist(), strict=True):
-                    key = (n, *sorted(h[s : s + n][unknown[s : s + n]].tolist()))
-                    mine[r][key] = max(mine[r].get(key, -np.inf), t)
+                place = lambda j: (float(ratio[j]), float(shift[j]), tuple((kind, int(asked[2 * kind][j])) for kind in range(3) if asked[2 * kind + 1][j]))  # noqa: B023, E731
+                for s, r, n in zip(start[has].tolist(), row[has].tolist(), length[has].tolist(), strict=True):
+                    mine[r][tuple(map(place, range(s, s + n)))] = None
             best += [None if np.isinf(b) else float(b) for b in top]
-            windows += [[{"total": t, "length": k[0], "words": list(k[1:])} for k, t in own.items()] for own in mine]
+            windows += [[[{"ratio": a, "shift": b, "keys": [{"_kind": k, "_key": x} for k, x in keys]} for a, b, keys in w] for w in own] for own in mine]
         return pd.DataFrame({"best": pd.Series(best, dtype="float64"), "open": windows})
 
     return look_up
@@ -292,12 +331,19 @@ def _with_ratio(docs: DataFrame, model: KneserNey, text: str, name: str) -> Data
     if model.rest is None:
         return docs.withColumn(name, _ratio(spark, model)(words))
     key = F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")))
-    found = docs.select(key.alias(TEXT_KEY), _look_up(spark, model)(words).alias("f")).select(TEXT_KEY, F.when(~F.isnan("f.best"), F.col("f.best")).alias("best"), F.posexplode_outer("f.open").alias("window", "x"))
-    found = found.select(TEXT_KEY, "best", "window", "x.total", "x.length", F.posexplode_outer("x.words").alias("place", "_word"))
+    found = docs.select(key.alias(TEXT_KEY), _look_up(spark, model)(words).alias("f")).select(TEXT_KEY, F.when(~F.isnan("f.best"), F.col("f.best")).alias("best"), F.posexplode_outer("f.open").alias("window", "places"))
+    found = found.select(TEXT_KEY, "best", "window", F.posexplode_outer("places").alias("place", "x"))
+    # a place's own row meets nothing
+    own = F.array(F.struct(F.lit(-1).alias("_kind"), F.xxhash64(TEXT_KEY, "window").alias("_key")))
+    found = found.select(TEXT_KEY, "best", "window", "place", "x.ratio", "x.shift", F.inline(F.concat(own, F.coalesce("x.keys", F.array().cast("array<struct<_kind:int,_key:bigint>>")))))
     # texts that are equal give equal rows, which count once
-    found = found.distinct().join(model.rest, "_word", "left")
-    own = F.when(F.col("_word").isNotNull(), F.coalesce("_ratio", F.lit(model.other))).otherwise(0.0)
-    found = found.groupBy(TEXT_KEY, "window").agg(F.max("best").alias("best"), ((F.max("total") + F.sum(own)) / F.max("length")).alias("mean"))
+    found = found.distinct().join(model.rest, ["_kind", "_key"], "left")
+    part = lambda kind: F.max(F.when(F.col("_kind") == kind, F.col("_value")))
+    value = F.coalesce(part(2), F.coalesce(part(0), F.max("ratio")) + F.coalesce(part(1), F.max("shift")))
+    found = found.groupBy(TEXT_KEY, "window", "place").agg(F.max("best").alias("best"), value.alias("value"))
+    in_order = F.transform(F.sort_array(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "value")))), lambda x: x["value"])
+    mean = F.aggregate(in_order, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(in_order), F.lit(0))
+    found = found.groupBy(TEXT_KEY, "window").agg(F.max("best").alias("best"), mean.alias("mean"))
     found = found.groupBy(TEXT_KEY).agg(F.max(F.greatest("best", "mean")).alias(name))
     return docs.drop(name).withColumn(TEXT_KEY, key).join(found, TEXT_KEY, "left").withColumn(name, F.coalesce(name, F.lit(0.0))).drop(TEXT_KEY)
 
@@ -321,23 +367,22 @@ def _fit_curve(bins: pd.DataFrame) -> tuple[float, float]:
     return float(theta[0] / std), float(theta[1] - theta[0] * mean / std)
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = BROADCAST_WORDS) -> KneserNey:
+def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = BROADCAST_WORDS, most_pairs: int = BROADCAST_WORDS) -> KneserNey:
     """Learns from the rows of labels that aren't held out. docs: doc_id and text. Without labelled rows every score is the same.
 
-    Null texts have no words; rows that repeat, and columns besides, change nothing. most: the words to broadcast at most;
-    it decides where words are looked up and never what comes out.
+    Null texts have no words; rows that repeat, and columns besides, change nothing. most: the words to broadcast at most,
+    most_pairs: the pairs, and the words that begin them; they decide where these are looked up and never what comes out.
     """
     bounded_batches(docs.sparkSession)
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
     labelled = lambda keep: with_labels(docs.select("doc_id", "text"), labels, label, keep)
-    rows = labels.where(F.col(label).isNotNull()).count()
-    discount, pair_discount = max(DISCOUNT, int(math.log2(rows + 1) / DISCOUNT_BITS)), max(PAIR_DISCOUNT, rows // PAIR_SHARE)
-    counts = cut(_count(labelled(fold != 1).select("label", F.when(fold == 0, 0).otherwise(1).alias("half"), hashed(F.col("text"), WORD).alias("w")), pair_discount, max(SALTS, rows // SALT_ROWS)))
-    sums = counts.where("kind = 0").agg(*(x for c in CLASSES for x in (F.sum(c).alias(c), F.sum(F.greatest(F.col(c) - discount, F.lit(0))).alias(f"{c}_kept"))), F.count("*").alias("t_n"), F.count(F.when(F.col("t0") + F.col("o0") > 0, 1)).alias("t0_n")).first().asDict()
-    seen = _with_ratio(labelled(fold == 2).select("label", "text"), _model(counts, sums, "t0", "o0", most, discount), "text", "x").select("label", "x")
+    salts = max(SALTS, labels.where(F.col(label).isNotNull()).count() // SALT_ROWS)
+    counts = cut(_count(labelled(fold != 1).select("label", F.when(fold == 0, 0).otherwise(1).alias("half"), hashed(F.col("text"), WORD).alias("w")), PAIR_DISCOUNT, salts))
+    sums = counts.where("kind = 0").agg(*(x for c in CLASSES for x in (F.sum(c).alias(c), F.sum(F.greatest(F.col(c) - DISCOUNT, F.lit(0))).alias(f"{c}_kept"))), F.count("*").alias("t_n"), F.count(F.when(F.col("t0") + F.col("o0") > 0, 1)).alias("t0_n")).first().asDict()
+    seen = _with_ratio(labelled(fold == 2).select("label", "text"), _model(counts, sums, "t0", "o0", most, most_pairs, DISCOUNT), "text", "x").select("label", "x")
     middle = F.greatest(F.lit(-BINS), F.least(F.lit(BINS), F.floor(F.col("x") / BIN_WIDTH)))
     bins = seen.groupBy("label", middle.alias("bin")).agg(F.count("*").alias("n"), F.avg("x").alias("x")).toPandas()
-    model = _model(counts, sums, "t", "o", most, discount)
+    model = _model(counts, sums, "t", "o", most, most_pairs, DISCOUNT)
     model.slope, model.intercept = _fit_curve(bins)
     return model
 

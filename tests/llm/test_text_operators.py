@@ -183,6 +183,30 @@ def test_toxicity_is_the_plain_model(spark, monkeypatch):
             assert got[i] == pytest.approx(ratio(t), abs=1e-9)
 
 
+def test_toxicity_has_no_switch_by_size(spark):
+    texts, labels = labelled(spark, lambda i: f"{WORDS[i % 20]} {['nasty', 'vile'][i % 3 % 2]} {WORDS[i % 7]}")
+    others = spark.range(1 << 20, (1 << 20) + 60_000).select(F.col("id").alias("doc_id"), F.lit(0).alias("toxic"), F.lit(1).alias("quality"))
+    scores = [{r.doc_id: r.score for r in toxicity.toxicity(texts, t).collect()} for t in (labels, labels.unionByName(others))]
+    assert scores[0] == pytest.approx(scores[1], abs=1e-12)
+
+
+def test_toxicity_is_the_same_wherever_pairs_are(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "DISCOUNT", 2)
+    monkeypatch.setattr(toxicity, "PAIR_DISCOUNT", 3)
+    texts, labels = labelled(spark, lambda i: f"you {WORDS[i % 20]} nasty thing {WORDS[i % 7]}")
+    have = [(r.doc_id, r.text) for r in texts.collect()]
+    ratio = plain_kneser_ney(have, {r.doc_id: r.toxic for r in labels.collect()}, lambda fold: fold != 1, 2, 3)
+    new = [t for _, t in have[:40]] * 2 + [None, "", "nasty", "unseen", "alpha unseen beta nasty thing unseen", "thing nasty unseen other you"]
+    df = spark.createDataFrame(list(enumerate(new)), "doc_id long, text string")
+    got = []
+    for most, most_pairs in ((1 << 20, 1 << 20), (1 << 20, 12), (5, 0)):
+        model = toxicity.train_toxicity(texts, labels, most=most, most_pairs=most_pairs)
+        assert (model.rest is None) == (most_pairs > 12) and len(model.pairs) <= most_pairs and len(model.contexts) <= most_pairs
+        got.append({r.doc_id: r.x for r in toxicity._with_ratio(df, model, "text", "x").collect()})
+    assert got[0] == got[1] == got[2]
+    assert got[0] == pytest.approx({i: ratio(t) for i, t in enumerate(new)}, abs=1e-9)
+
+
 def test_toxicity_tells_all_words_apart(spark):
     texts, labels = labelled(spark, lambda i: "nasty")
     low = lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << 20) - 1))
