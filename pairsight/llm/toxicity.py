@@ -53,7 +53,7 @@ BINS, BIN_WIDTH = 400, 0.02
 TEXTS = 512
 #: Words of labelled texts whose pairs a task holds before it hands on what is different among them.
 PLACES = 1 << 21
-#: Parts that the pairs of one word are dealt to, or one for so many of the labelled rows where that is more. Pairs of a word beside each other are written small.
+#: Parts that the pairs of one word are dealt to, or one for so many of the labelled rows where that is more. Pairs of a word are written in one row, which keeps what is shuffled small.
 SALTS, SALT_ROWS = 8, 1 << 17
 CLASSES = ("t", "o", "t0", "o0")
 
@@ -127,8 +127,8 @@ def _before(h: np.ndarray, sizes: np.ndarray, n: int = 1) -> np.ndarray:
     return out
 
 
-def _triples(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mark, w, v and u: all words of labelled rows with the two words before each; of what is alike among some rows one row, with the marks of all. They come in order of w and v, so that what a shuffle writes of them is small.
+def _triples(it: Iterator[pa.RecordBatch], salts: int) -> Iterator[pa.RecordBatch]:
+    """All words of labelled rows with the two words before each, w, v and u, and the marks of the rows; of what is alike among some rows one with the marks of all. A row for each w and salt of its v, with all of these in ``packed``: the upper halves of v, the lower, u, and eight marks a number.
 
     u only tells the contexts of one pair apart and has 32 bits: of n contexts some n * n / 2^33 are taken for others, one of 100,000.
     """
@@ -138,10 +138,21 @@ def _triples(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, v, u, mark = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
         u = u.astype(np.int32)  # the low half
-        order = np.lexsort((u, v, w))
-        w, v, u, mark = w[order], v[order], u[order], mark[order]
+        salt = (pair_key(v, v) & 0x7FFFFFFF).astype(np.int32) % np.int32(salts)
+        order = np.lexsort((u, v, salt, w))
+        w, v, u, mark, salt = w[order], v[order], u[order], mark[order], salt[order]
         new = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (v[1:] != v[:-1]) | (u[1:] != u[:-1])))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.bitwise_or.reduceat(mark, new), w[new], v[new], u[new])], names=["mark", "w", "v", "u"])
+        w, v, u, salt, mark = w[new], v[new], u[new], salt[new], np.bitwise_or.reduceat(mark, new)
+        first = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (salt[1:] != salt[:-1])))
+        n = np.diff(first, append=len(w))
+        ends = np.cumsum(3 * n + (n + 7) // 8)
+        at = np.repeat(ends - 3 * n - (n + 7) // 8, n)
+        size, i = np.repeat(n, n), np.arange(len(w)) - np.repeat(first, n)
+        packed = np.zeros(ends[-1], np.int32)
+        packed[at + i], packed[at + size + i], packed[at + 2 * size + i] = v >> 32, v.astype(np.int32), u
+        eighth = np.flatnonzero(i % 8 == 0)
+        packed[(at + 3 * size + i // 8)[eighth]] = np.bitwise_or.reduceat(mark.astype(np.uint32) << (i % 8 * 4).astype(np.uint32), eighth).view(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(w[first]), pa.array(salt[first]), pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(packed))], names=["w", "salt", "packed"])
 
     for batch in it:
         for at in range(0, batch.num_rows, TEXTS):
@@ -155,6 +166,16 @@ def _triples(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield merged()
 
 
+def _unpacked(rows: DataFrame) -> DataFrame:
+    """w, salt, v, u and mark, as _triples packs them."""
+    n = F.floor(F.size("packed") * 8 / 25).cast("int")
+    rows = rows.select("w", "salt", "packed", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    get = lambda at: F.get("packed", at)
+    v = F.shiftleft(get(F.col("i")).cast("long"), 32).bitwiseOR(get(F.col("n") + F.col("i")).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    mark = F.call_function("shiftright", get((3 * F.col("n") + F.shiftright("i", 3))), (F.col("i").bitwiseAND(F.lit(7)) * 4)).bitwiseAND(F.lit(15))
+    return rows.select("w", "salt", v.alias("v"), get(2 * F.col("n") + F.col("i")).alias("u"), mark.alias("mark"))
+
+
 def _count(rows: DataFrame, pair_discount: int, salts: int = SALTS) -> DataFrame:
     """Continuation counts by class: t and o, and t0 and o0 over the rows of the first half alone. rows: label, half (0 or 1) and hashes ``w``.
 
@@ -162,10 +183,9 @@ def _count(rows: DataFrame, pair_discount: int, salts: int = SALTS) -> DataFrame
     what discounts leave of them. kind 2: of the pairs of a word b and a word a after it with weight.
     """
     mark = F.when(F.col("label") == 1, 1).otherwise(2) * F.when(F.col("half") == 0, 1).otherwise(4)
-    seen = rows.select(mark.alias("mark"), "w").mapInArrow(_triples, "mark int, w long, v long, u int")
+    seen = rows.select(mark.alias("mark"), "w").mapInArrow(lambda it: _triples(it, salts), "w long, salt int, packed array<int>")
     # all that is alike is in one partition, and the rest of a word's pairs in few others
-    seen = seen.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).repartition("w", "salt")
-    seen = seen.groupBy("w", "salt", "v", "u").agg(F.bit_or("mark").alias("m"))
+    seen = _unpacked(seen.repartition("w", "salt")).groupBy("w", "salt", "v", "u").agg(F.bit_or("mark").alias("m"))
     has = lambda bits: F.count_if(F.col("m").bitwiseAND(F.lit(bits)) != 0)
     pairs = seen.groupBy("w", "salt", "v").agg(*(has(b).alias(c) for c, b in zip(CLASSES, (5, 10, 1, 2), strict=True)))
     left = lambda c: F.greatest(F.col(c) - pair_discount, F.lit(0))

@@ -207,6 +207,24 @@ def test_toxicity_is_the_same_wherever_pairs_are(spark, monkeypatch):
     assert got[0] == pytest.approx({i: ratio(t) for i, t in enumerate(new)}, abs=1e-9)
 
 
+def test_toxicity_packs_its_triples(spark):
+    r = random.Random(5)
+    rows = [(1 << r.randrange(4), [r.choice((0, -1, 1 << 40, -(1 << 62), r.getrandbits(40) - (1 << 39), r.randrange(9))) for _ in range(r.randrange(60))]) for _ in range(200)] + [(8, [7] * 400), (4, []), (2, [3])]
+    want: dict = {}
+    for mark, own in rows:
+        for k, w in enumerate(own):
+            v, u = own[k - 1] if k else 0, own[k - 2] if k > 1 else 0
+            key = w, v, (u + (1 << 31)) % (1 << 32) - (1 << 31)
+            want[key] = want.get(key, 0) | mark
+    df = spark.createDataFrame(rows, "mark int, w array<long>").repartition(3)
+    packed = df.mapInArrow(lambda it: toxicity._triples(it, 5), "w long, salt int, packed array<int>").cache()
+    got: dict = {}
+    for x in toxicity._unpacked(packed).collect():
+        got[x.w, x.v, x.u] = got.get((x.w, x.v, x.u), 0) | x.mark
+    assert got == want
+    assert packed.count() == packed.select("w", "salt", F.spark_partition_id()).distinct().count()
+
+
 def test_toxicity_tells_all_words_apart(spark):
     texts, labels = labelled(spark, lambda i: "nasty")
     low = lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << 20) - 1))
