@@ -37,7 +37,7 @@ WORD = r"[\p{L}\p{N}]+"
 #: Words in a row whose mean ratio is taken.
 WINDOW = 3
 #: What is taken from a word's count: words with no more contexts than this in a class have no weight of their own there.
-DISCOUNT = 4
+DISCOUNT = 3
 #: The same for a pair.
 PAIR_DISCOUNT = 20
 #: Words, of a hash and a ratio each, that are broadcast at most; the others are joined. The same for pairs, and for words that begin them.

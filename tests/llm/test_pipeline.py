@@ -71,3 +71,11 @@ def test_rows_and_not_ids_are_dropped(spark, tmp_path):
     out = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
     assert out.columns == corpus_pipeline.COLUMNS
     assert got(out) == sorted([(i, t or "") for i, t in rows if t != hit], key=str)
+
+
+def test_toxicity_stage_has_no_switch_by_size(spark, folder, tmp_path):
+    path, _ = folder
+    docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    labels.unionByName(spark.range(1 << 20, (1 << 20) + 2_000_000).selectExpr("id AS doc_id", "0 AS toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    kept = [sorted(r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, str(p)).select("doc_id").collect()) for p in (path, tmp_path)]
+    assert kept[0] == kept[1] and len(kept[0]) > 300
