@@ -1,5 +1,6 @@
 """Brute force and edge cases: nulls, empty and long texts, repeated rows, empty tables, clashing columns."""
 
+import dataclasses
 import hashlib
 import itertools
 import math
@@ -8,9 +9,11 @@ import re
 import struct
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import regex
 import xxhash
@@ -693,6 +696,55 @@ def test_pieces_round_trip(spark, docs, empty, monkeypatch):
     assert out.columns == [*docs.columns, "ids"] and out.drop("ids").exceptAll(docs).count() == 0 and out.count() == len(ROWS)
 
 
+def test_little_of_pieces_stays_on_disk(spark, monkeypatch):
+    """Files of the counts go when they have been read; rare segments cross once a batch. Until round 3 counts stayed, and rare segments crossed once a row."""
+    folder = Path(spark.conf.get("spark.local.dir"))
+    on_disk = lambda: sum(f.stat().st_size for f in folder.rglob("shuffle_*.data"))
+    monkeypatch.setattr(pieces, "TABLE_ROWS", 0)
+    v, r = pieces.load_vocabulary(), random.Random(6)
+    many = [" ".join("".join(r.choices("abcdefghij", k=8)) for _ in range(50)) for _ in range(200)]
+    same = spark.createDataFrame([(i, many[0]) for i in range(4000)], "doc_id long, text string").coalesce(1)
+    before, cleaned = on_disk(), spark.conf.get(pieces.CLEANUP)
+    pieces.encode(spark.createDataFrame([(t,) for t in many], "text string"), v)
+    assert on_disk() - before < 50_000 and spark.conf.get(pieces.CLEANUP) == cleaned
+    out = pieces.encode(same, v, keep=["doc_id"])
+    before = on_disk()
+    rows = out.collect()
+    assert on_disk() - before < 1_000_000
+    assert len(rows) == 4000 and {tuple(x.ids) for x in rows} == {tuple(plain_ids(v, pieces.SPACE + many[0].replace(" ", pieces.SPACE)))}
+
+
+def test_pieces_that_their_own_pieces_outdo_never_win():
+    """Leaving them out of the lattice changes no id, also where they would tie."""
+    v = pieces.load_vocabulary()
+    useful = pieces.useful_pieces(v)
+    fewer = dataclasses.replace(v, pieces={p: v.pieces[p] for p in useful})
+    assert len(useful) < len(v.pieces)
+    r = random.Random(5)
+    for _ in range(400):
+        s = "".join(r.choice(["▁the", "tion", "ing", "er", "x", "▁", "Ber", "ó", "▁un", "str"]) for _ in range(r.randrange(1, 8)))
+        assert plain_ids(fewer, s) == plain_ids(v, s)
+    tied = dataclasses.replace(v, pieces={"a": (300, -1.0), "b": (301, -1.0), "ab": (302, -2.0), "aa": (303, -2.5)})
+    assert set(pieces.useful_pieces(tied)) == {"a", "b", "ab"}
+
+
+def test_words_and_segments_of_batches_are_those_of_each_text(monkeypatch):
+    v, r = pieces.load_vocabulary(), random.Random(3)
+    texts = [None, "", " ", "\n", "a \nb", " lead", "x  y", "▁", "a▁b", "é😀a b\n\n c"] + ["".join(r.choice(["a", "the", "▁", " ", "\n", "é", "😀", "x ", " y", "-" * 70, "漢字"]) for _ in range(r.randrange(12))) for _ in range(500)]
+    places, keys, counts = v.cutter.coded_words(pa.array(texts, pa.string()))
+    words, at = [keys[int(i)].as_py() for i in places], 0
+    for t, n in zip(texts, counts, strict=True):
+        assert words[at : at + n] == v.cutter.words(t)
+        at += n
+    whole = v.cutter.segments(keys)
+    monkeypatch.setattr(pieces, "CUT", 7)
+    assert whole[0].equals(v.cutter.segments(keys)[0]) and whole[1].tolist() == v.cutter.segments(keys)[1].tolist()
+    assert "".join(whole[0].to_pylist()) == "".join(k if k[:1] == "\n" else pieces.SPACE + k for k in keys.to_pylist())
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    parts = list(pieces._batches(iter([batch.slice(0, 200), batch.slice(200)]), "text"))
+    assert [t for p in parts for t in p.column("text").to_pylist()] == texts
+
+
 def test_unigram_scores_as_a_model_file_has_them(spark, tmp_path):
     from sentencepiece import SentencePieceProcessor
     from sentencepiece import sentencepiece_model_pb2 as proto
