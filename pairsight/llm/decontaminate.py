@@ -17,6 +17,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, K = 13, 5
 #: A kept gram is one long: a hash in the high bits and its position in the low ones. No text that fits in a row has more words.
 POSITION_BITS = 28
+#: Bytes of item texts for each file that fingerprints are written to, some 50 MB of fingerprints.
+FILE_BYTES = 8 << 20
 #: Fingerprint rows of a benchmark, some 250 bytes each, that are broadcast at most; more are joined by shuffling.
 BROADCAST_ROWS = 100_000
 #: Bits of the table that tells which document grams can match at all, at most. A fuller table lets more through to the join, no fewer.
@@ -103,7 +105,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: in
     Null and empty texts have no words. An item id that repeats is one item with several texts. Rows of docs
     that repeat, or have null ids, are rows of their own. Other columns are ignored.
     """
-    prints = cut(benchmark_fingerprints(items, window, k, text=text))
+    n_bytes = items.select(F.sum(F.octet_length(text))).first()[0] or 0
+    # as many files as there are fingerprints for, not one for each shuffle partition: on local disks each file has its mode set by forked processes
+    prints = cut(benchmark_fingerprints(items, window, k, text=text).coalesce(1 + n_bytes // FILE_BYTES))
     n = prints.count()
     short = sorted(r["need"] for r in prints.select("need").where(F.col("need") < window).distinct().collect())  # window - 1 at most
     bits = min(MOST_BITS, max(1 << 15, 1 << (16 * n).bit_length()))

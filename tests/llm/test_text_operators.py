@@ -103,6 +103,26 @@ def test_decontamination_finds_every_window(spark, docs, empty):
     assert {r.n_hit for r in decontaminate.decontamination_digest(docs, table.where("false")).collect()} == {0}
 
 
+def test_fingerprints_are_written_to_files_by_size(spark, docs, monkeypatch):
+    written, cut = [], decontaminate.cut
+    monkeypatch.setattr(decontaminate, "cut", lambda df: written.append(cut(df)) or written[-1])
+    table = spark.createDataFrame([(i, prose(i, 60) if i else " ".join(BASE.split()[5:25])) for i in range(30)], "item_id long, text string").repartition(6)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(before, ("40", "false"), strict=True):
+            spark.conf.set(k, v)
+        found = []
+        for n in (decontaminate.FILE_BYTES, 2000, 1):
+            monkeypatch.setattr(decontaminate, "FILE_BYTES", n)
+            found.append(rows(decontaminate.decontaminate(docs, table), "doc_id", "n_words", "n_hit", "item_ids", "spans"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = [df.rdd.getNumPartitions() for df in written]
+    assert files[0] == 1 < files[1] < files[2] == 40  # 40 each before
+    assert found[0] == found[1] == found[2] and any(r[2] for r in found[0])
+
+
 # ---- toxicity and quality
 
 
