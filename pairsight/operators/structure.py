@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import squash, trimmed
+from ..sources.shared import by_shuffle
 
 DOC = ["pair_id", "doc_key"]
 #: What a heading, a header field and a bullet look like.
@@ -136,7 +137,7 @@ def cell_text(parts: Column) -> Column:
 def table_lines(lines: DataFrame, keyword: str) -> DataFrame:
     """The lines of each document's table: from the first line with the keyword to the next section of the page, without blank lines at the end."""
     head = lines.where(F.lower("raw").contains(keyword.lower())).groupBy(*DOC).agg(F.min(F.struct("page", "line")).alias("head"))
-    page = lines.join(head, DOC).where((F.col("page") == F.col("head.page")) & (F.col("line") >= F.col("head.line")))
+    page = lines.join(by_shuffle(head), DOC).where((F.col("page") == F.col("head.page")) & (F.col("line") >= F.col("head.line")))
     w = Window.partitionBy(*DOC)
     stop = F.min(F.when((F.col("line") > F.col("head.line")) & F.col("raw").rlike(r"(?U)^\s{0,3}\d+\.\s+\S"), F.col("line"))).over(w)
     page = page.withColumn("stop", stop).where(F.col("stop").isNull() | (F.col("line") < F.col("stop")))
@@ -170,7 +171,7 @@ def tables(lines: DataFrame, keyword: str = "Test ID") -> tuple[DataFrame, DataF
         .when(~F.exists(F.slice(raws, F.lit(2), F.size(raws)), is_row), "the table has no numbered rows")
     )
     blocks = blocks.select("*", F.inline(F.array(F.struct(message.alias("message")))))
-    none = lines.select(*DOC).distinct().join(blocks.select(*DOC), DOC, "left_anti").withColumn("message", F.lit("no table header was found"))
+    none = lines.select(*DOC).distinct().join(by_shuffle(blocks.select(*DOC)), DOC, "left_anti").withColumn("message", F.lit("no table header was found"))
     errors = blocks.where("message IS NOT NULL").select(*DOC, "message").unionByName(none)
 
     body = blocks.where("message IS NULL").select(*DOC, "page", "columns", at_id.alias("at"), F.explode(F.slice("rows", F.lit(2), F.size("rows"))).alias("r")).select(*DOC, "page", "columns", "at", "r.line", "r.raw")
