@@ -21,7 +21,7 @@ from ..sources.shared import settle
 from .rules import Relations, by_id, run_rules, share_tests, with_counts
 
 #: Fixed value: what a document number looks like.
-DOC_ID = r"[A-Z]{2,4}-\d{2,4}-[A-Z]{2,3}-\d{2,4}"
+DOC_ID = r"[A-Z]{2,4}-\d{2,}-[A-Z]{2,3}-\d{2,}"
 
 
 @dataclass
