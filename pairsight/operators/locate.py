@@ -51,8 +51,14 @@ def _join_key(a: Column, b: Column, n: int) -> Column:
     return F.concat(F.lit(f"{n} "), F.right(a, F.lit(n)), F.lit(" "), F.left(b, F.lit(n)))
 
 
-def _word_key(word: Column) -> Column:
-    return F.concat(F.lit("w "), word)
+def _after_key(before: Column, word: Column, n: int) -> Column:
+    """A whole word after the end of another, n characters of it."""
+    return F.concat(F.lit(f"a{n} "), F.right(before, F.lit(n)), F.lit(" "), word)
+
+
+def _inner_key(words: Column) -> Column:
+    """The key of the second word of a quotation, which is a word of the line as it is, after the first, which may begin within one."""
+    return F.when(F.length(words[0]) >= GRAM, _after_key(words[0], words[1], GRAM)).otherwise(_after_key(words[0], words[1], 1))
 
 
 def _hyphen_key(word: Column) -> Column:
@@ -84,7 +90,7 @@ def _line_hash(line: Column) -> Column:
 
 
 def _places(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """postings() with key, a row for each key that may be wanted in its document: words as they are, words that meet, ends in a hyphen, parts of words. wanted: pair_id, doc_key and key.
+    """postings() with key, a row for each key that may be wanted in its document: words after the end of another, words that meet, ends in a hyphen, parts of words. wanted: pair_id, doc_key and key.
 
     A table of bits tells at each word which of its keys may be wanted, so that words are never shuffled to find out; what
     is joined to places later is joined by the keys themselves. Parts of words are made only in documents that are asked for any.
@@ -92,7 +98,8 @@ def _places(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     may = may_be(wanted.select(_key_hash(F.col("key")).alias("h")))
     asked = may_be(wanted.where(F.col("key").startswith("p ")).select(F.xxhash64("pair_id", "doc_key").alias("h")))
     meets = lambda n: (F.col("after") != "") & (F.length("token") >= n) & (F.length("after") >= n)
-    kinds = ((_word_key(F.col("token")), F.lit(True)), (_join_key(F.col("token"), F.col("after"), GRAM), meets(GRAM)), (_join_key(F.col("token"), F.col("after"), 1), meets(1)), (_hyphen_key(F.col("token")), F.col("token").endswith("-")))
+    follows = lambda n: (_after_key(F.col("before"), F.col("token"), n), F.length("before") >= n)
+    kinds = (follows(GRAM), follows(1), (_join_key(F.col("token"), F.col("after"), GRAM), meets(GRAM)), (_join_key(F.col("token"), F.col("after"), 1), meets(1)), (_hyphen_key(F.col("token")), F.col("token").endswith("-")))
     place = [*LINE, "place", "token", "before", "after"]
     each = postings(lines).select(*place, F.explode(F.array(*(F.when(has, key) for key, has in kinds))).alias("key"))
     parts = postings(lines.where(asked(F.xxhash64("pair_id", "doc_key")))).select(*place, F.explode(_parts(F.col("token"))).alias("part"))
@@ -101,19 +108,13 @@ def _places(lines: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _anchored(q: DataFrame, places: DataFrame) -> DataFrame:
-    """Quotations with LINE, where their first word may be on one line: of three words and more by the rarest of the inner ones, which are words of the line as they are, of two by how they meet, of one by a part of it."""
+    """Quotations with LINE, where their first word may be on one line: of three words and more by the second, which is a word of the line as it is, and the end of the first, of two by how they meet, of one by a part of it."""
     on = ["pair_id", "doc_key"]
-    many = q.where(F.size("words") > 2)
-    inner = many.select(*WHERE, F.posexplode(F.slice("words", F.lit(2), F.size("words") - 2)).alias("at", "token"))
-    there = places.where(F.col("key") == _word_key(F.col("token")))
-    often = there.groupBy(*on, "token").agg(F.count("*").alias("often"))
-    rarest = inner.join(by_shuffle(often), [*on, "token"]).groupBy(*WHERE).agg(F.min(F.struct("often", "at", "token")).alias("r")).select(*WHERE, "r.at", "r.token")
+    w = F.col("words")
     # the words beside it tell most places apart before any line is read
-    w, at = F.col("words"), F.col("at")
-    before = F.when(at == 0, F.col("before").endswith(w[0])).otherwise(F.col("before") == F.get(w, at))
-    after = F.when(at == F.size(w) - 3, F.col("after").startswith(F.element_at(w, -1))).otherwise(F.col("after") == F.get(w, at + 2))
-    rarest = rarest.join(by_shuffle(many.select(*WHERE, "words")), list(WHERE))
-    of_many = rarest.join(by_shuffle(there), [*on, "token"]).where(before & after & (F.col("place") - 1 - at > 0)).select(*WHERE, *LINE[2:])
+    many = q.where(F.size("words") > 2).select(*WHERE, "words", _inner_key(w).alias("key"))
+    third = F.when(F.size("words") == 3, F.col("after").startswith(w[2])).otherwise(F.col("after") == w[2])
+    of_many = many.join(by_shuffle(places), [*on, "key"]).where((F.col("token") == w[1]) & F.col("before").endswith(w[0]) & third).select(*WHERE, *LINE[2:])
     two = q.where(F.size("words") == 2).select(*WHERE, "words", _pair_key(w).alias("key"))
     of_two = two.join(by_shuffle(places), [*on, "key"]).where(F.col("token").endswith(w[0]) & F.col("after").startswith(w[1])).select(*WHERE, *LINE[2:])
     one = q.where(F.size("words") == 1).select(*WHERE, F.col("words")[0].alias("w"), _own_part(F.col("words")[0]).alias("key"))
@@ -183,7 +184,7 @@ def locate(quotes: DataFrame, lines: DataFrame) -> DataFrame:
     hyphens = F.regexp_extract_all("_q", F.lit("(?s)(?=((?<=[0-9A-Za-z])-(?=[0-9A-Za-z]).*))-"), F.lit(1))
     # the beginnings of a quotation that end in one of its hyphens
     heads = F.transform(hyphens, lambda tail: F.substring("_q", F.lit(1), F.length("_q") - F.length(tail) + 1))
-    inner = F.when(n > 2, F.transform(F.slice(words, F.lit(2), n - 2), _word_key)).otherwise(F.array())
+    inner = F.when(n > 2, F.array(_inner_key(words))).otherwise(F.array())
     keys = F.array_distinct(F.concat(inner, F.when((n == 2) | (n > 3), F.array(_pair_key(words))).otherwise(F.array()), F.when(n == 1, F.array(_own_part(words[0]))).otherwise(F.array()), F.transform(heads, _hyphen_key)))
     wanted = stored(q.select(*on, F.explode(keys).alias("key")), work)
     places = stored(_places(lines, wanted), work)

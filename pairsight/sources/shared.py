@@ -59,11 +59,13 @@ def by_shuffle(df: DataFrame) -> DataFrame:
 
 
 def may_be(hashes: DataFrame) -> Callable[[Column], Column]:
-    """Whether a hash may be among hashes (h), by a table of bits: always for those that are, seldom for others while there are few beside MOST_BITS. The table is a scalar of the plan, never a column of rows."""
-    bits = min(MOST_BITS, max(1 << 12, 1 << (16 * hashes.count()).bit_length()))
-    slot = lambda h: h.bitwiseAND(F.lit(bits - 1))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), slot(F.col("h")).bitwiseAND(F.lit(63)).cast("int"))
-    have = hashes.select(F.shiftright(slot(F.col("h")), 6).cast("int").alias("i"), one.alias("b")).groupBy("i").agg(F.bit_or("b").alias("b"))
+    """Whether a hash may be among hashes (h), by a table of bits, two for each: always for those that are, very seldom for others while there are few beside MOST_BITS. The table is a scalar of the plan, never a column of rows."""
+    bits = min(MOST_BITS, max(1 << 12, 1 << (64 * hashes.count()).bit_length()))
+    slots = lambda h: (h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1)))
+    page = lambda slot: F.shiftright(slot, 6).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("s").bitwiseAND(F.lit(63)).cast("int"))
+    have = hashes.select(F.explode(F.array(*slots(F.col("h")))).alias("s")).select(page(F.col("s")).alias("i"), one.alias("b")).groupBy("i").agg(F.bit_or("b").alias("b"))
     every = hashes.sparkSession.range(bits // 64).select(F.col("id").cast("int").alias("i"), F.lit(0).cast("long").alias("b"))
     table = have.unionByName(every).groupBy("i").agg(F.bit_or("b").alias("b")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "b"))), lambda x: x["b"]).alias("table")).scalar()
-    return lambda h: F.call_function("shiftright", F.get(table, F.shiftright(slot(h), 6).cast("int")), slot(h).bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    is_set = lambda slot: F.call_function("shiftright", F.get(table, page(slot)), slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return lambda h: is_set(slots(h)[0]) & is_set(slots(h)[1])
